@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality, sharding, token_codec
+from . import language_id, near_dedup, packing, quality, sharding, token_codec
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_codec": token_codec.query,
+        "op3_near_dedup": near_dedup.query,
         "op6_language_id": language_id.query,
         "op7_sharding": sharding.query,
         "op9_packing": packing.query,
