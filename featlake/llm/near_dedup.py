@@ -1,14 +1,21 @@
 """Near-duplicate documents by MinHash.
 
 Signatures of many universal hash minima are cut into bands. Texts with equal
-shingle sets are one class, of which one document goes on. In each bucket (equal
-band) the members are compared with the bucket's smallest ids; candidates must
-first agree in enough minima, then their full shingle sets decide. Verified
-links give components by large-star and small-star. A bucket is done once all
-its members are in one component or have been compared with every member of
-another component; until then it goes to the next round without the ids that
-have been its centres. So no bucket is expanded into all its pairs, none is
-capped, and no link that would join two components is left out.
+shingle sets are one class, of which one document goes on. The members of a
+bucket (equal band) are compared with the bucket's smallest id, its centre:
+their signatures must agree in enough minima, then the full shingle sets decide.
+
+Links between two members of a centre, of which at most one is linked to it, are
+found without all pairs. A member's difference to its centre (the shingles that
+only one of the two has) fixes its similarity to other members: with a = 15/185,
+sets i and j are linked if and only if their differences differ in at most
+a * (|i| + |j|) shingles. So differences of linked members share many shingles,
+and one of the rarest of the one is in the other (prefix filter, exact). Shared
+rare shingles give candidate pairs, whose differences decide.
+
+So no bucket is expanded into all its pairs, none is capped, and no link between
+members of a bucket is left out. Verified links give components by large-star
+and small-star.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; a text of fewer than five words is one shingle; rows that repeat an id
@@ -31,7 +38,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .encoder import runs
 from .shingles import MinHash, shingles
-from .tables import forget, shuffle_partitions, written
+from .tables import broadcast_if_small, shuffle_partitions, written
 
 #: Bands of ROWS minima: a pair of similarity 0.85 shares no band with probability 4e-7.
 BANDS, ROWS = 20, 4
@@ -63,40 +70,41 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n_shingles long, fp binary, sig binary")
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (centre, id) whose signatures agree in at least AGREE minima."""
+def _with_agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (centre, id) and whether their signatures agree in at least AGREE minima."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
-            same = pa.array((a == b).sum(axis=1) >= AGREE)
-            yield batch.select(["centre", "id"]).filter(same)
+            agree = pa.array((a == b).sum(axis=1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("id"), agree], names=["centre", "id", "agree"])
 
     a = reps.select(F.col("id").alias("centre"), F.col("sig").alias("sig_a"))
     b = reps.select("id", F.col("sig").alias("sig_b"))
-    # Not distinct here: a pair occurs once for each of an id's texts, which is once as a rule.
-    return pairs.join(a, "centre").join(b, "id").select("centre", "id", "sig_a", "sig_b").mapInArrow(work, "centre long, id long")
+    both = pairs.join(a, "centre").join(b, "id").select("centre", "id", "sig_a", "sig_b")
+    # A repeated id has several signatures; one that agrees is enough.
+    return both.mapInArrow(work, "centre long, id long, agree boolean").groupBy("centre", "id").agg(F.max("agree").alias("agree"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough, as links (u, v).
+def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``centre``, ``id``, ``linked``, ``n_centre``, ``n`` (sizes of the full sets) and ``diff`` (their difference) of the pairs.
 
     Texts are fetched by id; each part of a centre's members is sorted behind
     one copy of the centre's text, and a task holds one text at a time besides.
     """
     spark = docs.sparkSession
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    pairs = pairs.select("centre", "id", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"))
     own = pairs.select(F.col("centre").alias("need"), "centre", "part", F.lit(0).alias("member")).distinct()
-    need = written(own.union(pairs.select(F.col("id").alias("need"), "centre", "part", F.lit(1).alias("member")).distinct()), "need")
-    if need.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        need = F.broadcast(need)
+    need = written(own.union(pairs.select(F.col("id").alias("need"), "centre", "part", F.lit(1).alias("member"))), "need")
+    need = broadcast_if_small(need, SMALL_ROWS)
     texts = docs.select(docs[key].cast("long").alias("need"), docs[text].alias("text"))
     rows = texts.join(need, "need").repartition(shuffle_partitions(spark), "centre", "part").sortWithinPartitions("centre", "part", "member", "need")
+    schema = pa.schema([("centre", pa.int64()), ("id", pa.int64()), ("linked", pa.bool_()), ("n_centre", pa.int64()), ("n", pa.int64()), ("diff", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[list] = [[] for _ in schema]
             for centre, part, member, need_id, text_ in zip(*[batch.column(c).to_pylist() for c in ("centre", "part", "member", "need", "text")], strict=True):
                 s = shingles(text_)
                 if (centre, part) != at:
@@ -105,14 +113,42 @@ def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame
                     own.append(s)
                     continue
                 for c in own:
-                    if min(len(s), len(c)) * 100 >= LINK * max(len(s), len(c)) > 0:
-                        both = len(np.intersect1d(s, c, assume_unique=True))
-                        if 100 * both >= LINK * (len(s) + len(c) - both):
-                            out.append((need_id, centre))
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-    return rows.select("centre", "part", "member", "need", "text").mapInArrow(work, "u long, v long")
+                    diff = np.setxor1d(s, c, assume_unique=True)
+                    linked = 100 * (len(s) + len(c) - len(diff)) >= LINK * (len(s) + len(c) + len(diff)) > 0
+                    for column, x in zip(out, (centre, need_id, linked, len(c), len(s), diff.view(np.int64)), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    ddl = "centre long, id long, linked boolean, n_centre long, n long, diff array<long>"
+    return rows.select("centre", "part", "member", "need", "text").mapInArrow(work, ddl)
+
+
+def _between_members(compared: DataFrame) -> DataFrame:
+    """Links (u, v) between two members of a centre of which one or none is linked to it."""
+    share = (100 - LINK) / (100 + LINK)
+    rows = compared.withColumn("d", F.size("diff")).where("d > 0")
+    slack = F.col("d") - share * F.col("n")
+    groups = rows.groupBy("centre").agg(F.count("*").alias("members"), F.min(F.when(~F.col("linked"), slack)).alias("least_slack"))
+    groups = written(groups.where("members > 1 and least_slack is not null").select("centre", "least_slack"), "open-centres")
+    rows = written(rows.join(broadcast_if_small(groups, SMALL_ROWS), "centre").withColumn("row", F.xxhash64("centre", "id", "n", "diff")), "open-members")
+    parts = rows.select("centre", "row", F.explode("diff").alias("h"))
+    common = written(parts.groupBy("centre", "h").agg(F.count("*").alias("found")).where("found > 1"), "common-shingles")
+    parts = parts.join(common, ["centre", "h"], "left").select("centre", "row", "h", F.coalesce("found", F.lit(1)).alias("found"))
+    ranked = parts.withColumn("place", F.row_number().over(W.partitionBy("centre", "row").orderBy("found", "h"))).where("found > 1")
+    ranked = written(ranked.join(rows.select("centre", "row", "id", "d", "n", "linked", "least_slack"), ["centre", "row"]), "common-parts")
+    # Two linked members share this many shingles of their differences at least, if the other is not linked to the centre.
+    least = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("least_slack") - share * F.col("n")) / 2 - 1e-6))
+    first = ranked.where(F.col("place") <= F.col("d") - least + 1).select("centre", "h", *[F.col(c).alias(f"{c}_j") for c in ("row", "id", "d", "n", "linked")])
+    whole = ranked.where(~F.col("linked")).select("centre", "h", *[F.col(c).alias(f"{c}_i") for c in ("row", "id", "d", "n")])
+    # Each of two open members is probed by the other.
+    fits = (F.col("id_i") != F.col("id_j")) & (100 * F.least("n_i", "n_j") >= LINK * F.greatest("n_i", "n_j")) & (F.abs(F.col("d_i") - F.col("d_j")) <= share * (F.col("n_i") + F.col("n_j")) + 1e-6)
+    found = whole.join(first, ["centre", "h"]).where(fits).select("centre", F.least("row_i", "row_j").alias("a"), F.greatest("row_i", "row_j").alias("b")).distinct()
+    found = written(found, "member-pairs")
+    side = lambda k: rows.select("centre", F.col("row").alias(k), F.col("id").alias(f"id_{k}"), F.col("n").alias(f"n_{k}"), F.col("diff").alias(f"diff_{k}"))
+    both = found.join(side("a"), ["centre", "a"]).join(side("b"), ["centre", "b"])
+    apart = F.size("diff_a") + F.size("diff_b") - 2 * F.size(F.array_intersect("diff_a", "diff_b"))
+    total = F.col("n_a") + F.col("n_b")
+    return both.where(100 * (total - apart) >= LINK * (total + apart)).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,32 +158,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = written(classes.where("id is not null"), "classes")
     bands = reps.select("id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"), "sig")
     bands = bands.select(F.xxhash64("b", F.expr(f"substring(sig, b * {4 * ROWS} + 1, {4 * ROWS})")).alias("bucket"), "id")
-    shared = written(bands.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket"), "buckets")
-    open_rows = written(bands.join(shared, "bucket"), "bucket-members")
-    links, found, centres = None, None, 1
-    while not open_rows.isEmpty():
-        labelled = open_rows.withColumn("comp", F.col("id")) if found is None else open_rows.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-        rank = F.row_number().over(W.partitionBy("bucket").orderBy("id"))
-        centre = written(labelled.withColumn("rank", rank).where(F.col("rank") <= centres).select("bucket", F.col("id").alias("centre"), F.col("comp").alias("own")), "centres")
-        pairs = labelled.join(centre, "bucket").where("id > centre and comp <> own").select("centre", "id").distinct()
-        pairs = written(pairs, "pairs")
-        good = written(_agreeing(pairs, reps).distinct(), "agreeing")
-        new = written(_linked(good, docs, key, text), "verified")
-        links = new if links is None else links.union(new)
-        found = written(components(links), "components")
-        # Buckets go on without their centres while they hold two components or more.
-        rest = open_rows.join(centre.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-        rest = written(rest.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")), "rest")
-        mixed = written(rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
-        open_rows = written(rest.join(mixed, "bucket").select("bucket", "id"), "bucket-members")
-        for t in (pairs, good, rest, mixed):
-            forget(t)
-        centres = min(512, max(8, 2 * centres))
-    own = reps.select("fp", "id", "n")
-    if found is not None:
-        own = own.join(found, "id", "left").select("fp", "n", "id", F.coalesce("component", "id").alias("component"))
-    else:
-        own = own.withColumn("component", F.col("id"))
+    shared = written(bands.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("hi")).where("centre <> hi").select("bucket", "centre"), "buckets")
+    pairs = written(bands.join(shared, "bucket").where("id <> centre").select("centre", "id").distinct(), "pairs")
+    pairs = written(_with_agreement(pairs, reps), "agreement")
+    # A member whose signature does not agree with its centre's matters only to other members.
+    lone = pairs.groupBy("centre").agg(F.count("*").alias("members")).where("members = 1").select("centre")
+    pairs = pairs.where("agree").union(pairs.where("not agree").join(written(lone, "lone"), "centre", "left_anti")).select("centre", "id")
+    compared = written(_compared(pairs, docs, key, text), "compared")
+    links = compared.where("linked").select(F.col("id").alias("u"), F.col("centre").alias("v")).union(_between_members(compared))
+    found = written(components(links), "components")
+    own = reps.select("fp", "id", "n").join(found, "id", "left").select("fp", "n", "id", F.coalesce("component", "id").alias("component"))
     # A class of one row that is its own component needs no look-up.
     own = written(own.where("n > 1 or component <> id").select(F.col("fp").alias("class_fp"), "component"), "class-components")
     out = feats.select("doc_id", "n_shingles", "fp").join(own, F.col("fp") == F.col("class_fp"), "left")
@@ -158,8 +178,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that a smaller id of their component stands for."""
     gone = written(near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
-    if gone.limit(5 * SMALL_ROWS + 1).count() <= 5 * SMALL_ROWS:
-        gone = F.broadcast(gone)
+    gone = broadcast_if_small(gone, 5 * SMALL_ROWS)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 

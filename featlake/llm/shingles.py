@@ -5,9 +5,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Entries of the word cache of a worker.
-CACHE_WORDS = 1_000_000
-_WORDS: dict[bytes, int] = {}
 _ROLL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -17,11 +14,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
-    for w in set(tokens).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
 
 def shingles(text: str | None) -> np.ndarray:
