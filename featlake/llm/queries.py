@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, packing, quality, sharding, token_codec
+from . import chat_format, decontaminate, language_id, license_scan, near_dedup, packing, quality, sharding, token_codec, url_filter
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +19,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": url_filter.query,
         "op2_token_codec": token_codec.query,
         "op3_near_dedup": near_dedup.query,
+        "op4_license_scan": license_scan.query,
+        "op5_chat_format": chat_format.query,
         "op6_language_id": language_id.query,
         "op7_sharding": sharding.query,
+        "op8_decontaminate": decontaminate.query,
         "op9_packing": packing.query,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_url_filter": url_filter.ORACLE_SQL,
+        "op4_license_scan": license_scan.ORACLE_SQL,
+        "op5_chat_format": chat_format.ORACLE_SQL,
+        "op8_decontaminate": decontaminate.ORACLE_SQL,
+    }
