@@ -52,36 +52,37 @@ def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, key: str, text: str, path: str, end: int, chunks: str) -> DataFrame:
-    """``doc_id`` and ``ids`` (little-endian, end id included) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    """``doc_id`` and ``ids`` (little-endian, end id included) of every row, and for each task one row with ``counts``: how often it met each id, as 64-bit numbers."""
+    names = ["doc_id", "ids", "counts"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end, chunks)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for part in runs(batch, "text"):
                 ids = enc.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+                got = np.bincount(np.frombuffer(b"".join(ids), enc.dtype))
+                longer, other = (got, total) if len(got) > len(total) else (total, got)
+                longer[: len(other)] += other
+                total = longer
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, "doc_id long, ids binary")
+    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, "doc_id long, ids binary, counts binary")
 
 
-def rank_table(tokens: DataFrame, dtype: str) -> DataFrame:
-    """``id``, ``n`` and ``rank`` (0 is the most frequent); counted in each task first, so at most one row per id and task is shuffled."""
+def rank_table(tokens: DataFrame) -> DataFrame:
+    """``id``, ``n`` and ``rank`` (0 is the most frequent), from the tasks' counts: a row per id and task at most is shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in runs(batch, "ids"):
-                got = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), dtype))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            for row in batch.column("counts"):
+                total = np.frombuffer(row.as_py(), "<i8")
+                ids = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+
+    counts = tokens.where("counts is not null").select("counts").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "id").coalesce(1).select("id", "n", F.monotonically_increasing_id().alias("rank"))
 
 
@@ -90,7 +91,7 @@ def write_blocks(docs: DataFrame, key: str, text: str, out: str, path: str, end:
     spark = docs.sparkSession
     dtype = encoder(path, end, chunks).dtype.str
     tokens = written(tokenized(docs, key, text, path, end, chunks), "tokens", compression="zstd")
-    rank_table(tokens, dtype).write.parquet(f"{out}/ranks")
+    rank_table(tokens).write.parquet(f"{out}/ranks")
     id_rows = spark.read.parquet(f"{out}/ranks").select("id", "rank").collect()  # a row per id of the vocabulary at most
     rank_of = np.zeros(max([r["id"] for r in id_rows], default=0) + 1, np.uint32)
     for r in id_rows:
@@ -119,51 +120,50 @@ def write_blocks(docs: DataFrame, key: str, text: str, out: str, path: str, end:
         if held:
             yield block()
 
-    ordered = tokens.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.where("counts is null").select("doc_id", "ids").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(work, "part int, first long, doc_ids array<long>, n_tokens array<int>, control binary, data binary").write.option("compression", "none").parquet(f"{out}/blocks")
     forget(tokens)
 
 
-def read_blocks(spark: SparkSession, out: str) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all documents before it) and ``ids`` (array of int) of every document in the files."""
+def _from_blocks(spark: SparkSession, out: str, columns: str, made) -> DataFrame:
+    """``doc_id``, ``start`` and what ``made(ids, ends)`` gives for the documents of a block, in the order of ``columns``."""
     blocks = spark.read.parquet(f"{out}/blocks")
     ranks = spark.read.parquet(f"{out}/ranks").select("id", "rank").collect()
-    id_of = np.zeros(len(ranks), np.int32)
+    id_of = np.zeros(len(ranks), np.uint32)
     for r in ranks:
         id_of[r["rank"]] = r["id"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in batch.to_pylist():
-                counts = np.array(b["n_tokens"], np.int64)
-                ids = id_of[unpack_values(b["control"], b["data"], int(counts.sum()))]
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"], pa.int64()), pa.array([b["part"]] * n, pa.int32()), pa.array(b["first"] + ends[:-1], pa.int64()), lists], names=["doc_id", "part", "start", "ids"])
-
-    docs = blocks.mapInArrow(work, "doc_id long, part int, start long, ids array<int>")
     # One row per part, as many as partitions were written.
     totals = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
-    base, before = [], 0
+    base, before = {}, 0
     for part in sorted(totals):
-        base.append((part, before))
+        base[part] = before
         before += totals[part]
-    parts = spark.createDataFrame(base, "part int, base long")
-    return docs.join(F.broadcast(parts), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "ids")
-
-
-def with_crc(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` in place of the ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            ends, ids = np.asarray(lists.offsets), np.asarray(lists.values)
-            crc = [crc_of_ids(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for b in batch.to_pylist():
+                ends = np.concatenate([[0], np.cumsum(np.array(b["n_tokens"], np.int64))])
+                ids = id_of[unpack_values(b["control"], b["data"], int(ends[-1]))]
+                start = base[b["part"]] + b["first"] + ends[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"], pa.int64()), pa.array(start, pa.int64()), *made(ids, ends)], names=names)
+
+    names = [c.split()[0] for c in f"doc_id long, start long, {columns}".split(", ")]
+    return blocks.mapInArrow(work, f"doc_id long, start long, {columns}")
+
+
+def read_blocks(spark: SparkSession, out: str) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all documents before it) and ``ids`` (array of int) of every document in the files."""
+    return _from_blocks(spark, out, "ids array<int>", lambda ids, ends: [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32), pa.int32()))])
+
+
+def read_digests(spark: SparkSession, out: str) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every document in the files."""
+
+    def made(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        crc = [crc_of_ids(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())]
 
-    return docs.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _from_blocks(spark, out, "n_tokens long, ids_crc32 long", made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,4 +171,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = new_path(spark, "token-files")
     write_blocks(docs, "doc_id", "text", out, tokenizer_path("byte_bpe_50k.json"), 2, "led")
-    return with_crc(read_blocks(spark, out))
+    return read_digests(spark, out)
