@@ -13,8 +13,13 @@ import pyarrow as pa
 
 #: Blanks that do not take part in chunking; a text with one of them is encoded as a whole.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: Entries of the chunk cache, and the longest chunk that stays in it.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+_ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Entries of the cache, the longest key in it, and the share of misses from which a full cache is started anew.
+CACHE_ENTRIES, CACHE_CHARS, STALE = 600_000, 48, 0.4
+#: New chunks that are encoded in one call.
+TOGETHER = 512
+#: Marks that form one piece of their own behind a word.
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,8 +34,10 @@ class Encoder:
     ``chunks`` says where texts may be cut without a change of ids:
     ``"led"`` for byte-level vocabularies in which a blank belongs to the word
     after it (cut before each single space or newline), ``"free"`` for those
-    that drop blanks (cut at ASCII blanks), ``"none"`` never. Texts with other
-    or doubled blanks, or with the text of a special token, are not cut.
+    that drop blanks and mark word ends with ``</w>`` (cut at ASCII blanks),
+    ``"none"`` never. Texts with other or doubled blanks (``led``), or with the
+    text of a special token, are not cut. New chunks are encoded many at a time,
+    and their ids told apart by the bytes, or word ends, that they stand for.
     """
 
     def __init__(self, path: str, end: int, chunks: str) -> None:
@@ -38,29 +45,99 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.code = "H" if max(self.tok.get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else "I"
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.code = "H" if max([end, *vocab.values()]) < 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.end = array(self.code, [end]).tobytes()
         self.chunks = chunks
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        #: By id: bytes that a token stands for, or 1 if it ends a word.
+        self.counts = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.counts[i] = len(token) if chunks == "led" else token.endswith("</w>")
+        self.plain = None
+        if chunks == "free":  # for words whose case and form need no normaliser of the library
+            from tokenizers import pre_tokenizers as pre
+
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre.Sequence([pre.Split(" ", "removed"), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str | bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], tok=None) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, chunks: list[str], counts: list[int]) -> list[bytes]:
+        """Ids of chunks whose tokens add up to ``counts``, encoded as one text."""
+        raw = self._encode([("" if self.chunks == "led" else " ").join(chunks)], self.plain)[0]
+        sums = np.cumsum(self.counts[np.frombuffer(raw, self.dtype)])
+        ends = np.cumsum(counts)
+        at = np.searchsorted(sums, ends)
+        if not len(sums) or sums[-1] != ends[-1] or not np.array_equal(sums[at], ends):
+            return self._encode(chunks)  # not as expected: each for itself
+        cuts = ((at + 1) * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _new(self, keys: set) -> dict:
+        """Ids of chunks that the cache lacks. The marks behind a word are cut off first, as they are tokens of their own."""
+        get, led = self.cache.get, self.chunks == "led"
+        found, cut, cores = {}, [], set()
+        for k in keys:
+            word = k if led else k.decode("utf-8")
+            core = word.rstrip(TAIL)
+            if len(core) < len(word) and core and core[-1].isalnum():
+                tail = word[len(core) :]
+                cut.append((k, core, f"^{tail}" if led else tail))
+                cores.add(core)
+                cores.add(cut[-1][2])
+            else:
+                cores.add(word)
+        if not led:
+            keyed = {c.encode("utf-8"): c for c in cores}
+        else:
+            keyed = dict.fromkeys(cores)
+        joined, counts, alone = [], [], []
+        for k in keyed:
+            v = get(k)
+            if v is not None:
+                found[k] = v
+            elif led:
+                if k and k[0] != "^":
+                    joined.append(k)
+                    counts.append((len(k) if k.isascii() else len(k.encode("utf-8"))) + (k[:1] != "\n"))
+                else:
+                    alone.append(k)
+            elif (word := keyed[k]).isalpha() and max(word) <= "\xff":
+                joined.append(k)
+                counts.append(1)
+            else:
+                alone.append(k)
+        show = self._chunk if led else lambda k: keyed[k].lower()
+        for i in range(0, len(joined), TOGETHER):
+            part = joined[i : i + TOGETHER]
+            found.update(zip(part, self._together([show(k) for k in part], counts[i : i + TOGETHER]), strict=True))
+        found.update(zip(alone, self._encode([self._chunk(k) for k in alone]), strict=True))
+        for k, core, tail in cut:
+            if not led:
+                core, tail = core.encode("utf-8"), tail.encode("utf-8")
+            found[k] = found[core] + found[tail]
+        return found
 
     def _cut(self, text: str) -> list | None:
-        """Chunk keys of a text, or None if it has to be encoded whole."""
+        """Chunk keys of a text, or None if it has to be encoded whole; in ``led`` a key without its blank has the mark ``^``."""
         if self.chunks == "none" or any(s in text for s in self.special):
             return None
         if self.chunks == "free":
             return text.encode("utf-8").split()
-        if text[-1:] in (" ", "\n") or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text):
+        if text[-1:] in (" ", "\n") or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "^" in text:
+            return None
+        if any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text):
             return None
         parts = text.replace("\n", " \n").split(" ")
-        parts[0] = f"^{parts[0]}" if parts[0] else ""
-        for i in range(1, len(parts)):
-            if parts[i][:1] == "^":  # else taken for the start of a text
-                parts[i] = f" {parts[i]}"
+        if parts[0]:
+            parts[0] = f"^{parts[0]}"
+        else:
+            del parts[0]
         return parts
 
     def _chunk(self, key: str | bytes) -> str:
@@ -68,20 +145,29 @@ class Encoder:
             return key.decode("utf-8")
         if key[:1] == "^":
             return key[1:]
-        return key if key[:1] in ("\n", " ", "") else f" {key}"
+        return key if key[:1] == "\n" else f" {key}"
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cuts = [self._cut(t) if t else [] for t in texts]
-        new = list(set().union(*[set(c).difference(self.cache) for c in cuts if c]))
-        self.cache.update(zip(new, self._encode([self._chunk(k) for k in new]), strict=True))
-        get = self.cache.__getitem__
         whole = iter(self._encode([t for t, c in zip(texts, cuts, strict=True) if c is None]))
-        out = [(next(whole) if c is None else b"".join(map(get, c))) + self.end for c in cuts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        for k in new:
-            if len(k) > CACHE_CHARS:
-                self.cache.pop(k, None)
+        keys = [k for c in cuts if c for k in c]
+        ids = list(map(self.cache.get, keys))
+        missing = {k for k, v in zip(keys, ids, strict=True) if v is None}
+        if missing:
+            found = self._new(missing)
+            room = CACHE_ENTRIES - len(self.cache)
+            if room < len(found) and len(missing) > STALE * len(set(keys)):
+                self.cache.clear()
+            elif room > 0:
+                self.cache.update([(k, v) for k, v in found.items() if len(k) <= CACHE_CHARS][:room])
+            ids = [found[k] if v is None else v for k, v in zip(keys, ids, strict=True)]
+        out, at = [], 0
+        for c in cuts:
+            if c is None:
+                out.append(next(whole) + self.end)
+            else:
+                out.append(b"".join(ids[at : at + len(c)]) + self.end)
+                at += len(c)
         return out
 
 
