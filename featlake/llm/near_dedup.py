@@ -136,12 +136,15 @@ def _between_members(compared: DataFrame) -> DataFrame:
     parts = parts.join(common, ["centre", "h"], "left").select("centre", "row", "h", F.coalesce("found", F.lit(1)).alias("found"))
     ranked = parts.withColumn("place", F.row_number().over(W.partitionBy("centre", "row").orderBy("found", "h"))).where("found > 1")
     ranked = written(ranked.join(rows.select("centre", "row", "id", "d", "n", "linked", "least_slack"), ["centre", "row"]), "common-parts")
-    # Two linked members share this many shingles of their differences at least, if the other is not linked to the centre.
-    least = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("least_slack") - share * F.col("n")) / 2 - 1e-6))
-    first = ranked.where(F.col("place") <= F.col("d") - least + 1).select("centre", "h", *[F.col(c).alias(f"{c}_j") for c in ("row", "id", "d", "n", "linked")])
-    whole = ranked.where(~F.col("linked")).select("centre", "h", *[F.col(c).alias(f"{c}_i") for c in ("row", "id", "d", "n")])
-    # Each of two open members is probed by the other.
-    fits = (F.col("id_i") != F.col("id_j")) & (100 * F.least("n_i", "n_j") >= LINK * F.greatest("n_i", "n_j")) & (F.abs(F.col("d_i") - F.col("d_j")) <= share * (F.col("n_i") + F.col("n_j")) + 1e-6)
+    # Two linked members share at least this many shingles of their differences, so the first shared one, in the order
+    # of ``place``, leaves as many in both.
+    least = F.greatest(F.lit(1), F.ceil((F.col("d_i") + F.col("d_j") - share * (F.col("n_i") + F.col("n_j"))) / 2 - 1e-6))
+    # The other member is not linked to the centre, so its slack bounds the number from below.
+    least_j = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("least_slack") - share * F.col("n")) / 2 - 1e-6))
+    first = ranked.where(F.col("place") <= F.col("d") - least_j + 1).select("centre", "h", *[F.col(c).alias(f"{c}_j") for c in ("row", "id", "d", "n", "linked", "place")])
+    whole = ranked.where(~F.col("linked")).select("centre", "h", *[F.col(c).alias(f"{c}_i") for c in ("row", "id", "d", "n", "place")])
+    fits = (F.col("id_i") != F.col("id_j")) & (F.col("linked_j") | (F.col("row_i") < F.col("row_j"))) & (100 * F.least("n_i", "n_j") >= LINK * F.greatest("n_i", "n_j"))
+    fits = fits & (F.col("place_i") <= F.col("d_i") - least + 1) & (F.col("place_j") <= F.col("d_j") - least + 1)
     found = whole.join(first, ["centre", "h"]).where(fits).select("centre", F.least("row_i", "row_j").alias("a"), F.greatest("row_i", "row_j").alias("b")).distinct()
     found = written(found, "member-pairs")
     side = lambda k: rows.select("centre", F.col("row").alias(k), F.col("id").alias(f"id_{k}"), F.col("n").alias(f"n_{k}"), F.col("diff").alias(f"diff_{k}"))
