@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Blanks that do not take part in chunking; a text with one of them is encoded as a whole.
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Blanks that do not take part in chunking (code points), and other signs that keep a text whole: doubled blanks, one at the end, ``^``.
+_BLANKS = (9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_ODD = "[" + "".join(f"\\x{{{c:x}}}" for c in _BLANKS) + "^]|[ \\n][ \\n]|[ \\n]$"
 #: Entries of the cache, the longest key in it, and the share of misses from which a full cache is started anew.
-CACHE_ENTRIES, CACHE_CHARS, STALE = 600_000, 48, 0.4
+CACHE_ENTRIES, CACHE_CHARS, STALE = 600_000, 48, 0.6
 #: New chunks that are encoded in one call.
 TOGETHER = 512
 #: Marks that form one piece of their own behind a word.
@@ -55,6 +56,8 @@ class Encoder:
         self.counts = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.counts[i] = len(token) if chunks == "led" else token.endswith("</w>")
+        special = "|".join(re.escape(x) for x in self.special)
+        self.odd = "|".join(x for x in (special, _ODD if chunks == "led" else "") if x)
         self.plain = None
         if chunks == "free":  # for words whose case and form need no normaliser of the library
             from tokenizers import pre_tokenizers as pre
@@ -62,7 +65,7 @@ class Encoder:
             self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = None
             self.plain.pre_tokenizer = pre.Sequence([pre.Split(" ", "removed"), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.cache: dict[str | bytes, bytes] = {}
+        self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str], tok=None) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,96 +81,75 @@ class Encoder:
         cuts = ((at + 1) * self.dtype.itemsize).tolist()
         return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
-    def _new(self, keys: set) -> dict:
+    def _new(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of chunks that the cache lacks. The marks behind a word are cut off first, as they are tokens of their own."""
-        get, led = self.cache.get, self.chunks == "led"
-        found, cut, cores = {}, [], set()
+        cache, led = self.cache, self.chunks == "led"
+        cut, todo = [], {}
         for k in keys:
-            word = k if led else k.decode("utf-8")
-            core = word.rstrip(TAIL)
-            if len(core) < len(word) and core and core[-1].isalnum():
-                tail = word[len(core) :]
-                cut.append((k, core, f"^{tail}" if led else tail))
-                cores.add(core)
-                cores.add(cut[-1][2])
+            core = k.rstrip(TAIL)
+            if len(core) < len(k) and core[-1:].isalnum():
+                tail = f"^{k[len(core):]}" if led else k[len(core) :]
+                cut.append((k, core, tail))
+                if core not in cache:
+                    todo[core] = None
+                if tail not in cache:
+                    todo[tail] = None
             else:
-                cores.add(word)
-        if not led:
-            keyed = {c.encode("utf-8"): c for c in cores}
+                todo[k] = None
+        if led:
+            joined = [k for k in todo if k[:1] not in ("^", "")]
+            counts = [(len(k) if k.isascii() else len(k.encode("utf-8"))) + (k[0] != "\n") for k in joined]
+            shown = [k if k[0] == "\n" else f" {k}" for k in joined]
+            alone = [k for k in todo if k[:1] in ("^", "")]
         else:
-            keyed = dict.fromkeys(cores)
-        joined, counts, alone = [], [], []
-        for k in keyed:
-            v = get(k)
-            if v is not None:
-                found[k] = v
-            elif led:
-                if k and k[0] != "^":
-                    joined.append(k)
-                    counts.append((len(k) if k.isascii() else len(k.encode("utf-8"))) + (k[:1] != "\n"))
-                else:
-                    alone.append(k)
-            elif (word := keyed[k]).isalpha() and max(word) <= "\xff":
-                joined.append(k)
-                counts.append(1)
-            else:
-                alone.append(k)
-        show = self._chunk if led else lambda k: keyed[k].lower()
+            joined = [k for k in todo if k.isalpha() and max(k) <= "\xff"]
+            counts = [1] * len(joined)
+            shown = [k.lower() for k in joined]
+            alone = list(todo.keys() - set(joined))
+        found = {}
         for i in range(0, len(joined), TOGETHER):
-            part = joined[i : i + TOGETHER]
-            found.update(zip(part, self._together([show(k) for k in part], counts[i : i + TOGETHER]), strict=True))
+            found.update(zip(joined[i : i + TOGETHER], self._together(shown[i : i + TOGETHER], counts[i : i + TOGETHER]), strict=True))
         found.update(zip(alone, self._encode([self._chunk(k) for k in alone]), strict=True))
         for k, core, tail in cut:
-            if not led:
-                core, tail = core.encode("utf-8"), tail.encode("utf-8")
-            found[k] = found[core] + found[tail]
+            found[k] = (found[core] if core in found else cache[core]) + (found[tail] if tail in found else cache[tail])
         return found
 
-    def _cut(self, text: str) -> list | None:
-        """Chunk keys of a text, or None if it has to be encoded whole; in ``led`` a key without its blank has the mark ``^``."""
-        if self.chunks == "none" or any(s in text for s in self.special):
-            return None
+    def _chunk(self, key: str) -> str:
+        """Text of a chunk; in ``led`` the mark ``^`` stands before one that has no blank."""
         if self.chunks == "free":
-            return text.encode("utf-8").split()
-        if text[-1:] in (" ", "\n") or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "^" in text:
-            return None
-        if any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text):
-            return None
-        parts = text.replace("\n", " \n").split(" ")
-        if parts[0]:
-            parts[0] = f"^{parts[0]}"
+            return key
+        return key[1:] if key[:1] == "^" else key if key[:1] in ("\n", "") else f" {key}"
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Splitting and looking up are done for all words of ``texts`` at once; only distinct words are handled one by one."""
+        texts = pc.fill_null(texts, "")
+        if self.chunks == "none":
+            return [x + self.end for x in self._encode(texts.to_pylist())]
+        odd = pc.match_substring_regex(texts, self.odd) if self.odd else pc.equal(texts, None)
+        regular = pc.if_else(odd, "", texts)
+        if self.chunks == "led":
+            lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("^", regular, ""), "\n", " \n"), " ")
         else:
-            del parts[0]
-        return parts
-
-    def _chunk(self, key: str | bytes) -> str:
-        if isinstance(key, bytes):
-            return key.decode("utf-8")
-        if key[:1] == "^":
-            return key[1:]
-        return key if key[:1] == "\n" else f" {key}"
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cuts = [self._cut(t) if t else [] for t in texts]
-        whole = iter(self._encode([t for t, c in zip(texts, cuts, strict=True) if c is None]))
-        keys = [k for c in cuts if c for k in c]
-        ids = list(map(self.cache.get, keys))
-        missing = {k for k, v in zip(keys, ids, strict=True) if v is None}
+            lists = pc.ascii_split_whitespace(regular)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = list(map(self.cache.get, words))
+        missing = [k for k, v in zip(words, ids, strict=True) if v is None]
         if missing:
             found = self._new(missing)
+            ids = [found[k] if v is None else v for k, v in zip(words, ids, strict=True)]
             room = CACHE_ENTRIES - len(self.cache)
-            if room < len(found) and len(missing) > STALE * len(set(keys)):
+            if room < len(found) and len(missing) > STALE * len(words):
                 self.cache.clear()
             elif room > 0:
                 self.cache.update([(k, v) for k, v in found.items() if len(k) <= CACHE_CHARS][:room])
-            ids = [found[k] if v is None else v for k, v in zip(keys, ids, strict=True)]
-        out, at = [], 0
-        for c in cuts:
-            if c is None:
-                out.append(next(whole) + self.end)
-            else:
-                out.append(b"".join(ids[at : at + len(c)]) + self.end)
-                at += len(c)
+        joined = pa.array(ids, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1, joined.offset * 4) if len(joined) else np.zeros(1, np.int32)
+        raw = memoryview(joined.buffers()[2] or b"")
+        ends = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
+        out = [raw[a:b].tobytes() + self.end for a, b in zip(ends, ends[1:], strict=False)]
+        for i in np.flatnonzero(np.asarray(odd.to_numpy(zero_copy_only=False), bool)).tolist():
+            out[i] = self._encode([texts[i].as_py()])[0] + self.end
         return out
 
 
@@ -187,11 +169,11 @@ def encoder(path: str, end: int, chunks: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def runs(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20, most_rows: int = 256) -> Iterator[pa.RecordBatch]:
+def runs(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 22, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` of text each, so that work space does not grow with the batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()] if batch.num_rows else []
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(sizes.tolist()):
         size += n
         if size >= most_bytes or i + 1 - start >= most_rows:
             yield batch.slice(start, i + 1 - start)

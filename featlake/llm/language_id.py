@@ -99,7 +99,7 @@ def gram_counts(training: DataFrame) -> DataFrame:
             total.clear()
 
         for batch in batches:
-            for part in runs(batch, "text"):
+            for part in runs(batch, "text", 1 << 20, 256):
                 by_lang: dict[str, list[np.ndarray]] = {}
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
                     by_lang.setdefault(lang, []).append(prof.grams(text))
@@ -156,7 +156,7 @@ def predicted(docs: DataFrame, langs: list[str], vectors: np.ndarray, keep: list
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prof = profiler()
         for batch in batches:
-            for part in runs(batch, "text"):
+            for part in runs(batch, "text", 1 << 20, 256):
                 got = [judge(prof, t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("rec"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["rec", "lang_pred", "score"])
 

@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, end: int, chunks: st
         for batch in batches:
             for part in runs(batch, "text"):
                 rows = []
-                for name, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()), strict=True):
+                for name, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text")), strict=True):
                     n = len(ids) // width
                     rows += [(name, at, min(window, n - at), n, ids[at * width : (at + window) * width]) for at in range(0, n, window)]
                 cols = list(zip(*rows, strict=True))

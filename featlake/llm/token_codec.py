@@ -60,7 +60,7 @@ def tokenized(docs: DataFrame, key: str, text: str, path: str, end: int, chunks:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for part in runs(batch, "text"):
-                ids = enc.encode(part.column("text").to_pylist())
+                ids = enc.encode(part.column("text"))
                 got = np.bincount(np.frombuffer(b"".join(ids), enc.dtype))
                 longer, other = (got, total) if len(got) > len(total) else (total, got)
                 longer[: len(other)] += other
