@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that a smaller id of their component stands for."""
+    """The documents without those that a smaller id of their component stands for; rows with a null id stay."""
     gone = written(near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
     gone = broadcast_if_small(gone, 5 * SMALL_ROWS)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
