@@ -154,6 +154,14 @@ def _between_members(compared: DataFrame) -> DataFrame:
     return both.where(100 * (total - apart) >= LINK * (total + apart)).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
 
 
+def _of_repeated_ids(feats: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) between an id whose rows have different texts and the classes of these."""
+    rows = feats.where("fp is not null and doc_id is not null").select("doc_id", "fp", F.xxhash64("fp").alias("f"))
+    several = written(rows.groupBy("doc_id").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo <> hi").select("doc_id"), "repeated-ids")
+    own = rows.join(broadcast_if_small(several, SMALL_ROWS), "doc_id").select("doc_id", "fp").distinct()
+    return own.join(reps.select("fp", "id"), "fp").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (doc_id = component_id) of every row."""
     feats = written(features(docs, key, text), "features")
@@ -169,7 +177,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = pairs.where("agree").union(pairs.where("not agree").join(written(lone, "lone"), "centre", "left_anti")).select("centre", "id")
     compared = written(_compared(pairs, docs, key, text), "compared")
     links = compared.where("linked").select(F.col("id").alias("u"), F.col("centre").alias("v")).union(_between_members(compared))
-    found = written(components(links), "components")
+    found = written(components(links.union(_of_repeated_ids(feats, reps))), "components")
     own = reps.select("fp", "id", "n").join(found, "id", "left").select("fp", "n", "id", F.coalesce("component", "id").alias("component"))
     # A class of one row that is its own component needs no look-up.
     own = written(own.where("n > 1 or component <> id").select(F.col("fp").alias("class_fp"), "component"), "class-components")

@@ -1,0 +1,376 @@
+"""The numbered operators against brute force, round trips and held-out accuracy, on whole small tables."""
+
+import collections
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from featlake.llm import chat_format, decontaminate, encoder, language_id, license_scan, near_dedup, packing, quality, sharding, token_codec, url_filter
+from featlake.llm.components import components
+from featlake.llm.queries import oracle_sql, queries
+from featlake.llm.tables import new_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rec string, row string, key string, kept string, gone string, vslot string, h string, part string"
+WORDS = [f"word{i}" for i in range(400)]
+
+
+def body(start, n, step=1):
+    return " ".join(WORDS[(start + i * step) % 400] for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and ids, and extra columns with names that clash."""
+    base = body(0, 120)
+    texts = [
+        (1, base, "en", "a"), (2, base, "en", "a"), (2, base, "en", "a"), (3, base.replace("word60", "other"), None, "a"), (4, None, "en", None), (5, "", None, None),
+        (6, " \n\t ", "fr", "b"), (7, "one two", "en", "b"), (8, "One  TWO", "en", "b"), (9, body(7, 30_000, 7), "en", "b"), (None, base, "en", "a"), (None, None, None, None),
+        (10, "x" * 300_000, "en", "a"), (11, "Licensed under the Apache License, Version 2.0.\n" + body(200, 80, 3), "en", "a"), (12, "1234 5678 !!! ***", "de", "b"), (2, body(100, 90, 5), "en", "a"),
+        (13, "ünï çödé\u3000text\u00a0with ^ marks\r\n\ttabs  and <|endoftext|> in it, don't they?", "en", "c"),
+    ]
+    rows = [(i, t, lang, src, len(t or ""), "r", None, "k", "kept", "g", "v", "h", "p") for i, t, lang, src in texts]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def shingle_set(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(docs):
+    """Component of each (id, text) row: rows of an id are one document."""
+    sets = collections.defaultdict(list)
+    for i, t in docs:
+        if i is not None:
+            sets[i].append(shingle_set(t))
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if any(a and b and 100 * len(a & b) >= 85 * len(a | b) for a in sets[i] for b in sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_equals_sql(name, spark, sf, same):
+    same(queries()[name](spark, sf), oracle_sql()[name])
+
+
+# 1: URL rules
+
+
+def judge(url, rules, default="allow"):
+    if url is None or "://" not in url:
+        return "", "", None, default
+    rest = url.split("://", 1)[1]
+    host = "".join(c.lower() if c.isascii() else c for c in re.match(r"[^/?#]*", rest)[0])
+    path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+    fits = [(len(h) + len(p), len(h), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[2:] if fits else (None, default)))
+
+
+def test_url_rules_equal_brute_force(spark):
+    rules = [("com", "/", "allow"), ("a.com", "/x", "block"), ("a.com", "/x/y", "allow"), ("b.a.com", "/", "block"), ("org", "", "block"), ("a.com.", "/", "block"), ("", "/", "allow")]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.COM/x", "http://a.com/x/y?z", "http://b.a.com/x/y", "http://xa.com/x", "http://c.b.a.com#f", "http://c.b.a.com/#f", "ftp://org", "http://q.org?x=1", "http://a.com./x", "http:///path", "http://u@a.com:80/x", "http://com/" + "p" * 100_000, "x://y://a.com/"]
+    pages = spark.createDataFrame([(i, u, "host", "rule") for i, u in enumerate(urls * 3)] + [(None, "http://a.com/x", None, None)], "page_id long, url string, host string, rule string").repartition(4)
+    got = url_filter.judged(pages, ["page_id", "url", "host"], spark.createDataFrame([*rules, ("a.com", "/x", "block"), (None, "/", "block")], "host string, path string, action string")).collect()
+    assert len(got) == 3 * len(urls) + 1
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == judge(r.rec.url, rules), r.rec.url
+    none = pages.limit(0)
+    assert url_filter.judged(none, ["page_id"], spark.createDataFrame(rules, "host string, path string, action string")).count() == 0
+    assert url_filter.judged(pages, ["page_id"], spark.createDataFrame([], "host string, path string, action string")).where("rule is not null").count() == 0
+
+
+# 2 and 9: tokens
+
+
+def check_tokens(rows, docs, name, end):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(encoder.tokenizer_path(name))
+    left = collections.Counter((i, tuple(tok.encode(t or "", add_special_tokens=False).ids) + (end,)) for i, t in docs)
+    assert collections.Counter((i, tuple(ids)) for i, ids in rows) == left
+
+
+def test_packed_values_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3, 4, 5, 1000):
+        for top in (1 << 8, 1 << 16, 1 << 24, 1 << 32):
+            v = rng.integers(0, top, n, dtype=np.uint64).astype(np.uint32)
+            assert np.array_equal(token_codec.unpack_values(*token_codec.pack_values(v), n), v)
+
+
+@pytest.mark.parametrize("which", ["odd", "documents", "empty"])
+def test_token_files(which, spark, sf, request):
+    docs = spark.read.parquet(f"{sf}/documents.parquet") if which == "documents" else request.getfixturevalue(which)
+    out = new_path(spark, "test")
+    token_codec.write_blocks(docs, "doc_id", "text", out, encoder.tokenizer_path("byte_bpe_50k.json"), 2, "led")
+    rows = token_codec.read_blocks(spark, out).orderBy("start").collect()
+    check_tokens([(r.doc_id, r.ids) for r in rows], [(r.doc_id, r.text) for r in docs.collect()], "byte_bpe_50k.json", 2)
+    assert [r.start for r in rows] == [0, *np.cumsum([len(r.ids) for r in rows])][: len(rows)]
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in rows]
+    assert order == sorted(order)
+    digest = {(r.start, r.n_tokens, r.ids_crc32) for r in token_codec.read_digests(spark, out).collect()}
+    assert digest == {(r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows}
+
+
+def test_open_windows_take_the_tightest():
+    rng = np.random.default_rng(1)
+    tree, room = packing.OpenWindows(64), []
+    for n in sorted(rng.integers(1, 65, 500).tolist(), reverse=True):
+        fit = [r for r in room if r >= n]
+        w, at = tree.place(n)
+        if fit:
+            assert 64 - at == min(fit)
+        else:
+            assert (w, at) == (len(room), 0)
+            room.append(64)
+        assert room[w] == 64 - at
+        room[w] -= n
+
+
+@pytest.mark.parametrize("which", ["odd", "documents", "empty"])
+def test_packing(which, spark, sf, request):
+    docs = spark.read.parquet(f"{sf}/documents.parquet") if which == "documents" else request.getfixturevalue(which)
+    path = encoder.tokenizer_path("word_bpe_49k.json")
+    rows = packing.packed(docs, "doc_id", "text", path, 2, "free").collect()
+    pieces = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.start, r.sequence_id)):
+        pieces[r.doc_id].append(r)
+    texts = collections.Counter(r.doc_id for r in docs.collect())
+    whole = [(i, np.frombuffer(b"".join(r.ids for r in p), "<u2").tolist()) for i, p in pieces.items() if texts[i] == 1]
+    check_tokens(whole, [(r.doc_id, r.text) for r in docs.collect() if texts[r.doc_id] == 1], "word_bpe_49k.json", 2)
+    seqs = collections.defaultdict(list)
+    for r in rows:
+        assert len(r.ids) == 2 * r.length and r.length <= 4096
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for s in seqs.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= 4096
+    if which == "documents":
+        assert sum(r.length for r in rows) / (4096 * len(seqs)) > 0.97
+
+
+# 3: near duplicates
+
+
+def test_components_equal_a_search(spark):
+    links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (100, 100), (500, 50), (50, 51)] + [(1000, 1000 + i) for i in range(1, 40)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    want = {**dict.fromkeys(range(31), 0), 100: 100, 200: 100, 500: 50, 50: 50, 51: 50, **dict.fromkeys(range(1000, 1040), 1000)}
+    assert {k: v for k, v in got.items() if k not in want} == {} and all(got.get(k, k) == v for k, v in want.items())
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_duplicates_equal_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute_components(docs)
+    got = near_dedup.query(spark, sf).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in got} == {i: (want[i], len(shingle_set(t)), want[i] == i) for i, t in docs}
+
+
+def test_links_between_members_of_one_centre(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(140):
+        w = [f"w{i}" for i in range(150)]
+        for _ in range(rng.integers(0, 6)):
+            at, kind = int(rng.integers(0, len(w))), rng.integers(0, 3)
+            w[at : at + (kind != 1)] = [] if kind == 2 else [f"n{rng.integers(0, 3)}"]
+        texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    want = brute_components(docs)
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(set(want.values())) > 1
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_duplicates_edges(spark, odd, empty):
+    got = near_dedup.near_duplicates(odd).collect()
+    want = brute_components([(r.doc_id, r.text) for r in odd.collect()])
+    assert len(got) == odd.count()
+    for r in got:
+        if r.doc_id is not None:
+            assert r.component_id == want[r.doc_id] and r.kept == (r.component_id == r.doc_id)
+    assert {(r.component_id, r.kept, r.n_shingles > 0) for r in got if r.doc_id is None} == {(1, False, True), (None, True, False)}
+    kept = near_dedup.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i in want if want[i] == i} | {None}
+    assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
+
+
+# 4, 8: containment
+
+
+def test_license_scan_edges(spark, odd, empty):
+    templates = spark.createDataFrame([*license_scan.TEMPLATES, ("blank", " "), ("none", None), ("long", body(7, 700, 7))], "license string, text string")
+    got = license_scan.scanned(odd, "doc_id", "text", templates).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(11, "apache-2.0"), (9, "long")}
+    assert {r.piece for r in got if r.license == "long"} == {0, 1, 2}
+    assert license_scan.scanned(empty, "doc_id", "text", templates).count() == 0
+    assert license_scan.scanned(odd, "doc_id", "text", templates.limit(0)).count() == 0
+
+
+def test_short_and_long_items_are_found(spark, empty):
+    long_text = body(3, 20_000, 11)
+    w = long_text.split()
+    items = [(i, " ".join(w[100 * i : 100 * i + n])) for i, n in enumerate([5, 6, 9, 15, 30, 60, 120, 300, 600])] + [(90, "absent words of an item here"), (91, None), (92, ""), (None, " ".join(w[:40])), (93, "two words")]
+    part = " ".join(w[500:560])
+    docs = [(1, long_text), (2, "lead " + part.replace(w[530], "changed") + " tail"), (3, " ".join(w[500:530])), (4, None), (None, part), (5, "TWO words"), (1, long_text)]
+    item_df, doc_df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(doc_df, "doc_id", "text", item_df, "item_id", "text").collect()}
+    sets = {i: shingle_set(t) for i, t in items if i is not None}
+    want = {(d, i) for d, t in docs for i, s in sets.items() if s and len(s & shingle_set(t)) >= 0.8 * len(s)}
+    assert got == want and (1, 8) in got and (2, 5) in got and (3, 5) not in got and (None, 5) in got
+    clean = decontaminate.keep_clean(doc_df, item_df)
+    assert {r.doc_id for r in clean.collect()} == {4}
+    assert decontaminate.keep_clean(doc_df, item_df.limit(0)).count() == len(docs)
+    assert decontaminate.keep_clean(empty, item_df).count() == 0
+
+
+def test_decontamination_edges(spark, odd):
+    items = spark.createDataFrame([(1, "one two"), (2, body(0, 20))], "item_id long, text string")
+    clean = decontaminate.keep_clean(odd, items)
+    assert clean.columns == odd.columns
+    assert sorted((r.doc_id for r in clean.collect() if r.doc_id), key=int) == [2, 4, 5, 6, 9, 10, 11, 12, 13]
+
+
+# 5: chat
+
+
+def test_chat_perspectives(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "ann", "tie"), (1, None, "bob", "first"), (1, 3, None, "who"), (2, 0, "system", "alone"), (None, 0, "cy", "x"), (3, 0, "ann", ""), (3, 0, "ann", ""), (4, 700, "ann", "far" * 50_000)]
+    df = spark.createDataFrame([(*r, "c", "m") for r in rows], "conv_id long, turn long, role string, text string, chunk string, mask string")
+    got = collections.defaultdict(str)
+    for r in chat_format.perspectives(df).orderBy("chunk").collect():
+        own = "".join(r.rendered[s.a : s.b] for s in r["mask"])
+        got[r.conv_id, r.participant] += own
+        assert own.count("<|im_end|>") == len(r["mask"])
+    assert got[1, "ann"] == "tie<|im_end|>hi < |im_end|><|im_end|>" or got[1, "ann"] == "hi < |im_end|><|im_end|>tie<|im_end|>"
+    assert got[1, "bob"] == "first<|im_end|><|im_end|>" and set(got) == {(1, "ann"), (1, "bob"), (None, "cy"), (3, "ann"), (4, "ann")}
+    assert got[3, "ann"] == "<|im_end|><|im_end|>" and len(got[4, "ann"]) > 150_000
+    assert chat_format.perspectives(df.limit(0)).count() == 0
+
+
+# 6: languages
+
+
+def test_language_accuracy_on_held_out_rows(spark, sf):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = [r for r in language_id.query(spark, sf).collect() if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert sum(r.lang_pred == langs[r.doc_id] for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_edges(spark, odd, empty):
+    langs, vectors = language_id.prototypes(odd.where("doc_id < 9 or doc_id is null"))
+    got = language_id.predicted(odd, langs, vectors, odd.columns).collect()
+    assert len(got) == odd.count()
+    for r in got:
+        letters = any(c.isalpha() for c in r.rec.text or "")
+        assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
+    assert language_id.prototypes(empty)[0] == [] and language_id.keep_identified(empty).count() == 0
+    assert language_id.keep_identified(odd).columns == odd.columns
+    none = language_id.predicted(odd, *language_id.prototypes(empty), ["doc_id"]).collect()
+    assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
+
+
+# 7: shards
+
+
+def test_shards(spark, sf, odd, empty):
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd, empty):
+        path = new_path(spark, "test")
+        got = sharding.write_shards(docs, ["doc_id"], "text", 8, path, 512).collect()
+        want = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+        assert collections.Counter((r.rec.doc_id, r.rec.text) for r in got) == want
+        places = collections.defaultdict(list)
+        for r in got:
+            places[r.shard].append(r.slot)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        assert sharding.load_map(spark, f"{path}/map", 1).count() == 512
+
+
+def test_map_edits_move_little_and_balance():
+    rng = np.random.default_rng(2)
+    sizes = {v: (int(rng.integers(50, 150)), 1) for v in range(4096)}
+    total = sum(b for b, _ in sizes.values())
+    load = lambda m, n: [sum(sizes[v][0] for v in m if m[v] == s) for s in range(n)]
+    old = sharding.first_map(sizes, 40, 4096)
+    assert max(load(old, 40)) - min(load(old, 40)) <= 150
+    new = sharding.rebalanced(old, sizes, 41)
+    moved = [v for v in old if new[v] != old[v]]
+    assert {new[v] for v in moved} == {40} and max(load(new, 41)) <= 1.02 * total / 41
+    fewer = sharding.rebalanced(old, sizes, 39)
+    assert all(new_s == old[v] or old[v] == 39 for v, new_s in fewer.items()) and max(load(fewer, 39)) <= 1.02 * total / 39
+
+
+# 10: quality
+
+
+def counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = collections.Counter(grams)
+    covered = {j for i, g in enumerate(grams) if often[g] > 1 for j in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_quality_counts_equal_brute_force(which, spark, sf, request):
+    docs = spark.read.parquet(f"{sf}/documents.parquet") if which == "documents" else request.getfixturevalue(which)
+    got = quality.judged(docs, ["doc_id", "text"]).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        want = counts(r.rec.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
+
+
+def test_quality_drops_junk_and_keeps_clean(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r["rec"].doc_id: r for r in quality.judged(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"]).collect()}
+    assert not [i for i, q in labels.items() if q == 0 and got[i].kept]
+    clean = [i for i, q in labels.items() if q == 1 and not got[i].base_failed]
+    assert sum(got[i].kept for i in clean) >= 0.99 * len(clean)
+
+
+def test_quality_fences_fall_back_to_language_and_all(spark):
+    rows = [("en", "a", 0.01)] * 150 + [("en", "b", 0.5)] + [("fr", None, 0.02)] * 20 + [(None, None, 0.9)]
+    df = spark.createDataFrame(rows, "lang string, source string, x double").select("lang", "source", F.lit(False).alias("base_failed"), *[F.col("x").alias(n) for n in quality.RATIOS])
+    got = {(r.lang, r.source): r.max_symbol_ratio for r in quality.thresholds(df).collect()}
+    assert got["en", "a"] == pytest.approx(0.11) and got["en", "b"] == pytest.approx(0.11)
+    assert got["fr", None] is not None and got[None, None] == got["fr", None]
+    few = quality.thresholds(df, least=10_000).collect()
+    assert {r.max_symbol_ratio for r in few} == {None}
+
+
+def test_quality_stage_edges(odd, empty):
+    assert quality.keep_good(odd).columns == odd.columns
+    assert {r.doc_id for r in quality.keep_good(odd).collect()} >= {1, 2, 3, 11, None}
+    assert quality.keep_good(empty).count() == 0
