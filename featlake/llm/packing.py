@@ -97,7 +97,8 @@ def packed(docs: DataFrame, key: str, text: str, path: str, end: int, chunks: st
     spark = docs.sparkSession
     groups = max(1, -(-docs.count() // per_group))
     dealt = pieces(docs, key, text, path, end, chunks, window).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(groups)))
-    dealt = dealt.repartition(shuffle_partitions(spark), "grp").sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "ids")
+    # Dealt by number, so that each task has as many groups as any other, give or take one.
+    dealt = dealt.repartitionById(shuffle_partitions(spark), F.col("grp").cast("int")).sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, open_windows = None, OpenWindows(window)
