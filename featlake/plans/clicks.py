@@ -332,3 +332,21 @@ def cohort_similarity(spark, d):
 def cohort_trees(spark, d):
     rows = prefixes(spark, d).join(payers(spark, d).withColumn("pays", F.lit(1)), "user", "left").withColumn("cohort", F.when(F.col("pays") == 1, "paying").otherwise("other"))
     return T.tree(rows, "cohort").select("cohort", "prefix", "depth", "visits")
+
+
+@query("ratio_max", BASE + "select round(max(t / b), 6) as best from (select user, sum(case when host = 'click' then seconds else 0 end) as t, sum(seconds) as b from s group by 1) where user in (select user from payers)")
+def ratio_max(spark, d):
+    stats = K.user_stats(sessions(spark, d), TARGET, MOBILE).join(payers(spark, d), "user", "left_semi")
+    return stats.agg(F.round(F.max(F.col("target_seconds") / F.col("browsing_seconds")), 6).alias("best"))
+
+
+@query("flat_session_export", BASE + "select user, host as domain, round(seconds, 6) as duration, start from s where user in (select user from payers)")
+def flat_session_export(spark, d):
+    rows = sessions(spark, d).join(payers(spark, d), "user", "left_semi")
+    return rows.select("user", F.col("host").alias("domain"), F.round("seconds", 6).alias("duration"), "start")
+
+
+@query("appended_visits", BASE + "select user, string_agg(host, ',' order by tus, event) || ',end' as hosts from e group by 1")
+def appended_visits(spark, d):
+    rows = events(spark, d).groupBy("user").agg(F.array_sort(F.collect_list(F.struct("at", "event", "host"))).alias("v"))
+    return rows.select("user", F.array_join(F.array_append("v.host", F.lit("end")), ",").alias("hosts"))
