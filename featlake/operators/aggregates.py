@@ -21,6 +21,19 @@ def num_unique(col: Column) -> Column:
     return F.count_distinct(col.cast("string"))
 
 
+def num_unique_many(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Exact distinct values of several columns per group.
+
+    Each column is made distinct with the keys first and the counts are joined
+    on the keys, so rows are not expanded once for every column.
+    """
+    out = None
+    for c in columns:
+        part = df.select(*keys, F.col(c).cast("string").alias(c)).distinct().groupBy(*keys).agg(F.count(c).alias(f"unique_{c}"))
+        out = part if out is None else out.join(part, keys)
+    return out
+
+
 def default_grid(ts: Column, include_year: bool = False) -> list[Column]:
     """Hour of day and day of year; years collide unless included."""
     keys = [F.hour(ts).alias("hour"), F.dayofyear(ts).alias("yearday")]

@@ -50,6 +50,11 @@ def first_last_by_ts(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(A.first(F.col("value"), *C.order).alias("first_value"), A.last(F.col("event_type"), *C.order).alias("last_type"))
 
 
+@query("num_unique_many", "select l_returnflag, l_linestatus, count(distinct l_partkey) as unique_l_partkey, count(distinct l_suppkey) as unique_l_suppkey, count(distinct l_quantity) as unique_l_quantity from lineitem group by 1, 2")
+def num_unique_many(spark, d):
+    return A.num_unique_many(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_partkey", "l_suppkey", "l_quantity"])
+
+
 @query("mode_by_group", "with c as (select user_id, event_type, count(*) n from events group by all) select user_id, event_type as top_type from c qualify row_number() over (partition by user_id order by n desc, event_type) = 1")
 def mode_by_group(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.mode("event_type", True).alias("top_type"))

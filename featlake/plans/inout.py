@@ -29,7 +29,7 @@ def csv_roundtrip(spark, d):
 def csv_inferred(spark, d):
     path = new_path(spark, "csv")
     S.write_csv(orders(spark, d).select("o_orderkey", "o_totalprice", F.lit('a ; "b"').alias("note")), path, ";")
-    df = spark.read.option("sep", ";").option("header", True).option("escape", '"').option("inferSchema", True).csv(path)
+    df = R.read_csv(spark, path, ";", sample=1.0)
     return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice", "note")
 
 
@@ -138,3 +138,14 @@ def observed_write(spark, d):
     seen = Observation()
     S.discard(orders(spark, d).observe(seen, F.count("*").alias("n"), F.sum("o_totalprice").alias("total")))
     return spark.createDataFrame([(seen.get["n"], seen.get["total"])], "n long, total double").select("n", F.round("total", 2).alias("total"))
+
+
+@query("reduced_output", "select o_custkey, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1")
+def reduced_output(spark, d):
+    from ..operators.aggregates import map_reduce
+
+    path = new_path(spark, "orders_reduced")
+    v = F.col("values")
+    total = F.aggregate(F.transform(v, lambda x: x["price"]), F.lit(0.0), lambda a, x: a + x)
+    S.replace_output(map_reduce(orders(spark, d), {"o_custkey": F.col("o_custkey")}, {"price": F.col("o_totalprice")}, {"n": F.size(v).cast("long"), "total": F.round(total, 2)}), path)
+    return spark.read.parquet(path)

@@ -18,7 +18,7 @@ MIME = {
 
 def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool = True, schema: T.StructType | str | None = None, sample: float = 0.1) -> DataFrame:
     """Delimited files. Types are inferred on a sample, one for a column; blanks and tabs around values go, and unnamed empty columns."""
-    reader = spark.read.option("sep", sep).option("header", header).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    reader = spark.read.option("sep", sep).option("header", header).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"')
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).option("samplingRatio", sample).csv(path)
     return df.toDF(*[clean_name(c) if not c.startswith("_c") else f"NoName_{i}" for i, c in enumerate(df.columns)])
 
