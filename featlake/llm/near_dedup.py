@@ -196,3 +196,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every pair that shares a shingle is compared, which suits small tables only.
+ORACLE_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as both_ from s a join s b using (s) where a.doc_id > b.doc_id group by 1, 2),
+l as (select u, v from p join n a on a.doc_id = u join n b on b.doc_id = v where 100 * both_ >= 85 * (a.n + b.n - both_)),
+e as (select u, v from l union all select v, u from l),
+r as (select doc_id as id, doc_id as c from w union select r.id, e.v from r join e on r.c = e.u),
+c as (select id, min(c) as c from r group by 1)
+select w.doc_id, coalesce(n, 0) as n_shingles, c as component_id, w.doc_id = c as kept from w join c on w.doc_id = c.id left join n on n.doc_id = w.doc_id
+"""

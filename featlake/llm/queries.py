@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": url_filter.ORACLE_SQL,
+        "op3_near_dedup": near_dedup.ORACLE_SQL,
         "op4_license_scan": license_scan.ORACLE_SQL,
         "op5_chat_format": chat_format.ORACLE_SQL,
         "op8_decontaminate": decontaminate.ORACLE_SQL,
