@@ -47,9 +47,12 @@ def target_type(df: DataFrame, column: str, most_classes: int = 20) -> DataFrame
 
 
 def column_language(df: DataFrame, text: str) -> DataFrame:
-    """Stop words of each language found over all texts; the first row is the language."""
-    w = F.split(F.lower(F.col(text)), r"[^\p{L}]+")
-    found = lambda words: F.size(F.filter(w, lambda x: x.isin(*words)))
-    votes = df.select(*[found(words).alias(lang) for lang, words in STOP_WORDS.items()])
-    total = votes.agg(*[F.sum(lang).alias(lang) for lang in STOP_WORDS])
-    return total.unpivot([], list(STOP_WORDS), "lang", "votes").orderBy(F.desc("votes"), "lang")
+    """Stop words of each language found over all texts; the first row is the language.
+
+    Words are counted before they meet the table of languages, so a word takes one row of a task's shuffle at most.
+    """
+    known = df.sparkSession.createDataFrame([(lang, w) for lang, words in STOP_WORDS.items() for w in words], "lang string, word string")
+    every = sorted({w for words in STOP_WORDS.values() for w in words})
+    found = df.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).where(F.col("word").isin(every)).groupBy("word").agg(F.count("*").alias("n"))
+    votes = known.join(found, "word", "left").groupBy("lang").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("votes"))
+    return votes.orderBy(F.desc("votes"), "lang")

@@ -20,23 +20,34 @@ def ordered_events(df: DataFrame, user: str, ts: str, event: str, host: str) ->
     return df.select(F.col(user).alias("user"), micros(F.col(ts)).alias("at"), F.to_date(ts).alias("day"), F.col(event).alias("event"), F.col(host).alias("host"), F.struct("*").alias("rec"))
 
 
+def walked(events: DataFrame) -> DataFrame:
+    """``prev_host`` (of the user's event before) and ``run`` (number, from 1, of the row's run of equal hosts in the user's history).
+
+    Rows are compared within days; one summary row per user and day carries the
+    last host and the number of runs across days.
+    """
+    order = W.partitionBy("user", "day").orderBy("at", "event")
+    rows = events.withColumns({"_lag": F.lag("host").over(order), "_first": F.row_number().over(order) == 1})
+    rows = rows.withColumn("_turn", F.when(F.col("_first") | (F.col("host") == F.col("_lag")), 0).otherwise(1))
+    at = F.struct("at", "event")
+    days = rows.groupBy("user", "day").agg(F.min_by("host", at).alias("_opens"), F.max_by("host", at).alias("_last"), F.sum("_turn").alias("_turns"))
+    w = W.partitionBy("user").orderBy("day")
+    days = days.withColumn("_before", F.lag("_last").over(w)).withColumn("_starts", F.when(F.col("_opens") == F.col("_before"), 0).otherwise(1))
+    earlier = F.coalesce(F.sum(F.col("_turns") + F.col("_starts")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("user", "day", "_before", (earlier + F.col("_starts")).alias("_base"))
+    run = (F.sum("_turn").over(order) + F.col("_base")).cast("long")
+    prev = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))
+    return rows.join(days, ["user", "day"]).select(*events.columns, prev.alias("prev_host"), run.alias("run"))
+
+
 def with_previous(events: DataFrame) -> DataFrame:
     """``prev_host``: host of the user's previous event, over day borders too."""
-    order = F.struct("at", "event")
-    days = events.groupBy("user", "day").agg(F.max_by("host", order).alias("_last"))
-    days = days.withColumn("_before", F.lag("_last").over(W.partitionBy("user").orderBy("day"))).drop("_last")
-    own = F.lag("host").over(W.partitionBy("user", "day").orderBy("at", "event"))
-    return events.join(days, ["user", "day"]).withColumn("prev_host", F.coalesce(own, "_before")).drop("_before")
+    return walked(events).drop("run")
 
 
 def host_runs(events: DataFrame) -> DataFrame:
     """``run``: number, from 1, of the row's run of equal hosts in the user's history."""
-    rows = with_previous(events).withColumn("_new", F.when(F.col("host") == F.col("prev_host"), 0).otherwise(1))
-    days = rows.groupBy("user", "day").agg(F.sum("_new").alias("_runs"))
-    before = F.coalesce(F.sum("_runs").over(W.partitionBy("user").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    days = days.withColumn("_earlier", before).drop("_runs")
-    own = F.sum("_new").over(W.partitionBy("user", "day").orderBy("at", "event"))
-    return rows.join(days, ["user", "day"]).withColumn("run", (own + F.col("_earlier")).cast("long")).drop("_new", "_earlier")
+    return walked(events)
 
 
 def sessions(events: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import times
 from ..operators import clickstream as K
 from ..operators import paths as T
 from ..operators import sessions as S
+from ..sources.scratch import written
 from .base import query, table
 
 TARGET, MOBILE = "click", "signup"
@@ -43,6 +44,11 @@ def sessions(spark, d):
     return S.sessions(events(spark, d))
 
 
+def stored_sessions(spark, d):
+    """The sessions, written once, for queries that use them several times."""
+    return written(sessions(spark, d), "sessions")
+
+
 def payers(spark, d):
     return table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("user")).distinct()
 
@@ -189,7 +195,7 @@ _HOST = "count(*) as visits, count(distinct user) as visitors, count(next_host)
 
 @query("host_stats", BASE + f"select host, {_HOST} group by 1 union all select 'global', {_HOST} union all select 'mobile', {_HOST} where host = 'signup'")
 def host_stats(spark, d):
-    return K.host_stats(sessions(spark, d), MOBILE).withColumn("transition_seconds", F.round("transition_seconds", 6))
+    return K.host_stats(stored_sessions(spark, d), MOBILE).withColumn("transition_seconds", F.round("transition_seconds", 6))
 
 
 @query("host_user_visits", BASE + "select host, user, count(*) as visits, round(sum(seconds), 6) as total_seconds, round(avg(seconds), 1) as mean_seconds from s group by 1, 2")
@@ -208,8 +214,8 @@ def cross_page_totals(spark, d):
     return sessions(spark, d).agg(F.count("prev_host").alias("transitions"), F.count_distinct(F.when(F.col("host") == TARGET, F.col("user"))).alias("target_visitors"), F.round(F.count("*") / F.count_distinct("user"), 6).alias("mean_visits"))
 
 
-def ratings(spark, d):
-    return K.page_ratings(sessions(spark, d), TARGET, payers(spark, d))
+def ratings(spark, d, s=None):
+    return K.page_ratings(stored_sessions(spark, d) if s is None else s, TARGET, payers(spark, d))
 
 
 @query("page_rating", BASE + "select lead, round(rating, 8) as rating from rating")
@@ -219,13 +225,15 @@ def page_rating(spark, d):
 
 @query("mean_rating", BASE + "select user, round(avg(rating), 8) as mean_rating, count(*) as rated_hosts from (select distinct user, host from s) join rating on host = lead group by 1")
 def mean_rating(spark, d):
-    return K.mean_rating(sessions(spark, d), ratings(spark, d)).withColumn("mean_rating", F.round("mean_rating", 8))
+    s = stored_sessions(spark, d)
+    return K.mean_rating(s, ratings(spark, d, s)).withColumn("mean_rating", F.round("mean_rating", 8))
 
 
 @query("high_rank_features", BASE + """, top as (select lead, row_number() over (order by rating desc, lead) as rank from rating order by rating desc, lead limit 2)
 select user, round(sum(case when rank = 1 then seconds else 0 end), 6) as rank_1_seconds, round(sum(case when rank = 2 then seconds else 0 end), 6) as rank_2_seconds from s left join top on host = lead group by 1""")
 def high_rank_features(spark, d):
-    df = K.high_rank_features(sessions(spark, d), ratings(spark, d), 2)
+    s = stored_sessions(spark, d)
+    df = K.high_rank_features(s, ratings(spark, d, s), 2)
     return df.withColumns({c: F.round(c, 6) for c in df.columns if c != "user"})
 
 
@@ -283,8 +291,9 @@ tree as (select prefix, depth, count(*) as visits, avg(seconds) as mean_seconds
 early as (select prefix, depth, count(*) as visits from p where day < 19738 group by 1, 2), late as (select prefix, depth, count(*) as visits from p where day >= 19738 group by 1, 2) """
 
 
-def prefixes(spark, d):
-    return T.prefixes(T.chains(sessions(spark, d), 4), "user", "day")
+def prefixes(spark, d, stored: bool = False):
+    rows = T.prefixes(T.chains(sessions(spark, d), 4), "user", "day")
+    return written(rows, "prefixes") if stored else rows
 
 
 @query("path_prefixes", PATHS + "select prefix, cast(depth as integer) as depth, visits, round(mean_seconds, 1) as mean_seconds from tree")
@@ -298,7 +307,7 @@ def longest_path(spark, d):
 
 
 def _halves(spark, d):
-    rows = prefixes(spark, d)
+    rows = prefixes(spark, d, stored=True)
     cut = F.lit("2024-01-16").cast("date")
     return T.tree(rows.where(F.col("day") < cut)), T.tree(rows.where(F.col("day") >= cut))
 
@@ -323,7 +332,7 @@ a as (select user, case when sum(visits) > 0 then ln(sum(visits)) - sum(visits *
 k as (select user, case when sum(visits) > 0 then ln(sum(visits)) - sum(visits * ln(visits)) / sum(visits) else 0 end as ic from t where prefix in (select prefix from cohort) group by 1)
 select a.user, round(case when a.ic + {_ic('cohort')} > 0 then 2 * coalesce(k.ic, 0) / (a.ic + {_ic('cohort')}) else 0 end, 6) as similarity from a left join k on a.user = k.user""")
 def cohort_similarity(spark, d):
-    rows = prefixes(spark, d)
+    rows = prefixes(spark, d, stored=True)
     cohort = T.tree(rows.join(payers(spark, d), "user", "left_semi"))
     return T.lin_similarity(T.tree(rows, "user"), cohort, "user").withColumn("similarity", F.round("similarity", 6))
 
