@@ -5,20 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, written
+
+__all__ = ["BLANKS", "broadcast_if_small", "forget", "let", "new_path", "shingle_hashes", "shuffle_partitions", "words", "written"]
 
 #: What separates words: space and the ASCII controls 9 to 13.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, so a lost executor costs one re-read."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     spark = df.sparkSession
