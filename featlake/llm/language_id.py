@@ -7,7 +7,8 @@ over its training texts, and a text gets the language with the largest cosine.
 
 Defined cases: null text and text without letters give ``und`` with score 0;
 rows with null text or lang do not train; ties go to the language first in
-order; without training rows every text is ``und``; an empty table gives none.
+order; without training rows every text is ``und``, and the filter keeps all;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -176,6 +177,8 @@ LEAST_SCORE = 0.3
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """Documents that resemble a learned language; those without letters and those below ``least_score`` go."""
     langs, vectors = prototypes(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
+    if not langs:
+        return docs
     df = predicted(docs, langs, vectors, docs.columns)
     return df.where((F.col("lang_pred") != UND) & (F.col("score") >= least_score)).select("rec.*")
 

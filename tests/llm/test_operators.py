@@ -294,6 +294,7 @@ def test_language_edges(spark, odd, empty):
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
     assert language_id.prototypes(empty)[0] == [] and language_id.keep_identified(empty).count() == 0
     assert language_id.keep_identified(odd).columns == odd.columns
+    assert language_id.keep_identified(odd.withColumn("lang", F.lit(None).cast("string"))).count() == odd.count()
     none = language_id.predicted(odd, *language_id.prototypes(empty), ["doc_id"]).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
 
