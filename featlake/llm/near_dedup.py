@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = pairs.where("agree").union(pairs.where("not agree").join(written(lone, "lone"), "centre", "left_anti")).select("centre", "id")
     compared = written(_compared(pairs, docs, key, text), "compared")
     links = compared.where("linked").select(F.col("id").alias("u"), F.col("centre").alias("v")).union(_between_members(compared))
-    found = written(components(links.union(_of_repeated_ids(feats, reps))), "components")
+    found = components(links.union(_of_repeated_ids(feats, reps)))
     own = reps.select("fp", "id", "n").join(found, "id", "left").select("fp", "n", "id", F.coalesce("component", "id").alias("component"))
     # A class of one row that is its own component needs no look-up.
     own = written(own.where("n > 1 or component <> id").select(F.col("fp").alias("class_fp"), "component"), "class-components")
