@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hostname(url: Column, strip_www: bool = True) -> Column:
-    """Host of a URL whose scheme, user and path are optional."""
-    rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*", 0), r"^.*@", "")
-    return F.regexp_replace(host, r"^www\.", "") if strip_www else host
+def hostname(url: Column, strip_www: bool = False) -> Column:
+    """Host of a URL whose scheme (http or https) and user are optional: what stands before the first slash."""
+    host = F.regexp_extract(F.regexp_replace(url, r"^(http://)?(https://)?", ""), r"^[^/]*", 0)
+    host = F.regexp_replace(host, r"^www\.", "") if strip_www else host
+    return F.regexp_replace(host, r"^[^@]*@", "")
 
 
 def is_numeric(text: Column) -> Column:
@@ -22,14 +22,13 @@ def try_int(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Blanks become one dash, other symbols go, lower case."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", ""), r"[\s-]+", "-")
+    """Spaces become dashes; all but word characters, points and dashes go."""
+    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("-")), r"[^\p{L}\p{Mn}\p{Nd}\p{Pc}.\-]+", "")
 
 
 def gender_code(text: Column) -> Column:
     """male or t is 1, female or f is 2, else 0."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.isin("male", "t"), 1).when(low.isin("female", "f"), 2).otherwise(0)
+    return F.when(text.isin("male", "t"), 1).when(text.isin("female", "f"), 2).otherwise(0)
 
 
 def clean_name(name: str) -> str:

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The exact forms that dates may have, tried in order after the general parse.
-DATE_FORMATS = ("dd/MM/yyyy H:mm", "dd/MM/yyyy HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "yyyy/MM/dd HH:mm:ss", "MM-dd-yyyy", "yyyyMMdd", "dd MMM yyyy")
+DATE_FORMATS = (
+    "dd-MM-yy", "dd/MM/yyyy H:mm:ss", "dd/MM/yyyy H:mm", "dd/MM/yy H:mm:ss", "dd/MM/yy H:mm", "dd-MM-yyyy H:mm:ss",
+    "dd-MM-yy H:mm:ss", "dd-MM-yy H:mm", "dd-MM-yy HH:mm:ss", "dd-MM-yy HH:mm",
+)
+#: Forms of the general parse besides ISO: month first.
+GENERAL_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
 
 
 def weekday(ts: Column) -> Column:
@@ -43,9 +48,12 @@ def week_number(ts: Column) -> Column:
 
 
 def parse_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """A number is epoch seconds; else the general parse, then the exact forms; null if nothing fits."""
-    number = F.when(text.rlike(r"^\d{9,11}$"), F.timestamp_seconds(text.try_cast("long")))
-    return F.coalesce(number, text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """The general parse (ISO, then month first), then the exact forms, as UTC; null if nothing fits.
+
+    A number is no date. Years of two digits are those from 2000 on.
+    """
+    forms = [F.try_to_timestamp(text, F.lit(f)) for f in (*GENERAL_FORMATS, *formats)]
+    return F.when(text.try_cast("double").isNotNull(), F.lit(None)).otherwise(F.coalesce(text.try_cast("timestamp"), *forms))
 
 
 def is_weekend(ts: Column) -> Column:

@@ -245,17 +245,19 @@ def encode_all(spark, d):
     return df.select("c_custkey", "c_mktsegment_code", "c_nationkey_id")
 
 
-@query("date_parse", """with t as (select o_orderkey, o_orderdate, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') when 1 then strftime(o_orderdate, '%d/%m/%Y') || ' 0:00' when 2 then strftime(o_orderdate, '%d.%m.%Y') else 'none' end as s from orders)
-select o_orderkey, case when s = 'none' then null else epoch_us(o_orderdate) end as us from t""")
+@query("date_parse", """with t as (select o_orderkey, o_orderdate, case o_orderkey % 5 when 0 then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') when 1 then strftime(o_orderdate, '%d/%m/%Y') || ' 0:00'
+  when 2 then strftime(o_orderdate, '%d-%m-%y') || ' 00:00' when 3 then '1709287872' else 'none' end as s from orders)
+select o_orderkey, case when o_orderkey % 5 in (3, 4) then null when o_orderkey % 5 = 1 and day(o_orderdate) <= 12 then epoch_us(make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0.0))
+  when o_orderkey % 5 = 2 and year(o_orderdate) < 2000 then epoch_us(o_orderdate + interval 100 year) else epoch_us(o_orderdate) end as us from t""")
 def date_parse(spark, d):
-    ts, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(ts, "dd/MM/yyyy H:mm")).when(k == 2, F.date_format(ts, "dd.MM.yyyy")).otherwise("none")
+    ts, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    text = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(ts, "dd/MM/yyyy H:mm")).when(k == 2, F.date_format(ts, "dd-MM-yy HH:mm")).when(k == 3, "1709287872").otherwise("none")
     return table(spark, d, "orders").select("o_orderkey", times.micros(times.parse_date(text)).alias("us"))
 
 
-@query("hostnames", "select page_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/?#]*'), '^.*@', ''), '^www\\.', '') as host from pages")
+@query("hostnames", "select page_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '^(http://)?(https://)?', ''), '^[^/]*'), '^www\\.', ''), '^[^@]*@', '') as host from pages")
 def hostnames(spark, d):
-    return table(spark, d, "pages").select("page_id", texts.hostname(F.col("url")).alias("host"))
+    return table(spark, d, "pages").select("page_id", texts.hostname(F.col("url"), strip_www=True).alias("host"))
 
 
 @query("url_flags", "select page_id, contains(url, 'utm_source') as tracked, regexp_matches(url, '^https?://m\\.') as mobile from pages")
@@ -263,9 +265,9 @@ def url_flags(spark, d):
     return table(spark, d, "pages").select("page_id", F.col("url").contains("utm_source").alias("tracked"), texts.hostname(F.col("url")).startswith("m.").alias("mobile"))
 
 
-@query("slugs", "select c_custkey, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g') as slug from customer")
+@query("slugs", "select doc_id, regexp_replace(replace(text, ' ', '-'), '[^\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}.\\-]+', '', 'g') as slug from documents")
 def slugs(spark, d):
-    return table(spark, d, "customer").select("c_custkey", texts.slug(F.col("c_name")).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", texts.slug(F.col("text")).alias("slug"))
 
 
 @query("is_numeric", "select event_id, try_cast(props as double) is not null as whole, try_cast(regexp_extract(props, '[0-9]+') as double) is not null as inner_number from events")
@@ -276,7 +278,7 @@ def is_numeric(spark, d):
 @query("gender_map", "select c_custkey, cast(case c_custkey % 5 when 0 then 1 when 1 then 2 when 2 then 1 when 3 then 2 else 0 end as integer) as gender, try_cast(case when c_custkey % 3 = 0 then 'x' else cast(c_nationkey as varchar) end as integer) as age from customer")
 def gender_map(spark, d):
     k = F.col("c_custkey") % 5
-    raw = F.when(k == 0, "male").when(k == 1, "female").when(k == 2, "T").when(k == 3, "f").otherwise("")
+    raw = F.when(k == 0, "male").when(k == 1, "female").when(k == 2, "t").when(k == 3, "f").otherwise("")
     age = F.when(F.col("c_custkey") % 3 == 0, "x").otherwise(F.col("c_nationkey").cast("string"))
     return table(spark, d, "customer").select("c_custkey", texts.gender_code(raw).alias("gender"), texts.try_int(age).alias("age"))
 

@@ -25,9 +25,10 @@ def test_week_number_grows_across_years(spark):
 
 
 def test_date_parse_forms(spark):
-    df = spark.createDataFrame([("2024-03-01 10:11:12",), ("01/03/2024 9:05",), ("01.03.2024",), ("1709287872",), ("no",), (None,)], "s string")
-    got = [r[0] for r in df.select(times.parse_date(F.col("s"))).collect()]
-    assert [x is None for x in got] == [False, False, False, False, True, True]
+    forms = {"2024-03-01 10:11:12": (3, 1), "01/03/2024 9:05": (1, 3), "13/03/2024 9:05": (3, 13), "13/03/24 9:05:01": (3, 13), "25-12-17": (12, 25), "25-12-2017 7:08:09": (12, 25), "25-12-17 7:08": (12, 25), "1709287872": None, "12.5": None, "no": None}
+    df = spark.createDataFrame([(s,) for s in [*forms, None]], "s string")
+    got = {r.s: r.ts and (r.ts.month, r.ts.day) for r in df.select("s", times.parse_date(F.col("s")).alias("ts")).collect()}
+    assert got == {**forms, None: None}
 
 
 def test_holidays_compare_dates(spark):
@@ -38,8 +39,15 @@ def test_holidays_compare_dates(spark):
 
 
 def test_hostname_scheme_user_and_www_are_optional(spark):
-    df = spark.createDataFrame([("https://u:p@www.a.b/c?d",), ("a.b/c",), ("www.a.b",), ("",)], "u string")
-    assert [r[0] for r in df.select(texts.hostname(F.col("u"))).collect()] == ["a.b", "a.b", "a.b", ""]
+    df = spark.createDataFrame([("https://u:p@a.b/c?d",), ("a.b/c",), ("http://www.a.b",), ("",)], "u string")
+    assert [r[0] for r in df.select(texts.hostname(F.col("u"), strip_www=True)).collect()] == ["a.b", "a.b", "a.b", ""]
+    assert [r[0] for r in df.select(texts.hostname(F.col("u"))).collect()] == ["a.b", "a.b", "www.a.b", ""]
+
+
+def test_slug_and_gender(spark):
+    df = spark.createDataFrame([("Can make  food!", "male"), ("a_b.c-d/é", "F"), ("", None)], "t string, g string")
+    assert [r[0] for r in df.select(texts.slug(F.col("t"))).collect()] == ["Can-make--food", "a_b.c-dé", ""]
+    assert [r[0] for r in df.select(texts.gender_code(F.col("g"))).collect()] == [1, 0, 0]
 
 
 def test_guarded_division_and_chunks(spark):
