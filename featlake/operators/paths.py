@@ -53,15 +53,25 @@ def entropy(tree_: DataFrame, visits: str, *keys: str) -> DataFrame:
     return out.select(*keys, F.when(F.col("_s") > 0, F.log("_s") - F.col("_e") / F.col("_s")).otherwise(0.0).alias("ic"))
 
 
+def on_longest(tree_: DataFrame, *keys: str) -> DataFrame:
+    """The rows of the tree that lie on its longest path (one per key)."""
+    best = longest(tree_, *keys).select(*keys, F.col("prefix").alias("_deepest"))
+    rows = tree_.join(best, list(keys)) if keys else tree_.join(F.broadcast(best))
+    own = (F.col("_deepest") == F.col("prefix")) | F.col("_deepest").startswith(F.concat("prefix", F.lit(">")))
+    return rows.where(own).drop("_deepest")
+
+
 def lin_similarity(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """2 IC(common) / (IC(a) + IC(b)) per key of ``a``; 0 if undefined. Weights of the common part are those of ``a``."""
-    ic_a = entropy(a, "visits", *keys).withColumnRenamed("ic", "ic_a")
-    ic_b = entropy(b, "visits").withColumnRenamed("ic", "ic_b")
+    """2 IC(common) / (IC(a) + IC(b)) per key of ``a``; 0 if undefined.
+
+    IC is the entropy of the visits along a path: the longest of each tree, and
+    the longest that both have, with the visits of ``a``.
+    """
+    ic_a = entropy(on_longest(a, *keys), "visits", *keys).withColumnRenamed("ic", "ic_a")
+    ic_b = entropy(on_longest(b), "visits").withColumnRenamed("ic", "ic_b")
     shared = a.join(b.select("prefix"), "prefix", "left_semi")
-    ic_c = entropy(shared, "visits", *keys).withColumnRenamed("ic", "ic_c")
+    ic_c = entropy(on_longest(shared, *keys), "visits", *keys).withColumnRenamed("ic", "ic_c")
     rows = ic_a.join(ic_c, list(keys), "left") if keys else ic_a.join(ic_c)
     rows = rows.join(F.broadcast(ic_b))
     bottom = F.col("ic_a") + F.col("ic_b")
     return rows.select(*keys, F.when(bottom > 0, 2 * F.coalesce("ic_c", F.lit(0.0)) / bottom).otherwise(0.0).alias("similarity"))
-
-

@@ -15,6 +15,10 @@ STOP_WORDS = {
 }
 
 
+#: Names that time columns have where no column has a time type.
+TIME_NAMES = ("timestamp", "on_date", "added_on", "time")
+
+
 def describe(df: DataFrame) -> DataFrame:
     """One row per column: type, rows, nulls, approximate distinct values, least and greatest value as text, mean of numbers; one pass."""
     stats = []
@@ -30,7 +34,7 @@ def timestamp_column(df: DataFrame) -> str | None:
     for f in df.schema:
         if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType | T.DateType):
             return f.name
-    return next((f.name for f in df.schema if f.name.lower() in ("timestamp", "date", "time", "ondate", "on_date")), None)
+    return next((f.name for f in df.schema if f.name in TIME_NAMES), None)
 
 
 def feature_schema(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -319,17 +319,21 @@ def common_path(spark, d):
 
 
 def _ic(rows: str) -> str:
-    return f"(select case when sum(visits) > 0 then ln(sum(visits)) - sum(visits * ln(visits)) / sum(visits) else 0 end from {rows})"
+    """SQL of the entropy of the visits along the longest path of a tree."""
+    deepest = f"(select prefix from {rows} order by depth desc, visits desc, prefix desc limit 1)"
+    return f"(select case when sum(visits) > 0 then ln(sum(visits)) - sum(visits * ln(visits)) / sum(visits) else 0 end from {rows} where starts_with({deepest} || '>', prefix || '>'))"
 
 
-@query("lin_similarity", PATHS + f"select round(2 * {_ic('early where prefix in (select prefix from late)')} / ({_ic('early')} + {_ic('late')}), 6) as similarity")
+@query("lin_similarity", PATHS + f", shared as (select * from early where prefix in (select prefix from late)) select round(2 * {_ic('shared')} / ({_ic('early')} + {_ic('late')}), 6) as similarity")
 def lin_similarity(spark, d):
     return T.lin_similarity(*_halves(spark, d)).select(F.round("similarity", 6).alias("similarity"))
 
 
-@query("cohort_similarity", PATHS + f""", cohort as (select prefix, count(*) as visits from p where user in (select user from payers) group by 1), t as (select user, prefix, count(*) as visits from p group by 1, 2),
-a as (select user, case when sum(visits) > 0 then ln(sum(visits)) - sum(visits * ln(visits)) / sum(visits) else 0 end as ic from t group by 1),
-k as (select user, case when sum(visits) > 0 then ln(sum(visits)) - sum(visits * ln(visits)) / sum(visits) else 0 end as ic from t where prefix in (select prefix from cohort) group by 1)
+_BY_USER = "select user, case when sum(visits) > 0 then ln(sum(visits)) - sum(visits * ln(visits)) / sum(visits) else 0 end as ic from (select *, first_value(prefix) over (partition by user order by depth desc, visits desc, prefix desc) as deepest from {}) where starts_with(deepest || '>', prefix || '>') group by 1"
+
+
+@query("cohort_similarity", PATHS + f""", cohort as (select prefix, depth, count(*) as visits from p where user in (select user from payers) group by 1, 2), t as (select user, prefix, depth, count(*) as visits from p group by 1, 2, 3),
+tc as (select * from t where prefix in (select prefix from cohort)), a as ({_BY_USER.format("t")}), k as ({_BY_USER.format("tc")})
 select a.user, round(case when a.ic + {_ic('cohort')} > 0 then 2 * coalesce(k.ic, 0) / (a.ic + {_ic('cohort')}) else 0 end, 6) as similarity from a left join k on a.user = k.user""")
 def cohort_similarity(spark, d):
     rows = prefixes(spark, d, stored=True)

@@ -8,12 +8,10 @@ from pyspark.sql import types as T
 
 from ..functions.texts import clean_name
 
-#: MIME types of each reader.
-MIME = {
-    "text/csv": "csv", "application/csv": "csv", "application/vnd.ms-excel": "csv", "text/plain": "csv",
-    "application/json": "json", "text/json": "json", "": "json",
-    "application/x-ndjson": "jsonl", "application/vnd.apache.parquet": "parquet",
-}
+#: MIME types of each reader; spreadsheet types are read as CSV, an empty type as JSON.
+MIME = {"text/csv": "csv", "application/json": "json", "": "json"}
+#: Types of Spark's own formats.
+MIME_MORE = {"application/x-ndjson": "jsonl", "application/vnd.apache.parquet": "parquet"}
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool = True, schema: T.StructType | str | None = None, sample: float = 0.1) -> DataFrame:
@@ -48,7 +46,7 @@ def parse_payload(df: DataFrame, column: str, schema: str, kind: str = "json", s
 
 def read_any(spark: SparkSession, path: str, mime: str) -> DataFrame:
     """Reader chosen by MIME type; an unknown type is an error."""
-    kind = MIME.get(mime)
+    kind = "csv" if "ms-excel" in mime else (MIME | MIME_MORE).get(mime)
     if kind is None:
         raise ValueError(f"no reader for {mime!r}")
     return {"csv": lambda: read_csv(spark, path, ","), "json": lambda: read_json_documents(spark, path), "jsonl": lambda: read_json_lines(spark, path), "parquet": lambda: spark.read.parquet(path)}[kind]()
