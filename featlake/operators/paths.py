@@ -1,16 +1,18 @@
 """Path trees as prefix tables, and similarity of paths.
 
-A chain of sites gives one row for each of its prefixes, up to ``depth`` sites,
-so a long chain gives a bounded number of rows.
+A chain of sites gives one row for each of its prefixes. ``chains`` and
+``prefixes`` hold the first ``depth`` sites only, with the prefix as text;
+``nodes`` holds every site of every chain, with a running hash as the prefix, so
+a chain of n sites gives n short rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-
 def chains(sessions: DataFrame, depth: int) -> DataFrame:
     """Per user and day the sites in order, and their seconds, of the first ``depth`` sessions that start then."""
     day = F.to_date(F.timestamp_micros("start"))
@@ -75,3 +77,60 @@ def lin_similarity(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     rows = rows.join(F.broadcast(ic_b))
     bottom = F.col("ic_a") + F.col("ic_b")
     return rows.select(*keys, F.when(bottom > 0, 2 * F.coalesce("ic_c", F.lit(0.0)) / bottom).otherwise(0.0).alias("similarity"))
+
+
+def nodes(sessions: DataFrame) -> DataFrame:
+    """A row per session: its ``depth`` in the chain of the user's day, ``node`` and ``parent``.
+
+    A node stands for all sites up to it: two sums of 60 bits each of the hashes
+    of (depth, site), so equal prefixes have equal nodes in all chains.
+    """
+    w = W.partitionBy("user", "day").orderBy("run")
+    rows = sessions.withColumn("day", F.to_date(F.timestamp_micros("start"))).select("user", "day", "run", F.col("host").alias("site"), "seconds", F.row_number().over(w).alias("depth"))
+    rows = rows.withColumn("_m", F.md5(F.concat_ws(":", F.col("depth").cast("string"), "site")))
+    total = lambda at: F.sum(F.conv(F.substring("_m", at, 15), 16, 10).cast("decimal(20,0)")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("string")
+    rows = rows.withColumn("node", F.concat_ws(":", total(1), total(16)))
+    return rows.select("user", "day", F.struct("user", "day").alias("chain"), "site", "seconds", "depth", "node", F.lag("node").over(w).alias("parent"))
+
+
+def node_tree(nodes_: DataFrame, *keys: str) -> DataFrame:
+    """Visits and mean seconds of every node, and one chain that has it."""
+    return nodes_.groupBy(*keys, "node", "depth").agg(
+        F.min("site").alias("site"), F.min("parent").alias("parent"), F.count("*").alias("visits"), F.avg("seconds").alias("mean_seconds"), F.min("chain").alias("chain"))
+
+
+def _key(keys: tuple[str, ...]) -> Column:
+    """The keys as one value, so that null keys are joined too."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+
+
+def longest_node(tree_: DataFrame, nodes_: DataFrame, *keys: str) -> DataFrame:
+    """Deepest path, as ``longest`` chooses it, per ``key`` (a struct of the keys).
+
+    Only candidates are spelt out, each from a chain of its own, so their text
+    is never more than that of the chains.
+    """
+    rows = tree_.select(_key(keys).alias("key"), "node", F.struct("depth", "visits").alias("top"), "chain")
+    tops = rows.groupBy("key").agg(F.max("top").alias("top"))
+    candidates = rows.join(tops, ["key", "top"])
+    steps = candidates.join(nodes_.select("chain", F.struct("depth", "site").alias("step")), "chain").where(F.col("step.depth") <= F.col("top.depth"))
+    spelt = steps.groupBy("key", "node", "top", "chain").agg(F.array_join(F.sort_array(F.collect_list("step"))["site"], ">").alias("prefix"))
+    best = spelt.groupBy("key").agg(F.max_by(F.struct("prefix", "node", "top", "chain"), "prefix").alias("best"))
+    return best.select("key", "best.prefix", "best.top.depth", "best.top.visits", "best.node", "best.chain")
+
+
+def on_longest_node(tree_: DataFrame, nodes_: DataFrame, *keys: str) -> DataFrame:
+    """``key`` and visits of the nodes on the longest path (one path per key)."""
+    best = longest_node(tree_, nodes_, *keys).select("key", "chain", F.col("depth").alias("_end"))
+    path = best.join(nodes_.select("chain", "depth", "node"), "chain").where(F.col("depth") <= F.col("_end")).select("key", "node")
+    return path.join(tree_.select(_key(keys).alias("key"), "node", "visits"), ["key", "node"])
+
+
+def lin_similarity_nodes(a: DataFrame, nodes_a: DataFrame, b: DataFrame, nodes_b: DataFrame, *keys: str) -> DataFrame:
+    """``lin_similarity`` over whole chains."""
+    ic = lambda t, n, *k: entropy(on_longest_node(t, n, *k), "visits", "key")
+    shared = a.join(b.select("node"), "node", "left_semi")
+    rows = ic(a, nodes_a, *keys).withColumnRenamed("ic", "ic_a").join(ic(shared, nodes_a, *keys).withColumnRenamed("ic", "ic_c"), "key", "left")
+    rows = rows.join(F.broadcast(ic(b, nodes_b).select(F.col("ic").alias("ic_b"))))
+    bottom = F.col("ic_a") + F.col("ic_b")
+    return rows.select(*[F.col(f"key.{k}") for k in keys], F.when(bottom > 0, 2 * F.coalesce("ic_c", F.lit(0.0)) / bottom).otherwise(0.0).alias("similarity"))

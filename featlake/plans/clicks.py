@@ -14,7 +14,7 @@ from ..operators import clickstream as K
 from ..operators import paths as T
 from ..operators import sessions as S
 from ..sources.scratch import written
-from .base import query, table
+from .base import ORACLES, query, table
 
 TARGET, MOBILE = "click", "signup"
 
@@ -347,6 +347,60 @@ def cohort_trees(spark, d):
     return T.tree(rows, "cohort").select("cohort", "prefix", "depth", "visits")
 
 
+#: The same over whole chains: PATHS without its bound on the sites, and the nodes of ``paths.nodes``.
+WHOLE = PATHS.replace("[1:4]", "") + """, o as (select user, day, run, host as site, seconds, row_number() over (partition by user, day order by run) as depth from s),
+m as (select *, md5(concat_ws(':', depth, site)) as m from o),
+n0 as (select *, cast(sum(cast('0x' || m[1:15] as bigint)) over w as varchar) || ':' || cast(sum(cast('0x' || m[16:30] as bigint)) over w as varchar) as node from m window w as (partition by user, day order by run)),
+n as (select *, lag(node) over (partition by user, day order by run) as parent from n0) """
+
+
+def nodes(spark, d):
+    return written(T.nodes(sessions(spark, d)), "nodes")
+
+
+@query("whole_path_prefixes", WHOLE + "select node, parent, site, cast(depth as integer) as depth, count(*) as visits, round(avg(seconds), 1) as mean_seconds from n group by all")
+def whole_path_prefixes(spark, d):
+    return T.node_tree(T.nodes(sessions(spark, d))).drop("chain").withColumn("mean_seconds", F.round("mean_seconds", 1))
+
+
+@query("whole_longest_path", WHOLE + "select prefix, cast(depth as integer) as depth, visits from tree order by depth desc, visits desc, prefix desc limit 1")
+def whole_longest_path(spark, d):
+    rows = nodes(spark, d)
+    return T.longest_node(T.node_tree(rows), rows).select("prefix", "depth", "visits")
+
+
+def _node_halves(spark, d):
+    rows = nodes(spark, d)
+    cut = F.lit("2024-01-16").cast("date")
+    return rows.where(F.col("day") < cut), rows.where(F.col("day") >= cut)
+
+
+@query("whole_common_path", WHOLE + """select node, min(site) as site, cast(depth as integer) as depth, count(*) filter (where day < 19738) as visits, count(*) filter (where day >= 19738) as visits_b
+from n group by node, depth having count(distinct day < 19738) = 2""")
+def whole_common_path(spark, d):
+    a, b = map(T.node_tree, _node_halves(spark, d))
+    return a.join(b.select("node", F.col("visits").alias("visits_b")), "node").select("node", "site", "depth", "visits", "visits_b")
+
+
+@query("whole_lin_similarity", WHOLE + f", shared as (select * from early where prefix in (select prefix from late)) select round(2 * {_ic('shared')} / ({_ic('early')} + {_ic('late')}), 6) as similarity")
+def whole_lin_similarity(spark, d):
+    a, b = _node_halves(spark, d)
+    return T.lin_similarity_nodes(T.node_tree(a), a, T.node_tree(b), b).select(F.round("similarity", 6).alias("similarity"))
+
+
+@query("whole_cohort_similarity", ORACLES["cohort_similarity"].replace("[1:4]", ""))
+def whole_cohort_similarity(spark, d):
+    rows = nodes(spark, d)
+    cohort = rows.join(payers(spark, d), "user", "left_semi")
+    return T.lin_similarity_nodes(T.node_tree(rows, "user"), rows, T.node_tree(cohort), cohort, "user").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("whole_cohort_trees", WHOLE + "select case when payers.user is null then 'other' else 'paying' end as cohort, node, parent, site, cast(depth as integer) as depth, count(*) as visits from n left join payers on n.user = payers.user group by all")
+def whole_cohort_trees(spark, d):
+    rows = T.nodes(sessions(spark, d)).join(payers(spark, d).withColumn("pays", F.lit(1)), "user", "left").withColumn("cohort", F.when(F.col("pays") == 1, "paying").otherwise("other"))
+    return T.node_tree(rows, "cohort").select("cohort", "node", "parent", "site", "depth", "visits")
+
+
 @query("ratio_max", BASE + "select round(max(t / b), 6) as best from (select user, sum(case when host = 'click' then seconds else 0 end) as t, sum(seconds) as b from s group by 1) where user in (select user from payers)")
 def ratio_max(spark, d):
     stats = K.user_stats(sessions(spark, d), TARGET, MOBILE).join(payers(spark, d), "user", "left_semi")

@@ -147,3 +147,22 @@ def test_runs_equal_a_walk(spark, events):
             run += h != before
             before = h
             assert got[i] == run
+
+
+def test_nodes_hold_whole_chains(spark, sf):
+    from collections import Counter
+
+    from featlake.operators import paths
+    from featlake.plans.clicks import sessions
+
+    chains = {}
+    for r in sorted(sessions(spark, sf).collect(), key=lambda r: (r.user, r.run)):
+        chains.setdefault((r.user, r.start // 86_400_000_000), []).append(r.host)
+    assert max(map(len, chains.values())) > 4
+    want = Counter(tuple(c[:i]) for c in chains.values() for i in range(1, len(c) + 1))
+    tree = {r.node: r for r in paths.node_tree(paths.nodes(sessions(spark, sf))).collect()}
+
+    def spelt(r):
+        return (*(spelt(tree[r.parent]) if r.parent else ()), r.site)
+
+    assert {spelt(r): r.visits for r in tree.values()} == want
