@@ -9,8 +9,16 @@ from ..streaming import jobs as J
 from .base import query, table
 
 
-def stream(spark, d, files: int = 4):
-    """The events, written as ``files`` files one after another in order of time and read as a stream, one file in a batch."""
+def last_ms(spark, d) -> int:
+    """Milliseconds just behind the newest event."""
+    return (table(spark, d, "events").agg(F.max(F.unix_millis("ts"))).first()[0] or 0) + 1
+
+
+def stream(spark, d, files: int = 4, marker: int | None = None):
+    """The events, written as ``files`` files one after another in order of time and read as a stream, one file in a batch.
+
+    ``marker``: milliseconds of a row without other values that comes after them.
+    """
     path = new_path(spark, "events-in")
     df = table(spark, d, "events")
     day = F.unix_date(F.to_date("ts"))
@@ -18,6 +26,10 @@ def stream(spark, d, files: int = 4):
     part = F.floor((day - (lo or 0)) * files / ((hi or 0) - (lo or 0) + 1))
     for i in range(files):
         df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    if marker is not None:
+        at = F.timestamp_millis(F.lit(marker))
+        mark = spark.range(1).select(*[(at if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes])
+        mark.coalesce(1).write.mode("append").parquet(path)
     return J.file_stream(spark, path, df.schema, 1)
 
 
@@ -68,7 +80,9 @@ def stream_gap_sessions(spark, d):
 @query("stream_host_sessions")
 def stream_host_sessions(spark, d):
     out = new_path(spark, "host-sessions")
-    J.ingest(J.host_sessions(stream(spark, d), "user_id", "ts", "event_id", "event_type", "1 hour"), out)
+    end = last_ms(spark, d)
+    rows = stream(spark, d, marker=end + 2 * 3_600_000)
+    J.ingest(J.host_sessions(rows, "user_id", "ts", "event_id", "event_type", "1 hour", end), out)
     return spark.read.parquet(out)
 
 

@@ -72,12 +72,16 @@ def gap_sessions(df: DataFrame, user: str, ts: str, gap: str, late: str) -> Data
     return df.withWatermark(ts, late).groupBy(F.col(user).alias("user"), F.session_window(ts, gap)).agg(F.count("*").alias("n"))
 
 
-def host_sessions(df: DataFrame, user: str, ts: str, event: str, host: str, late: str) -> DataFrame:
+def host_sessions(df: DataFrame, user: str, ts: str, event: str, host: str, late: str, end: int | None = None) -> DataFrame:
     """Runs of equal hosts per user, as (user, start, host, last, n) in microseconds.
 
     Events wait in the state until the watermark has passed them, then are taken
     in order of time. A run is put out when another host begins or when the user's
     events end (timeout); the open run stays in the state.
+
+    A bounded input has an ``end``, in milliseconds: no user ends before it, so a
+    run is never cut by a pause, and a row at ``late`` or more behind it, which is
+    in no run, releases all that waits. Rows without a time are in no run.
     """
     out = "user long, start long, host string, last long, n long"
     state = "at array<long>, ids array<long>, hosts array<string>, host string, start long, last long, n long"
@@ -106,10 +110,13 @@ def host_sessions(df: DataFrame, user: str, ts: str, event: str, host: str, late
         else:
             group.update(([x[0] for x in waiting], [x[1] for x in waiting], [x[2] for x in waiting], cur, start, last, n))
             newest = max([x[0] for x in waiting], default=last)
-            group.setTimeoutTimestamp(max(newest // 1000, mark // 1000) + 1)
+            group.setTimeoutTimestamp(end if end is not None else max(newest // 1000, mark // 1000) + 1)
         yield pd.DataFrame(rows, columns=["user", "start", "host", "last", "n"])
 
-    rows = df.withWatermark(ts, late).select(F.col(user).alias("user"), F.col(ts), F.unix_micros(ts).alias("at"), F.col(event).alias("event"), F.col(host).alias("host"))
+    rows = df.withWatermark(ts, late)
+    if end is not None:
+        rows = rows.where(F.col(ts) < F.timestamp_millis(F.lit(end)))
+    rows = rows.select(F.col(user).alias("user"), F.col(ts), F.unix_micros(ts).alias("at"), F.col(event).alias("event"), F.col(host).alias("host"))
     return rows.groupBy("user").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -18,3 +18,12 @@ def test_host_sessions_equal_batch_runs_up_to_the_watermark(spark, sf):
     assert got and set(got.items()) <= set(want.items())
     last = spark.read.parquet(out).agg(F.max("start")).first()[0]
     assert len(got) >= 0.8 * sum(1 for k in want if k[1] < last - 3 * 86_400_000_000)
+
+
+def test_registered_host_sessions_equal_all_batch_runs(spark, sf):
+    from featlake.operators import sessions
+    from featlake.plans import QUERIES
+    from featlake.plans.clicks import events
+
+    got = sorted(tuple(r) for r in QUERIES["stream_host_sessions"](spark, sf).select("user", "start", "host", "last", "n").collect())
+    assert got == sorted(tuple(r) for r in sessions.sessions(events(spark, sf)).select("user", "start", "host", "last", "n").collect())
