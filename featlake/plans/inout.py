@@ -102,13 +102,11 @@ def preagg_scan(spark, d):
 @query("shard_limit", "select o_orderkey from orders where o_custkey < 400")
 def shard_limit(spark, d):
     path = new_path(spark, "shards")
-    low = orders(spark, d).where("o_custkey < 400").coalesce(1)
-    low.write.parquet(path)
-    high = orders(spark, d).where("o_custkey >= 400").coalesce(1)
-    high.write.mode("append").parquet(path)
-    # Files are named by random ids: the first shard by name is one of the two; both orders are made the same.
+    files = max(2, spark.sparkContext.defaultParallelism)
+    orders(spark, d).repartition(files).write.parquet(path)
+    # Files are named by random ids: the first shard by name is any of them.
     one = R.read_directory(spark, path, shards=1).select("o_orderkey", "o_custkey")
-    both = R.read_directory(spark, path, shards=2).select("o_orderkey", "o_custkey")
+    both = R.read_directory(spark, path, shards=files).select("o_orderkey", "o_custkey")
     rest = both.join(one.select("o_orderkey"), "o_orderkey", "left_anti")
     return one.unionByName(rest).where("o_custkey < 400").select("o_orderkey")
 

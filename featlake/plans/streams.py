@@ -9,28 +9,38 @@ from ..streaming import jobs as J
 from .base import query, table
 
 
+#: Rows of a file of a slice, about.
+ROWS_PER_FILE = 100_000
+
+
 def last_ms(spark, d) -> int:
     """Milliseconds just behind the newest event."""
     return (table(spark, d, "events").agg(F.max(F.unix_millis("ts"))).first()[0] or 0) + 1
 
 
 def stream(spark, d, files: int = 4, marker: int | None = None):
-    """The events, written as ``files`` files one after another in order of time and read as a stream, one file in a batch.
+    """The events, written as ``files`` slices of about as many rows one after another in order of time and read as a stream, one slice in a batch.
 
+    A slice is written by all tasks, as one file for ``ROWS_PER_FILE`` rows of the
+    smallest slice; rows without a time are in the first one.
     ``marker``: milliseconds of a row without other values that comes after them.
     """
     path = new_path(spark, "events-in")
     df = table(spark, d, "events")
-    day = F.unix_date(F.to_date("ts"))
-    lo, hi = df.agg(F.min(day), F.max(day)).first()
-    part = F.floor((day - (lo or 0)) * files / ((hi or 0) - (lo or 0) + 1))
+    at = F.unix_micros("ts")
+    bounds = df.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 10_000)).first()[0] or []
+    part = F.coalesce(sum(((at > b).cast("int") for b in bounds), F.lit(0)), F.lit(0))
+    sizes = {r["part"]: r["n"] for r in df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    # Equal numbers of files, so that a batch is a slice: rounds over so many rows leave no file empty.
+    width = max(1, min(sizes.values(), default=0) // ROWS_PER_FILE)
     for i in range(files):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+        if i in sizes or not sizes:
+            df.where(part == i).repartition(width).write.mode("append").parquet(path)
     if marker is not None:
         at = F.timestamp_millis(F.lit(marker))
         mark = spark.range(1).select(*[(at if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes])
         mark.coalesce(1).write.mode("append").parquet(path)
-    return J.file_stream(spark, path, df.schema, 1)
+    return J.file_stream(spark, path, df.schema, width)
 
 
 @query("stream_ingest", "select event_id, user_id, value from events")

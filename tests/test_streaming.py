@@ -27,3 +27,30 @@ def test_registered_host_sessions_equal_all_batch_runs(spark, sf):
 
     got = sorted(tuple(r) for r in QUERIES["stream_host_sessions"](spark, sf).select("user", "start", "host", "last", "n").collect())
     assert got == sorted(tuple(r) for r in sessions.sessions(events(spark, sf)).select("user", "start", "host", "last", "n").collect())
+
+
+def test_slices_are_written_in_parallel_and_keep_rows_without_a_time(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql import Window
+
+    from featlake.plans import streams
+
+    few = F.row_number().over(Window.orderBy("event_id")) <= 3
+    df = spark.read.parquet(f"{sf}/events.parquet").withColumn("few", few)
+    df.withColumn("ts", F.when(~F.col("few"), F.col("ts"))).drop("few").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 50, raising=False)
+    batches = []
+    rows = streams.stream(spark, str(tmp_path)).withColumn("file", F.input_file_name())
+    jobs.to_batches(rows, lambda b, i: batches.append((b.count(), b.select("file").distinct().count(), b.agg(F.min("ts"), F.max("ts")).first())))
+    assert sum(n for n, _, _ in batches) == df.count()
+    assert len(batches) == 4 and all(files > 1 for _, files, _ in batches)
+    assert all(a[2][1] < b[2][0] for a, b in zip(batches, batches[1:], strict=False))
+
+
+def test_shard_limit_writes_by_several_tasks(spark, sf, monkeypatch):
+    from featlake.plans import QUERIES, inout
+
+    seen = []
+    read = inout.R.read_directory
+    monkeypatch.setattr(inout.R, "read_directory", lambda s, path, **k: seen.append(len(s.read.parquet(path).inputFiles())) or read(s, path, **k))
+    QUERIES["shard_limit"](spark, sf)
+    assert seen and min(seen) > 2
