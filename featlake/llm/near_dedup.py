@@ -186,11 +186,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """One row, the smallest, of those with equal id and equal shingle set; rows without shingles stay."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch, "text", 1 << 18):
+                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("rec"), pa.array(fp, pa.binary())], names=["rec", "fp"])
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rec"), docs["text"].alias("text"))
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema["rec"].dataType)
+    rows = written(rows.mapInArrow(work, f"rec struct<{fields}>, fp binary"), "repeated-rows")
+    one = rows.where("fp is not null").groupBy("rec.doc_id", "fp").agg(F.min("rec").alias("rec"))
+    return one.select("rec.*").union(rows.where("fp is null").select("rec.*"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that a smaller id of their component stands for; rows with a null id stay."""
+    """The documents without those that a smaller id of their component stands for, and without exact copies under one id; rows with a null id stay."""
     gone = written(near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
     gone = broadcast_if_small(gone, 5 * SMALL_ROWS)
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    several = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), "several-rows")
+    if several.isEmpty():
+        return kept
+    several = broadcast_if_small(several, 5 * SMALL_ROWS)
+    again = kept.join(several, kept["doc_id"] == several["again"], "left_semi")
+    return kept.join(several, kept["doc_id"] == several["again"], "left_anti").union(_one_of_each(again))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

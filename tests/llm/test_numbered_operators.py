@@ -375,3 +375,11 @@ def test_quality_stage_edges(odd, empty):
     assert quality.keep_good(odd).columns == odd.columns
     assert {r.doc_id for r in quality.keep_good(odd).collect()} >= {1, 2, 3, 11, None}
     assert quality.keep_good(empty).count() == 0
+
+
+def test_keep_one_keeps_one_row_of_a_repeated_id(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(1, text), (1, text), (1, text.upper()), (1, other), (2, text), (3, None), (3, None), (None, text), (None, text)]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, text.upper()), (1, other), (3, None), (3, None), (None, text), (None, text)], key=str)
