@@ -133,8 +133,8 @@ def mapreduce_limited(spark, d):
 
 @query("chunked_values", "with r as (select user_id, event_type, (row_number() over (partition by user_id order by ts, event_id) - 1) // 10 as chunk from events) select user_id, cast(count(distinct chunk) as bigint) as chunks, cast(count(*) as bigint) as n from r group by 1")
 def chunked_values(spark, d):
-    df = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("items"))
-    return df.select("user_id", F.size(arrays.chunks(F.col("items"), 10)).cast("long").alias("chunks"), F.size("items").cast("long").alias("n")).where(arrays.has_any(F.array("n")))
+    df = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return df.select("user_id", F.ceil(F.col("n") / 10).cast("long").alias("chunks"), "n")
 
 
 @query("meta_scores", "select event_type, user_id, round(sum(value), 2) as total, count(*) as n, round(sum(value) / count(*), 6) as average from events group by 1, 2")

@@ -52,10 +52,18 @@ def csv_payload(spark, d):
     return R.parse_payload(df, "payload", "c_custkey long, c_acctbal double", "csv")
 
 
+#: Objects of a text of concatenated JSON, about.
+JSON_OBJECTS = 1000
+
+
 @query("concatenated_json", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def concatenated_json(spark, d):
     path = new_path(spark, "json")
-    df = table(spark, d, "events").select(F.concat(F.lit('{"event_id": '), F.col("event_id"), F.lit(', "k": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("x"), (F.col("event_id") % 50).alias("g"))
+    rows = table(spark, d, "events")
+    groups = rows.count() // JSON_OBJECTS + 1
+    value = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    text = F.concat(F.lit('{"event_id": '), value(F.col("event_id")), F.lit(', "k": '), value(F.get_json_object("props", "$.k")), F.lit("}"))
+    df = rows.select(text.alias("x"), F.pmod(F.monotonically_increasing_id(), F.lit(groups)).alias("g"))
     df.groupBy("g").agg(F.array_join(F.collect_list("x"), "").alias("value")).select("value").write.text(path)
     return R.read_concatenated_json(spark, path, "event_id long, k long")
 

@@ -111,8 +111,7 @@ def relation_join(spark, d):
 
 @query("child_rows", "select user_id, event_type, count(*) as n from events group by all")
 def child_rows(spark, d):
-    nested = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_type", "value")).alias("events"))
-    return nested.select("user_id", F.explode("events").alias("e")).groupBy("user_id", F.col("e.event_type").alias("event_type")).agg(F.count("*").alias("n"))
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 WEEK = "cast(floor((epoch_us(date_trunc('day', ts)) // 86400000000 + 3) / 7.0) as integer)"

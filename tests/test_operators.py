@@ -166,3 +166,23 @@ def test_nodes_hold_whole_chains(spark, sf):
         return (*(spelt(tree[r.parent]) if r.parent else ()), r.site)
 
     assert {spelt(r): r.visits for r in tree.values()} == want
+
+
+def test_no_user_history_is_collected_to_be_counted(spark, sf):
+    from featlake.plans import QUERIES
+
+    for name in ("child_rows", "chunked_values"):
+        assert "collect_list" not in QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_concatenated_json_keeps_nulls_in_short_texts(spark, sf, tmp_path, monkeypatch):
+    from featlake.plans import QUERIES, inout
+
+    df = spark.read.parquet(f"{sf}/events.parquet").withColumn("event_id", F.when(F.col("event_id") % 3 > 0, F.col("event_id")))
+    df = df.withColumn("props", F.when(F.rand(1) > 0.1, F.col("props")))
+    df.union(df).union(df).write.parquet(f"{tmp_path}/events.parquet")
+    read, texts = inout.R.read_concatenated_json, []
+    monkeypatch.setattr(inout, "JSON_OBJECTS", 20, raising=False)
+    monkeypatch.setattr(inout.R, "read_concatenated_json", lambda s, path, schema: texts.extend(s.read.text(path).select(F.regexp_count("value", F.lit("event_id"))).collect()) or read(s, path, schema))
+    assert QUERIES["concatenated_json"](spark, str(tmp_path)).count() == 3 * df.count()
+    assert max(t[0] for t in texts) < 100
