@@ -66,6 +66,19 @@ class Encoder:
             self.plain.normalizer = None
             self.plain.pre_tokenizer = pre.Sequence([pre.Split(" ", "removed"), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {}
+        self.letters: dict[str, bool] = {}
+
+    def _is_letter(self, sign: str) -> bool:
+        """Whether ``sign`` is a letter or digit and its normalised form ends in one.
+
+        Some letters are decomposed by the normaliser; their last mark would
+        form one piece with the marks behind the word.
+        """
+        found = self.letters.get(sign)
+        if found is None:
+            form = self.tok.normalizer.normalize_str(sign) if self.tok.normalizer else sign
+            found = self.letters[sign] = sign.isalnum() and form[-1:].isalnum()
+        return found
 
     def _encode(self, texts: list[str], tok=None) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,7 +100,7 @@ class Encoder:
         cut, todo = [], {}
         for k in keys:
             core = k.rstrip(TAIL)
-            if len(core) < len(k) and core[-1:].isalnum():
+            if len(core) < len(k) and self._is_letter(core[-1:]):
                 tail = f"^{k[len(core):]}" if led else k[len(core) :]
                 cut.append((k, core, tail))
                 if core not in cache:
