@@ -1,18 +1,26 @@
 """Benchmark items inside documents, by size-partitioned MinHash containment search.
 
-A document of n distinct shingles is cut into 2**ceil(log2 n) times 2**e bins by
-the leading bits of one shingle hash, and the least hash of each bin is its
-sketch (one-permutation MinHash whose size follows the document's, so short
-items are found in long documents). Items are partitioned by their number of
-shingles; each partition has an e at which an item that is contained at 0.8
-shares no sketch hash with a probability under 1e-9, and the shortest items are
-looked up by all hashes. Shared sketch hashes give candidates, whose exact
-containment is counted over all shingles of the document.
+The sketch of an item of n distinct shingles is its k = n - ceil(0.8 n) + 1 least
+hashes (bottom-k MinHash), so k follows the item's size. A document that holds
+0.8 of an item lacks fewer than k of its shingles, so it has at least one of
+these k hashes: a contained item is retrieved with probability 1, however long
+the document. Items are partitioned by size, as k / n and the greatest hash that
+is kept are alike in a partition; that hash bounds the partition's sketch of a
+document, which is all of its hashes up to the bound. A document is hashed once;
+hashes up to the widest bound are looked up in the items' sketches, and those
+that a partition's bound leaves out are in no sketch of the partition. Shared
+hashes give candidates, whose exact containment is counted over all shingles of
+the document.
+
+Items under five shingles have one hash each, of any size, so a document's
+sketch may be nearly all of its hashes where there are such items.
 
 Defined cases: null or blank texts and items have no shingles and match nothing;
 texts under five words are one shingle; repeated rows are each judged; an item
 that repeats an id is one item with the shingles of all its rows; null item ids
-are ignored; empty tables give no matches.
+are ignored; an item at exactly the least share is found; very long texts are
+read whole; columns besides id and text take no part, whatever their names;
+empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -21,66 +29,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import broadcast_if_small, let, shingle_hashes, words, written
+from .tables import broadcast_if_small, shingle_hashes, words, written
 
 #: An item is found from this share of its shingles on.
 LEAST_SHARE = 0.8
-#: (least number of shingles, e): the size partitions of items; 64 keeps every hash.
-PARTITIONS = ((1, 64), (8, 4), (16, 2), (32, 0), (64, -1), (128, -2), (256, -3))
-#: Candidates are broadcast up to this many rows of one number.
-SMALL_ROWS = 200_000
+#: Items and candidates are broadcast up to this many rows of a few numbers.
+ITEM_ROWS, SMALL_ROWS = 1_000_000, 200_000
 
 
-def _hashes(text: Column) -> Column:
-    return F.array_distinct(shingle_hashes(words(F.lower(text))))
+def least_shared(n: Column, least_share: float) -> Column:
+    """The least number of shared shingles that is a share of ``least_share`` of ``n``."""
+    return F.ceil(F.lit(least_share) * n - 1e-9)
 
 
-def _differing_bits(a: Column, b: Column) -> Column:
-    """Length in bits of a xor b, that is 64 less the number of common leading bits."""
-    return F.length(F.bin(a.bitwiseXOR(b)))
+def _hashes(text: Column) -> Column:
+    return shingle_hashes(words(F.lower(text)))
 
 
-def item_table(items: DataFrame, key: str, text: str) -> DataFrame:
-    """A row per item and shingle: ``item_id``, ``h``, ``n`` (shingles of the item), ``e`` (of its partition) and ``least_bits``, from which number of leading bits on the hash is least in its bin."""
+def item_table(items: DataFrame, key: str, text: str, least_share: float = LEAST_SHARE) -> DataFrame:
+    """A row per item and shingle: ``item_id``, ``h``, ``n`` (shingles of the item), ``part`` (its size partition), ``kept`` (whether the hash is in its sketch)."""
     rows = items.where(items[key].isNotNull()).select(items[key].alias("item_id"), F.explode(_hashes(items[text])).alias("h")).distinct()
     own = W.partitionBy("item_id")
-    rows = rows.withColumn("n", F.count("*").over(own)).withColumn("prev", F.lag("h").over(own.orderBy("h")))
-    e = F.lit(0)
-    for least, bits in PARTITIONS:
-        e = F.when(F.col("n") >= least, F.lit(bits)).otherwise(e)
-    least_bits = F.when(F.col("prev").isNull(), 0).otherwise(65 - _differing_bits(F.col("h"), F.col("prev")))
-    return rows.select("item_id", "h", "n", e.alias("e"), least_bits.alias("least_bits"))
-
-
-def _sketch(hashes: Column, e: int) -> Column:
-    """Least hash of each bin, of 2**(ceil(log2 n) + e) bins by the leading bits."""
-    if e >= 64:
-        return hashes
+    rows = rows.withColumn("n", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("h")))
+    part = F.floor(F.log2(F.col("n"))).cast("int")
+    return rows.select("item_id", "h", "n", part.alias("part"), (F.col("place") <= F.col("n") - least_shared(F.col("n"), least_share) + 1).alias("kept"))
 
-    def minima(s: Column) -> Column:
-        bits = F.greatest(F.lit(0), F.least(F.lit(64), F.ceil(F.log2(F.greatest(F.size(s), F.lit(1)))).cast("int") + e))
-        return F.filter(s, lambda x, i: (i == 0) | (_differing_bits(x, F.get(s, i - 1)) > 64 - bits))
 
-    return let(F.sort_array(hashes), minima)
+def bounds(table: DataFrame) -> DataFrame:
+    """``part``, ``bound`` (the greatest hash in a sketch of the partition) and ``items``."""
+    return table.where("kept").groupBy("part").agg(F.max("h").alias("bound"), F.count_distinct("item_id").alias("items"))
 
 
 def matches(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least_share: float = LEAST_SHARE) -> DataFrame:
     """``doc_id``, ``row`` (hash of id and text), ``item_id``, ``n_item`` and ``n_shared`` of every item found."""
-    table = written(item_table(items, item_key, item_text), "item-shingles")
-    densest = table.agg(F.max("e")).first()[0]
-    lookup = broadcast_if_small(table, 1_000_000)
+    table = written(item_table(items, item_key, item_text, least_share), "item-shingles")
+    widest = bounds(table).agg(F.max("bound")).first()[0]
+    sketches = broadcast_if_small(table.where("kept").select("h", "item_id"), ITEM_ROWS)
     rows = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[key], docs[text]).alias("row"), docs[text].alias("text"))
-    hashes = _hashes(F.col("text"))
-    if densest is None:  # no items
-        densest = -64
-    bits = F.ceil(F.log2(F.greatest(F.size("hs"), F.lit(1)))).cast("int")
-    sketched = rows.select("row", hashes.alias("hs")).select("row", bits.alias("bits"), F.explode(_sketch(F.col("hs"), densest)).alias("h"))
-    found = sketched.join(lookup, "h").where("e >= 64 or least_bits <= bits + e").select("row", "item_id").distinct()
+    # Without items there is no bound, and nothing is looked up.
+    sketch = F.filter(_hashes(F.col("text")), lambda x: F.coalesce(x <= F.lit(widest).cast("long"), F.lit(False)))
+    found = rows.select("row", F.explode(sketch).alias("h")).join(sketches, "h").select("row", "item_id").distinct()
     found = written(found, "candidates")
     wanted = broadcast_if_small(found.select("row").distinct(), SMALL_ROWS)
     exact = rows.join(wanted, "row", "left_semi").select("doc_id", "row", F.explode(_hashes(F.col("text"))).alias("h"))
-    exact = exact.join(lookup.select("h", "item_id", "n"), "h").select("doc_id", "row", "item_id", "n", "h").distinct()
-    exact = exact.groupBy("doc_id", "row", "item_id", "n").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= F.lit(least_share) * F.col("n"))
+    exact = exact.join(broadcast_if_small(table.select("h", "item_id", "n"), ITEM_ROWS), "h").select("doc_id", "row", "item_id", "n", "h").distinct()
+    exact = exact.groupBy("doc_id", "row", "item_id", "n").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") >= least_shared(F.col("n"), least_share))
     return exact.join(found, ["row", "item_id"], "left_semi").select("doc_id", "row", "item_id", F.col("n").alias("n_item"), "n_shared")
 
 

@@ -5,23 +5,27 @@ shingle sets are one class, of which one document goes on. The members of a
 bucket (equal band) are compared with the bucket's smallest id, its centre:
 their signatures must agree in enough minima, then the full shingle sets decide.
 
-Links between two members of a centre, of which at most one is linked to it, are
-found without all pairs. A member's difference to its centre (the shingles that
-only one of the two has) fixes its similarity to other members: with a = 15/185,
-sets i and j are linked if and only if their differences differ in at most
-a * (|i| + |j|) shingles. So differences of linked members share many shingles,
-and one of the rarest of the one is in the other (prefix filter, exact). Shared
-rare shingles give candidate pairs, whose differences decide.
-
-So no bucket is expanded into all its pairs, none is capped, and no link between
-members of a bucket is left out. Verified links give components by large-star
-and small-star.
+Verified links to centres give components by large-star and small-star. A link
+between two members of one centre matters only if they are in different
+components by then, so only centres with such members are looked at again. A
+member's difference to its centre (the shingles that only one of the two has)
+fixes its similarity to other members: with a = 15/185, sets i and j are linked
+if and only if their differences differ in at most a * (|i| + |j|) shingles. So
+differences of linked members share many shingles, and one of the rarest of the
+one is in the other (prefix filter, exact). Rare shingles that members of
+different components share give candidate pairs across these components, whose
+differences decide; what is found joins components.
+
+So copies of one text meet each other through one of them: no pairs are made
+inside a component, none is capped, and no link that joins components is left
+out. Pairs across two components that share rare shingles are all compared.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; a text of fewer than five words is one shingle; rows that repeat an id
 count as one document with several texts; a row with null id takes its class's
-component and has none if no row with an id is in the class; an empty table
-gives none.
+component and has none if no row with an id is in the class; very long texts
+are one set like others; columns besides id and text take no part, whatever
+their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -123,32 +127,45 @@ def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     return rows.select("centre", "part", "member", "need", "text").mapInArrow(work, ddl)
 
 
-def _between_members(compared: DataFrame) -> DataFrame:
-    """Links (u, v) between two members of a centre of which one or none is linked to it."""
+def _between_members(compared: DataFrame, direct: DataFrame) -> DataFrame:
+    """Links (u, v) between members of a centre that are in different components of ``direct`` (id, component)."""
     share = (100 - LINK) / (100 + LINK)
+    component = F.coalesce("component", "id")
     rows = compared.withColumn("d", F.size("diff")).where("d > 0")
-    slack = F.col("d") - share * F.col("n")
-    groups = rows.groupBy("centre").agg(F.count("*").alias("members"), F.min(F.when(~F.col("linked"), slack)).alias("least_slack"))
-    groups = written(groups.where("members > 1 and least_slack is not null").select("centre", "least_slack"), "open-centres")
-    rows = written(rows.join(broadcast_if_small(groups, SMALL_ROWS), "centre").withColumn("row", F.xxhash64("centre", "id", "n", "diff")), "open-members")
-    parts = rows.select("centre", "row", F.explode("diff").alias("h"))
-    common = written(parts.groupBy("centre", "h").agg(F.count("*").alias("found")).where("found > 1"), "common-shingles")
-    parts = parts.join(common, ["centre", "h"], "left").select("centre", "row", "h", F.coalesce("found", F.lit(1)).alias("found"))
-    ranked = parts.withColumn("place", F.row_number().over(W.partitionBy("centre", "row").orderBy("found", "h"))).where("found > 1")
-    ranked = written(ranked.join(rows.select("centre", "row", "id", "d", "n", "linked", "least_slack"), ["centre", "row"]), "common-parts")
+    slim = rows.select("centre", "id", "linked", "n", "d").join(direct, "id", "left").withColumn("component", component)
+    slack = F.when(~F.col("linked"), F.col("d") - share * F.col("n"))
+    groups = slim.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(slack).alias("least_slack"))
+    groups = written(groups.where("lo <> hi").select("centre", "least_slack"), "open-centres")
+    rows = rows.join(broadcast_if_small(groups, SMALL_ROWS), "centre").join(direct, "id", "left").withColumn("component", component)
+    rows = written(rows.withColumn("row", F.xxhash64("centre", "id", "n", "diff")), "open-members")
+
+    # How many members have a shingle, how many components they are of, and which of these has most of them.
+    parts = rows.select("centre", "row", "component", F.explode("diff").alias("h"))
+    lists = parts.groupBy("centre", "h", "component").agg(F.count("*").alias("n"))
+    lists = lists.groupBy("centre", "h").agg(F.sum("n").alias("found"), F.count("*").alias("several"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    lists = written(lists.where("found > 1"), "common-shingles")
+    parts = parts.join(lists, ["centre", "h"], "left").select("centre", "row", "h", F.coalesce("found", F.lit(1)).alias("found"), F.coalesce("several", F.lit(1)).alias("several"), "main")
+    ranked = parts.withColumn("place", F.row_number().over(W.partitionBy("centre", "row").orderBy("found", "h"))).where("several > 1")
+    ranked = ranked.join(rows.select("centre", "row", "id", "d", "n", "linked", "least_slack", "component"), ["centre", "row"])
+    ranked = written(ranked.withColumn("minor", F.col("component") != F.col("main")), "common-parts")
+
     # Two linked members share at least this many shingles of their differences, so the first shared one, in the order
     # of ``place``, leaves as many in both.
     least = F.greatest(F.lit(1), F.ceil((F.col("d_i") + F.col("d_j") - share * (F.col("n_i") + F.col("n_j"))) / 2 - 1e-6))
     # The other member is not linked to the centre, so its slack bounds the number from below.
     least_j = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("least_slack") - share * F.col("n")) / 2 - 1e-6))
-    first = ranked.where(F.col("place") <= F.col("d") - least_j + 1).select("centre", "h", *[F.col(c).alias(f"{c}_j") for c in ("row", "id", "d", "n", "linked", "place")])
-    whole = ranked.where(~F.col("linked")).select("centre", "h", *[F.col(c).alias(f"{c}_i") for c in ("row", "id", "d", "n", "place")])
-    fits = (F.col("id_i") != F.col("id_j")) & (F.col("linked_j") | (F.col("row_i") < F.col("row_j"))) & (100 * F.least("n_i", "n_j") >= LINK * F.greatest("n_i", "n_j"))
+    side = lambda df, k: df.select("centre", "h", *[F.col(c).alias(f"{c}_{k}") for c in ("row", "id", "d", "n", "linked", "place", "component", "minor")])
+    first = side(ranked.where(F.col("place") <= F.col("d") - least_j + 1), "j")
+    whole = side(ranked.where(~F.col("linked")), "i")
+    fits = (F.col("component_i") != F.col("component_j")) & (F.col("linked_j") | (F.col("row_i") < F.col("row_j")))
+    fits = fits & (100 * F.least("n_i", "n_j") >= LINK * F.greatest("n_i", "n_j"))
     fits = fits & (F.col("place_i") <= F.col("d_i") - least + 1) & (F.col("place_j") <= F.col("d_j") - least + 1)
-    found = whole.join(first, ["centre", "h"]).where(fits).select("centre", F.least("row_i", "row_j").alias("a"), F.greatest("row_i", "row_j").alias("b")).distinct()
+    # Of two components one is not the main one of a list, so members of the main one never meet each other.
+    found = whole.where("minor_i").join(first, ["centre", "h"]).union(whole.where("not minor_i").join(first.where("minor_j"), ["centre", "h"]))
+    found = found.where(fits).select("centre", F.least("row_i", "row_j").alias("a"), F.greatest("row_i", "row_j").alias("b")).distinct()
     found = written(found, "member-pairs")
-    side = lambda k: rows.select("centre", F.col("row").alias(k), F.col("id").alias(f"id_{k}"), F.col("n").alias(f"n_{k}"), F.col("diff").alias(f"diff_{k}"))
-    both = found.join(side("a"), ["centre", "a"]).join(side("b"), ["centre", "b"])
+    full = lambda k: rows.select("centre", F.col("row").alias(k), F.col("id").alias(f"id_{k}"), F.col("n").alias(f"n_{k}"), F.col("diff").alias(f"diff_{k}"))
+    both = found.join(full("a"), ["centre", "a"]).join(full("b"), ["centre", "b"])
     apart = F.size("diff_a") + F.size("diff_b") - 2 * F.size(F.array_intersect("diff_a", "diff_b"))
     total = F.col("n_a") + F.col("n_b")
     return both.where(100 * (total - apart) >= LINK * (total + apart)).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
@@ -176,8 +193,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lone = pairs.groupBy("centre").agg(F.count("*").alias("members")).where("members = 1").select("centre")
     pairs = pairs.where("agree").union(pairs.where("not agree").join(written(lone, "lone"), "centre", "left_anti")).select("centre", "id")
     compared = written(_compared(pairs, docs, key, text), "compared")
-    links = compared.where("linked").select(F.col("id").alias("u"), F.col("centre").alias("v")).union(_between_members(compared))
-    found = components(links.union(_of_repeated_ids(feats, reps)))
+    links = compared.where("linked").select(F.col("id").alias("u"), F.col("centre").alias("v"))
+    found = written(components(links.union(_of_repeated_ids(feats, reps))), "direct-components")
+    between = written(_between_members(compared, found), "member-links")
+    if not between.isEmpty():
+        found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).union(between))
     own = reps.select("fp", "id", "n").join(found, "id", "left").select("fp", "n", "id", F.coalesce("component", "id").alias("component"))
     # A class of one row that is its own component needs no look-up.
     own = written(own.where("n > 1 or component <> id").select(F.col("fp").alias("class_fp"), "component"), "class-components")

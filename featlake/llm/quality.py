@@ -1,38 +1,53 @@
 """Quality rules with adaptive thresholds.
 
 Per-document ratios are computed with built-in functions. KLL sketches of each
-ratio are built per (lang, source), merged upwards to lang and to all, and give
-the quartiles from which the fences of the group follow. A document is kept if
-no base rule fails and no ratio lies beyond the fence of its group.
+ratio, and of the documents' lengths, are built per (lang, source) and merged
+upwards to lang and to all. A fence follows from quantiles of the sketches only:
+beyond the quartile the tail is taken to halve over the distance from the median
+to the quartile, or over one count in a short document of the group (its 5 %
+quantile of length) if that is more, and the fence lies where a share TAIL would
+be left. A group's fence is drawn to its language's, and that to the fence of
+all, by the number of documents: (n * own + PRIOR * parent) / (n + PRIOR). A
+document is kept if no base rule fails and no ratio lies beyond a fence.
+
+Quantiles up to the upper quartile take part, so fences hold while less than a
+quarter of a group is junk.
 
 Defined cases: null or blank text has no words, fails the base rule and goes;
-null lang or source is a group of its own; a group with fewer than ``least``
-documents uses its language's fences, and a language with fewer uses those of
-all; with fewer than ``least`` documents in all, only base rules act; repeated
+null lang or source is a group of its own; a group without a document that
+passes the base rules has its language's fences, such a language those of all;
+without any such document only base rules act; very long texts are counted
+whole; extra columns, also with names of ours, are kept as they are; repeated
 rows are judged each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import broadcast_if_small, let, words, written
 
-#: Ratio -> (expression over the base counts, least width of the fence above the upper quartile).
-#: The widths keep groups of near-equal documents from rejecting small deviations.
+#: Ratio -> (expression over the base counts, the count that is its length).
 RATIOS = {
-    "symbol_ratio": (lambda: F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)), 0.10),
-    "dup_line_ratio": (lambda: F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.40),
-    "repeat_ratio": (lambda: F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)), 0.40),
-    "mean_word_chars": (lambda: F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), 4.0),
+    "symbol_ratio": (lambda: F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)), "n_words"),
+    "dup_line_ratio": (lambda: F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "n_lines"),
+    "repeat_ratio": (lambda: F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)), "n_words"),
+    "mean_word_chars": (lambda: F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)), "n_words"),
 }
-#: How many interquartile ranges above the upper quartile the fence lies.
-SPREAD = 6.0
-#: The least number of documents whose sketch sets a fence.
-LEAST = 100
+#: Ratios that have a lower fence as well.
+LOWER = ("mean_word_chars",)
+LENGTHS = ("n_words", "n_lines")
+#: Share of a group's documents beyond a fence if its tail halves as stated.
+TAIL = 1e-4
+#: Documents of the group that weigh as much as the fence of the level above.
+PRIOR = 100
 #: Sketch size; the rank error of a quantile is about 1 %.
 SKETCH_K = 400
+#: Fences of a group.
+FENCES = (*[f"max_{n}" for n in RATIOS], *[f"min_{n}" for n in LOWER])
 
 
 def _repeat_words(tokens: Column) -> Column:
@@ -87,45 +102,59 @@ def scored(docs: DataFrame, keep: list[str]) -> DataFrame:
     return df.select("*", *[make().cast("double").alias(name) for name, (make, _) in RATIOS.items()])
 
 
-def thresholds(scores: DataFrame, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
-    """One row per (lang, source) with an upper fence per ratio; null where no level has ``least`` documents.
+def _fences(sketches: DataFrame, keys: list[str], level: str, tail: float) -> DataFrame:
+    """Keys as ``<level>_<key>``, the number of documents as ``<level>_n`` and the level's own fences, from a row of sketches each."""
+    quantile = lambda name, rank: F.expr(f"kll_sketch_get_quantile_double({name}, {rank}D)")
+    halvings = math.log2(0.25 / tail)
+    out = [F.col(k).alias(f"{level}_{k}") for k in keys]
+    out.append(F.expr("kll_sketch_get_n_double(n_words)").alias(f"{level}_n"))
+    for name, (_, length) in RATIOS.items():
+        one = 1 / F.greatest(quantile(length, 0.05), F.lit(1.0))
+        q1, q2, q3 = (quantile(name, r) for r in (0.25, 0.5, 0.75))
+        out.append((q3 + halvings * F.greatest(q3 - q2, one)).alias(f"{level}_max_{name}"))
+        if name in LOWER:
+            out.append((q1 - halvings * F.greatest(q2 - q1, one)).alias(f"{level}_min_{name}"))
+    return sketches.select(*out)
+
+
+def thresholds(scores: DataFrame, tail: float = TAIL, prior: float = PRIOR) -> DataFrame:
+    """One row per (lang, source) with FENCES; null where no document passes the base rules.
 
     Only documents that pass the base rules enter the sketches. The sketches of
     (lang, source) are merged for a language and for all documents, so the
     documents are read once.
     """
+    measured = [*RATIOS, *LENGTHS]
     sketch = scores.where(~F.col("base_failed")).groupBy("lang", "source").agg(
-        *[F.expr(f"kll_sketch_agg_double({name}, {SKETCH_K})").alias(name) for name in RATIOS]
+        *[F.expr(f"kll_sketch_agg_double(cast({name} as double), {SKETCH_K})").alias(name) for name in measured]
     )
     groups = scores.select("lang", "source").distinct()
     sketch = written(sketch, "quality-sketches")
-    merge = [F.expr(f"kll_merge_agg_double({name})").alias(name) for name in RATIOS]
-
-    def fences(df: DataFrame, keys: list[str], level: str) -> DataFrame:
-        out = [F.col(k).alias(f"{level}_{k}") for k in keys]
-        for name, (_, width) in RATIOS.items():
-            n, q1, q3 = f"kll_sketch_get_n_double({name})", f"kll_sketch_get_quantile_double({name}, 0.25D)", f"kll_sketch_get_quantile_double({name}, 0.75D)"
-            fence = F.expr(f"{q3} + greatest({spread}D * ({q3} - {q1}), {width}D)")
-            out.append(F.when(F.expr(f"{n} >= {least}"), fence).alias(f"{level}_{name}"))
-        return df.select(*out)
-
-    own = fences(sketch, ["lang", "source"], "own")
-    lang = fences(sketch.groupBy("lang").agg(*merge), ["lang"], "any")
-    every = fences(sketch.agg(*merge).where(" and ".join(f"{n} is not null" for n in RATIOS)), [], "all")
+    merge = [F.expr(f"kll_merge_agg_double({name})").alias(name) for name in measured]
+    own = _fences(sketch, ["lang", "source"], "own", tail)
+    lang = _fences(sketch.groupBy("lang").agg(*merge), ["lang"], "any", tail)
+    every = _fences(sketch.agg(*merge).where("n_words is not null"), [], "all", tail)
     df = groups.join(own, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
     df = df.join(lang, F.col("lang").eqNullSafe(F.col("any_lang")), "left").join(F.broadcast(every), F.lit(True), "left")
-    return df.select("lang", "source", *[F.coalesce(f"own_{n}", f"any_{n}", f"all_{n}").alias(f"max_{n}") for n in RATIOS])
+
+    def drawn(level: str, name: str, parent: Column) -> Column:
+        n = F.col(f"{level}_n")
+        return F.coalesce((n * F.col(f"{level}_{name}") + prior * parent) / (n + prior), parent)
+
+    return df.select("lang", "source", *[drawn("own", f, drawn("any", f, F.col(f"all_{f}"))).alias(f) for f in FENCES])
 
 
-def judged(docs: DataFrame, keep: list[str], spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str], tail: float = TAIL, prior: float = PRIOR) -> DataFrame:
     """``scored`` plus the group's fences and ``kept``; the texts are analysed once, then read from a written table."""
     scores = written(scored(docs, keep), "quality-scores")
-    fence = broadcast_if_small(written(thresholds(scores, spread, least), "quality-fences"))
-    fence = fence.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[f"max_{n}" for n in RATIOS])
+    fence = broadcast_if_small(written(thresholds(scores, tail, prior), "quality-fences"))
+    fence = fence.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *FENCES)
     df = scores.join(fence, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_lang", "f_source")
     beyond = F.lit(False)
     for name in RATIOS:
         beyond = beyond | F.coalesce(F.col(name) > F.col(f"max_{name}"), F.lit(False))
+    for name in LOWER:
+        beyond = beyond | F.coalesce(F.col(name) < F.col(f"min_{name}"), F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~beyond)
 
 

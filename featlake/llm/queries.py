@@ -14,7 +14,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the adaptive verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     df = quality.judged(docs, ["doc_id"])
-    return df.select(F.col("rec.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", *quality.RATIOS, *[f"max_{n}" for n in quality.RATIOS])
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return df.select(F.col("rec.doc_id").alias("doc_id"), *counts, "base_failed", "kept", "n_lines", *quality.RATIOS, *quality.FENCES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -208,6 +208,31 @@ def test_links_between_members_of_one_centre(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_copies_under_a_foreign_centre_are_not_paired(spark, monkeypatch):
+    """Copies of a text that a smaller id resembles: the rows of all intermediate tables grow with the copies, not with their pairs."""
+    rng = np.random.default_rng(4)
+    shared = [f"c{i}" for i in range(180)]
+    rows = {}
+    write = near_dedup.written
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    for n in (100, 200):
+        docs = [(0, " ".join(shared + [f"x{i}" for i in range(40)]))]
+        for k in range(n):
+            w = shared + [f"t{i}" for i in range(40)]
+            w[int(rng.integers(0, 220))] = f"n{k}"
+            docs.append((k + 1, " ".join(w)))
+        got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        want = brute_components(docs)
+        assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 2
+        assert rows["member-pairs"] <= 3 * n and max(rows.values()) <= near_dedup.BANDS * (n + 1)
+
+
 def test_near_duplicates_edges(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     want = brute_components([(r.doc_id, r.text) for r in odd.collect()])
@@ -361,14 +386,60 @@ def test_quality_drops_junk_and_keeps_clean(spark, sf):
     assert sum(got[i].kept for i in clean) >= 0.99 * len(clean)
 
 
-def test_quality_fences_fall_back_to_language_and_all(spark):
-    rows = [("en", "a", 0.01)] * 150 + [("en", "b", 0.5)] + [("fr", None, 0.02)] * 20 + [(None, None, 0.9)]
-    df = spark.createDataFrame(rows, "lang string, source string, x double").select("lang", "source", F.lit(False).alias("base_failed"), *[F.col("x").alias(n) for n in quality.RATIOS])
+def exact_fences(rows, tail=quality.TAIL, prior=quality.PRIOR):
+    """Fences by exact quantiles, from (lang, source, {ratio or length: value}) of the documents that pass the base rules."""
+    levels = collections.defaultdict(list)
+    for lang, source, values in rows:
+        for key in ((lang, source), lang, ()):
+            levels[key].append(values)
+
+    def own(key):
+        def q(name, rank):
+            v = sorted(x[name] for x in levels[key])
+            return v[max(0, int(np.ceil(rank * len(v) - 1e-9)) - 1)]
+
+        out = {}
+        for name, (_, length) in quality.RATIOS.items():
+            one = 1 / max(q(length, 0.05), 1)
+            q1, q2, q3 = q(name, 0.25), q(name, 0.5), q(name, 0.75)
+            out[f"max_{name}"] = q3 + np.log2(0.25 / tail) * max(q3 - q2, one)
+            if name in quality.LOWER:
+                out[f"min_{name}"] = q1 - np.log2(0.25 / tail) * max(q2 - q1, one)
+        return out
+
+    def drawn(key, parent):
+        n = len(levels[key])
+        mine = own(key) if n else parent
+        return {f: (n * mine[f] + prior * parent[f]) / (n + prior) for f in parent}
+
+    every = own(())
+    return lambda lang, source: drawn((lang, source), drawn(lang, every))
+
+
+def test_quality_verdicts_equal_exact_quantiles(spark, sf):
+    """The groups are smaller than a sketch, which then holds all values."""
+    got = quality.judged(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 < 2"), ["doc_id"]).collect()
+    measured = [*quality.RATIOS, *quality.LENGTHS]
+    fences = exact_fences([(r.lang, r.source, {m: r[m] for m in measured}) for r in got if not r.base_failed])
+    for r in got:
+        want = fences(r.lang, r.source)
+        assert {f: r[f] for f in quality.FENCES} == pytest.approx(want)
+        inside = all(r[n] <= want[f"max_{n}"] for n in quality.RATIOS) and all(r[n] >= want[f"min_{n}"] for n in quality.LOWER)
+        assert r.kept == (inside and not r.base_failed)
+
+
+def test_quality_fences_follow_language_and_source(spark):
+    spread = lambda lang, source, top, n: [(lang, source, top * i / n) for i in range(n)]
+    rows = spread("en", "prose", 0.01, 3000) + spread("en", "code", 0.4, 3000) + spread("fr", "prose", 0.01, 20) + [("de", "new", 0.0)]
+    rows += [("en", "prose", 0.5), ("en", "code", 0.5)]
+    df = spark.createDataFrame(rows, "lang string, source string, x double")
+    df = df.select("lang", "source", F.lit(False).alias("base_failed"), F.lit(200).alias("n_words"), F.lit(200).alias("n_lines"), *[F.col("x").alias(n) for n in quality.RATIOS])
     got = {(r.lang, r.source): r.max_symbol_ratio for r in quality.thresholds(df).collect()}
-    assert got["en", "a"] == pytest.approx(0.11) and got["en", "b"] == pytest.approx(0.11)
-    assert got["fr", None] is not None and got[None, None] == got["fr", None]
-    few = quality.thresholds(df, least=10_000).collect()
-    assert {r.max_symbol_ratio for r in few} == {None}
+    assert got["en", "prose"] < 0.5 < got["en", "code"], "one document, two verdicts"
+    assert got["en", "prose"] < got["fr", "prose"] < got["en", "code"], "a small group is drawn to all"
+    assert got["de", "new"] == pytest.approx(got["fr", "prose"], rel=0.4)
+    none = quality.thresholds(df.withColumn("base_failed", F.lit(True))).collect()
+    assert {r.max_symbol_ratio for r in none} == {None} and len(none) == 4
 
 
 def test_quality_stage_edges(odd, empty):
