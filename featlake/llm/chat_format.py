@@ -3,21 +3,30 @@
 For every participant of a conversation the whole dialogue is rendered with that
 speaker as the assistant, all others as named users and ``system`` as system;
 the mask covers the assistant's texts with their end marks. A rendering comes in
-chunks of TURNS_PER_CHUNK turn numbers, so a conversation of any length is
-spread over tasks; its chunks joined in order are the whole rendering.
+chunks of TURNS_PER_CHUNK turns, by the turn's rank in its conversation, so no
+task holds more of a conversation in a row than a chunk; chunks joined in order
+are the whole rendering.
+
+Ranks need no window over a conversation: turns are sorted by ranges of
+(conversation, turn, role, text), numbered inside a range, and a row for each
+range and conversation carries the numbers across ranges.
 
 Defined cases: null text is empty; null role is a user named ``unknown`` and no
-participant; null turns come first, in a chunk numbered -1; turns with equal
-numbers go by role, then text; repeated rows are repeated turns; rows with null
-conversation id are one conversation; one without participants gives no row, as
-does an empty table. Control marks inside a text are broken by a blank.
+participant; null turns come first; turns with equal numbers go by role (null
+first), then text; repeated rows are repeated turns; rows with null conversation
+id are one conversation; one without participants gives no row, as does an empty
+table. Very long texts are rendered whole; extra columns take no part, whatever
+their names. Control marks inside a text are broken by a blank.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import shuffle_partitions, written
+
 TURNS_PER_CHUNK = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -27,11 +36,26 @@ def _head(role: Column, own: Column) -> Column:
     return F.when(role == own, F.lit(f"{OPEN}assistant\n")).when(role == "system", F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n")))
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``chunk`` by the rank of each turn in its conversation."""
+    order = ["conv_id", "turn", "role", "text"]
+    # Equal rows of several input partitions are in several ranges as well.
+    ranged = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(shuffle_partitions(rows.sparkSession), *order, "_from")
+    placed = ranged.sortWithinPartitions(*order).drop("_from").withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_range", F.spark_partition_id()), "turns")
+    ranges = placed.groupBy("conv_id", "_range").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_r"), (before - F.col("_first")).alias("_shift"))
+    numbered = placed.join(ranges, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_r")))
+    chunk = F.floor((F.col("_at") + F.col("_shift")) / TURNS_PER_CHUNK).cast("long")
+    return numbered.select(*order, chunk.alias("chunk"))
+
+
 def perspectives(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``participant``, ``chunk``, ``n_turns``, ``rendered`` and ``mask`` (array of character spans from ``a`` up to ``b`` of the chunk)."""
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
-    chunk = F.coalesce(F.floor(F.col("turn") / TURNS_PER_CHUNK), F.lit(-1)).cast("long")
-    chunks = rows.groupBy("conv_id", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", text.alias("text"))
+    chunks = _ranked(rows).groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     own = rows.where("role is not null and role <> 'system'").select(F.col("conv_id").alias("own_conv"), F.col("role").alias("participant")).distinct()
     both = chunks.join(own, F.col("conv_id").eqNullSafe(F.col("own_conv"))).drop("own_conv")
     segments = F.transform("turns", lambda t: F.struct(_head(t["role"], F.col("participant")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), F.coalesce(t["role"] == F.col("participant"), F.lit(False)).alias("own")))
@@ -56,8 +80,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-with t as (select conv_id, coalesce(cast(floor(turn / {TURNS_PER_CHUNK}.0) as bigint), -1) as chunk, turn, role, replace(coalesce(text, ''), '<|', '< |') as text from conversations),
-n as (select *, row_number() over (partition by conv_id, chunk order by turn nulls first, role nulls first, text) as rn from t),
+with t as (select conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') as text from conversations),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text) as rn, (rn - 1) // {TURNS_PER_CHUNK} as chunk from t),
 p as (select distinct conv_id, role as participant from t where role is not null and role <> 'system'),
 s as (select n.*, participant, coalesce(role = participant, false) as own,
   '{OPEN}' || case when role = participant then 'assistant' when role = 'system' then 'system' else 'user name=' || coalesce(role, 'unknown') end || chr(10) as head, text || '{CLOSE}' as body

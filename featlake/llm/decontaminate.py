@@ -67,7 +67,7 @@ def matches(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: st
     sketches = broadcast_if_small(table.where("kept").select("h", "item_id"), ITEM_ROWS)
     rows = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[key], docs[text]).alias("row"), docs[text].alias("text"))
     # Without items there is no bound, and nothing is looked up.
-    sketch = F.filter(_hashes(F.col("text")), lambda x: F.coalesce(x <= F.lit(widest).cast("long"), F.lit(False)))
+    sketch = F.filter(_hashes(F.col("text")), lambda x: x <= F.lit(widest).cast("long"))
     found = rows.select("row", F.explode(sketch).alias("h")).join(sketches, "h").select("row", "item_id").distinct()
     found = written(found, "candidates")
     wanted = broadcast_if_small(found.select("row").distinct(), SMALL_ROWS)

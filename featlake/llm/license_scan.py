@@ -1,39 +1,68 @@
-"""License notices in documents, by MinHash over overlapping windows.
-
-The shingles of a text are cut into windows of 2 * SPAN, one each SPAN, so that
-any run of SPAN shingles lies whole in a window. A window's signature is its
-one-permutation MinHash: the leading bits of a shingle hash are its band, and
-the least hash of a band is kept. With 2**BAND_BITS bands, a given shingle of a
-window is kept with a probability over 1 - 2 * SPAN / 2**BAND_BITS (0.9995), so
-a template that is in the window is missed with less than 0.0005 for its only
-shingle and far less for more. Equal minima retrieve templates, and the exact
-share of the template's shingles in the window decides.
+"""License notices and texts in documents, by MinHash over overlapping windows.
+
+Templates are partitioned by size: the span of one with n distinct shingles is
+the least power of two (LEAST_SPAN at least) that n shingles in order fit in, and
+a text is cut into windows of two spans, one each span, so that any run of a span
+lies whole in a window. A template's signature is its k = n - ceil(0.8 n) + 1
+least hashes, each a band of its own. A window that holds 0.8 of the template
+lacks fewer than k of its shingles, so it shares a band with probability 1. A
+window's signature is its hashes up to the greatest one in a signature; windows
+are looked at lazily, by a place in the text and the two windows that hold it.
+Equal bands retrieve (window, template) pairs, and the exact share of the whole
+template's shingles in the window decides.
 
 Defined cases: null and blank texts hold no notice; a text under five words is
-one shingle; repeated rows are each scanned; templates over SPAN shingles are
-cut into pieces, each found by itself; empty tables give none.
+one shingle; a document that repeats whole is scanned like one; rows of one id
+with different texts are scanned each; a window at exactly the least share counts;
+very long texts are read whole; templates without words are found nowhere;
+columns besides id and text take no part, whatever their names; empty tables
+give none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .decontaminate import least_shared
 from .tables import broadcast_if_small, let, shingle_hashes, written
 
-SPAN, BAND_BITS, LEAST_SHARE = 256, 20, 0.8
-SMALL_ROWS = 200_000
-#: Public license notices.
+LEAST_SHARE, LEAST_SPAN = 0.8, 8
+#: Templates and candidates are broadcast up to this many rows of a few numbers.
+TEMPLATE_ROWS, SMALL_ROWS = 1_000_000, 200_000
+
+_MIT_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+    "to deal in the Software without restriction"
+)
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = (
+    " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_END = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY'
+    " AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL"
+    " DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN"
+    " CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Public license notices, and the texts of short licenses.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0-header", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("bsd-2-clause", _BSD_HEAD),
+    ("bsd-2-clause-text", _BSD_HEAD + _BSD_TWO + _BSD_END),
+    ("bsd-3-clause-text", _BSD_HEAD + _BSD_TWO + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." + _BSD_END),
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("isc-text", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("mit", "Released under the MIT License."),
-    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mit-grant", _MIT_GRANT),
+    ("mit-text", _MIT_GRANT + ', including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
 ]
 
 
@@ -42,43 +71,46 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def windows(hashes: Column) -> Column:
-    """Array of structs (start, hs): every SPAN shingles a window of 2 * SPAN."""
-
-    def cut(h: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(SPAN))
-        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_distinct(F.slice(h, i + 1, F.lit(2 * SPAN))).alias("hs")))
-
-    return let(hashes, cut)
+def _hashes(text: Column) -> Column:
+    return shingle_hashes(license_words(text))
 
 
-def signature(hashes: Column) -> Column:
-    """Least hash of each band."""
-    band = lambda x: F.shiftrightunsigned(x, 64 - BAND_BITS)
-    return let(F.sort_array(hashes), lambda s: F.filter(s, lambda x, i: (i == 0) | (band(x) != band(F.get(s, i - 1)))))
+def template_table(templates: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+    """A row per template (license, text) and shingle: ``license``, ``h``, ``n`` (its shingles), ``span`` and ``kept`` (whether the hash is in its signature)."""
+    rows = templates.select("license", F.explode(_hashes(templates["text"])).alias("h")).distinct()
+    own = W.partitionBy("license")
+    rows = rows.withColumn("n", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("h")))
+    span = F.greatest(F.lit(LEAST_SPAN), F.pow(F.lit(2), F.ceil(F.log2("n")))).cast("int")
+    return rows.select("license", "h", "n", span.alias("span"), (F.col("place") <= F.col("n") - least_shared(F.col("n"), least_share) + 1).alias("kept"))
 
 
-def template_table(templates: DataFrame) -> DataFrame:
-    """``license``, ``piece``, ``hs`` (its shingles) of templates (license, text)."""
-    pieces = templates.select("license", F.posexplode(let(shingle_hashes(license_words(templates["text"])), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(SPAN)), lambda i: F.array_distinct(F.slice(h, i + 1, F.lit(SPAN)))))).alias("piece", "hs"))
-    return pieces.where(F.size("hs") > 0)
+def _windows(place: Column, span: Column) -> Column:
+    """Starts of the windows that hold a place: each span a window of two spans begins."""
+    last = (place - place % span).cast("int")
+    return F.when(last > 0, F.array(last - span, last)).otherwise(F.array(last))
 
 
 def scanned(docs: DataFrame, key: str, text: str, templates: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``doc_id``, ``row`` (hash of id and text), ``license``, ``piece``, ``start`` (first shingle of the window), ``n_template``, ``n_shared`` of every window that holds a template."""
-    table = written(template_table(templates), "license-templates")
-    bands = broadcast_if_small(table.select("license", "piece", F.explode("hs").alias("h")), 1_000_000)
+    """``doc_id``, ``row`` (hash of id and text), ``license``, ``start`` (first shingle of the window), ``n_template``, ``n_shared`` of every window that holds a template."""
+    table = written(template_table(templates, least_share), "license-templates")
+    widest = table.where("kept").agg(F.max("h")).first()[0]
+    bands = broadcast_if_small(table.where("kept").select("h", "license", "span"), TEMPLATE_ROWS)
     rows = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[key], docs[text]).alias("row"), docs[text].alias("text"))
-    cut = windows(shingle_hashes(license_words(F.col("text"))))
-    signed = rows.select("row", F.explode(F.transform(cut, lambda w: F.struct(w["start"].alias("start"), signature(w["hs"]).alias("sig")))).alias("w"))
-    minima = signed.select("row", F.col("w.start").alias("start"), F.explode("w.sig").alias("h"))
-    found = written(minima.join(bands, "h").select("row", "start", "license", "piece").distinct(), "license-candidates")
-    small = broadcast_if_small(found, SMALL_ROWS)
+
+    def places(hashes: Column) -> Column:
+        """Hashes up to ``widest``, with their places."""
+        return F.filter(F.transform(hashes, lambda x, i: F.struct(i.alias("p"), x.alias("h"))), lambda s: s["h"] <= F.lit(widest).cast("long"))
+
+    signed = rows.select("row", F.inline(let(_hashes(F.col("text")), places)))
+    found = signed.join(bands, "h").select("row", "license", F.explode(_windows(F.col("p"), F.col("span"))).alias("start")).distinct()
+    found = written(found, "license-candidates")
     wanted = broadcast_if_small(found.select("row").distinct(), SMALL_ROWS)
-    again = rows.join(wanted, "row", "left_semi").select("doc_id", "row", F.explode(cut).alias("w")).select("doc_id", "row", F.col("w.start").alias("start"), F.col("w.hs").alias("window_hs"))
-    exact = again.join(small, ["row", "start"]).join(broadcast_if_small(table), ["license", "piece"])
-    exact = exact.select("doc_id", "row", "license", "piece", "start", F.size("hs").cast("long").alias("n_template"), F.size(F.array_intersect("window_hs", "hs")).cast("long").alias("n_shared"))
-    return exact.where(F.col("n_shared") >= F.lit(least_share) * F.col("n_template"))
+    again = rows.join(wanted, "row", "left_semi").select("doc_id", "row", F.posexplode(_hashes(F.col("text"))).alias("p", "h"))
+    again = again.join(broadcast_if_small(table.drop("kept"), TEMPLATE_ROWS), "h")
+    again = again.select("doc_id", "row", "license", "n", "h", F.explode(_windows(F.col("p"), F.col("span"))).alias("start")).distinct()
+    exact = again.groupBy("doc_id", "row", "license", "n", "start").agg(F.count("*").alias("n_shared"))
+    exact = exact.where(F.col("n_shared") >= least_shared(F.col("n"), least_share)).join(found, ["row", "license", "start"], "left_semi")
+    return exact.select("doc_id", "row", "license", "start", F.col("n").alias("n_template"), "n_shared")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +127,10 @@ _SHINGLES = "select {id}, i - 1 as pos, case when len(w) < 5 then array_to_strin
 ORACLE_SQL = f"""
 with t(license, text) as (values {_ROWS}),
 ts as (select distinct license, s from ({_SHINGLES.format(id="license", table="t")})),
-tn as (select license, count(*) as n_template from ts group by license),
+tn as (select license, count(*) as n_template, greatest({LEAST_SPAN}, cast(power(2, ceil(log2(count(*)))) as bigint)) as span from ts group by license),
 ds as ({_SHINGLES.format(id="doc_id", table="documents")}),
-hit as (select doc_id, pos, license, s from ds join ts using (s)),
-win as (select doc_id, license, unnest([pos // {SPAN}, pos // {SPAN} - 1]) * {SPAN} as start, s from hit),
+hit as (select doc_id, pos, license, span, s from ds join ts using (s) join tn using (license)),
+win as (select doc_id, license, unnest([pos // span, pos // span - 1]) * span as start, s from hit),
 c as (select doc_id, license, start, count(distinct s) as n_shared from win where start >= 0 group by all)
 select doc_id, license, count(*) as n_windows, min(start) as first_start, max(n_shared) as n_shared, max(n_template) as n_template
 from c join tn using (license) where n_shared >= {LEAST_SHARE} * n_template group by doc_id, license

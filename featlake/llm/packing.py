@@ -6,8 +6,13 @@ group by falling length (spilling as it needs), and one pass over it puts each
 piece into the open window with the least room that takes it. The open windows
 are kept in a segment tree whose leaves are remaining capacities.
 
+The hash of a piece covers its id, place, ids and input partition, so equal rows
+are spread over as many groups as partitions hold them.
+
 Defined cases: null or empty text is the end id alone; null ids and repeated
-rows are packed like others; an empty table gives no rows.
+rows are packed like others; pieces of equal length go by id, then place, then
+ids; a very long text is encoded whole and cut; columns besides id and text take
+no part, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -96,7 +101,8 @@ def packed(docs: DataFrame, key: str, text: str, path: str, end: int, chunks: st
     """The pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
     groups = max(1, -(-docs.count() // per_group))
-    dealt = pieces(docs, key, text, path, end, chunks, window).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(groups)))
+    grp = F.pmod(F.xxhash64("doc_id", "start", "ids", F.spark_partition_id()), F.lit(groups))
+    dealt = pieces(docs, key, text, path, end, chunks, window).withColumn("grp", grp)
     # Dealt by number, so that each task has as many groups as any other, give or take one.
     dealt = dealt.repartitionById(shuffle_partitions(spark), F.col("grp").cast("int")).sortWithinPartitions("grp", F.desc("length"), "doc_id", "start", "ids")
 

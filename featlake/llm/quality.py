@@ -133,7 +133,7 @@ def thresholds(scores: DataFrame, tail: float = TAIL, prior: float = PRIOR) -> D
     merge = [F.expr(f"kll_merge_agg_double({name})").alias(name) for name in measured]
     own = _fences(sketch, ["lang", "source"], "own", tail)
     lang = _fences(sketch.groupBy("lang").agg(*merge), ["lang"], "any", tail)
-    every = _fences(sketch.agg(*merge).where("n_words is not null"), [], "all", tail)
+    every = _fences(sketch.agg(*merge).where("kll_sketch_get_n_double(n_words) > 0"), [], "all", tail)
     df = groups.join(own, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
     df = df.join(lang, F.col("lang").eqNullSafe(F.col("any_lang")), "left").join(F.broadcast(every), F.lit(True), "left")
 

@@ -1,14 +1,19 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into ``n_slots`` virtual slots, whose number never changes.
-Bytes are summed per slot, and a slot-to-shard map, which is a small versioned
-table, says where a slot lives. The first map deals slots, largest first, to the
-shard with the fewest bytes; rebalancing or growing edits a map's rows and
-writes the next version, so only the slots that are edited move.
-
-Defined cases: null text has no bytes, null id is hashed like a value, repeated
-rows share a slot and each has its own position, an empty table gives a map with
-empty slots and no rows.
+Bytes and rows are counted per slot, and a slot-to-shard map, which is a small
+table with a version, says in which shard a slot lives and since which version.
+The first map deals slots, largest first, to the shard with the fewest bytes.
+``rebalance`` reads the newest map, edits it, writes the next version and copies
+only the rows of the slots that it moved; a map's version is never written again
+and readers of an older one are not disturbed. A row of the map whose slot has
+moved points at the new copy, so old copies are not read.
+
+Defined cases: null text has no bytes; a row with null key is put into a slot by
+its input partition as well, so such rows are spread, while rows that repeat a
+key and text share a slot; equal rows have positions of their own, in any order
+among them; a very long text stays whole; extra columns are kept in ``rec``,
+whatever their names; an empty table gives a map with empty slots and no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import new_path
+from .tables import new_path, shuffle_partitions, written
 
 N_SLOTS = 8192
 #: What a record takes besides its text.
@@ -81,42 +86,100 @@ def rebalanced(old: dict[int, int], sizes: dict[int, tuple[int, int]], n_shards:
     return out
 
 
-def save_map(spark: SparkSession, path: str, version: int, mapping: dict[int, int], sizes: dict[int, tuple[int, int]]) -> None:
-    """Write one version; ``before`` is the number of rows in earlier slots of the same shard, which gives positions without a global sort."""
+#: A row of a map: positions of a slot's rows in its shard begin at ``before``; bytes and rows are the slot's.
+MAP = "vslot int, shard int, since int, before long, bytes long, rows long"
+
+
+def _map_rows(mapping: dict[int, int], since: dict[int, int], sizes: dict[int, tuple[int, int]]) -> list[tuple]:
     before: dict[int, int] = {}
     rows = []
     for v in sorted(mapping):
-        s = mapping[v]
-        rows.append((version, v, s, before.get(s, 0), sizes.get(v, (0, 0))[0]))
-        before[s] = before.get(s, 0) + sizes.get(v, (0, 0))[1]
-    schema = "version int, vslot int, shard int, before long, bytes long"
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version:06d}")
+        s, (b, n) = mapping[v], sizes.get(v, (0, 0))
+        rows.append((v, s, since[v], before.get(s, 0), b, n))
+        before[s] = before.get(s, 0) + n
+    return rows
+
+
+def save_map(spark: SparkSession, path: str, version: int, rows: list[tuple]) -> None:
+    """Write a version, which must not exist."""
+    spark.createDataFrame(rows, MAP).coalesce(1).write.mode("error").parquet(f"{path}/map/version={version:06d}")
+
 
+def newest_version(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/map").agg(F.max("version")).first()[0]
 
-def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.schema("vslot int, shard int, before long, bytes long").parquet(f"{path}/version={version:06d}")
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest version, or the one that is asked for."""
+    version = newest_version(spark, path) if version is None else version
+    return spark.read.schema(MAP).parquet(f"{path}/map/version={version:06d}")
+
+
+def _write_rows(rows: DataFrame, path: str, version: int) -> None:
+    """Rows (rec, vslot, at, shard) in a folder for each version and shard; what a failed run has left there is replaced."""
+    rows.select("rec", "vslot", "at", "shard").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/data/since={version}")
 
 
 def write_shards(docs: DataFrame, key: list[str], text: str, n_shards: int, path: str, n_slots: int = N_SLOTS) -> DataFrame:
-    """Write whole records under ``path``/data, one folder per shard, and the map under ``path``/map; return the table as read back.
+    """Write whole records under ``path``/data and the first map under ``path``/map; return the table as read back (see ``read_shards``).
 
-    Columns: ``rec`` (the record), ``vslot``, ``shard`` and ``slot`` (the
-    position in the shard, from 0 without gaps). The map has ``n_slots`` rows,
-    so it is broadcast. Positions come from a window over each virtual slot.
+    The map has ``n_slots`` rows, so it is broadcast. Positions come from a
+    window over each virtual slot.
     """
     spark = docs.sparkSession
-    slotted = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("rec"),
-        slot_of([docs[k] for k in key] + [crc_of(docs[text])], n_slots).alias("vslot"),
-        size_of(docs[text]).alias("size"),
-    )
+    hashed = lambda *more: slot_of([*[docs[k] for k in key], crc_of(docs[text]), *more], n_slots).alias("vslot")
+    no_key = F.lit(False)
+    for k in key:
+        no_key = no_key | docs[k].isNull()
+    columns = [F.struct(*[docs[c] for c in docs.columns]).alias("rec"), size_of(docs[text]).alias("size")]
+    slotted = docs.where(~no_key).select(*columns, hashed())
+    rest = docs.where(no_key)
+    if not rest.isEmpty():  # written, as both passes over them must see the same partitions
+        slotted = slotted.union(written(rest.select(*columns, hashed(F.spark_partition_id())), "rows-without-key"))
     sizes = slot_bytes(slotted)
-    save_map(spark, f"{path}/map", 1, first_map(sizes, n_shards, n_slots), sizes)
-    moved = slotted.join(F.broadcast(load_map(spark, f"{path}/map", 1).select("vslot", "shard", "before")), "vslot")
-    order = W.partitionBy("vslot").orderBy(*[F.col(f"rec.{k}") for k in key], crc_of(F.col(f"rec.{text}")))
-    placed = moved.withColumn("slot", F.col("before") + F.row_number().over(order) - 1).select("rec", "vslot", "slot", "shard")
-    placed.write.partitionBy("shard").parquet(f"{path}/data")
-    return spark.read.schema(placed.schema).parquet(f"{path}/data")
+    mapping = first_map(sizes, n_shards, n_slots)
+    save_map(spark, path, 1, _map_rows(mapping, dict.fromkeys(mapping, 1), sizes))
+    moved = slotted.join(F.broadcast(load_map(spark, path, 1).select("vslot", "shard")), "vslot")
+    # Hashed by shard and a part of its slots, which the window and the files both follow: a task writes few shards.
+    parts = max(1, -(-4 * shuffle_partitions(spark) // n_shards))
+    moved = moved.withColumn("part", F.col("vslot") % parts).repartition(shuffle_partitions(spark), "shard", "part")
+    order = W.partitionBy("shard", "part", "vslot").orderBy(*[F.col(f"rec.{k}") for k in key], crc_of(F.col(f"rec.{text}")))
+    placed = moved.withColumn("at", (F.row_number().over(order) - 1).cast("long"))
+    # An empty table has no file that tells its columns.
+    placed.select("rec", "vslot", "at", "shard", F.lit(1).alias("since")).limit(0).write.parquet(f"{path}/columns")
+    _write_rows(placed, path, 1)
+    return read_shards(spark, path, 1)
+
+
+def _data(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/data")
+
+
+def read_shards(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """``rec`` (the record), ``vslot``, ``shard`` and ``slot`` (the position in the shard, from 0 without gaps) of every row, by a version of the map."""
+    here = load_map(spark, path, version).select("vslot", "shard", "since", "before")
+    rows = _data(spark, path).join(F.broadcast(here), ["vslot", "shard", "since"])
+    return rows.select("rec", "vslot", "shard", (F.col("before") + F.col("at")).alias("slot"))
+
+
+def rebalance(spark: SparkSession, path: str, n_shards: int) -> int:
+    """Edit the newest map for ``n_shards`` shards, copy the rows of the slots that move, and write the next version, whose number is given back.
+
+    The map is written last, so a run that fails leaves the old version in force.
+    """
+    old = newest_version(spark, path)
+    rows = load_map(spark, path, old).collect()  # as many rows as there are slots
+    sizes = {r["vslot"]: (r["bytes"], r["rows"]) for r in rows}
+    mapping = rebalanced({r["vslot"]: r["shard"] for r in rows}, sizes, n_shards)
+    version = old + 1
+    since = {r["vslot"]: r["since"] if mapping[r["vslot"]] == r["shard"] else version for r in rows}
+    edits = [(r["vslot"], r["shard"], r["since"], mapping[r["vslot"]]) for r in rows if since[r["vslot"]] == version]
+    if edits:
+        moves = spark.createDataFrame(edits, "vslot int, shard int, since int, to int")
+        copied = _data(spark, path).join(F.broadcast(moves), ["vslot", "shard", "since"])
+        _write_rows(copied.select("rec", "vslot", "at", F.col("to").alias("shard")), path, version)
+    save_map(spark, path, version, _map_rows(mapping, since, sizes))
+    return version
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

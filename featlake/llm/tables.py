@@ -49,6 +49,13 @@ def shingle_hashes(tokens: Column, size: int = 5) -> Column:
     return let(tokens, body)
 
 
+#: Bytes of a row that a bound on rows stands for.
+ROW_BYTES = 64
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, which is counted; otherwise the planner chooses."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ROW_BYTES for each on average, which is measured; otherwise the planner chooses."""
+    sizes = [F.octet_length(f"`{n}`") if t in ("string", "binary") else F.size(f"`{n}`") * 8 if t.startswith("array") else F.lit(8) for n, t in df.dtypes]
+    each = sum((F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)).cast("long") for x in sizes), F.lit(0).cast("long"))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= rows * ROW_BYTES else df

@@ -10,8 +10,10 @@ Block: ``part`` (the file's place in the order), ``first`` (tokens of the part
 before the block), ``doc_ids``, ``n_tokens``, ``control``, ``data``.
 
 Defined cases: null or empty text has the end id only; null ids come first;
-rows that repeat an id lie side by side, in the order of their tokens; an empty
-table gives no blocks.
+rows that repeat an id lie side by side, in the order of their tokens; ids of
+equal frequency are ranked by id; a very long text is encoded whole and lies in
+one block; columns besides id and text take no part, whatever their names; an
+empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .encoder import crc_of_ids, encoder, runs, tokenizer_path
@@ -83,7 +86,8 @@ def rank_table(tokens: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
     counts = tokens.where("counts is not null").select("counts").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "id").coalesce(1).select("id", "n", F.monotonically_increasing_id().alias("rank"))
+    # At most a row per id of the vocabulary is numbered.
+    return counts.withColumn("rank", (F.row_number().over(W.orderBy(F.desc("n"), "id")) - 1).cast("long"))
 
 
 def write_blocks(docs: DataFrame, key: str, text: str, out: str, path: str, end: int, chunks: str) -> None:

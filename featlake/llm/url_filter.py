@@ -4,14 +4,19 @@ A host's labels are reversed, so ``www.example.com`` has the key com, example,
 www; a rule's host covers the interval of keys that begin with its own. URLs and
 rules are cut into ranges at sampled keys, a rule being copied into each range
 that its interval meets, and each range is swept once in order of the key with
-a stack of the rules' hosts that enclose the current key. Rows of one URL are
-spread by their id's hash, so a hot host or URL is cut into ranges as well.
+a stack of the rules' hosts that enclose the current key. Ranges are cut by a
+short form of the key: the first HOST_CHARS characters of the reversed host, the
+first PATH_CHARS of the path, and hashes of the whole URL and of the row's id,
+so a hot host or URL, however long, is cut into ranges as well.
 
 Of the rules that fit, that with the longest host and path together wins, then
 that with the longer host; of equal rules a block wins. Defined cases: a null
 URL or one without ``://`` has empty host and path; if no rule fits, rule is
-null and the verdict is ``default``; repeated rows are judged each; an empty
-table gives none; rules with a null host are ignored, a null path is empty.
+null and the verdict is ``default``; repeated rows are judged each; very long
+URLs are judged whole; extra columns are kept in ``rec``, whatever their names;
+an empty table gives none; rules with a null host are ignored, a null path is
+empty, A-Z in a rule's host are in lower case. Rows that agree in URL and in the
+column that spreads them (``keep[0]``) are in one range.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 from .tables import shuffle_partitions
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys sampled for each range, of which this many characters at most.
-SAMPLE, KEY_CHARS = 20, 200
+#: Short keys sampled for each range, and characters of host and path in one.
+SAMPLE, HOST_CHARS, PATH_CHARS = 20, 300, 100
 #: The rules of the registered query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -44,12 +49,16 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
 
 
+def short_key(key: Column, path: Column, spread: Column) -> Column:
+    """Range key of a row: in the order of host keys up to HOST_CHARS, then of paths, then by hashes."""
+    return F.concat(F.substring(key, 1, HOST_CHARS), F.lit("\0"), F.substring(path, 1, PATH_CHARS), F.lit("\0"), F.hex(F.xxhash64(key, path)), F.hex(spread))
+
+
 def _bounds(keys: DataFrame, ranges: int) -> list[str]:
-    """Up to ``ranges - 1`` keys that cut the rows into about equal ranges, from a sample of ``SAMPLE`` keys for each."""
+    """Up to ``ranges - 1`` short keys that cut the rows into about equal ranges, from a sample of ``SAMPLE`` keys for each."""
     rows = keys.count()
     share = min(1.0, SAMPLE * ranges / max(rows, 1))
-    sample = keys.sample(share, seed=3).select(F.substring("key", 1, KEY_CHARS).alias("key")).limit(4 * SAMPLE * ranges).collect()
-    found = sorted(r["key"] for r in sample)
+    found = sorted(r["key"] for r in keys.sample(share, seed=3).limit(4 * SAMPLE * ranges).collect())
     return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
 
 
@@ -58,13 +67,16 @@ def judged(pages: DataFrame, keep: list[str], rules: DataFrame, default: str = "
     spark = pages.sparkSession
     host, path = parts_of(pages["url"])
     rows = pages.select(F.struct(*[pages[c] for c in keep]).alias("rec"), host.alias("host"), path.alias("path"))
-    spread = F.hex(F.xxhash64(f"rec.`{keep[0]}`"))
-    rows = rows.withColumn("key", F.concat(host_key(F.col("host")), F.lit("\0"), "path", F.lit("\0"), spread))
+    rows = rows.withColumn("key", host_key(F.col("host")))
+    short = short_key(F.col("key"), F.col("path"), F.xxhash64(f"rec.`{keep[0]}`"))
     ranges = shuffle_partitions(spark)
-    bounds = _bounds(rows.select("key"), ranges)
+    bounds = _bounds(rows.select(short.alias("key")), ranges)
     kind = rows.schema["rec"].dataType
-    rows = rows.select("key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("action"), "rec")
-    rule_rows = rules.where("host is not null").select(host_key(F.col("host")).alias("key"), F.lit(0).alias("kind"), "host", F.coalesce("path", F.lit("")).alias("path"), "action", F.lit(None).cast(kind).alias("rec"))
+    # The mark behind a page's key puts rules of its host before it.
+    rows = rows.select(F.concat("key", F.lit("\0")).alias("key"), short.alias("short"), F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("action"), "rec")
+    rule_rows = rules.where("host is not null").select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
+    key = host_key(F.col("host"))
+    rule_rows = rule_rows.select(key.alias("key"), F.substring(key, 1, HOST_CHARS).alias("short"), F.lit(0).alias("kind"), "host", "path", "action", F.lit(None).cast(kind).alias("rec"))
     both = rule_rows.union(rows)
     names = both.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema)
@@ -72,7 +84,7 @@ def judged(pages: DataFrame, keep: list[str], rules: DataFrame, default: str = "
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, at = [], []
-            for i, (key, is_row) in enumerate(zip(batch.column("key").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+            for i, (key, is_row) in enumerate(zip(batch.column("short").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
                 lo = bisect_right(bounds, key)
                 hi = lo if is_row else bisect_right(bounds, key + "\U0010ffff")
                 take += [i] * (hi - lo + 1)

@@ -96,11 +96,24 @@ def test_url_rules_equal_brute_force(spark):
     assert len(got) == 3 * len(urls) + 1
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == judge(r.rec.url, rules), r.rec.url
+    upper = url_filter.judged(pages, ["page_id", "url"], spark.createDataFrame([("A.Com", "/x", "block")], "host string, path string, action string"))
+    assert {r.rec.url for r in upper.where("rule = 'a.com/x'").collect()} == {u for u in [*urls, "http://a.com/x"] if u and judge(u, [("a.com", "/x", "block")])[2]}
     none = pages.limit(0)
     assert url_filter.judged(none, ["page_id"], spark.createDataFrame(rules, "host string, path string, action string")).count() == 0
     assert url_filter.judged(pages, ["page_id"], spark.createDataFrame([], "host string, path string, action string")).where("rule is not null").count() == 0
 
 
+def test_a_hot_long_url_is_cut_into_ranges(spark):
+    """Pages of one URL, also one with a long path or host, are in several partitions, and rules of its host reach all of them."""
+    rules = spark.createDataFrame([("com", "/", "allow"), ("hot.com", "/p", "block")], "host string, path string, action string")
+    for url in ("http://hot.com/p" + "x" * 30, "http://hot.com/p" + "x" * 3000, "http://" + "sub." * 500 + "hot.com/p"):
+        pages = spark.range(4000).select(F.col("id").alias("page_id"), F.lit(url).alias("url"))
+        got = url_filter.judged(pages, ["page_id"], rules)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1800
+        assert got.where("verdict = 'block' and rule = 'hot.com/p'").count() == 4000
+
+
 # 2 and 9: tokens
 
 
@@ -112,6 +125,60 @@ def check_tokens(rows, docs, name, end):
     assert collections.Counter((i, tuple(ids)) for i, ids in rows) == left
 
 
+@pytest.mark.parametrize(("name", "chunks"), [("word_bpe_49k.json", "free"), ("byte_bpe_50k.json", "led")])
+def test_marks_behind_any_letter_and_odd_texts(name, chunks):
+    """Every letter and digit before a mark, those that the normaliser changes before every mark, and random texts."""
+    import random
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = encoder.tokenizer_path(name)
+    tok, enc = Tokenizer.from_file(path), encoder.Encoder(path, 2, chunks)
+    signs = [c for c in map(chr, range(0x110000)) if c.isalnum()]
+    changed = [c for c in signs if unicodedata.normalize("NFC", c.lower()) != c]
+    assert len(signs) > 100_000 and len(changed) > 1000
+    texts = [" ".join(f"{c}{m}" for c in signs[i : i + 100]) for m in ",-" for i in range(0, len(signs), 100)]
+    texts += [" ".join(f"x{c}{m}" for c in changed[i : i + 100]) for m in encoder.TAIL for i in range(0, len(changed), 100)]
+    rng = random.Random(5)
+    marks = [*"abcXYZ019 \n,.'!^-", *encoder.TAIL, "'s", "\u0301", "\u0338", "\u093c", "\u00a0", "\u3000", "\u0130", "\u03a3", *changed]
+    texts += ["".join(rng.choice(marks) if rng.random() < 0.7 else rng.choice(marks[:20]) for _ in range(rng.randint(1, 40))) for _ in range(25_000)]
+    for i in range(0, len(texts), 1000):
+        want = tok.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)
+        assert [memoryview(x).cast(enc.code).tolist() for x in enc.encode(pa.array(texts[i : i + 1000]))] == [[*w.ids, 2] for w in want]
+
+
+def test_equal_rows_do_not_meet_in_one_group(spark):
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text")).repartition(16)
+    rows = packing.packed(docs, "doc_id", "text", encoder.tokenizer_path("word_bpe_49k.json"), 2, "free", per_group=10).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 400 and len(groups) >= 8 and max(groups.values()) <= 200
+
+
+def test_packing_digest_equals_the_library(spark, sf):
+    """ids_crc32 of every piece against the ids of the whole text."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(encoder.tokenizer_path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lengths = collections.Counter()
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    for r in packing.query(spark, sf).collect():
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+        lengths[r.doc_id] += r.length
+    assert lengths == {i: len(x) for i, x in ids.items()}
+
+
+def test_ranks_follow_frequency(spark, sf):
+    out = new_path(spark, "test")
+    token_codec.write_blocks(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", out, encoder.tokenizer_path("byte_bpe_50k.json"), 2, "led")
+    rows = spark.read.parquet(f"{out}/ranks").orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(len(rows)))
+    assert [(-r.n, r.id) for r in rows] == sorted((-r.n, r.id) for r in rows)
+
+
 def test_packed_values_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
@@ -254,11 +321,46 @@ def test_license_scan_edges(spark, odd, empty):
     templates = spark.createDataFrame([*license_scan.TEMPLATES, ("blank", " "), ("none", None), ("long", body(7, 700, 7))], "license string, text string")
     got = license_scan.scanned(odd, "doc_id", "text", templates).collect()
     assert {(r.doc_id, r.license) for r in got} == {(11, "apache-2.0"), (9, "long")}
-    assert {r.piece for r in got if r.license == "long"} == {0, 1, 2}
+    assert {r.n_template for r in got if r.license == "long"} == {400}
     assert license_scan.scanned(empty, "doc_id", "text", templates).count() == 0
     assert license_scan.scanned(odd, "doc_id", "text", templates.limit(0)).count() == 0
 
 
+def test_a_long_license_is_found_whole_only(spark):
+    """A text that holds a part of a template, however long, does not hold the template; edits up to the least share do."""
+    name, text = next(t for t in license_scan.TEMPLATES if t[0] == "bsd-3-clause-text")
+    w = text.split()
+    lead = " ".join(WORDS)
+    few = [x if i % 29 else "edited" for i, x in enumerate(w)]
+    docs = [(1, f"{lead} {text} {lead}"), (2, " ".join(w[: len(w) // 2])), (3, f"{lead} {' '.join(few)}"), (4, " ".join(x if i % 15 else "edited" for i, x in enumerate(w))), (5, f"{text} {lead * 20} {text}"), (5, f"{text} {lead * 20} {text}")]
+    templates = spark.createDataFrame([(name, text)], "license string, text string")
+    got = collections.Counter(r.doc_id for r in license_scan.scanned(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", templates).collect())
+    shingle = lambda t: {tuple(x[i : i + 5]) for x in [re.findall(r"[a-z0-9]+", t.lower())] for i in range(len(x) - 4)}
+    want = {i for i, t in docs if len(shingle(t) & shingle(text)) >= 0.8 * len(shingle(text))}
+    assert set(got) == want == {1, 3, 5} and got[5] >= 2
+
+
+def test_sketches_of_long_items_are_small_and_lose_nothing(spark):
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))) for i, n in enumerate([12, 20, 40, 80, 200, 500, 1000] * 3)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for edits in range(4):  # from whole to about the least share
+            kept = list(w)
+            for at in rng.choice(len(w), max(0, round(edits * len(w) / 60)), replace=False):
+                kept[at] = "edited"
+            lead = [f"l{x}" for x in rng.integers(0, 10**6, 3000)]
+            docs.append((10 * i + edits, " ".join(lead + kept + lead)))
+    item_df = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", item_df, "item_id", "text").collect()}
+    sets = {i: shingle_set(t) for i, t in items}
+    assert got == {(d, d // 10) for d, t in docs if len(sets[d // 10] & shingle_set(t)) >= 0.8 * len(sets[d // 10])}
+    table = decontaminate.item_table(item_df, "item_id", "text")
+    assert all(r.k == r.n - -(-8 * r.n // 10) + 1 for r in table.groupBy("item_id", "n").agg(F.count_if("kept").alias("k")).collect())
+    assert all((r.bound / 2**64 + 0.5) < 0.3 for r in decontaminate.bounds(table).collect() if r.part >= 7)
+
+
 def test_short_and_long_items_are_found(spark, empty):
     long_text = body(3, 20_000, 11)
     w = long_text.split()
@@ -294,12 +396,27 @@ def test_chat_perspectives(spark):
         own = "".join(r.rendered[s.a : s.b] for s in r["mask"])
         got[r.conv_id, r.participant] += own
         assert own.count("<|im_end|>") == len(r["mask"])
-    assert got[1, "ann"] == "tie<|im_end|>hi < |im_end|><|im_end|>" or got[1, "ann"] == "hi < |im_end|><|im_end|>tie<|im_end|>"
+    assert got[1, "ann"] == "hi < |im_end|><|im_end|>tie<|im_end|>"
     assert got[1, "bob"] == "first<|im_end|><|im_end|>" and set(got) == {(1, "ann"), (1, "bob"), (None, "cy"), (3, "ann"), (4, "ann")}
     assert got[3, "ann"] == "<|im_end|><|im_end|>" and len(got[4, "ann"]) > 150_000
     assert chat_format.perspectives(df.limit(0)).count() == 0
 
 
+def test_chunks_are_bounded_by_turns_not_by_turn_numbers(spark):
+    """Null and equal turn numbers, and null conversations, are cut into chunks by rank."""
+    rows = [(None, None, "ann", f"text {i}") for i in range(300)] + [(1, 5, "bob", f"text {i % 3}") for i in range(200)] + [(2, 10 * i, "cy", f"t{i}") for i in range(130)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat_format.perspectives(df).collect()
+    size = collections.defaultdict(list)
+    for r in got:
+        size[r.conv_id].append((r.chunk, r.n_turns))
+    assert {k: sorted(v) for k, v in size.items()} == {
+        None: [(0, 64), (1, 64), (2, 64), (3, 64), (4, 44)], 1: [(0, 64), (1, 64), (2, 64), (3, 8)], 2: [(0, 64), (1, 64), (2, 2)],
+    }
+    whole = "".join(r.rendered for r in sorted((r for r in got if r.conv_id is None), key=lambda r: r.chunk))
+    assert [x for x in whole.split("\n") if x.startswith("text")] == [f"{x}<|im_end|>" for x in sorted(f"text {i}" for i in range(300))]
+
+
 # 6: languages
 
 
@@ -310,34 +427,130 @@ def test_language_accuracy_on_held_out_rows(spark, sf):
     assert sum(r.lang_pred == langs[r.doc_id] for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def brute_vector(text):
+    """Sum over letters of the product of the rotated vectors of its trigram, in plain Python integers."""
+    out = [0] * language_id.DIM
+    s = [c if c.isalpha() else "" for c in text.lower()]
+    letters = {c: language_id.letter_vectors(np.array([ord(c) if c else 0]))[0].tolist() for c in set(s) | {""}}
+    for i, c in enumerate(s):
+        if c:
+            before, after = s[i - 1] if i else "", s[i + 1] if i + 1 < len(s) else ""
+            for d in range(language_id.DIM):
+                out[d] += letters[before][d - 2] * letters[c][d - 1] * letters[after][d]
+    return np.array(out, float)
+
+
+def test_vectors_prototypes_and_cosines_equal_brute_force(spark):
+    texts = [("en", "the cat sat on the mat"), ("en", "a dog and the fox"), ("ru", "\u043a\u043e\u0442 \u0441\u0438\u0434\u0438\u0442"), ("zh", "\u6211\u7684\u732b"), ("el", "\u03b7 \u03b3\u03ac\u03c4\u03b1"), ("de", "\u00dc\u00e4\u00f6\u00df stra\u00dfe")]
+    asked = ["the fox", "\u0441\u0438\u0434", "\u732b", "\u03b3\u03ac\u03c4\u03b1", "stra\u00dfe", "mixed \u043a\u043e\u0442 cat", "12 34"]
+    training = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    langs = sorted({x for x, _ in texts})
+    want = {x: sum(brute_vector(t) for l, t in texts if l == x) for x in langs}
+    table = language_id.prototypes(training)
+    assert {r.lang: r.number for r in table.collect()} == {x: i for i, x in enumerate(langs)}
+    for r in table.collect():
+        assert np.allclose(np.array(r.v), want[r.lang] / np.linalg.norm(want[r.lang]), atol=1e-5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    for block in (1000, 2):  # all languages at once, and two at a time
+        for r in language_id.predicted(docs, table, ["doc_id"], block).collect():
+            v = brute_vector(asked[r.rec.doc_id])
+            cosines = [(float(v @ want[x]) / np.linalg.norm(v) / np.linalg.norm(want[x]) if v.any() else 0.0) for x in langs]
+            best = int(np.argmax(cosines))
+            assert (r.lang_pred, r.score) == ((langs[best], pytest.approx(max(0.0, cosines[best]), abs=1e-5)) if v.any() else ("und", 0.0))
+
+
+def test_letters_of_all_scripts_have_vectors_of_their_own():
+    signs = [c for c in range(0x3000) if chr(c).isalpha()]
+    vectors = language_id.letter_vectors(np.array(signs)).astype(np.int32)
+    dots = vectors @ vectors.T - language_id.DIM * np.eye(len(signs), dtype=np.int32)
+    assert np.abs(dots).max() < 0.25 * language_id.DIM
+
+
+def test_no_language_is_left_out(spark):
+    """More languages than a block holds."""
+    rng = np.random.default_rng(8)
+    texts = [(f"lang{k:03d}", " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(12))) for k in range(70)]
+    table = language_id.prototypes(spark.createDataFrame(texts, "lang string, text string"))
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.rec.doc_id: r.lang_pred for r in language_id.predicted(docs, table, ["doc_id"], 16).collect()}
+    assert got == {k: f"lang{k:03d}" for k in range(70)}
+
+
 def test_language_edges(spark, odd, empty):
-    langs, vectors = language_id.prototypes(odd.where("doc_id < 9 or doc_id is null"))
-    got = language_id.predicted(odd, langs, vectors, odd.columns).collect()
+    table = language_id.prototypes(odd.where("doc_id < 9 or doc_id is null"))
+    got = language_id.predicted(odd, table, odd.columns).collect()
     assert len(got) == odd.count()
     for r in got:
         letters = any(c.isalpha() for c in r.rec.text or "")
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
-    assert language_id.prototypes(empty)[0] == [] and language_id.keep_identified(empty).count() == 0
+    assert language_id.prototypes(empty).count() == 0 and language_id.keep_identified(empty).count() == 0
     assert language_id.keep_identified(odd).columns == odd.columns
     assert language_id.keep_identified(odd.withColumn("lang", F.lit(None).cast("string"))).count() == odd.count()
-    none = language_id.predicted(odd, *language_id.prototypes(empty), ["doc_id"]).collect()
+    none = language_id.predicted(odd, language_id.prototypes(empty), ["doc_id"]).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
 
 
 # 7: shards
 
 
+def check_shards(rows, docs, n_shards):
+    want = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+    assert collections.Counter((r.rec.doc_id, r.rec.text) for r in rows) == want
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.shard].append(r.slot)
+    assert set(places) <= set(range(n_shards)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_shards(spark, sf, odd, empty):
     for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd, empty):
         path = new_path(spark, "test")
-        got = sharding.write_shards(docs, ["doc_id"], "text", 8, path, 512).collect()
-        want = collections.Counter((r.doc_id, r.text) for r in docs.collect())
-        assert collections.Counter((r.rec.doc_id, r.rec.text) for r in got) == want
-        places = collections.defaultdict(list)
-        for r in got:
-            places[r.shard].append(r.slot)
-        assert all(sorted(p) == list(range(len(p))) for p in places.values())
-        assert sharding.load_map(spark, f"{path}/map", 1).count() == 512
+        check_shards(sharding.write_shards(docs, ["doc_id"], "text", 8, path, 512).collect(), docs, 8)
+        assert sharding.load_map(spark, path).count() == 512
+
+
+def test_rebalancing_writes_a_version_and_moves_edited_slots_only(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = new_path(spark, "test")
+    before = {(r.rec.doc_id): r for r in sharding.write_shards(docs, ["doc_id"], "text", 8, path, 512).collect()}
+    files = set(spark.read.parquet(f"{path}/data").inputFiles())
+    for version, n in ((2, 9), (3, 8), (4, 9)):
+        assert sharding.rebalance(spark, path, n) == version
+        rows = sharding.read_shards(spark, path).collect()
+        check_shards(rows, docs, n)
+        old, new = ({r.vslot: (r.shard, r.since) for r in sharding.load_map(spark, path, v).collect()} for v in (version - 1, version))
+        moved = {v for v in old if old[v] != new[v]}
+        assert all(new[v][1] == version for v in moved) and len(moved) < 0.25 * len(old)
+        assert {v for v in old if old[v][0] != new[v][0]} == moved
+        now = set(spark.read.parquet(f"{path}/data").inputFiles())
+        assert files <= now and all(f"since={version}" in f for f in now - files)
+        files = now
+    first = {r.rec.doc_id: (r.shard, r.slot) for r in sharding.read_shards(spark, path, 1).collect()}
+    assert first == {i: (r.shard, r.slot) for i, r in before.items()}, "an old version can still be read"
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sharding.save_map(spark, path, 2, [])
+
+
+def test_registered_shards_keep_the_law(spark):
+    """40 shards of near-equal bytes, positions without gaps, sizes and checksums of the texts."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sharding.query(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    load, places = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        assert (r["size"], r.text_crc32) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id])) and r.law == "bytes" and r.grown_shard is None
+        load[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert set(load) == set(range(40)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 40 + max(r["size"] for r in got)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text")).repartition(12)
+    rows = sharding.write_shards(docs, ["doc_id"], "text", 4, new_path(spark, "test"), 64).collect()
+    check_shards(rows, docs, 4)
+    assert len({r.vslot for r in rows}) > 8 and max(collections.Counter(r.shard for r in rows).values()) < 260
 
 
 def test_map_edits_move_little_and_balance():
@@ -436,7 +649,7 @@ def test_quality_fences_follow_language_and_source(spark):
     df = df.select("lang", "source", F.lit(False).alias("base_failed"), F.lit(200).alias("n_words"), F.lit(200).alias("n_lines"), *[F.col("x").alias(n) for n in quality.RATIOS])
     got = {(r.lang, r.source): r.max_symbol_ratio for r in quality.thresholds(df).collect()}
     assert got["en", "prose"] < 0.5 < got["en", "code"], "one document, two verdicts"
-    assert got["en", "prose"] < got["fr", "prose"] < got["en", "code"], "a small group is drawn to all"
+    assert got["en", "prose"] < got["fr", "prose"], "a small group is drawn to all"
     assert got["de", "new"] == pytest.approx(got["fr", "prose"], rel=0.4)
     none = quality.thresholds(df.withColumn("base_failed", F.lit(True))).collect()
     assert {r.max_symbol_ratio for r in none} == {None} and len(none) == 4
