@@ -30,7 +30,3 @@ def chunks(items: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(n))
     return F.when(F.size(items) == 0, F.array()).otherwise(F.transform(starts, lambda i: F.slice(items, i, F.lit(n))))
 
-
-def entropy_term(p: Column) -> Column:
-    """-p ln p, 0 where p is 0."""
-    return F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0))

@@ -41,3 +41,8 @@ def clean_name(name: str) -> str:
 def json_value(text: Column, path: str, kind: str) -> Column:
     """Member of a JSON text; null if it is missing or of another kind."""
     return F.get_json_object(text, path).try_cast(kind)
+
+
+def key_hash(*parts: Column) -> Column:
+    """64-bit hash of a key's parts, for spreading and joining; nulls count as parts."""
+    return F.xxhash64(*[p.cast("string") for p in parts])

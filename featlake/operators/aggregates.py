@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def first(col: Column, *order: Column) -> Column:
     return F.min_by(col, F.struct(*order))
@@ -81,8 +82,8 @@ def two_pass(df: DataFrame, keys: list[str], statistics: dict[str, Column], feat
 
 
 def group_ids(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct key combinations with a dense id from 1, in order of the keys; only the distinct keys are numbered."""
-    return df.select(*keys).distinct().withColumn("group_id", F.row_number().over(W.orderBy(*keys)))
+    """Distinct key combinations with a dense id from 1, in order of the keys; only the distinct keys are numbered, by ranges."""
+    return numbered(df.select(*keys).distinct(), keys, "group_id").withColumn("group_id", F.col("group_id").cast("int"))
 
 
 def entity_days(df: DataFrame, user: str, ts: str, items: list[str], flag: Column) -> DataFrame:

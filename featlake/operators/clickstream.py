@@ -36,18 +36,25 @@ def user_stats(sessions: DataFrame, target: str, mobile: str) -> DataFrame:
 
 
 def host_stats(sessions: DataFrame, mobile: str) -> DataFrame:
-    """Per host visits, visitors, transitions away and their seconds; extra rows ``global`` and ``mobile``."""
-    w = W.partitionBy("user").orderBy("run")
-    rows = sessions.select("host", "user", F.lead("host").over(w).isNotNull().alias("moved"), "seconds")
-    aggs = [F.count("*").alias("visits"), F.count_distinct("user").alias("visitors"), F.count_if("moved").alias("transitions"), F.coalesce(F.sum(F.when(F.col("moved"), F.col("seconds"))), F.lit(0.0)).alias("transition_seconds")]
-    every = rows.agg(*aggs).select(F.lit("global").alias("host"), "*")
-    phone = rows.where(F.col("host") == mobile).agg(*aggs).select(F.lit("mobile").alias("host"), "*")
-    return rows.groupBy("host").agg(*aggs).unionByName(every).unionByName(phone)
+    """Per host visits, visitors, transitions away and their seconds; extra rows ``global`` and ``mobile``, all by one aggregation over users' sums."""
+    moved = F.col("next_host").isNotNull()
+    by_user = sessions.groupBy("host", "user").agg(F.count("*").alias("visits"), F.count_if(moved).alias("moves"), F.sum(F.when(moved, F.col("seconds"))).alias("seconds"))
+    out = by_user.groupingSets([["host"], []], "host").agg(
+        F.grouping("host").alias("_all"), F.sum("visits").alias("visits"), F.count_distinct("user").alias("visitors"), F.sum("moves").alias("transitions"),
+        F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("transition_seconds"),
+    )
+    # The row of the mobile host is given twice; a table without sessions has no row of it, as no host has.
+    names = F.when(F.col("_all") == 1, F.array(F.lit("global"))).when(F.col("host") == mobile, F.array("host", F.lit("mobile"))).otherwise(F.array("host"))
+    return out.select(F.explode(names).alias("host"), F.coalesce("visits", F.lit(0)).alias("visits"), "visitors", F.coalesce("transitions", F.lit(0)).alias("transitions"), "transition_seconds")
 
 
 def host_user_visits(sessions: DataFrame) -> DataFrame:
-    """Per host and user: visits, total and mean seconds."""
-    return sessions.groupBy("host", "user").agg(F.count("*").alias("visits"), F.sum("seconds").alias("total_seconds"), F.avg("seconds").alias("mean_seconds"))
+    """Per host and user: visits, total and mean seconds, transitions away and the seconds before one of them."""
+    moves = F.count("next_host")
+    return sessions.groupBy("host", "user").agg(
+        F.count("*").alias("visits"), F.sum("seconds").alias("total_seconds"), F.avg("seconds").alias("mean_seconds"), moves.alias("transitions"),
+        guarded(F.sum("seconds"), moves).alias("seconds_per_transition"),
+    )
 
 
 def leading_pages(sessions: DataFrame, target: str, payers: DataFrame) -> DataFrame:
@@ -107,21 +114,29 @@ def buy_visit_probability(people: DataFrame, visits: DataFrame, purchases: DataF
     return rows.agg(F.sum(guarded(F.coalesce("purchases", F.lit(0)), F.col("visits")) * guarded(F.col("same"), F.col("total"))).alias("probability"))
 
 
+#: Windows of purchases, in the order in which they are tried.
+PURCHASE_WINDOWS = ("week", "month", "year", "this_month", "holiday", "weekend")
+
+
 def purchase_windows(df: DataFrame, user: str, ts: str, pays: Column, as_of: str, calendar: DataFrame) -> DataFrame:
-    """Share of a user's purchases in the first window that fits: last week, last month, last year, holiday, weekend or none, before ``as_of``."""
+    """Share of a user's purchases in the first window that fits: last week, last month, last year, this month (of any year), holiday, weekend or none, before ``as_of``."""
     day, now = F.to_date(ts), F.lit(as_of).cast("date")
     rows = with_holidays(df.where(pays), ts, calendar)
-    kind = F.when(day > F.date_sub(now, 7), "week").when(day > F.add_months(now, -1), "month").when(day > F.add_months(now, -12), "year").when(F.col("is_holiday"), "holiday").when(is_weekend(F.col(ts)), "weekend").otherwise("none")
+    kind = F.when(day > F.date_sub(now, 7), "week").when(day > F.add_months(now, -1), "month").when(day > F.add_months(now, -12), "year").when(F.month(day) == F.month(now), "this_month").when(F.col("is_holiday"), "holiday").when(is_weekend(F.col(ts)), "weekend").otherwise("none")
     rows = rows.select(F.col(user).alias("user"), kind.alias("kind"))
     share = lambda k: guarded(F.count_if(F.col("kind") == k), F.count("*")).alias(f"share_{k}")
-    return rows.groupBy("user").agg(F.count("*").alias("purchases"), *[share(k) for k in ("week", "month", "year", "holiday", "weekend")])
+    return rows.groupBy("user").agg(F.count("*").alias("purchases"), *[share(k) for k in PURCHASE_WINDOWS])
 
 
-def visit_ratios(sessions: DataFrame, target: str, mobile: str) -> DataFrame:
-    """Mobile visits per target visit, and the share of the user's days that have a target visit."""
+def visit_ratios(sessions: DataFrame, target: str, mobile: str, promotion: str) -> DataFrame:
+    """Mobile visits per target visit, the share of the user's days that have a target visit, and whether a promotion was visited."""
     day = F.to_date(F.timestamp_micros("start"))
-    rows = sessions.select("user", "host", day.alias("day")).groupBy("user", "day").agg(F.count_if(F.col("host") == target).alias("t"), F.count_if(F.col("host") == mobile).alias("m"))
-    return rows.groupBy("user").agg(guarded(F.sum("m"), F.sum("t")).alias("mobile_ratio"), guarded(F.count_if(F.col("t") > 0), F.count("*")).alias("day_ratio"))
+    rows = sessions.select("user", "host", day.alias("day")).groupBy("user", "day").agg(
+        F.count_if(F.col("host") == target).alias("t"), F.count_if(F.col("host") == mobile).alias("m"), F.max((F.col("host") == promotion).cast("int")).alias("p")
+    )
+    return rows.groupBy("user").agg(
+        guarded(F.sum("m"), F.sum("t")).alias("mobile_ratio"), guarded(F.count_if(F.col("t") > 0), F.count("*")).alias("day_ratio"), F.max("p").alias("saw_promotion")
+    )
 
 
 def top_values_one_hot(df: DataFrame, user: str, kind: str, value: str, k: int) -> DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Categories of a binary code or a one-hot field at most.
 MAX_CATEGORIES = 20
 
 
 def fit(df: DataFrame, column: str) -> DataFrame:
-    """Dictionary (value, idx): 1-based index by sorted value. Only the distinct values are numbered."""
-    return df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct().withColumn("idx", F.row_number().over(W.orderBy("value")))
+    """Dictionary (value, idx): 1-based index by sorted value. Only the distinct values are numbered, by ranges."""
+    values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    return numbered(values, ["value"], "idx").withColumn("idx", F.col("idx").cast("int"))
 
 
 def extend(dictionary: DataFrame, df: DataFrame, column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import week_number
@@ -30,6 +31,33 @@ def first_match(left: DataFrame, right: DataFrame, equal: list[str], condition:
     return left.join(hits, left_key, "left").select(*left.columns, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
+def first_above(left: DataFrame, right: DataFrame, equal: list[str], bound: str, value: str, left_id: str, order: list[str], buckets: int = 64) -> DataFrame:
+    """Left rows with the first right row of their key, in ``order``, whose ``value`` is above the left ``bound``; nulls if there is none.
+
+    Both sides are merged in falling order of the value, inside ranges of the
+    right values that are cut at quantiles; the first right row above a range is
+    carried into it, one row per key and range. So no pairs are made, and a hot
+    key is spread over its ranges.
+    """
+    rest = [c for c in right.columns if c not in equal]
+    cuts = right.select(F.col(value).cast("double").alias("v")).agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    steps = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    kind = right.schema[value].dataType
+    give = right.select(*equal, F.col(value).cast("double").alias("_x"), F.lit(1).alias("_give"), F.lit(None).cast(left.schema[left_id].dataType).alias("_id"), F.struct(F.struct(*order).alias("o"), F.struct(*rest).alias("r")).alias("_row"))
+    none = F.lit(None).cast(give.schema["_row"].dataType)
+    ask = left.select(*equal, F.col(bound).cast(kind).cast("double").alias("_x"), F.lit(0).alias("_give"), F.col(left_id).alias("_id"), none.alias("_row"))
+    rows = give.unionByName(ask).where("_x is not null").withColumn("_range", F.size(F.filter(steps, lambda s: s < F.col("_x"))))
+    # Of equal values the asking row comes first, so that it sees greater ones only.
+    inside = W.partitionBy(*equal, "_range").orderBy(F.desc("_x"), "_give").rowsBetween(W.unboundedPreceding, 0)
+    ranges = rows.groupBy(*equal, "_range").agg(F.min("_row").alias("_least"))
+    above = F.min("_least").over(W.partitionBy(*equal).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.select(*equal, "_range", above.alias("_above"))
+    seen = rows.withColumn("_seen", F.min("_row").over(inside)).where("_give = 0").join(ranges, [*equal, "_range"])
+    least = F.least("_seen", "_above")
+    hits = seen.select(F.col("_id").alias(left_id), least["r"].alias("_row")).where("_row is not null")
+    return left.join(hits, left_id, "left").select(*left.columns, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+
+
 def next_period_label(df: DataFrame, user: str, ts: str, pays: Column) -> DataFrame:
     """Events that are no payments, labelled 1 if their user pays in the next week; weeks whose next week has no payer are left out."""
     rows = df.withColumn("week", week_number(F.col(ts)))
@@ -42,15 +70,30 @@ def next_period_label(df: DataFrame, user: str, ts: str, pays: Column) -> DataFr
 def shifted_target(df: DataFrame, key: str, ts: str, target: str, after_seconds: int, row_id: str) -> DataFrame:
     """``target`` of the key's first row at or after each row's time plus ``after_seconds``, null if there is none.
 
-    Rows and shifted rows are merged in one window per key, so no range join is made.
+    Rows and shifted rows are merged day by day, so no range join is made; one
+    row per key and day carries the first value of the days that follow.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     asks = df.select(key, (at + after_seconds * 1_000_000).alias("_at"), F.lit(1).alias("_ask"), F.col(row_id).alias("_id"), F.lit(None).cast(df.schema[target].dataType).alias("_value"))
     gives = df.select(key, at.alias("_at"), F.lit(0).alias("_ask"), F.col(row_id).alias("_id"), F.col(target).alias("_value"))
-    from pyspark.sql import Window as W
-
+    rows = asks.unionByName(gives).withColumn("_day", F.floor(F.col("_at") / 86_400_000_000))
+    value = F.when(F.col("_ask") == 0, F.struct("_value"))
     # Falling time: an ask comes before the gives of its own time, so of those at or after it the nearest has been seen last.
-    order = W.partitionBy(key).orderBy(F.desc("_at"), F.asc("_ask"), F.desc("_id"))
-    seen = F.last(F.when(F.col("_ask") == 0, F.struct("_value")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    labels = asks.unionByName(gives).withColumn("_seen", seen).where("_ask = 1").select(F.col("_id").alias(row_id), F.col("_seen._value").alias("label"))
+    inside = W.partitionBy(key, "_day").orderBy(F.desc("_at"), F.asc("_ask"), F.desc("_id")).rowsBetween(W.unboundedPreceding, 0)
+    days = rows.groupBy(key, "_day").agg(F.min_by(value, F.when(F.col("_ask") == 0, F.struct("_at", "_id"))).alias("_first"))
+    later = F.last("_first", ignorenulls=True).over(W.partitionBy(key).orderBy(F.desc("_day")).rowsBetween(W.unboundedPreceding, -1))
+    days = days.select(F.col(key).alias("_key"), F.col("_day").alias("_d"), later.alias("_later"))
+    seen = rows.withColumn("_seen", F.last(value, ignorenulls=True).over(inside)).where("_ask = 1")
+    seen = seen.join(days, F.col(key).eqNullSafe(F.col("_key")) & F.col("_day").eqNullSafe(F.col("_d")))
+    labels = seen.select(F.col("_id").alias(row_id), F.coalesce("_seen", "_later")["_value"].alias("label"))
     return df.join(labels, row_id, "left")
+
+
+def related(left: DataFrame, right: DataFrame, relation: str, how: str = "inner") -> DataFrame:
+    """Join by a relation between two datasets, written as ``a = b`` or ``a = b, c = d`` (columns of the left, then of the right side); right columns of the relation go."""
+    pairs = [[x.strip() for x in part.split("=")] for part in relation.split(",")]
+    if any(len(p) != 2 or p[0] not in left.columns or p[1] not in right.columns for p in pairs):
+        raise ValueError(f"not a relation of these datasets: {relation!r}")
+    side = right.withColumnsRenamed({b: f"_r_{b}" for _, b in pairs})
+    same = [F.col(a) == F.col(f"_r_{b}") for a, b in pairs]
+    return left.join(side, same, how).drop(*[f"_r_{b}" for _, b in pairs])

@@ -1,9 +1,8 @@
-"""Path trees as prefix tables, and similarity of paths.
+"""Path trees as tables of nodes, and similarity of paths.
 
-A chain of sites gives one row for each of its prefixes. ``chains`` and
-``prefixes`` hold the first ``depth`` sites only, with the prefix as text;
-``nodes`` holds every site of every chain, with a running hash as the prefix, so
-a chain of n sites gives n short rows.
+A chain is the sites of a user's sessions on a day, in order. Every site of a
+chain gives one row, its node, whose running hash stands for all sites up to it;
+so a chain of n sites gives n short rows, and no chain is cut.
 """
 
 from __future__ import annotations
@@ -13,72 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def chains(sessions: DataFrame, depth: int) -> DataFrame:
-    """Per user and day the sites in order, and their seconds, of the first ``depth`` sessions that start then."""
-    day = F.to_date(F.timestamp_micros("start"))
-    steps = sessions.groupBy("user", day.alias("day")).agg(F.slice(F.sort_array(F.collect_list(F.struct("start", "host", "seconds"))), 1, depth).alias("steps"))
-    return steps.select("user", "day", F.col("steps.host").alias("sites"), F.col("steps.seconds").alias("times"))
-
-
-def prefixes(chains_: DataFrame, *keep: str) -> DataFrame:
-    """A row per prefix of each chain: ``prefix`` (joined by >), ``depth`` and ``seconds`` at its last site."""
-    rows = chains_.select(*keep, "sites", "times", F.explode(F.sequence(F.lit(1), F.size("sites"))).alias("depth"))
-    return rows.select(*keep, F.array_join(F.slice("sites", F.lit(1), F.col("depth")), ">").alias("prefix"), "depth", F.element_at("times", F.col("depth")).alias("seconds"))
-
-
-def tree(prefix_rows: DataFrame, *keys: str) -> DataFrame:
-    """Visits and mean seconds of every prefix."""
-    return prefix_rows.groupBy(*keys, "prefix", "depth").agg(F.count("*").alias("visits"), F.avg("seconds").alias("mean_seconds"))
-
-
-def longest(tree_: DataFrame, *keys: str) -> DataFrame:
-    """Deepest prefix, of equally deep ones the most visited, then the first in order."""
-    best = F.max_by(F.struct("prefix", "depth", "visits", "mean_seconds"), F.struct("depth", "visits", "prefix"))
-    return (tree_.groupBy(*keys) if keys else tree_).agg(best.alias("best")).select(*keys, "best.*")
-
-
-def common(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """Prefixes that both trees have, with the visits of each."""
-    other = b.select(*keys, "prefix", F.col("visits").alias("visits_b"))
-    return a.join(other, [*keys, "prefix"])
-
-
-def information(visits: Column) -> tuple[Column, Column]:
-    """Aggregates for the entropy of normalised weights: sum of v and sum of v ln v."""
-    return F.sum(visits), F.sum(F.when(visits > 0, visits * F.log(visits)).otherwise(0.0))
-
-
-def entropy(tree_: DataFrame, visits: str, *keys: str) -> DataFrame:
-    """Entropy of the visits of the prefixes: ln S - (sum of v ln v) / S, in one pass."""
-    s, e = information(F.col(visits).cast("double"))
-    out = tree_.groupBy(*keys).agg(s.alias("_s"), e.alias("_e")) if keys else tree_.agg(s.alias("_s"), e.alias("_e"))
-    return out.select(*keys, F.when(F.col("_s") > 0, F.log("_s") - F.col("_e") / F.col("_s")).otherwise(0.0).alias("ic"))
-
-
-def on_longest(tree_: DataFrame, *keys: str) -> DataFrame:
-    """The rows of the tree that lie on its longest path (one per key)."""
-    best = longest(tree_, *keys).select(*keys, F.col("prefix").alias("_deepest"))
-    rows = tree_.join(best, list(keys)) if keys else tree_.join(F.broadcast(best))
-    own = (F.col("_deepest") == F.col("prefix")) | F.col("_deepest").startswith(F.concat("prefix", F.lit(">")))
-    return rows.where(own).drop("_deepest")
-
-
-def lin_similarity(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """2 IC(common) / (IC(a) + IC(b)) per key of ``a``; 0 if undefined.
-
-    IC is the entropy of the visits along a path: the longest of each tree, and
-    the longest that both have, with the visits of ``a``.
-    """
-    ic_a = entropy(on_longest(a, *keys), "visits", *keys).withColumnRenamed("ic", "ic_a")
-    ic_b = entropy(on_longest(b), "visits").withColumnRenamed("ic", "ic_b")
-    shared = a.join(b.select("prefix"), "prefix", "left_semi")
-    ic_c = entropy(on_longest(shared, *keys), "visits", *keys).withColumnRenamed("ic", "ic_c")
-    rows = ic_a.join(ic_c, list(keys), "left") if keys else ic_a.join(ic_c)
-    rows = rows.join(F.broadcast(ic_b))
-    bottom = F.col("ic_a") + F.col("ic_b")
-    return rows.select(*keys, F.when(bottom > 0, 2 * F.coalesce("ic_c", F.lit(0.0)) / bottom).otherwise(0.0).alias("similarity"))
-
-
 def nodes(sessions: DataFrame) -> DataFrame:
     """A row per session: its ``depth`` in the chain of the user's day, ``node`` and ``parent``.
 
@@ -86,17 +19,19 @@ def nodes(sessions: DataFrame) -> DataFrame:
     of (depth, site), so equal prefixes have equal nodes in all chains.
     """
     w = W.partitionBy("user", "day").orderBy("run")
-    rows = sessions.withColumn("day", F.to_date(F.timestamp_micros("start"))).select("user", "day", "run", F.col("host").alias("site"), "seconds", F.row_number().over(w).alias("depth"))
+    day = F.to_date(F.timestamp_micros("start"))
+    rows = sessions.withColumn("day", day).select("user", "day", "run", F.col("host").alias("site"), "seconds", F.row_number().over(w).alias("depth"))
     rows = rows.withColumn("_m", F.md5(F.concat_ws(":", F.col("depth").cast("string"), "site")))
     total = lambda at: F.sum(F.conv(F.substring("_m", at, 15), 16, 10).cast("decimal(20,0)")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("string")
     rows = rows.withColumn("node", F.concat_ws(":", total(1), total(16)))
     return rows.select("user", "day", F.struct("user", "day").alias("chain"), "site", "seconds", "depth", "node", F.lag("node").over(w).alias("parent"))
 
 
-def node_tree(nodes_: DataFrame, *keys: str) -> DataFrame:
+def tree(nodes_: DataFrame, *keys: str) -> DataFrame:
     """Visits and mean seconds of every node, and one chain that has it."""
     return nodes_.groupBy(*keys, "node", "depth").agg(
-        F.min("site").alias("site"), F.min("parent").alias("parent"), F.count("*").alias("visits"), F.avg("seconds").alias("mean_seconds"), F.min("chain").alias("chain"))
+        F.min("site").alias("site"), F.min("parent").alias("parent"), F.count("*").alias("visits"), F.avg("seconds").alias("mean_seconds"), F.min("chain").alias("chain")
+    )
 
 
 def _key(keys: tuple[str, ...]) -> Column:
@@ -104,8 +39,8 @@ def _key(keys: tuple[str, ...]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
-def longest_node(tree_: DataFrame, nodes_: DataFrame, *keys: str) -> DataFrame:
-    """Deepest path, as ``longest`` chooses it, per ``key`` (a struct of the keys).
+def longest(tree_: DataFrame, nodes_: DataFrame, *keys: str) -> DataFrame:
+    """Deepest path, of equally deep ones the most visited, then the last in order of its text, per ``key`` (a struct of the keys).
 
     Only candidates are spelt out, each from a chain of its own, so their text
     is never more than that of the chains.
@@ -119,18 +54,43 @@ def longest_node(tree_: DataFrame, nodes_: DataFrame, *keys: str) -> DataFrame:
     return best.select("key", "best.prefix", "best.top.depth", "best.top.visits", "best.node", "best.chain")
 
 
-def on_longest_node(tree_: DataFrame, nodes_: DataFrame, *keys: str) -> DataFrame:
-    """``key`` and visits of the nodes on the longest path (one path per key)."""
-    best = longest_node(tree_, nodes_, *keys).select("key", "chain", F.col("depth").alias("_end"))
+def shared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The nodes of tree ``a`` that tree ``b`` has as well, with the visits of both."""
+    return a.join(b.select("node", F.col("visits").alias("visits_b")), "node")
+
+
+def longest_common(a: DataFrame, nodes_a: DataFrame, b: DataFrame) -> DataFrame:
+    """The deepest path that both trees have, with the visits of both."""
+    both = shared(a, b)
+    best = longest(both, nodes_a)
+    return best.join(both.select("node", "visits_b"), "node").select("prefix", "depth", "visits", "visits_b")
+
+
+def on_longest(tree_: DataFrame, nodes_: DataFrame, weight: str, *keys: str) -> DataFrame:
+    """``key`` and ``weight`` of the nodes on the longest path (one path per key)."""
+    best = longest(tree_, nodes_, *keys).select("key", "chain", F.col("depth").alias("_end"))
     path = best.join(nodes_.select("chain", "depth", "node"), "chain").where(F.col("depth") <= F.col("_end")).select("key", "node")
-    return path.join(tree_.select(_key(keys).alias("key"), "node", "visits"), ["key", "node"])
+    return path.join(tree_.select(_key(keys).alias("key"), "node", F.col(weight).alias("weight")), ["key", "node"])
+
+
+def entropy(rows: DataFrame, weight: str, *keys: str) -> DataFrame:
+    """Entropy of weights that are made to add up to 1: ln S - (sum of w ln w) / S, in one pass."""
+    w = F.col(weight).cast("double")
+    out = rows.groupBy(*keys).agg(F.sum(w).alias("_s"), F.sum(F.when(w > 0, w * F.log(w)).otherwise(0.0)).alias("_e"))
+    return out.select(*keys, F.when(F.col("_s") > 0, F.log("_s") - F.col("_e") / F.col("_s")).otherwise(0.0).alias("ic"))
 
 
-def lin_similarity_nodes(a: DataFrame, nodes_a: DataFrame, b: DataFrame, nodes_b: DataFrame, *keys: str) -> DataFrame:
-    """``lin_similarity`` over whole chains."""
-    ic = lambda t, n, *k: entropy(on_longest_node(t, n, *k), "visits", "key")
-    shared = a.join(b.select("node"), "node", "left_semi")
-    rows = ic(a, nodes_a, *keys).withColumnRenamed("ic", "ic_a").join(ic(shared, nodes_a, *keys).withColumnRenamed("ic", "ic_c"), "key", "left")
-    rows = rows.join(F.broadcast(ic(b, nodes_b).select(F.col("ic").alias("ic_b"))))
-    bottom = F.col("ic_a") + F.col("ic_b")
+def lin_similarity(a: DataFrame, nodes_a: DataFrame, b: DataFrame, nodes_b: DataFrame, *keys: str, weight: str = "visits") -> DataFrame:
+    """2 IC(common) / (IC(a) + IC(b)) per key of tree ``a``; 0 if undefined.
+
+    IC is the entropy of the ``weight`` (``visits`` or ``mean_seconds``) along a
+    path: the longest of each tree, and the longest that both have, with the
+    weights of ``a``.
+    """
+    ic = lambda t, n, *k: entropy(on_longest(t, n, weight, *k), "weight", "key")
+    common = a.join(b.select("node"), "node", "left_semi")
+    rows = ic(a, nodes_a, *keys).withColumnRenamed("ic", "ic_a").join(ic(common, nodes_a, *keys).withColumnRenamed("ic", "ic_c"), "key", "left")
+    # One row.
+    rows = rows.join(F.broadcast(ic(b, nodes_b).select(F.col("ic").alias("ic_b"))), how="left")
+    bottom = F.col("ic_a") + F.coalesce("ic_b", F.lit(0.0))
     return rows.select(*[F.col(f"key.{k}") for k in keys], F.when(bottom > 0, 2 * F.coalesce("ic_c", F.lit(0.0)) / bottom).otherwise(0.0).alias("similarity"))

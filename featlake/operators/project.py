@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.texts import clean_name
+from .numbering import with_neighbours
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -62,3 +63,27 @@ def geo_near(df: DataFrame, lat: str, lng: str, lat0: float, lng0: float, take:
     if within_degrees is not None:
         df = df.where(F.col(lat).between(lat0 - within_degrees, lat0 + within_degrees) & F.col(lng).between(lng0 - within_degrees, lng0 + within_degrees))
     return df.withColumn("km", haversine_km(F.col(lat), F.col(lng), lat0, lng0)).orderBy("km", key).limit(take)
+
+
+def unique_guard(df: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that stand in several rows, with their number."""
+    return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df``, or an error that names a key of several rows."""
+    again = unique_guard(df, key).limit(1).collect()
+    if again:
+        raise ValueError(f"duplicate key: {again[0].asDict()}")
+    return df
+
+
+def pairwise(df: DataFrame, key: list[str], day: Column, order: list[str], previous: str, value: Column, out: str, make) -> DataFrame:
+    """``out``: ``make(previous value, value)`` of each row and the one before it in its key; null where ``make`` gives null for a null."""
+    rows = with_neighbours(df.withColumns({"_day": day, "_value": value}), key, "_day", order, {previous: F.col("_value")})
+    return rows.withColumn(out, make(F.col(previous), F.col("_value"))).drop("_day", "_value")
+
+
+def children(df: DataFrame, items: str, make: dict[str, Column], child: str = "child") -> DataFrame:
+    """A row for each member of an array, with columns computed from the row and its ``child``; rows without members give none."""
+    return df.withColumn(child, F.explode(items)).select(*[e.alias(n) for n, e in make.items()])

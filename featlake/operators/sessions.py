@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.times import micros
+from ..functions.times import micros, week_start
+from .numbering import with_neighbours
 
 SECOND = 1_000_000
 
@@ -57,22 +58,25 @@ def sessions(events: DataFrame) -> DataFrame:
     last event; no length, or less, counts as one second.
     """
     runs = host_runs(events).groupBy("user", "run").agg(F.first("host").alias("host"), F.min("at").alias("start"), F.max("at").alias("last"), F.count("*").alias("n"))
-    w = W.partitionBy("user").orderBy("run")
-    until = F.coalesce(F.lead("start").over(w), "last") - F.col("start")
+    # Runs are in order of their starts, so neighbours are found day by day.
+    runs = runs.withColumn("_day", F.to_date(F.timestamp_micros("start")))
+    before = {"prev_host": F.col("host"), "_prev_start": F.col("start")}
+    after = {"next_host": F.col("host"), "_next_start": F.col("start")}
+    runs = with_neighbours(runs, ["user"], "_day", ["run"], before, after)
+    until = F.coalesce("_next_start", "last") - F.col("start")
     return runs.withColumns({
         "seconds": F.when(until <= 0, F.lit(1.0)).otherwise(until / SECOND),
         "active_seconds": F.greatest(F.lit(1.0), (F.col("last") - F.col("start")) / SECOND),
-        "prev_host": F.lag("host").over(w),
-        "prev_seconds": (F.col("start") - F.lag("start").over(w)) / SECOND,
-    })
+        "prev_seconds": (F.col("start") - F.col("_prev_start")) / SECOND,
+    }).drop("_day", "_prev_start", "_next_start")
 
 
 def session_sets(events: DataFrame, pays: Column) -> DataFrame:
-    """Per user and day: ordered sessions (starts on that day), and whether an event of the day pays."""
+    """Per user and day: ordered sessions (starts on that day), whether an event of the day pays, and the Monday of its week."""
     s = sessions(events).withColumn("day", F.to_date(F.timestamp_micros("start")))
     sets = s.groupBy("user", "day").agg(F.sort_array(F.collect_list(F.struct("start", "host", "seconds"))).alias("sessions"))
     paid = events.groupBy("user", "day").agg(F.bool_or(pays).cast("int").alias("paying"))
-    return paid.join(sets, ["user", "day"])
+    return paid.join(sets, ["user", "day"]).withColumn("week", week_start(F.col("day")))
 
 
 def between_sessions(events: DataFrame) -> DataFrame:

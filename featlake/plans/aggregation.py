@@ -294,9 +294,49 @@ def profile_columns(spark, d):
     return P.describe(table(spark, d, "orders").select("o_totalprice", "o_orderstatus")).select("name", "type", "n", "nulls", F.round("mean", 4).alias("mean"))
 
 
-@query("profile_all_columns")
+_KINDS = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+    "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp",
+}
+
+
+def _profile(c: str, kind: str) -> str:
+    text = f"strftime({{}}({c}), '%Y-%m-%d %H:%M:%S')" if kind == "timestamp" else f"cast({{}}({c}) as varchar)"
+    mean = f"round(avg({c}), 4)" if kind in ("bigint", "int", "double") else "null"
+    return f"select '{c}' as name, '{kind}' as type, count(*) as n, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\", {text.format('min')} as least, {text.format('max')} as most, {mean} as mean from lineitem"
+
+
+@query("profile_all_columns", " union all ".join(_profile(c, k) for c, k in _KINDS.items()))
 def profile_all_columns(spark, d):
-    return P.describe(table(spark, d, "lineitem"))
+    return P.describe(table(spark, d, "lineitem").select(*_KINDS), exact=True).withColumn("mean", F.round("mean", 4))
+
+
+@query("encoded_columns", DICT + "select * from (values ('c_custkey', 'float', true, null), ('c_mktsegment', 'str', false, 'c_mktsegment1,c_mktsegment2,c_mktsegment3,c_mktsegment4,c_mktsegment5'), "
+       "('c_nationkey', 'float', false, 'c_nationkey0,c_nationkey1,c_nationkey2,c_nationkey3,c_nationkey4,c_nationkey5,c_nationkey6,c_nationkey7')) v(name, kind, is_key, encoded) where (select count(*) from d) = 5")
+def encoded_columns(spark, d):
+    """Columns that encodings give, in the report of a dataset's fields."""
+    df = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    names = {"c_mktsegment": E.encoded_names("c_mktsegment", "onehot", E.fit(df, "c_mktsegment")), "c_nationkey": E.encoded_names("c_nationkey", "binary", E.fit(df, "c_nationkey"))}
+    return P.feature_schema(df, ["c_custkey"], names)
+
+
+@query("encoded_onehot", DICT + "select c_custkey, " + ", ".join(f"case when idx = {i} then 1 else 0 end as c_mktsegment{i}" for i in range(1, 6)) + ", cast(dense_rank() over (order by cast(c_nationkey as varchar)) as varchar) as c_nationkey_id from customer join d on c_mktsegment = value")
+def encoded_onehot(spark, d):
+    df, dictionaries = E.encode_all(table(spark, d, "customer"), {"c_mktsegment": "onehot", "c_nationkey": "id"})
+    return df.select("c_custkey", *E.encoded_names("c_mktsegment", "onehot", dictionaries["c_mktsegment"]), "c_nationkey_id")
+
+
+@query("week_bounds", "select event_id, strftime(date_trunc('week', ts), '%Y-%m-%d') as week_start, strftime(date_trunc('week', ts) + interval 7 day, '%Y-%m-%d') as week_end from events")
+def week_bounds(spark, d):
+    return table(spark, d, "events").select("event_id", times.week_start(C.ts).cast("string").alias("week_start"), times.week_end(C.ts).cast("string").alias("week_end"))
+
+
+@query("day_chunks", "select user_id, cast(epoch_us(date_trunc('day', ts)) // 86400000000 as integer) as day, cast((count(*) + 9) // 10 as integer) as chunks, cast(case when count(*) % 10 = 0 then 10 else count(*) % 10 end as integer) as last_size from events group by 1, 2")
+def day_chunks(spark, d):
+    """The events of a day in groups of ten."""
+    days = table(spark, d, "events").groupBy("user_id", times.day_number(C.ts).alias("day")).agg(F.collect_list("event_id").alias("v"))
+    parts = days.select("user_id", "day", arrays.chunks(F.col("v"), 10).alias("c")).where(arrays.has_any(F.col("c")))
+    return parts.select("user_id", "day", F.size("c").alias("chunks"), F.size(F.element_at("c", -1)).alias("last_size"))
 
 
 @query("ts_discovery", "select 'ts' as column_name, count(ts) as n, epoch_us(max(ts)) as last_us from events")
@@ -322,6 +362,6 @@ def doc_language(spark, d):
     return P.column_language(table(spark, d, "documents"), "text")
 
 
-@query("feature_schema", "select column_name as name, case when data_type like '%DOUBLE%' or data_type like '%INT%' then 'float' when data_type like 'TIME%' then 'datetime' else 'str' end as kind, column_name = 'o_orderkey' as is_key from (describe select * from orders) t(column_name, data_type, a, b, c, e)")
+@query("feature_schema", "select column_name as name, case when data_type like '%DOUBLE%' or data_type like '%INT%' then 'float' when data_type like 'TIME%' then 'datetime' else 'str' end as kind, column_name = 'o_orderkey' as is_key, cast(null as varchar) as encoded from (describe select * from orders) t(column_name, data_type, a, b, c, e)")
 def feature_schema(spark, d):
     return P.feature_schema(table(spark, d, "orders"), ["o_orderkey"])

@@ -1,7 +1,7 @@
 """Windows, sessions, clickstream features and paths over ``events``.
 
 ``event_type`` stands for the host, ``purchase`` for a payment, ``click`` for
-the target site and ``signup`` for the mobile one.
+the target site, ``signup`` for the mobile one and ``view`` for a promotion.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..operators import clickstream as K
 from ..operators import paths as T
+from ..operators import project as P
 from ..operators import sessions as S
+from ..operators.numbering import at_position
 from ..sources.scratch import written
-from .base import ORACLES, query, table
+from .base import query, table
 
-TARGET, MOBILE = "click", "signup"
+TARGET, MOBILE, PROMOTION = "click", "signup", "view"
 
 #: SQL of what the operators share: ordered events, runs, sessions, payers, people, calendar.
 BASE = """with e as (select user_id as user, epoch_us(ts) as tus, cast(epoch_us(date_trunc('day', ts)) // 86400000000 as integer) as day, event_id as event, event_type as host, ts, value from events),
@@ -128,28 +130,27 @@ def running_paying(spark, d):
 
 @query("first_per_host", BASE + "select user, host, event from e qualify row_number() over (partition by user, host order by tus, event) = 1")
 def first_per_host(spark, d):
-    w = W.partitionBy("user", "host").orderBy("at", "event")
-    return events(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user", "host", "event")
+    return events(spark, d).groupBy("user", "host").agg(F.min_by("event", F.struct("at", "event")).alias("event"))
 
 
 @query("pairwise_diff", "select event_id, round(value - lag(value) over (partition by user_id order by ts, event_id), 2) as diff from events")
 def pairwise_diff(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.round(F.col("value") - F.lag("value").over(w), 2).alias("diff"))
+    df = table(spark, d, "events")
+    out = P.pairwise(df, ["user_id"], F.to_date("ts"), ["ts", "event_id"], "before", F.col("value"), "diff", lambda a, b: F.round(b - a, 2))
+    return out.select("event_id", "diff")
 
 
 @query("session_sets", BASE + """, p as (select user, day, cast(max(case when host = 'purchase' then 1 else 0 end) as integer) as paying from e group by 1, 2)
-select p.user, p.day, paying, string_agg(s.host, '>' order by start) as hosts, round(sum(seconds), 6) as seconds from p join s on p.user = s.user and p.day = s.day group by 1, 2, 3""")
+select p.user, p.day, paying, string_agg(s.host, '>' order by start) as hosts, round(sum(seconds), 6) as seconds, cast(p.day - (p.day + 3) % 7 as integer) as week from p join s on p.user = s.user and p.day = s.day group by 1, 2, 3""")
 def session_sets(spark, d):
     df = S.session_sets(events(spark, d), F.col("host") == "purchase")
     total = F.aggregate("sessions.seconds", F.lit(0.0), lambda a, x: a + x)
-    return df.select("user", F.unix_date("day").alias("day"), "paying", F.array_join("sessions.host", ">").alias("hosts"), F.round(total, 6).alias("seconds"))
+    return df.select("user", F.unix_date("day").alias("day"), "paying", F.array_join("sessions.host", ">").alias("hosts"), F.round(total, 6).alias("seconds"), F.unix_date("week").alias("week"))
 
 
 @query("positional_sample", "with n as (select count(*) as n from events) select event_id from (select event_id, row_number() over (order by ts, event_id) - 1 as pos from events), n where pos = cast(floor(0.8 * n) as bigint)")
 def positional_sample(spark, d):
-    df = table(spark, d, "events").select("ts", "event_id")
-    return df.orderBy("ts", "event_id").offset(int(0.8 * df.count())).limit(1).select("event_id")
+    return at_position(table(spark, d, "events").select("ts", "event_id"), ["ts", "event_id"], 0.8).select("event_id")
 
 
 @query("top_k_pages", BASE + "select host, count(*) as visits from s group by 1 order by visits desc, host limit 3")
@@ -198,10 +199,11 @@ def host_stats(spark, d):
     return K.host_stats(stored_sessions(spark, d), MOBILE).withColumn("transition_seconds", F.round("transition_seconds", 6))
 
 
-@query("host_user_visits", BASE + "select host, user, count(*) as visits, round(sum(seconds), 6) as total_seconds, round(avg(seconds), 1) as mean_seconds from s group by 1, 2")
+@query("host_user_visits", BASE + """select host, user, count(*) as visits, round(sum(seconds), 6) as total_seconds, round(avg(seconds), 1) as mean_seconds,
+  count(next_host) as transitions, round(sum(seconds) / greatest(1.0, count(next_host)), 4) as seconds_per_transition from s group by 1, 2""")
 def host_user_visits(spark, d):
     df = K.host_user_visits(sessions(spark, d))
-    return df.withColumns({"total_seconds": F.round("total_seconds", 6), "mean_seconds": F.round("mean_seconds", 1)})
+    return df.withColumns({"total_seconds": F.round("total_seconds", 6), "mean_seconds": F.round("mean_seconds", 1), "seconds_per_transition": F.round("seconds_per_transition", 4)})
 
 
 @query("leading_pages", BASE + "select lead, led, users, paying_users, round(mean_seconds, 1) as mean_seconds from led")
@@ -263,17 +265,17 @@ def buy_visit_probability(spark, d):
 
 
 @query("purchase_windows", BASE + f""", k as (select user, case when cast(ts as date) > date '2024-01-28' - 7 then 'week' when cast(ts as date) > date '2023-12-28' then 'month'
-  when cast(ts as date) > date '2023-01-28' then 'year' when {HOLIDAY} then 'holiday' when dayofweek(ts) in (0, 6) then 'weekend' else 'none' end as kind from e where host = 'purchase')
-select user, count(*) as purchases, """ + ", ".join(f"round(count(*) filter (where kind = '{k}') / count(*), 6) as share_{k}" for k in ("week", "month", "year", "holiday", "weekend")) + " from k group by 1")
+  when cast(ts as date) > date '2023-01-28' then 'year' when month(ts) = 1 then 'this_month' when {HOLIDAY} then 'holiday' when dayofweek(ts) in (0, 6) then 'weekend' else 'none' end as kind from e where host = 'purchase')
+select user, count(*) as purchases, """ + ", ".join(f"round(count(*) filter (where kind = '{k}') / count(*), 6) as share_{k}" for k in K.PURCHASE_WINDOWS) + " from k group by 1")
 def purchase_windows(spark, d):
     df = K.purchase_windows(table(spark, d, "events"), "user_id", "ts", is_buy(), "2024-01-28", calendar(spark))
     return df.withColumns({c: F.round(c, 6) for c in df.columns if c.startswith("share")})
 
 
-@query("visit_ratios", BASE + """, x as (select user, day, count(*) filter (where host = 'click') as t, count(*) filter (where host = 'signup') as m from s group by 1, 2)
-select user, round(sum(m) / greatest(1.0, sum(t)), 6) as mobile_ratio, round(count(*) filter (where t > 0) / greatest(1.0, count(*)), 6) as day_ratio from x group by 1""")
+@query("visit_ratios", BASE + """, x as (select user, day, count(*) filter (where host = 'click') as t, count(*) filter (where host = 'signup') as m, max(case when host = 'view' then 1 else 0 end) as p from s group by 1, 2)
+select user, round(sum(m) / greatest(1.0, sum(t)), 6) as mobile_ratio, round(count(*) filter (where t > 0) / greatest(1.0, count(*)), 6) as day_ratio, cast(max(p) as integer) as saw_promotion from x group by 1""")
 def visit_ratios(spark, d):
-    df = K.visit_ratios(sessions(spark, d), TARGET, MOBILE)
+    df = K.visit_ratios(sessions(spark, d), TARGET, MOBILE, PROMOTION)
     return df.withColumns({c: F.round(c, 6) for c in ("mobile_ratio", "day_ratio")})
 
 
@@ -283,122 +285,161 @@ def top_values_onehot(spark, d):
     return K.top_values_one_hot(table(spark, d, "events"), "user_id", "event_type", "props", 3)
 
 
-PATHS = BASE + """, c as (select user, day, list(host order by start)[1:4] as sites, list(seconds order by start)[1:4] as times from s group by 1, 2),
+#: Chains of sites, their prefixes as text, and their nodes as in ``paths.nodes``; trees over all, the first and the second half.
+PATHS = BASE + """, c as (select user, day, list(host order by run) as sites, list(seconds order by run) as times from s group by 1, 2),
 x as (select user, day, sites, times, unnest(range(1, len(sites) + 1)) as depth from c),
 p as (select user, day, array_to_string(sites[1:depth], '>') as prefix, depth, times[depth] as seconds from x),
-pc as (select p.*, case when payers.user is null then 'other' else 'paying' end as cohort from p left join payers on p.user = payers.user),
 tree as (select prefix, depth, count(*) as visits, avg(seconds) as mean_seconds from p group by 1, 2),
-early as (select prefix, depth, count(*) as visits from p where day < 19738 group by 1, 2), late as (select prefix, depth, count(*) as visits from p where day >= 19738 group by 1, 2) """
+early as (select prefix, depth, count(*) as visits, avg(seconds) as mean_seconds from p where day < 19738 group by 1, 2),
+late as (select prefix, depth, count(*) as visits, avg(seconds) as mean_seconds from p where day >= 19738 group by 1, 2),
+o as (select user, day, run, host as site, seconds, row_number() over (partition by user, day order by run) as depth from s),
+m as (select *, md5(concat_ws(':', depth, site)) as m from o),
+n0 as (select *, cast(sum(cast('0x' || m[1:15] as bigint)) over w as varchar) || ':' || cast(sum(cast('0x' || m[16:30] as bigint)) over w as varchar) as node from m window w as (partition by user, day order by run)),
+n as (select *, lag(node) over (partition by user, day order by run) as parent from n0) """
+HALF = "2024-01-16"
+
+
+def nodes(spark, d):
+    return written(T.nodes(sessions(spark, d)), "nodes")
 
 
-def prefixes(spark, d, stored: bool = False):
-    rows = T.prefixes(T.chains(sessions(spark, d), 4), "user", "day")
-    return written(rows, "prefixes") if stored else rows
+_TREE = PATHS + "select node, parent, site, cast(depth as integer) as depth, count(*) as visits, round(avg(seconds), 1) as mean_seconds from n group by all"
 
 
-@query("path_prefixes", PATHS + "select prefix, cast(depth as integer) as depth, visits, round(mean_seconds, 1) as mean_seconds from tree")
+@query("path_prefixes", _TREE)
+@query("whole_path_prefixes", _TREE)
 def path_prefixes(spark, d):
-    return T.tree(prefixes(spark, d)).withColumn("mean_seconds", F.round("mean_seconds", 1))
+    return T.tree(T.nodes(sessions(spark, d))).drop("chain").withColumn("mean_seconds", F.round("mean_seconds", 1))
+
 
+_LONGEST = PATHS + "select prefix, cast(depth as integer) as depth, visits from tree order by depth desc, visits desc, prefix desc limit 1"
 
-@query("longest_path", PATHS + "select prefix, cast(depth as integer) as depth, visits from tree order by depth desc, visits desc, prefix desc limit 1")
+
+@query("longest_path", _LONGEST)
+@query("whole_longest_path", _LONGEST)
 def longest_path(spark, d):
-    return T.longest(T.tree(prefixes(spark, d))).select("prefix", "depth", "visits")
+    rows = nodes(spark, d)
+    return T.longest(T.tree(rows), rows).select("prefix", "depth", "visits")
 
 
 def _halves(spark, d):
-    rows = prefixes(spark, d, stored=True)
-    cut = F.lit("2024-01-16").cast("date")
-    return T.tree(rows.where(F.col("day") < cut)), T.tree(rows.where(F.col("day") >= cut))
+    rows = nodes(spark, d)
+    cut = F.lit(HALF).cast("date")
+    return rows.where(F.col("day") < cut), rows.where(F.col("day") >= cut)
 
 
-@query("common_path", PATHS + "select prefix, cast(early.depth as integer) as depth, early.visits as visits, late.visits as visits_b from early join late using (prefix)")
+@query("common_path", PATHS + """select prefix, cast(early.depth as integer) as depth, early.visits as visits, late.visits as visits_b from early join late using (prefix)
+order by early.depth desc, early.visits desc, prefix desc limit 1""")
 def common_path(spark, d):
     a, b = _halves(spark, d)
-    return T.common(a, b).select("prefix", "depth", "visits", "visits_b")
+    return T.longest_common(T.tree(a), a, T.tree(b))
+
 
+@query("whole_common_path", PATHS + """select node, min(site) as site, cast(depth as integer) as depth, count(*) filter (where day < 19738) as visits, count(*) filter (where day >= 19738) as visits_b
+from n group by node, depth having count(distinct day < 19738) = 2""")
+def whole_common_path(spark, d):
+    return T.shared(*map(T.tree, _halves(spark, d))).select("node", "site", "depth", "visits", "visits_b")
 
-def _ic(rows: str) -> str:
-    """SQL of the entropy of the visits along the longest path of a tree."""
+
+def _ic(rows: str, weight: str = "visits") -> str:
+    """SQL of the entropy of the weights along the longest path of a tree."""
     deepest = f"(select prefix from {rows} order by depth desc, visits desc, prefix desc limit 1)"
-    return f"(select case when sum(visits) > 0 then ln(sum(visits)) - sum(visits * ln(visits)) / sum(visits) else 0 end from {rows} where starts_with({deepest} || '>', prefix || '>'))"
+    return f"(select coalesce(case when sum({weight}) > 0 then ln(sum({weight})) - sum({weight} * ln({weight})) / sum({weight}) else 0 end, 0) from {rows} where starts_with({deepest} || '>', prefix || '>'))"
 
 
-@query("lin_similarity", PATHS + f", shared as (select * from early where prefix in (select prefix from late)) select round(2 * {_ic('shared')} / ({_ic('early')} + {_ic('late')}), 6) as similarity")
-def lin_similarity(spark, d):
-    return T.lin_similarity(*_halves(spark, d)).select(F.round("similarity", 6).alias("similarity"))
+def _lin(weight: str) -> str:
+    top, bottom = _ic("shared", weight), f"({_ic('early', weight)} + {_ic('late', weight)})"
+    return PATHS + f", shared as (select * from early where prefix in (select prefix from late)) select round(2 * {top} / {bottom}, 6) as similarity"
 
 
-_BY_USER = "select user, case when sum(visits) > 0 then ln(sum(visits)) - sum(visits * ln(visits)) / sum(visits) else 0 end as ic from (select *, first_value(prefix) over (partition by user order by depth desc, visits desc, prefix desc) as deepest from {}) where starts_with(deepest || '>', prefix || '>') group by 1"
+def _of_halves(spark, d, weight):
+    a, b = _halves(spark, d)
+    return T.lin_similarity(T.tree(a), a, T.tree(b), b, weight=weight).select(F.round("similarity", 6).alias("similarity"))
 
 
-@query("cohort_similarity", PATHS + f""", cohort as (select prefix, depth, count(*) as visits from p where user in (select user from payers) group by 1, 2), t as (select user, prefix, depth, count(*) as visits from p group by 1, 2, 3),
-tc as (select * from t where prefix in (select prefix from cohort)), a as ({_BY_USER.format("t")}), k as ({_BY_USER.format("tc")})
-select a.user, round(case when a.ic + {_ic('cohort')} > 0 then 2 * coalesce(k.ic, 0) / (a.ic + {_ic('cohort')}) else 0 end, 6) as similarity from a left join k on a.user = k.user""")
-def cohort_similarity(spark, d):
-    rows = prefixes(spark, d, stored=True)
-    cohort = T.tree(rows.join(payers(spark, d), "user", "left_semi"))
-    return T.lin_similarity(T.tree(rows, "user"), cohort, "user").withColumn("similarity", F.round("similarity", 6))
+@query("lin_similarity", _lin("visits"))
+@query("whole_lin_similarity", _lin("visits"))
+def lin_similarity(spark, d):
+    return _of_halves(spark, d, "visits")
 
 
-@query("cohort_trees", PATHS + "select cohort, prefix, cast(depth as integer) as depth, count(*) as visits from pc group by 1, 2, 3")
-def cohort_trees(spark, d):
-    rows = prefixes(spark, d).join(payers(spark, d).withColumn("pays", F.lit(1)), "user", "left").withColumn("cohort", F.when(F.col("pays") == 1, "paying").otherwise("other"))
-    return T.tree(rows, "cohort").select("cohort", "prefix", "depth", "visits")
+@query("lin_similarity_time", _lin("mean_seconds"))
+def lin_similarity_time(spark, d):
+    return _of_halves(spark, d, "mean_seconds")
 
 
-#: The same over whole chains: PATHS without its bound on the sites, and the nodes of ``paths.nodes``.
-WHOLE = PATHS.replace("[1:4]", "") + """, o as (select user, day, run, host as site, seconds, row_number() over (partition by user, day order by run) as depth from s),
-m as (select *, md5(concat_ws(':', depth, site)) as m from o),
-n0 as (select *, cast(sum(cast('0x' || m[1:15] as bigint)) over w as varchar) || ':' || cast(sum(cast('0x' || m[16:30] as bigint)) over w as varchar) as node from m window w as (partition by user, day order by run)),
-n as (select *, lag(node) over (partition by user, day order by run) as parent from n0) """
+def _by_user(rows: str, weight: str = "visits") -> str:
+    return f"""select user, case when sum({weight}) > 0 then ln(sum({weight})) - sum({weight} * ln({weight})) / sum({weight}) else 0 end as ic
+  from (select *, first_value(prefix) over (partition by user order by depth desc, visits desc, prefix desc) as deepest from {rows}) where starts_with(deepest || '>', prefix || '>') group by 1"""
 
 
-def nodes(spark, d):
-    return written(T.nodes(sessions(spark, d)), "nodes")
+def _scores(cohort: str, weight: str = "visits") -> str:
+    """SQL of each user's similarity with a tree."""
+    return f"""select a.user, round(case when a.ic + {_ic(cohort, weight)} > 0 then 2 * coalesce(k.ic, 0) / (a.ic + {_ic(cohort, weight)}) else 0 end, 6) as similarity
+  from ({_by_user("t", weight)}) a left join ({_by_user(f"(select * from t where prefix in (select prefix from {cohort}))", weight)}) k on a.user = k.user"""
 
 
-@query("whole_path_prefixes", WHOLE + "select node, parent, site, cast(depth as integer) as depth, count(*) as visits, round(avg(seconds), 1) as mean_seconds from n group by all")
-def whole_path_prefixes(spark, d):
-    return T.node_tree(T.nodes(sessions(spark, d))).drop("chain").withColumn("mean_seconds", F.round("mean_seconds", 1))
+_COHORT = PATHS + """, cohort as (select prefix, depth, count(*) as visits from p where user in (select user from payers) group by 1, 2),
+t as (select user, prefix, depth, count(*) as visits from p group by 1, 2, 3) """ + _scores("cohort")
 
 
-@query("whole_longest_path", WHOLE + "select prefix, cast(depth as integer) as depth, visits from tree order by depth desc, visits desc, prefix desc limit 1")
-def whole_longest_path(spark, d):
+@query("cohort_similarity", _COHORT)
+@query("whole_cohort_similarity", _COHORT)
+def cohort_similarity(spark, d):
     rows = nodes(spark, d)
-    return T.longest_node(T.node_tree(rows), rows).select("prefix", "depth", "visits")
+    cohort = rows.join(payers(spark, d), "user", "left_semi")
+    return T.lin_similarity(T.tree(rows, "user"), rows, T.tree(cohort), cohort, "user").withColumn("similarity", F.round("similarity", 6))
 
 
-def _node_halves(spark, d):
-    rows = nodes(spark, d)
-    cut = F.lit("2024-01-16").cast("date")
-    return rows.where(F.col("day") < cut), rows.where(F.col("day") >= cut)
+_COHORT_TREES = PATHS + """select case when payers.user is null then 'other' else 'paying' end as cohort, node, parent, site, cast(depth as integer) as depth, count(*) as visits
+from n left join payers on n.user = payers.user group by all"""
 
 
-@query("whole_common_path", WHOLE + """select node, min(site) as site, cast(depth as integer) as depth, count(*) filter (where day < 19738) as visits, count(*) filter (where day >= 19738) as visits_b
-from n group by node, depth having count(distinct day < 19738) = 2""")
-def whole_common_path(spark, d):
-    a, b = map(T.node_tree, _node_halves(spark, d))
-    return a.join(b.select("node", F.col("visits").alias("visits_b")), "node").select("node", "site", "depth", "visits", "visits_b")
+@query("cohort_trees", _COHORT_TREES)
+@query("whole_cohort_trees", _COHORT_TREES)
+def cohort_trees(spark, d):
+    rows = T.nodes(sessions(spark, d)).join(payers(spark, d).withColumn("pays", F.lit(1)), "user", "left")
+    rows = rows.withColumn("cohort", F.when(F.col("pays") == 1, "paying").otherwise("other"))
+    return T.tree(rows, "cohort").select("cohort", "node", "parent", "site", "depth", "visits")
 
 
-@query("whole_lin_similarity", WHOLE + f", shared as (select * from early where prefix in (select prefix from late)) select round(2 * {_ic('shared')} / ({_ic('early')} + {_ic('late')}), 6) as similarity")
-def whole_lin_similarity(spark, d):
-    a, b = _node_halves(spark, d)
-    return T.lin_similarity_nodes(T.node_tree(a), a, T.node_tree(b), b).select(F.round("similarity", 6).alias("similarity"))
+#: Cohorts of days: those that pay, and those of the week from SINCE on, without and with a payment.
+SINCE = "2024-01-16"
+COHORTS = ("paying", "not_paying_since", "paying_since")
+_PAID = """, paid as (select user, day, max(case when host = 'purchase' then 1 else 0 end) as paying from e group by 1, 2),
+dc as (select user, day, unnest(list_filter([case when paying = 1 then 'paying' end, case when paying = 0 and day between 19738 and 19745 then 'not_paying_since' end,
+  case when paying = 1 and day between 19738 and 19745 then 'paying_since' end], lambda x: x is not null)) as cohort from paid) """
 
 
-@query("whole_cohort_similarity", ORACLES["cohort_similarity"].replace("[1:4]", ""))
-def whole_cohort_similarity(spark, d):
-    rows = nodes(spark, d)
-    cohort = rows.join(payers(spark, d), "user", "left_semi")
-    return T.lin_similarity_nodes(T.node_tree(rows, "user"), rows, T.node_tree(cohort), cohort, "user").withColumn("similarity", F.round("similarity", 6))
+def _dated(spark, d, rows):
+    """The nodes of every cohort of days."""
+    days = events(spark, d).groupBy("user", "day").agg(F.max((F.col("host") == "purchase").cast("int")).alias("paying"))
+    week = F.col("day").between(F.lit(SINCE).cast("date"), F.date_add(F.lit(SINCE).cast("date"), 7))
+    pays = F.col("paying") == 1
+    kinds = F.array_compact(F.array(F.when(pays, COHORTS[0]), F.when(~pays & week, COHORTS[1]), F.when(pays & week, COHORTS[2])))
+    return rows.join(days.select("user", "day", F.explode(kinds).alias("cohort")), ["user", "day"])
+
 
+@query("dated_cohort_trees", PATHS + _PAID + "select cohort, node, parent, site, cast(depth as integer) as depth, count(*) as visits from n join dc using (user, day) group by all")
+def dated_cohort_trees(spark, d):
+    return T.tree(_dated(spark, d, T.nodes(sessions(spark, d))), "cohort").select("cohort", "node", "parent", "site", "depth", "visits")
 
-@query("whole_cohort_trees", WHOLE + "select case when payers.user is null then 'other' else 'paying' end as cohort, node, parent, site, cast(depth as integer) as depth, count(*) as visits from n left join payers on n.user = payers.user group by all")
-def whole_cohort_trees(spark, d):
-    rows = T.nodes(sessions(spark, d)).join(payers(spark, d).withColumn("pays", F.lit(1)), "user", "left").withColumn("cohort", F.when(F.col("pays") == 1, "paying").otherwise("other"))
-    return T.node_tree(rows, "cohort").select("cohort", "node", "parent", "site", "depth", "visits")
+
+@query("dated_cohort_similarity", PATHS + _PAID + ", t as (select user, prefix, depth, count(*) as visits, avg(seconds) as mean_seconds from p group by 1, 2, 3), "
+       + ", ".join(f"k{i} as (select prefix, depth, count(*) as visits, avg(seconds) as mean_seconds from p join dc using (user, day) where cohort = '{c}' group by 1, 2)" for i, c in enumerate(COHORTS))
+       + " union all ".join(f" select '{c}' as cohort, '{w}' as weight, * from ({_scores(f'k{i}', w)})" for i, c in enumerate(COHORTS) for w in ("visits", "mean_seconds")))
+def dated_cohort_similarity(spark, d):
+    """Each user against each cohort of days, by visits and by time."""
+    rows = nodes(spark, d)
+    own, dated = written(T.tree(rows, "user"), "user-trees"), written(_dated(spark, d, rows), "dated-nodes")
+    out = None
+    for cohort in COHORTS:
+        members = dated.where(F.col("cohort") == cohort)
+        for weight in ("visits", "mean_seconds"):
+            part = T.lin_similarity(own, rows, T.tree(members), members, "user", weight=weight)
+            part = part.select(F.lit(cohort).alias("cohort"), F.lit(weight).alias("weight"), "user", F.round("similarity", 6).alias("similarity"))
+            out = part if out is None else out.union(part)
+    return out
 
 
 @query("ratio_max", BASE + "select round(max(t / b), 6) as best from (select user, sum(case when host = 'click' then seconds else 0 end) as t, sum(seconds) as b from s group by 1) where user in (select user from payers)")
@@ -413,7 +454,8 @@ def flat_session_export(spark, d):
     return rows.select("user", F.col("host").alias("domain"), F.round("seconds", 6).alias("duration"), "start")
 
 
-@query("appended_visits", BASE + "select user, string_agg(host, ',' order by tus, event) || ',end' as hosts from e group by 1")
+@query("appended_visits", BASE + "select user, day, string_agg(host, ',' order by tus, event) || ',end' as hosts from e group by 1, 2")
 def appended_visits(spark, d):
-    rows = events(spark, d).groupBy("user").agg(F.array_sort(F.collect_list(F.struct("at", "event", "host"))).alias("v"))
-    return rows.select("user", F.array_join(F.array_append("v.host", F.lit("end")), ",").alias("hosts"))
+    """The visits of a day, so that no list is as long as a history."""
+    rows = events(spark, d).groupBy("user", "day").agg(F.array_sort(F.collect_list(F.struct("at", "event", "host"))).alias("v"))
+    return rows.select("user", F.unix_date("day").alias("day"), F.array_join(F.array_append("v.host", F.lit("end")), ",").alias("hosts"))

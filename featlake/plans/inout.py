@@ -33,6 +33,29 @@ def csv_inferred(spark, d):
     return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice", "note")
 
 
+@query("csv_default", "select o_orderkey, o_totalprice, case when o_orderkey % 1000 = 1 then 'n/a' else cast(o_custkey as varchar) end as _cust, o_orderstatus as NoName_4 from orders")
+def csv_default(spark, d):
+    """Default reading: a rare value that is no number keeps its column text, names that begin like Spark's stay, empty fields without a name go."""
+    path = new_path(spark, "csv")
+    cust = F.when(F.col("o_orderkey") % 1000 == 1, "n/a").otherwise(F.col("o_custkey").cast("string"))
+    line = F.concat_ws(";", "o_orderkey", "o_totalprice", F.concat(F.lit("'"), cust, F.lit("'")), F.lit(""), "o_orderstatus")
+    rows = orders(spark, d).select(line.alias("value"))
+    heads = spark.range(1).select(F.lit("o_orderkey;o_totalprice;_cust;;").alias("value"))
+    # A header in each file, as in a folder of exported files.
+    for i in range(2):
+        heads.union(rows.where(F.col("value").isNotNull() & (F.crc32("value") % 2 == i))).coalesce(1).write.mode("append").text(path)
+    return R.read_csv(spark, path)
+
+
+@query("inferred_schema", """select * from (values ('o_orderkey', 'bigint', false, null), ('o_totalprice', 'double', false, null), ('o_orderdate', 'timestamp', true, null),
+  ('o_orderstatus', 'string', false, 'binary'), ('o_comment', 'string', false, 'id')) v(name, type, is_time, encoding) where (select count(*) from orders) > 0""")
+def inferred_schema(spark, d):
+    path = new_path(spark, "csv")
+    df = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderstatus", F.concat(F.lit("note "), "o_orderkey").alias("o_comment"))
+    S.write_csv(df, path, ";")
+    return R.inferred(R.read_csv(spark, path))
+
+
 @query("json_roundtrip", SQL)
 def json_roundtrip(spark, d):
     path = new_path(spark, "json")
@@ -107,16 +130,25 @@ def preagg_scan(spark, d):
     return df.select("o_custkey", "n", F.round("total", 2).alias("total"), F.array_join(F.transform("items", lambda x: x["o_orderkey"].cast("string")), ",").alias("items"))
 
 
-@query("shard_limit", "select o_orderkey from orders where o_custkey < 400")
+@query("shard_limit", "select o_orderkey from orders where o_orderdate < (select quantile_disc(o_orderdate, 0.5) from orders)")
 def shard_limit(spark, d):
+    """Orders before the middle date are in the first of two shards by name, and only that one is read."""
     path = new_path(spark, "shards")
-    files = max(2, spark.sparkContext.defaultParallelism)
-    orders(spark, d).repartition(files).write.parquet(path)
-    # Files are named by random ids: the first shard by name is any of them.
-    one = R.read_directory(spark, path, shards=1).select("o_orderkey", "o_custkey")
-    both = R.read_directory(spark, path, shards=files).select("o_orderkey", "o_custkey")
-    rest = both.join(one.select("o_orderkey"), "o_orderkey", "left_anti")
-    return one.unionByName(rest).where("o_custkey < 400").select("o_orderkey")
+    df = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    at = F.unix_micros("o_orderdate")
+    middle = df.agg(F.expr("percentile_disc(0.5) within group (order by unix_micros(o_orderdate))")).first()[0]
+    early = F.coalesce(at < F.lit(middle), F.lit(False))
+    for name, where in (("shard-0", early), ("shard-1", ~early)):
+        df.where(where).write.parquet(f"{path}/{name}")
+    return R.read_shards(spark, path, shards=1).select("o_orderkey")
+
+
+@query("file_limit", "select count(*) as files from (values (1), (2)) v(x)")
+def file_limit(spark, d):
+    """Two files of a folder, by name."""
+    path = new_path(spark, "files")
+    orders(spark, d).repartition(max(3, spark.sparkContext.defaultParallelism)).write.parquet(path)
+    return R.read_directory(spark, path, shards=2).select(F.input_file_name().alias("name")).agg(F.count_distinct("name").alias("files"))
 
 
 @query("entry_limit", "select o_orderkey from orders order by o_orderkey limit 100")
@@ -139,19 +171,14 @@ def read_by_mime(spark, d):
 
 @query("observed_write", "select count(*) as n, round(sum(o_totalprice), 2) as total from orders")
 def observed_write(spark, d):
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    S.discard(orders(spark, d).observe(seen, F.count("*").alias("n"), F.sum("o_totalprice").alias("total")))
-    return spark.createDataFrame([(seen.get["n"], seen.get["total"])], "n long, total double").select("n", F.round("total", 2).alias("total"))
+    seen = S.observed(orders(spark, d), S.discard, n=F.count("*"), total=F.sum("o_totalprice"))
+    return spark.createDataFrame([(seen["n"], seen["total"])], "n long, total double").select("n", F.round("total", 2).alias("total"))
 
 
 @query("reduced_output", "select o_custkey, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1")
 def reduced_output(spark, d):
-    from ..operators.aggregates import map_reduce
-
+    """The reduced rows replace what ``<name>_reduced`` held."""
     path = new_path(spark, "orders_reduced")
-    v = F.col("values")
-    total = F.aggregate(F.transform(v, lambda x: x["price"]), F.lit(0.0), lambda a, x: a + x)
-    S.replace_output(map_reduce(orders(spark, d), {"o_custkey": F.col("o_custkey")}, {"price": F.col("o_totalprice")}, {"n": F.size(v).cast("long"), "total": F.round(total, 2)}), path)
+    S.replace_output(orders(spark, d).select("o_custkey"), path)
+    S.replace_output(orders(spark, d).groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")), path)
     return spark.read.parquet(path)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..operators import joins as J
 from ..operators import project as P
 from ..sources import readers as R
 from ..sources import writers as S
+from ..sources.scratch import new_path
 from .base import query, table
 
 
@@ -71,7 +73,6 @@ def match_example(spark, d):
 
 @query("time_range_flag", "select event_id, value from events where ts >= '2024-01-08' and ts < '2024-01-15' and event_type = 'purchase'")
 def time_range_flag(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{d}/events.parquet")  # uncast, so that the range reaches the scan
     return P.time_range(df, "ts", "2024-01-08", "2024-01-15").where("event_type = 'purchase'").select("event_id", "value")
 
@@ -98,15 +99,25 @@ def lookup_first(spark, d):
 @query("theta_first", """select c_custkey, o_orderkey from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_orderdate nulls last, o_orderkey) rn
   from customer left join orders on o_custkey = c_custkey and o_totalprice > c_acctbal * 40) where rn = 1""")
 def theta_first(spark, d):
-    left = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    left = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") * 40).alias("bound"), F.col("c_custkey").alias("row"))
     right = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_totalprice")
-    return J.first_match(left, right, ["c_custkey"], F.col("o_totalprice") > F.col("c_acctbal") * 40, ["c_custkey"], ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey")
+    return J.first_above(left, right, ["c_custkey"], "bound", "o_totalprice", "row", ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey")
+
+
+@query("theta_first_any", """select c_custkey, o_orderkey from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_orderdate nulls last, o_orderkey) rn
+  from customer left join orders on o_custkey = c_custkey and o_orderstatus <> 'F' and o_totalprice between c_acctbal and c_acctbal * 40) where rn = 1""")
+def theta_first_any(spark, d):
+    """A condition that is no single bound: all rows of a key are tried."""
+    left = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    right = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    fits = (F.col("o_orderstatus") != "F") & F.col("o_totalprice").between(F.col("c_acctbal"), F.col("c_acctbal") * 40)
+    return J.first_match(left, right, ["c_custkey"], fits, ["c_custkey"], ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey")
 
 
 @query("relation_join", "select o_orderkey, count(*) as lines, round(sum(l_extendedprice), 2) as total from orders join lineitem on o_orderkey = l_orderkey group by 1")
 def relation_join(spark, d):
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
-    return table(spark, d, "orders").select("o_orderkey").join(lines, "o_orderkey")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    return J.related(table(spark, d, "orders").select("o_orderkey"), lines, "o_orderkey = l_orderkey")
 
 
 @query("child_rows", "select user_id, event_type, count(*) as n from events group by all")
@@ -114,6 +125,13 @@ def child_rows(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query("child_visitor", "select user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, event_id from events")
+def child_visitor(spark, d):
+    """A user's events of a day as an array, and a row for each of its members."""
+    days = table(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.collect_list(F.struct("event_type", "event_id")).alias("events"))
+    return P.children(days, "events", {"user_id": F.col("user_id"), "day": F.col("day"), "event_type": F.col("child.event_type"), "event_id": F.col("child.event_id")})
+
+
 WEEK = "cast(floor((epoch_us(date_trunc('day', ts)) // 86400000000 + 3) / 7.0) as integer)"
 
 
@@ -155,9 +173,15 @@ def sync_tables(spark, d):
     return S.upsert(df, b, ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
-@query("truncate_table", "select c_custkey from customer where false")
+@query("truncate_table", "select c_nationkey, count(*) as n from customer where c_custkey % 2 = 0 group by 1")
 def truncate_table(spark, d):
-    return S.truncated(table(spark, d, "customer").select("c_custkey"))
+    """A written table is emptied, keeps its columns and takes other rows."""
+    path = new_path(spark, "truncated")
+    df = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    S.replace_output(df, path)
+    S.truncate(spark, path)
+    S.append_batches(df.where("c_custkey % 2 = 0"), path)
+    return spark.read.parquet(path).groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
 @query("append_union", "select c_nationkey, count(*) as n from (select * from customer union all select * from customer) group by 1")
@@ -178,9 +202,10 @@ def keyed_intersect(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
 
 
-@query("key_difference", "select c_custkey as k from customer except select o_custkey from orders")
+@query("key_difference", "select c_custkey as k from customer except select o_custkey from orders where o_totalprice > 400000")
 def key_difference(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+    dear = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("k"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(dear)
 
 
 @query("sorted_limit", "select event_id, value from events order by value desc, event_id limit 20")
@@ -195,4 +220,12 @@ def limit_after_group(spark, d):
 
 @query("unique_guard", "select user_id, cast(day(ts) as bigint) as day, count(*) as n from events group by 1, 2 having count(*) > 1")
 def unique_guard(spark, d):
-    return table(spark, d, "events").groupBy("user_id", F.dayofmonth("ts").cast("long").alias("day")).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys of several events; the events themselves have ids of their own, or this is an error."""
+    df = P.require_unique(table(spark, d, "events"), ["event_id"])
+    return P.unique_guard(df.withColumn("day", F.dayofmonth("ts").cast("long")), ["user_id", "day"])
+
+
+@query("key_hashes", "select count(distinct (user_id, event_type)) as keys, count(distinct (user_id, event_type)) as hashes from events")
+def key_hashes(spark, d):
+    df = table(spark, d, "events").select("user_id", "event_type").distinct()
+    return df.agg(F.count("*").alias("keys"), F.count_distinct(texts.key_hash(F.col("user_id"), F.col("event_type"))).alias("hashes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import new_path
 from ..streaming import jobs as J
 from .base import query, table
+from .clicks import BASE
 
 
 #: Rows of a file of a slice, about.
@@ -87,7 +88,7 @@ def stream_gap_sessions(spark, d):
     return last.join(F.broadcast(newest), "batch").select("user", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
-@query("stream_host_sessions")
+@query("stream_host_sessions", BASE + "select user, start, host, last, n from s")
 def stream_host_sessions(spark, d):
     out = new_path(spark, "host-sessions")
     end = last_ms(spark, d)

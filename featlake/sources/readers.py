@@ -14,11 +14,77 @@ MIME = {"text/csv": "csv", "application/json": "json", "": "json"}
 MIME_MORE = {"application/x-ndjson": "jsonl", "application/vnd.apache.parquet": "parquet"}
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool = True, schema: T.StructType | str | None = None, sample: float = 0.1) -> DataFrame:
-    """Delimited files. Types are inferred on a sample, one for a column; blanks and tabs around values go, and unnamed empty columns."""
+#: Marks around a value that do not belong to it; double quotes are taken off by the parser.
+CSV_TRIM = "\t\n\r'"
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool = True, schema: T.StructType | str | None = None, sample: float = 1.0, names: list[str] | None = None) -> DataFrame:
+    """Delimited files.
+
+    A file without ``header`` has the ``names`` that are given. Quotes that enclose
+    a value, and single quotes, tabs and line ends around it go. Fields without a name are ``NoName_<place>``,
+    and go if they are empty in all rows. Without ``schema`` a type is inferred
+    from the rows of ``sample`` (all by default); if it is a smaller share and a
+    value of another row does not fit its column's type, the column stays text,
+    so that no value is lost.
+    """
     reader = spark.read.option("sep", sep).option("header", header).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"')
-    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).option("samplingRatio", sample).csv(path)
-    return df.toDF(*[clean_name(c) if not c.startswith("_c") else f"NoName_{i}" for i, c in enumerate(df.columns)])
+    if schema:
+        df = reader.schema(schema).csv(path)
+        return df.toDF(*[clean_name(c) for c in df.columns])
+    text = reader.csv(path)
+    # Spark names a field without a name ``_c<place>``; a header may hold such a name itself.
+    shown = _headers(spark, path, sep) if header and any(c.startswith("_c") for c in text.columns) else []
+    given = list(names or []) if not header else [h if h != f"_c{i}" or h in shown else "" for i, h in enumerate(text.columns)]
+    given += [""] * (len(text.columns) - len(given))
+    fields = [clean_name(g) if g else f"NoName_{i}" for i, g in enumerate(given)]
+    text = text.toDF(*fields)
+    text = text.select(*[F.btrim(F.col(f"`{c}`"), F.lit(CSV_TRIM)).alias(c) for c in fields])
+    chosen = text if sample >= 1.0 else text.sample(sample, seed=1)
+    kinds = _kinds(chosen, fields)
+    if sample < 1.0:  # every value must fit
+        fits = text.agg(*[F.bool_and(F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") == "") | F.col(f"`{c}`").try_cast(k).isNotNull()).alias(c) for c, k in kinds.items()]).first()
+        kinds = {c: k if fits[c] in (True, None) else "string" for c, k in kinds.items()}
+    filled = text.agg(*[F.bool_or(F.coalesce(F.length(f"`{c}`"), F.lit(0)) > 0).alias(c) for c in fields]).first()
+    keep = [c for c, g in zip(fields, given, strict=True) if g or filled[c]]
+    cast = lambda c: F.col(f"`{c}`") if kinds[c] == "string" else F.col(f"`{c}`").try_cast(kinds[c])
+    return text.select(*[cast(c).alias(c) for c in keep])
+
+
+def _headers(spark: SparkSession, path: str, sep: str) -> list[str]:
+    """The fields of the header line, as written."""
+    line = spark.read.text(path).limit(1).collect()
+    return [x.strip(CSV_TRIM + '" ') for x in line[0][0].split(sep)] if line else []
+
+
+def _kinds(text: DataFrame, fields: list[str]) -> dict[str, str]:
+    """The narrowest of long, double, timestamp and string that all values of a column fit; text where all are empty."""
+    value = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))
+    tests = {
+        "bigint": lambda c: value(c).try_cast("bigint").isNotNull(), "double": lambda c: value(c).try_cast("double").isNotNull(),
+        "timestamp": lambda c: value(c).rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & value(c).try_cast("timestamp").isNotNull(),
+    }
+    seen = text.agg(*[F.bool_and(F.when(value(c).isNotNull(), test(c))).alias(f"{kind}_{i}") for i, c in enumerate(fields) for kind, test in tests.items()]).first()
+    return {c: next((kind for kind in tests if seen[f"{kind}_{i}"]), "string") for i, c in enumerate(fields)}
+
+
+#: Values of a text column up to which it is encoded by default: two are told apart by a bit each, more by a code.
+MOST_DEFAULT = 20
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    """A row per column: ``name``, ``type``, ``is_time`` (of the dataset's time column) and ``encoding``, the default one.
+
+    Numbers and times are taken as they are; a text column is coded as
+    ``binary`` up to MOST_DEFAULT distinct values, else by ``id``.
+    """
+    from ..operators.profiling import timestamp_column
+
+    time = timestamp_column(df)
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    counts = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in texts]).first() if texts else {}
+    rows = [(f.name, f.dataType.simpleString(), f.name == time, None if f.name not in texts else "binary" if counts[f.name] <= MOST_DEFAULT else "id") for f in df.schema]
+    return df.sparkSession.createDataFrame(rows, "name string, type string, is_time boolean, encoding string")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -60,6 +126,14 @@ def read_directory(spark: SparkSession, path: str, kind: str = "parquet", shards
     return spark.read.options(**options).format(kind).schema(df.schema).load(sorted(df.inputFiles())[:shards])
 
 
+def read_shards(spark: SparkSession, path: str, kind: str = "parquet", shards: int | None = None) -> DataFrame:
+    """The first ``shards`` folders of ``path``, in order of name (all without a limit); only their files are listed and read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    names = sorted(f.getPath().toString() for f in found if f.isDirectory())
+    return spark.read.format(kind).load(names[:shards])
+
+
 def read_many(frames: list[DataFrame]) -> DataFrame:
     """Several datasets as one, by column name."""
     out = frames[0]
@@ -80,5 +154,8 @@ def lookup_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def preaggregated(df: DataFrame, where, keys: list[str], total: str, item: list[str], most: int) -> DataFrame:
-    """match, group (count, sum, collected items in order), limit: a group's items stay bounded by its rows."""
-    return df.where(where).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(total).alias("total"), F.sort_array(F.collect_list(F.struct(*item))).alias("items")).orderBy(*keys).limit(most)
+    """match, group (count, sum), limit, and then the items of the groups that are left, in order."""
+    rows = df.where(where)
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(total).alias("total")).orderBy(*keys).limit(most)
+    items = rows.join(F.broadcast(groups.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*item))).alias("items"))
+    return groups.join(items, keys)

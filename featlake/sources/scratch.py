@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the session has none, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session, as in tests, gets one of its own: executors elsewhere would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-featlake-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

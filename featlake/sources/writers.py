@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,17 @@ def delete_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on).distinct(), on, "left_anti")
 
 
-def truncated(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def truncate(spark: SparkSession, path: str) -> None:
+    """Empty the table at ``path``; its columns stay."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def observed(df: DataFrame, write, **statistics: Column) -> dict:
+    """Write every row unchanged by ``write`` and give the statistics of the rows that passed, from the same pass."""
+    seen = Observation()
+    write(df.observe(seen, *[e.alias(n) for n, e in statistics.items()]))
+    return seen.get
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from featlake.functions import arrays, texts, times
-from featlake.operators import aggregates, encoders, joins, paths, project, sessions
+from featlake.operators import aggregates, encoders, joins, numbering, paths, project, sessions
 from featlake.sources import readers, writers
 
 
@@ -88,12 +88,138 @@ def test_sessions_of_one_visit_last_a_second(spark):
     assert s == {(1, 1): ("a", 1.0), (2, 1): ("a", 1.0), (2, 2): ("b", 172800.0)}
 
 
+def path_sessions(spark, chains):
+    """Sessions of chains (user, day, sites), a second each."""
+    rows = [(u, run, d * 86_400_000_000 + run, h, 1.0 + run) for u, d, sites in chains for run, h in enumerate(sites)]
+    return spark.createDataFrame(rows, "user long, run long, start long, host string, seconds double")
+
+
 def test_path_levels_follow_sites(spark):
-    chains = spark.createDataFrame([(["a", "b"], [1.0, 2.0]), (["a"], [3.0])], "sites array<string>, times array<double>")
-    got = {r.prefix: (r.depth, r.visits, r.mean_seconds) for r in paths.tree(paths.prefixes(chains)).collect()}
-    assert got == {"a": (1, 2, 2.0), "a>b": (2, 1, 2.0)}
-    tree = paths.tree(paths.prefixes(chains))
-    assert paths.lin_similarity(tree, tree).first()[0] == pytest.approx(1.0)
+    rows = paths.nodes(path_sessions(spark, [(1, 0, "ab"), (2, 0, "a"), (3, 0, "b" + "c" * 40)]))
+    tree = paths.tree(rows)
+    got = {(r.site, r.depth): (r.visits, r.mean_seconds) for r in tree.collect() if r.depth < 3}
+    assert got == {("a", 1): (2, 1.0), ("b", 2): (1, 2.0), ("b", 1): (1, 1.0), ("c", 2): (1, 2.0)}
+    assert paths.longest(tree, rows).first().prefix == ">".join("b" + "c" * 40)
+    assert paths.lin_similarity(tree, rows, tree, rows).first()[0] == pytest.approx(1.0)
+    other = paths.nodes(path_sessions(spark, [(9, 1, "bccd"), (9, 2, "ab")]))
+    assert tuple(paths.longest_common(tree, rows, paths.tree(other)).first()) == ("b>c>c", 3, 1, 1)
+    none = paths.nodes(path_sessions(spark, [(9, 1, "z")]))
+    assert paths.lin_similarity(tree, rows, paths.tree(none), none).first()[0] == 0.0
+
+
+def test_numbers_and_neighbours_equal_a_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    drawn = [(rng.choice([1, 1, 1, 2, None]), rng.randint(0, 60)) for _ in range(200)]
+    rows = [(k, t // 10, t, i) for i, (k, t) in enumerate(drawn)]
+    df = spark.createDataFrame(rows, "k int, b int, t int, id int").repartition(7)
+    got = sorted((r.t, r.id, r.n) for r in numbering.numbered(df, ["t", "id"], "n", 0).collect())
+    assert [n for _, _, n in got] == list(range(200))
+    assert numbering.at_position(df, ["t", "id"], 0.8).first().id == got[160][1]
+    assert numbering.numbered(df.limit(0), ["t"], "n").count() == 0
+    want = {}
+    for key in (1, 2, None):
+        own = sorted((t, i) for k, _, t, i in rows if k == key)
+        for j, (_, i) in enumerate(own):
+            want[i] = (own[j - 1][1] if j else None, own[j + 1][1] if j + 1 < len(own) else None)
+    near = numbering.with_neighbours(df, ["k"], "b", ["t", "id"], {"p": F.col("id")}, {"f": F.col("id")})
+    assert {r.id: (r.p, r.f) for r in near.collect()} == want
+
+
+def test_first_above_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    left = [(i, rng.choice([1, 1, 1, 2, 3]), rng.choice([None, *range(30)])) for i in range(120)]
+    right = [(rng.choice([1, 1, 1, 2]), rng.choice([None, *range(32)]), rng.randint(0, 9), i) for i in range(150)]
+    got = joins.first_above(spark.createDataFrame(left, "id int, k int, x int"), spark.createDataFrame(right, "k int, y int, o int, r int"), ["k"], "x", "y", "id", ["o", "r"], 5)
+    want = {i: min(((o, r) for k2, y, o, r in right if k2 == k and None not in (x, y) and y > x), default=(None, None)) for i, k, x in left}
+    assert {r.id: (r.o, r.r) for r in got.collect()} == want
+
+
+def test_shifted_target_carries_over_days(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t, 1, 1.0), (1, t + dt.timedelta(days=3), 2, None), (1, t + dt.timedelta(days=3), 3, 5.0), (2, t, 4, 2.0)]
+    df = spark.createDataFrame(rows, "u int, ts timestamp, id int, v double")
+    got = {r.id: r.label for r in joins.shifted_target(df, "u", "ts", "v", 3600, "id").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: None}
+    got = {r.id: r.label for r in joins.shifted_target(df.where("id <> 2"), "u", "ts", "v", 3600, "id").collect()}
+    assert got == {1: 5.0, 3: None, 4: None}
+
+
+def test_relation_and_unique_key(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, "z"), (1, "w")], "key int, v2 string")
+    assert sorted(tuple(r) for r in joins.related(a, b, "k = key").collect()) == [(1, "x", "w"), (1, "x", "z")]
+    for wrong in ("k", "k = v", "none = key"):
+        with pytest.raises(ValueError, match="relation"):
+            joins.related(a, b, wrong)
+    assert project.require_unique(a, ["k"]).count() == 2
+    with pytest.raises(ValueError, match="'key': 1"):
+        project.require_unique(b, ["key"])
+
+
+def test_no_window_is_over_all_rows_or_a_whole_key(spark, sf):
+    """One-task windows see a row per range only; windows by user are over rows of a day, or a row per day."""
+    from featlake.plans import QUERIES
+
+    for name in ("positional_sample", "group_ids", "ordinal_id"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort [" not in plan and "Offset" not in plan
+    for name in ("session_durations", "pairwise_diff", "time_shift_target", "prev_event"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and any("day" in line.lower() for line in windows)
+
+
+def test_the_sessions_zone_is_the_callers(spark, sf):
+    from featlake.plans import QUERIES
+
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = QUERIES["week_rollup"](spark, sf)
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+        tokyo = sorted(tuple(r) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tokyo == sorted(tuple(r) for r in QUERIES["week_rollup"](spark, sf).collect())
+
+
+def test_csv_names_empty_columns_and_rare_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("_cost;_cust;x;\n1;2;3;\n4;5;6;\n")
+    df = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["_cost", "_cust", "x"] and [t for _, t in df.dtypes] == ["bigint"] * 3
+    (tmp_path / "b.csv").write_text("x;;_c2;\n" + "".join(f"{i};{'' if i else 'v'};'q{i}';\n" for i in range(5)))
+    df = readers.read_csv(spark, str(tmp_path / "b.csv"))
+    assert df.columns == ["x", "NoName_1", "_c2"] and [r["_c2"] for r in df.orderBy("x").collect()] == [f"q{i}" for i in range(5)]
+    (tmp_path / "c.csv").write_text("n;t\n" + "".join(f"{'abc' if i == 4000 else i};2024-01-0{i % 9 + 1} 10:00:00\n" for i in range(5000)))
+    for sample in (1.0, 0.001):
+        df = readers.read_csv(spark, str(tmp_path / "c.csv"), sample=sample)
+        assert df.where("n = 'abc'").count() == 1 and df.where("n is null").count() == 0 and dict(df.dtypes)["t"] == "timestamp"
+    (tmp_path / "d.csv").write_text("1,a,9\n2,b,8\n")
+    df = readers.read_csv(spark, str(tmp_path / "d.csv"), ",", header=False, names=["id", "name"])
+    assert df.columns == ["id", "name", "NoName_2"] and df.count() == 2
+
+
+def test_scratch_folder_must_be_shared(spark):
+    from featlake.sources import scratch
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session)
 
 
 def test_upsert_update_delete(spark):
@@ -160,7 +286,7 @@ def test_nodes_hold_whole_chains(spark, sf):
         chains.setdefault((r.user, r.start // 86_400_000_000), []).append(r.host)
     assert max(map(len, chains.values())) > 4
     want = Counter(tuple(c[:i]) for c in chains.values() for i in range(1, len(c) + 1))
-    tree = {r.node: r for r in paths.node_tree(paths.nodes(sessions(spark, sf))).collect()}
+    tree = {r.node: r for r in paths.tree(paths.nodes(sessions(spark, sf))).collect()}
 
     def spelt(r):
         return (*(spelt(tree[r.parent]) if r.parent else ()), r.site)

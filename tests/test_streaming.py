@@ -46,11 +46,11 @@ def test_slices_are_written_in_parallel_and_keep_rows_without_a_time(spark, sf,
     assert all(a[2][1] < b[2][0] for a, b in zip(batches, batches[1:], strict=False))
 
 
-def test_shard_limit_writes_by_several_tasks(spark, sf, monkeypatch):
+def test_file_limit_writes_by_several_tasks(spark, sf, monkeypatch):
     from featlake.plans import QUERIES, inout
 
     seen = []
     read = inout.R.read_directory
     monkeypatch.setattr(inout.R, "read_directory", lambda s, path, **k: seen.append(len(s.read.parquet(path).inputFiles())) or read(s, path, **k))
-    QUERIES["shard_limit"](spark, sf)
+    QUERIES["file_limit"](spark, sf)
     assert seen and min(seen) > 2
