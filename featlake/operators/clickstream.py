@@ -115,19 +115,35 @@ def buy_visit_probability(people: DataFrame, visits: DataFrame, purchases: DataF
 
 
 #: Windows of purchases, in the order in which they are tried.
-PURCHASE_WINDOWS = ("week", "month", "year", "this_month", "holiday", "weekend")
+PURCHASE_WINDOWS = ("week", "month", "year", "this_month", "holiday", "before_holiday", "weekend", "before_weekend")
+
+
+def purchase_kinds(day: Column, as_of: str) -> Column:
+    """The first window before ``as_of`` that fits a day with ``is_holiday`` and ``before_holiday``; ``this_month`` is that month of any year."""
+    now = F.lit(as_of).cast("date")
+    fits = (
+        day > F.date_sub(now, 7), day > F.add_months(now, -1), day > F.add_months(now, -12), F.month(day) == F.month(now),
+        F.col("is_holiday"), F.col("before_holiday"), is_weekend(day), before_weekend(day),
+    )
+    return F.coalesce(*[F.when(fit, k) for k, fit in zip(PURCHASE_WINDOWS, fits, strict=True)], F.lit("none"))
 
 
 def purchase_windows(df: DataFrame, user: str, ts: str, pays: Column, as_of: str, calendar: DataFrame) -> DataFrame:
-    """Share of a user's purchases in the first window that fits: last week, last month, last year, this month (of any year), holiday, weekend or none, before ``as_of``."""
-    day, now = F.to_date(ts), F.lit(as_of).cast("date")
+    """Share of a user's purchases in each of PURCHASE_WINDOWS."""
     rows = with_holidays(df.where(pays), ts, calendar)
-    kind = F.when(day > F.date_sub(now, 7), "week").when(day > F.add_months(now, -1), "month").when(day > F.add_months(now, -12), "year").when(F.month(day) == F.month(now), "this_month").when(F.col("is_holiday"), "holiday").when(is_weekend(F.col(ts)), "weekend").otherwise("none")
-    rows = rows.select(F.col(user).alias("user"), kind.alias("kind"))
+    rows = rows.select(F.col(user).alias("user"), purchase_kinds(F.to_date(ts), as_of).alias("kind"))
     share = lambda k: guarded(F.count_if(F.col("kind") == k), F.count("*")).alias(f"share_{k}")
     return rows.groupBy("user").agg(F.count("*").alias("purchases"), *[share(k) for k in PURCHASE_WINDOWS])
 
 
+def group_rates(people: DataFrame, visitors: DataFrame, payers: DataFrame, by: str) -> DataFrame:
+    """Per group of ``by``: buyers in it over its people, and its visitors over all people, as ``p_buy_<by>`` and ``p_visit_<by>``."""
+    rows = people.join(visitors.select("user", F.lit(1).alias("visits")), "user", "left").join(payers.select("user", F.lit(1).alias("pays")), "user", "left")
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.count("visits").alias("v"), F.count("pays").alias("b"))
+    total = people.agg(F.count("*").alias("total"))
+    return out.join(F.broadcast(total)).select(by, guarded(F.col("b"), F.col("n")).alias(f"p_buy_{by}"), guarded(F.col("v"), F.col("total")).alias(f"p_visit_{by}"))
+
+
 def visit_ratios(sessions: DataFrame, target: str, mobile: str, promotion: str) -> DataFrame:
     """Mobile visits per target visit, the share of the user's days that have a target visit, and whether a promotion was visited."""
     day = F.to_date(F.timestamp_micros("start"))

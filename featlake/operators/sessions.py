@@ -81,7 +81,12 @@ def session_sets(events: DataFrame, pays: Column) -> DataFrame:
 
 def between_sessions(events: DataFrame) -> DataFrame:
     """Per user: mean seconds between session starts, and 1 - x / one week of it (0 stays 0)."""
-    s = sessions(events).groupBy("user").agg(F.sum("prev_seconds").alias("total"), F.count("prev_seconds").alias("n"))
+    return between_sessions_of(sessions(events))
+
+
+def between_sessions_of(sessions_: DataFrame) -> DataFrame:
+    """``between_sessions`` of sessions that are there."""
+    s = sessions_.groupBy("user").agg(F.sum("prev_seconds").alias("total"), F.count("prev_seconds").alias("n"))
     mean = F.coalesce("total", F.lit(0.0)) / F.greatest("n", F.lit(1))
     return s.select("user", mean.alias("mean_seconds"), F.when(mean == 0, 0.0).otherwise(1 - mean / 604_800).alias("closeness"))
 

@@ -14,6 +14,7 @@ from ..operators import clickstream as K
 from ..operators import paths as T
 from ..operators import project as P
 from ..operators import sessions as S
+from ..operators import user_features as U
 from ..operators.numbering import at_position
 from ..sources.scratch import written
 from .base import query, table
@@ -265,7 +266,8 @@ def buy_visit_probability(spark, d):
 
 
 @query("purchase_windows", BASE + f""", k as (select user, case when cast(ts as date) > date '2024-01-28' - 7 then 'week' when cast(ts as date) > date '2023-12-28' then 'month'
-  when cast(ts as date) > date '2023-01-28' then 'year' when month(ts) = 1 then 'this_month' when {HOLIDAY} then 'holiday' when dayofweek(ts) in (0, 6) then 'weekend' else 'none' end as kind from e where host = 'purchase')
+  when cast(ts as date) > date '2023-01-28' then 'year' when month(ts) = 1 then 'this_month' when {HOLIDAY} then 'holiday' when {BEFORE} then 'before_holiday'
+  when dayofweek(ts) in (0, 6) then 'weekend' when dayofweek(ts) = 5 then 'before_weekend' else 'none' end as kind from e where host = 'purchase')
 select user, count(*) as purchases, """ + ", ".join(f"round(count(*) filter (where kind = '{k}') / count(*), 6) as share_{k}" for k in K.PURCHASE_WINDOWS) + " from k group by 1")
 def purchase_windows(spark, d):
     df = K.purchase_windows(table(spark, d, "events"), "user_id", "ts", is_buy(), "2024-01-28", calendar(spark))
@@ -442,6 +444,53 @@ def dated_cohort_similarity(spark, d):
     return out
 
 
+def _share(column: str, n: str, name: str) -> str:
+    return f"round(coalesce({column}, 0) / greatest(1.0, coalesce({n}, 0)), 6) as {name}"
+
+
+def _sum_of(flag: str, name: str) -> str:
+    return f"count(*) filter (where {flag}) as {name}"
+
+
+#: Feature rows as of a year after the events, so that some purchases are in the windows behind the first three.
+_USER_ROWS = BASE + f"""
+, b as (select user, count(*) as events, floor((max(tus) - min(tus)) / 86400000000.0) as period, max(case when host = 'purchase' then 1 else 0 end) as is_paying, max(case when host = 'click' then 1 else 0 end) as visited_target,
+  max(case when host = 'signup' then 1 else 0 end) as is_from_mobile, max(case when host = 'view' then 1 else 0 end) as saw_promotion from e group by 1),
+vd as (select distinct user, cast(ts as date) as ts from e where host = 'click'),
+vk as (select user, case when dayofweek(ts) = 5 then 'before_weekend' when dayofweek(ts) in (0, 6) then 'weekend' when {BEFORE} then 'before_holiday' when {HOLIDAY} then 'holiday' else 'none' end as kind from vd),
+v as (select user, count(*) as days_visited, {", ".join(_sum_of(f"kind = '{k}'", f"visits_{k}") for k in U.DAY_KINDS)} from vk group by 1),
+pk as (select user, prev_host, case when cast(ts as date) > date '2025-01-28' - 7 then 'week' when cast(ts as date) > date '2024-12-28' then 'month' when cast(ts as date) > date '2024-01-28' then 'year' when month(ts) = 1 then 'this_month'
+  when {HOLIDAY} then 'holiday' when {BEFORE} then 'before_holiday' when dayofweek(ts) in (0, 6) then 'weekend' when dayofweek(ts) = 5 then 'before_weekend' else 'none' end as kind from f where host = 'purchase'),
+k as (select user, count(*) as purchases, {_sum_of("prev_host = 'signup'", "mobile_buys")}, {", ".join(_sum_of(f"kind = '{k}'", f"bought_{k}") for k in K.PURCHASE_WINDOWS)} from pk group by 1),
+ef as (select user, host, coalesce(max(case when host = 'signup' then 1 else 0 end) over (partition by user, day order by tus, event rows between unbounded preceding and 1 preceding), 0) as earlier from e),
+mb as (select user, max(earlier) as mobile_before_target from ef where host = 'click' group by 1),
+tm as (select user, count(*) as sessions, sum(active_seconds) as online, count(*) filter (where dayofweek(make_timestamp(start)) in (0, 6)) as weekend_sessions, {_sum_of("host = 'signup'", "mobile_sessions")}, {_sum_of("host = 'click'", "target_visits")},
+  sum(case when host = 'click' then seconds else 0 end) as target_seconds, sum(case when host = 'signup' then seconds else 0 end) as mobile_seconds, coalesce(sum(prev_seconds), 0) / greatest(count(prev_seconds), 1) as gap from s group by 1),
+best as (select lead from rating order by rating desc, lead limit 5),
+bs as (select user, sum(seconds) as best_seconds from s where host in (select lead from best) group by 1),
+mr as (select user, avg(rating) as page_rank from (select distinct user, host from s) join rating on host = lead group by 1),
+mv as (select count(*) / greatest(1, count(distinct user)) as mean_visits from s),
+g as (select p.user, age, gender, case when v.user is null then 0 else 1 end as sees, case when y.user is null then 0 else 1 end as buys from people p left join visitors v on p.user = v.user left join payers y on p.user = y.user),
+ga as (select age, sum(buys) / count(*) as p_buy_age, sum(sees) / (select count(*) from people) as p_visit_age from g group by 1),
+gg as (select gender, sum(buys) / count(*) as p_buy_gender, sum(sees) / (select count(*) from people) as p_visit_gender from g group by 1)
+select b.user, is_paying, visited_target, is_from_mobile, saw_promotion, coalesce(mobile_before_target, 0) as mobile_before_target, {_share("events", "period", "visits_per_day")}, {_share("days_visited", "period", "days_visited")},
+  {", ".join(_share(f"visits_{k}", "period", f"visits_{k}") for k in U.DAY_KINDS)}, {", ".join(_share(f"bought_{k}", "purchases", f"bought_{k}") for k in K.PURCHASE_WINDOWS)}, {_share("mobile_buys", "purchases", "mobile_purchases")},
+  {_share("mobile_sessions", "target_visits", "mobile_visits")}, {_share("target_seconds", "target_visits", "time_before_leaving")}, round(online / 86400 * 7, 6) as time_online, {_share("mobile_seconds", "online", "share_mobile")},
+  {_share("target_seconds", "online", "share_target")}, {_share("best_seconds", "online", "share_best_rated")}, {_share("weekend_sessions", "sessions", "p_online_weekend")}, {_share("target_visits", "mean_visits", "p_to_go_online")},
+  {_share("purchases", "target_visits", "buys_per_visit")}, round(coalesce(page_rank, 0), 6) as page_rank, round(case when gap = 0 then 0.0 else 1 - gap / 604800 end, 6) as between_visits,
+  {", ".join(f"round(coalesce({p}, 0), 6) as {p}" for p in ("p_buy_age", "p_visit_age", "p_buy_gender", "p_visit_gender"))}
+from b left join v on b.user = v.user left join k on b.user = k.user left join mb on b.user = mb.user left join tm on b.user = tm.user left join bs on b.user = bs.user left join mr on b.user = mr.user cross join mv
+  left join people on b.user = people.user left join ga on people.age = ga.age left join gg on people.gender = gg.gender"""
+
+
+@query("user_features", _USER_ROWS)
+def user_features(spark, d):
+    s = stored_sessions(spark, d)
+    hosts = {"target": TARGET, "mobile": MOBILE, "promotion": PROMOTION, "pay": "purchase"}
+    df = U.user_features(events(spark, d), s, people(spark, d), ratings(spark, d, s), calendar(spark), hosts, "2025-01-28")
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 @query("ratio_max", BASE + "select round(max(t / b), 6) as best from (select user, sum(case when host = 'click' then seconds else 0 end) as t, sum(seconds) as b from s group by 1) where user in (select user from payers)")
 def ratio_max(spark, d):
     stats = K.user_stats(sessions(spark, d), TARGET, MOBILE).join(payers(spark, d), "user", "left_semi")
