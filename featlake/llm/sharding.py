@@ -115,6 +115,16 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return spark.read.schema(MAP).parquet(f"{path}/map/version={version:06d}")
 
 
+def _dealt(mapping: dict[int, int], sizes: dict[int, tuple[int, int]], tasks: int) -> list[tuple[int, int, int]]:
+    """Slot, shard and task: slots in order of shards, cut into runs of about equal bytes."""
+    total, before, out = max(1, sum(b for b, _ in sizes.values())), 0, []
+    for v, s in sorted(mapping.items(), key=lambda x: (x[1], x[0])):
+        own = sizes.get(v, (0, 0))[0]
+        out.append((v, s, min(tasks - 1, (2 * before + own) * tasks // (2 * total))))
+        before += own
+    return out
+
+
 def _write_rows(rows: DataFrame, path: str, version: int) -> None:
     """Rows (rec, vslot, at, shard) in a folder for each version and shard; what a failed run has left there is replaced."""
     rows.select("rec", "vslot", "at", "shard").write.partitionBy("shard").mode("overwrite").parquet(f"{path}/data/since={version}")
@@ -139,11 +149,11 @@ def write_shards(docs: DataFrame, key: list[str], text: str, n_shards: int, path
     sizes = slot_bytes(slotted)
     mapping = first_map(sizes, n_shards, n_slots)
     save_map(spark, path, 1, _map_rows(mapping, dict.fromkeys(mapping, 1), sizes))
-    moved = slotted.join(F.broadcast(load_map(spark, path, 1).select("vslot", "shard")), "vslot")
-    # Hashed by shard and a part of its slots, which the window and the files both follow: a task writes few shards.
-    parts = max(1, -(-4 * shuffle_partitions(spark) // n_shards))
-    moved = moved.withColumn("part", F.col("vslot") % parts).repartition(shuffle_partitions(spark), "shard", "part")
-    order = W.partitionBy("shard", "part", "vslot").orderBy(*[F.col(f"rec.{k}") for k in key], crc_of(F.col(f"rec.{text}")))
+    tasks = shuffle_partitions(spark)
+    dealt = spark.createDataFrame(_dealt(mapping, sizes, tasks), "vslot int, shard int, task int")
+    # Slots in order of shards are dealt to tasks by bytes, so a task has about as many as any other, and writes few shards.
+    moved = slotted.join(F.broadcast(dealt), "vslot").repartitionById(tasks, F.col("task"))
+    order = W.partitionBy("task", "vslot").orderBy(*[F.col(f"rec.{k}") for k in key], crc_of(F.col(f"rec.{text}")))
     placed = moved.withColumn("at", (F.row_number().over(order) - 1).cast("long"))
     # An empty table has no file that tells its columns.
     placed.select("rec", "vslot", "at", "shard", F.lit(1).alias("since")).limit(0).write.parquet(f"{path}/columns")

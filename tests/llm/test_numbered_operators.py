@@ -531,6 +531,20 @@ def test_rebalancing_writes_a_version_and_moves_edited_slots_only(spark, sf):
         sharding.save_map(spark, path, 2, [])
 
 
+def test_slots_are_dealt_to_tasks_evenly():
+    rng = np.random.default_rng(9)
+    sizes = {v: (int(rng.integers(50, 150)), 1) for v in range(4096)}
+    mapping = sharding.first_map(sizes, 40, 4096)
+    dealt = sharding._dealt(mapping, sizes, 51)
+    load, shards = collections.Counter(), collections.defaultdict(set)
+    for v, s, task in dealt:
+        assert mapping[v] == s
+        load[task] += sizes[v][0]
+        shards[task].add(s)
+    assert set(load) == set(range(51)) and max(load.values()) <= 1.05 * sum(load.values()) / 51
+    assert sum(map(len, shards.values())) <= 51 + 40
+
+
 def test_registered_shards_keep_the_law(spark):
     """40 shards of near-equal bytes, positions without gaps, sizes and checksums of the texts."""
     sf = "/root/testdata/sf0.01"
