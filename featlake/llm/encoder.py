@@ -145,7 +145,7 @@ class Encoder:
         else:
             lists = pc.ascii_split_whitespace(regular)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.cache.get, words))
         missing = [k for k, v in zip(words, ids, strict=True) if v is None]
         if missing:
@@ -154,6 +154,8 @@ class Encoder:
             room = CACHE_ENTRIES - len(self.cache)
             if room < len(found) and len(missing) > STALE * len(words):
                 self.cache.clear()
+            elif room >= len(found):
+                self.cache.update({k: v for k, v in found.items() if len(k) <= CACHE_CHARS})
             elif room > 0:
                 self.cache.update([(k, v) for k, v in found.items() if len(k) <= CACHE_CHARS][:room])
         joined = pa.array(ids, pa.binary()).take(coded.indices)
