@@ -68,7 +68,7 @@ def next_period_label(df: DataFrame, user: str, ts: str, pays: Column) -> DataFr
 
 
 def shifted_target(df: DataFrame, key: str, ts: str, target: str, after_seconds: int, row_id: str) -> DataFrame:
-    """``target`` of the key's first row at or after each row's time plus ``after_seconds``, null if there is none.
+    """``target`` of the key's first row at or after each row's time plus ``after_seconds``, null if there is none or no time.
 
     Rows and shifted rows are merged day by day, so no range join is made; one
     row per key and day carries the first value of the days that follow.
@@ -76,7 +76,7 @@ def shifted_target(df: DataFrame, key: str, ts: str, target: str, after_seconds:
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     asks = df.select(key, (at + after_seconds * 1_000_000).alias("_at"), F.lit(1).alias("_ask"), F.col(row_id).alias("_id"), F.lit(None).cast(df.schema[target].dataType).alias("_value"))
     gives = df.select(key, at.alias("_at"), F.lit(0).alias("_ask"), F.col(row_id).alias("_id"), F.col(target).alias("_value"))
-    rows = asks.unionByName(gives).withColumn("_day", F.floor(F.col("_at") / 86_400_000_000))
+    rows = asks.unionByName(gives).where("_at is not null").withColumn("_day", F.floor(F.col("_at") / 86_400_000_000))
     value = F.when(F.col("_ask") == 0, F.struct("_value"))
     # Falling time: an ask comes before the gives of its own time, so of those at or after it the nearest has been seen last.
     inside = W.partitionBy(key, "_day").orderBy(F.desc("_at"), F.asc("_ask"), F.desc("_id")).rowsBetween(W.unboundedPreceding, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.texts import clean_name
-from .numbering import with_neighbours
+from .numbering import numbered, with_neighbours
 
 
 def cleaned(df: DataFrame) -> DataFrame:
@@ -43,8 +43,15 @@ def match_example(df: DataFrame, **pairs) -> DataFrame:
     return out
 
 
+#: Rows up to the end of a page that are sorted in one task.
+NEAR_PAGE = 100_000
+
+
 def page(df: DataFrame, order: list, skip: int, take: int) -> DataFrame:
-    return df.orderBy(*order).offset(skip).limit(take)
+    """``take`` rows behind the first ``skip`` in ``order``. A page far behind is found by row numbers, as a sort of all rows before it would be one task's."""
+    if skip + take <= NEAR_PAGE:
+        return df.orderBy(*order).offset(skip).limit(take)
+    return numbered(df, order, "_place", 0).where(F.col("_place").between(skip, skip + take - 1)).drop("_place")
 
 
 def time_range(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:

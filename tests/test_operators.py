@@ -127,6 +127,13 @@ def test_numbers_and_neighbours_equal_a_walk(spark):
     assert {r.id: (r.p, r.f) for r in near.collect()} == want
 
 
+def test_a_far_page_equals_a_near_one(spark, monkeypatch):
+    df = spark.createDataFrame([(i * 7 % 100, i) for i in range(100)], "x int, i int").repartition(5)
+    near = project.page(df, [F.desc("x"), "i"], 40, 10).collect()
+    monkeypatch.setattr(project, "NEAR_PAGE", 5)
+    assert sorted(project.page(df, [F.desc("x"), "i"], 40, 10).collect()) == sorted(near) and len(near) == 10
+
+
 def test_first_above_equals_all_pairs(spark):
     import random
 
@@ -146,6 +153,9 @@ def test_shifted_target_carries_over_days(spark):
     assert got == {1: None, 2: None, 3: None, 4: None}
     got = {r.id: r.label for r in joins.shifted_target(df.where("id <> 2"), "u", "ts", "v", 3600, "id").collect()}
     assert got == {1: 5.0, 3: None, 4: None}
+    no_time = spark.createDataFrame([(1, None, 5, 7.0)], df.schema)
+    got = {r.id: r.label for r in joins.shifted_target(df.where("id <> 2").union(no_time), "u", "ts", "v", 3600, "id").collect()}
+    assert got == {1: 5.0, 3: None, 4: None, 5: None}
 
 
 def test_relation_and_unique_key(spark):
