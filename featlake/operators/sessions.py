@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import micros, week_start
-from .numbering import with_neighbours
 
 SECOND = 1_000_000
 
@@ -58,17 +57,18 @@ def sessions(events: DataFrame) -> DataFrame:
     last event; no length, or less, counts as one second.
     """
     runs = host_runs(events).groupBy("user", "run").agg(F.first("host").alias("host"), F.min("at").alias("start"), F.max("at").alias("last"), F.count("*").alias("n"))
-    # Runs are in order of their starts, so neighbours are found day by day.
-    runs = runs.withColumn("_day", F.to_date(F.timestamp_micros("start")))
-    before = {"prev_host": F.col("host"), "_prev_start": F.col("start")}
-    after = {"next_host": F.col("host"), "_next_start": F.col("start")}
-    runs = with_neighbours(runs, ["user"], "_day", ["run"], before, after)
-    until = F.coalesce("_next_start", "last") - F.col("start")
+    # A run also goes to the numbers beside its own, so neighbours meet by user and number, and a long history is spread.
+    seen = lambda by, kind: F.struct((F.col("run") + by).alias("run"), F.lit(kind).alias("kind"), "host", "start", "last", "n")
+    rows = runs.select("user", F.inline(F.array(seen(0, "own"), seen(1, "prev"), seen(-1, "next"))))
+    row = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("host", "start", "last", "n")))
+    runs = rows.groupBy("user", "run").agg(row("own").alias("own"), row("prev").alias("prev"), row("next").alias("next")).where("own is not null")
+    runs = runs.select("user", "run", "own.*", F.col("prev.host").alias("prev_host"), F.col("next.host").alias("next_host"), F.col("prev.start").alias("_prev"), F.col("next.start").alias("_next"))
+    until = F.coalesce("_next", "last") - F.col("start")
     return runs.withColumns({
         "seconds": F.when(until <= 0, F.lit(1.0)).otherwise(until / SECOND),
         "active_seconds": F.greatest(F.lit(1.0), (F.col("last") - F.col("start")) / SECOND),
-        "prev_seconds": (F.col("start") - F.col("_prev_start")) / SECOND,
-    }).drop("_day", "_prev_start", "_next_start")
+        "prev_seconds": (F.col("start") - F.col("_prev")) / SECOND,
+    }).drop("_prev", "_next")
 
 
 def session_sets(events: DataFrame, pays: Column) -> DataFrame:

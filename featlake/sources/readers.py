@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +40,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool = True
     fields = [clean_name(g) if g else f"NoName_{i}" for i, g in enumerate(given)]
     text = text.toDF(*fields)
     text = text.select(*[F.btrim(F.col(f"`{c}`"), F.lit(CSV_TRIM)).alias(c) for c in fields])
-    chosen = text if sample >= 1.0 else text.sample(sample, seed=1)
-    kinds = _kinds(chosen, fields)
-    if sample < 1.0:  # every value must fit
-        fits = text.agg(*[F.bool_and(F.col(f"`{c}`").isNull() | (F.col(f"`{c}`") == "") | F.col(f"`{c}`").try_cast(k).isNotNull()).alias(c) for c, k in kinds.items()]).first()
-        kinds = {c: k if fits[c] in (True, None) else "string" for c, k in kinds.items()}
-    filled = text.agg(*[F.bool_or(F.coalesce(F.length(f"`{c}`"), F.lit(0)) > 0).alias(c) for c in fields]).first()
-    keep = [c for c, g in zip(fields, given, strict=True) if g or filled[c]]
+    filled = lambda c: F.bool_or(F.coalesce(F.length(f"`{c}`"), F.lit(0)) > 0)
+    fits = {(c, kind): F.bool_and(F.when(_value(c).isNotNull(), test(c))) for c in fields for kind, test in KINDS.items()}
+    if sample < 1.0:  # kinds that the sample shows, which every value must fit
+        shown = _aggregated(text.sample(sample, seed=1), fits)
+        fits = {(c, kind): x for (c, kind), x in fits.items() if shown[c, kind]}
+    found = _aggregated(text, {**fits, **{(c, "filled"): filled(c) for c in fields}})
+    kinds = {c: next((k for k in KINDS if found.get((c, k))), "string") for c in fields}
+    keep = [c for c, g in zip(fields, given, strict=True) if g or found[c, "filled"]]
     cast = lambda c: F.col(f"`{c}`") if kinds[c] == "string" else F.col(f"`{c}`").try_cast(kinds[c])
     return text.select(*[cast(c).alias(c) for c in keep])
 
@@ -57,15 +58,21 @@ def _headers(spark: SparkSession, path: str, sep: str) -> list[str]:
     return [x.strip(CSV_TRIM + '" ') for x in line[0][0].split(sep)] if line else []
 
 
-def _kinds(text: DataFrame, fields: list[str]) -> dict[str, str]:
-    """The narrowest of long, double, timestamp and string that all values of a column fit; text where all are empty."""
-    value = lambda c: F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`"))
-    tests = {
-        "bigint": lambda c: value(c).try_cast("bigint").isNotNull(), "double": lambda c: value(c).try_cast("double").isNotNull(),
-        "timestamp": lambda c: value(c).rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & value(c).try_cast("timestamp").isNotNull(),
-    }
-    seen = text.agg(*[F.bool_and(F.when(value(c).isNotNull(), test(c))).alias(f"{kind}_{i}") for i, c in enumerate(fields) for kind, test in tests.items()]).first()
-    return {c: next((kind for kind in tests if seen[f"{kind}_{i}"]), "string") for i, c in enumerate(fields)}
+def _value(column: str) -> Column:
+    return F.when(F.col(f"`{column}`") != "", F.col(f"`{column}`"))
+
+
+#: Types of a column, the narrowest first, and whether a value fits one; what fits none, or is empty throughout, is text.
+KINDS = {
+    "bigint": lambda c: _value(c).try_cast("bigint").isNotNull(), "double": lambda c: _value(c).try_cast("double").isNotNull(),
+    "timestamp": lambda c: _value(c).rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & _value(c).try_cast("timestamp").isNotNull(),
+}
+
+
+def _aggregated(df: DataFrame, parts: dict[tuple, Column]) -> dict[tuple, object]:
+    """All aggregates in one pass, by their keys."""
+    row = df.agg(*[e.alias(f"a{i}") for i, e in enumerate(parts.values())]).first() if parts else ()
+    return dict(zip(parts, row, strict=True))
 
 
 #: Values of a text column up to which it is encoded by default: two are told apart by a bit each, more by a code.
