@@ -7,9 +7,13 @@ chunks of TURNS_PER_CHUNK turns, by the turn's rank in its conversation, so no
 task holds more of a conversation in a row than a chunk; chunks joined in order
 are the whole rendering.
 
-Ranks need no window over a conversation: turns are sorted by ranges of
-(conversation, turn, role, text), numbered inside a range, and a row for each
-range and conversation carries the numbers across ranges.
+Ranks need no window over a conversation. Turns are counted by conversation and
+run of TURNS_PER_CHUNK turn numbers; sums of the counts before a run say in which
+chunk it begins, and a run that lies in one chunk needs no more. Only turns of runs
+that reach into another chunk (gaps, ties, null turns) are ranked: they are sorted by
+ranges of (run, turn, role, text), numbered inside a range, and a row for each range
+and run carries the numbers across ranges. Runs that differ from their chunk, and the
+participants, are broadcast as long as they are few.
 
 Defined cases: null text is empty; null role is a user named ``unknown`` and no
 participant; null turns come first; turns with equal numbers go by role (null
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import shuffle_partitions, written
+from .tables import broadcast_if_small, shuffle_partitions, written
 
 TURNS_PER_CHUNK = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -37,27 +41,46 @@ def _head(role: Column, own: Column) -> Column:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``chunk`` by the rank of each turn in its conversation."""
-    order = ["conv_id", "turn", "role", "text"]
+    """``rank`` (from 0) of each turn in its run."""
+    order = ["run", "turn", "role", "text"]
     # Equal rows of several input partitions are in several ranges as well.
     ranged = rows.withColumn("_from", F.spark_partition_id()).repartitionByRange(shuffle_partitions(rows.sparkSession), *order, "_from")
-    placed = ranged.sortWithinPartitions(*order).drop("_from").withColumn("_at", F.monotonically_increasing_id())
-    placed = written(placed.withColumn("_range", F.spark_partition_id()), "turns")
-    ranges = placed.groupBy("conv_id", "_range").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_r"), (before - F.col("_first")).alias("_shift"))
-    numbered = placed.join(ranges, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_r")))
-    chunk = F.floor((F.col("_at") + F.col("_shift")) / TURNS_PER_CHUNK).cast("long")
-    return numbered.select(*order, chunk.alias("chunk"))
+    placed = ranged.sortWithinPartitions(*order).drop("_from").withColumns({"_at": F.monotonically_increasing_id(), "_range": F.spark_partition_id()})
+    placed = written(placed, "ranked-turns")
+    ranges = placed.groupBy("run", "_range").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("run").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = broadcast_if_small(ranges.select("run", "_range", (before - F.col("_first")).alias("_shift")))
+    return placed.join(ranges, ["run", "_range"]).withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """``chunk`` of each turn, by its rank in the conversation."""
+    size = F.lit(TURNS_PER_CHUNK)
+    number = F.floor(F.col("turn") / TURNS_PER_CHUNK)
+    # Conversation and number as one value, so that nulls are joined too.
+    rows = rows.withColumn("run", F.struct("conv_id", number.alias("number")))
+    runs = rows.groupBy("run").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("run.conv_id").orderBy("run.number").rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn("before", F.coalesce(before, F.lit(0)))
+    first = F.floor(F.col("before") / size)
+    runs = runs.select("run", "before", first.alias("first"), (F.col("before") % size + F.col("n") > size).alias("split"))
+    odd = written(runs.where(F.col("split") | ~F.col("first").eqNullSafe(F.col("run.number"))), "odd-runs")
+    marked = rows.join(broadcast_if_small(odd), "run", "left")
+    split = F.coalesce("split", F.lit(False))
+    whole = marked.where(~split).select("conv_id", "turn", "role", "text", F.coalesce("first", F.col("run.number")).alias("chunk"))
+    if odd.where("split").isEmpty():
+        return whole
+    chunk = F.floor((F.col("before") + F.col("rank")) / size)
+    return whole.union(_ranked(marked.where(split)).select("conv_id", "turn", "role", "text", chunk.alias("chunk")))
 
 
 def perspectives(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``participant``, ``chunk``, ``n_turns``, ``rendered`` and ``mask`` (array of character spans from ``a`` up to ``b`` of the chunk)."""
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", text.alias("text"))
-    chunks = _ranked(rows).groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    chunks = _chunked(rows).groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     own = rows.where("role is not null and role <> 'system'").select(F.col("conv_id").alias("own_conv"), F.col("role").alias("participant")).distinct()
-    both = chunks.join(own, F.col("conv_id").eqNullSafe(F.col("own_conv"))).drop("own_conv")
+    both = chunks.join(broadcast_if_small(own), F.col("conv_id").eqNullSafe(F.col("own_conv"))).drop("own_conv")
     segments = F.transform("turns", lambda t: F.struct(_head(t["role"], F.col("participant")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), F.coalesce(t["role"] == F.col("participant"), F.lit(False)).alias("own")))
     both = both.select("conv_id", "participant", "chunk", F.size("turns").alias("n_turns"), segments.alias("segments"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
