@@ -195,3 +195,5 @@ def runs(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 22, most_row
             start, size = i + 1, 0
     if start < len(sizes):
         yield batch.slice(start)
+    # What the work space took goes back to the system, as workers of one machine share its memory and stay alive.
+    pa.default_memory_pool().release_unused()

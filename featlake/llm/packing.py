@@ -97,10 +97,11 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, end: int, chunks: st
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(work, PIECES)
 
 
-def packed(docs: DataFrame, key: str, text: str, path: str, end: int, chunks: str, window: int = WINDOW, per_group: int = DOCS_PER_GROUP) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``."""
+def packed(docs: DataFrame, key: str, text: str, path: str, end: int, chunks: str, window: int = WINDOW, per_group: int = DOCS_PER_GROUP, digest: bool = False) -> DataFrame:
+    """The pieces with ``sequence_id`` and ``offset``; with ``digest`` the crc32 of the ids (``ids_crc32``) in place of ``ids``."""
     spark = docs.sparkSession
     groups = max(1, -(-docs.count() // per_group))
+    dtype = encoder(path, end, chunks).dtype.str
     grp = F.pmod(F.xxhash64("doc_id", "start", "ids", F.spark_partition_id()), F.lit(groups))
     dealt = pieces(docs, key, text, path, end, chunks, window).withColumn("grp", grp)
     # Dealt by number, so that each task has as many groups as any other, give or take one.
@@ -116,29 +117,18 @@ def packed(docs: DataFrame, key: str, text: str, path: str, end: int, chunks: st
                 w, at = open_windows.place(n)
                 seq.append(g << 32 | w)
                 offset.append(at)
-            keep = [batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens", "ids")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
+            ids = batch.column("ids")
+            last = pa.array([crc_of_ids(np.frombuffer(x.as_py(), dtype)) for x in ids], pa.int64()) if digest else ids
+            cols = [*[batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens")], last, pa.array(seq, pa.int64()), pa.array(offset, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "doc_tokens", "ids_crc32" if digest else "ids", "sequence_id", "offset"])
 
-    return dealt.mapInArrow(work, f"{PIECES}, sequence_id long, offset long")
-
-
-def with_crc(rows: DataFrame, dtype: str) -> DataFrame:
-    """``ids_crc32`` in place of ``ids``."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [crc_of_ids(np.frombuffer(x.as_py(), dtype)) for x in batch.column("ids")]
-            keep = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(crc, pa.int64())], names=[*keep, "ids_crc32"])
-
-    return rows.mapInArrow(work, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    columns = PIECES.replace("ids binary", "ids_crc32 long") if digest else PIECES
+    return dealt.mapInArrow(work, f"{columns}, sequence_id long, offset long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Packed pieces of all documents, without their ids."""
-    path = tokenizer_path("word_bpe_49k.json")
-    rows = packed(docs, "doc_id", "text", path, 2, "free")
-    return with_crc(rows, encoder(path, 2, "free").dtype.str)
+    """Packed pieces of all documents, with the crc32 of their ids."""
+    return packed(docs, "doc_id", "text", tokenizer_path("word_bpe_49k.json"), 2, "free", digest=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
