@@ -38,10 +38,11 @@ def user_stats(sessions: DataFrame, target: str, mobile: str) -> DataFrame:
 def host_stats(sessions: DataFrame, mobile: str) -> DataFrame:
     """Per host visits, visitors, transitions away and their seconds; extra rows ``global`` and ``mobile``, all by one aggregation over users' sums."""
     moved = F.col("next_host").isNotNull()
-    by_user = sessions.groupBy("host", "user").agg(F.count("*").alias("visits"), F.count_if(moved).alias("moves"), F.sum(F.when(moved, F.col("seconds"))).alias("seconds"))
+    micros = F.round(F.col("seconds") * 1_000_000).cast("long")  # so that the sum of all is exact
+    by_user = sessions.groupBy("host", "user").agg(F.count("*").alias("visits"), F.count_if(moved).alias("moves"), F.sum(F.when(moved, micros)).alias("micros"))
     out = by_user.groupingSets([["host"], []], "host").agg(
         F.grouping("host").alias("_all"), F.sum("visits").alias("visits"), F.count_distinct("user").alias("visitors"), F.sum("moves").alias("transitions"),
-        F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("transition_seconds"),
+        F.coalesce(F.sum("micros") / 1_000_000, F.lit(0.0)).alias("transition_seconds"),
     )
     # The row of the mobile host is given twice; a table without sessions has no row of it, as no host has.
     names = F.when(F.col("_all") == 1, F.array(F.lit("global"))).when(F.col("host") == mobile, F.array("host", F.lit("mobile"))).otherwise(F.array("host"))

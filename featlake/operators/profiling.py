@@ -25,7 +25,9 @@ def describe(df: DataFrame, exact: bool = False) -> DataFrame:
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         mean = F.avg(c) if isinstance(f.dataType, T.NumericType) else F.lit(None)
-        stats.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("n"), (F.count("*") - F.count(c)).alias("nulls"), F.approx_count_distinct(c).alias("distinct"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most"), mean.cast("double").alias("mean")))
+        counts = [F.count("*").alias("n"), (F.count("*") - F.count(c)).alias("nulls"), F.approx_count_distinct(c).alias("distinct")]
+        values = [F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most"), mean.cast("double").alias("mean")]
+        stats.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), *counts, *values))
     out = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
     if not exact:
         return out

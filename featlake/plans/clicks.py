@@ -192,7 +192,7 @@ def user_browsing_stats(spark, d):
     return df.withColumns({c: F.round(c, 6) for c in df.columns if c.endswith("seconds")})
 
 
-_HOST = "count(*) as visits, count(distinct user) as visitors, count(next_host) as transitions, round(coalesce(sum(seconds) filter (where next_host is not null), 0), 6) as transition_seconds from s"
+_HOST = "count(*) as visits, count(distinct user) as visitors, count(next_host) as transitions, round(coalesce(sum(cast(round(seconds * 1000000) as hugeint)) filter (where next_host is not null), 0) / 1000000.0, 6) as transition_seconds from s"
 
 
 @query("host_stats", BASE + f"select host, {_HOST} group by 1 union all select 'global', {_HOST} union all select 'mobile', {_HOST} where host = 'signup'")
