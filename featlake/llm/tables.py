@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..sources.scratch import new_path, written
 
-__all__ = ["BLANKS", "broadcast_if_small", "forget", "let", "new_path", "shingle_hashes", "shuffle_partitions", "words", "written"]
+__all__ = ["BLANKS", "broadcast_if_small", "forget", "let", "new_path", "numbered", "shingle_hashes", "shuffle_partitions", "words", "written"]
 
 #: What separates words: space and the ASCII controls 9 to 13.
 BLANKS = r"[\x20\x09-\x0D]+"
