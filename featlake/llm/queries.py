@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, divergence, language_id, license_scan, near_dedup, packing, quality, sharding, token_codec, url_filter, whitening
+from . import chat_format, decontaminate, divergence, language_id, license_scan, near_dedup, packing, quality, sharding, suffix_dedup, token_codec, url_filter, whitening
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.query,
         "op9_packing": packing.query,
         "op10_quality_rules": op10_quality_rules,
+        "op11_suffix_dedup": suffix_dedup.query,
         "op12_source_divergence": divergence.query,
         "op13_whitening": whitening.query,
     }
