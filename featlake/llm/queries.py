@@ -43,5 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": license_scan.ORACLE_SQL,
         "op5_chat_format": chat_format.ORACLE_SQL,
         "op8_decontaminate": decontaminate.ORACLE_SQL,
+        "op11_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op12_source_divergence": divergence.ORACLE_SQL,
     }

@@ -382,3 +382,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
     return df.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 100 bytes is a row here, which suits small tables only; bytes are pairs of hexadecimal digits.
+ORACLE_SQL = r"""
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+s as (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as p from d),
+w as (select doc_id, p, substr(h, 2 * p + 1, 200) as s from s),
+f as (select doc_id, p, row_number() over (partition by s order by doc_id, p) > 1 as again from w),
+m as (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from f where again),
+r as (select doc_id, p, sum(case when before is null or p > before + 100 then 1 else 0 end) over (partition by doc_id order by p) as run from m),
+g as (select doc_id, run, min(p) as b, max(p) + 100 as e from r group by 1, 2),
+l as (select doc_id, sum(e - b) as n_removed, count(*) as n_spans, list(b order by b) as b, list(e order by b) as e from g group by 1),
+k as (select d.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  case when b is null then h else array_to_string(list_transform(range(1, len(b) + 2), lambda i: substr(h, case when i = 1 then 1 else 2 * e[i - 1] + 1 end, case when i > len(b) then length(h) else 2 * b[i] - case when i = 1 then 0 else 2 * e[i - 1] end end)), '') end as kept
+  from d left join l on d.doc_id = l.doc_id)
+select doc_id, n_bytes::bigint as n_bytes, n_removed::bigint as n_removed, n_spans::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from k
+"""

@@ -75,11 +75,10 @@ def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.nd
 def sturm_counts(d: np.ndarray, e: np.ndarray, x: np.ndarray) -> np.ndarray:
     """How many eigenvalues of the tridiagonal matrix are below each of ``x``."""
     tiny = np.finfo(float).tiny / np.finfo(float).eps
-    q = d[0] - x
-    count = (q < 0).astype(np.int64)
-    for i in range(1, len(d)):
-        q = np.where(np.abs(q) < tiny, -tiny, q)
-        q = d[i] - x - e[i - 1] ** 2 / q
+    count = np.zeros(len(x), np.int64)
+    for i in range(len(d)):
+        q = d[i] - x - (e[i - 1] ** 2 / q if i else 0.0)
+        q = np.where(np.abs(q) < tiny, -tiny, q)  # a zero counts as negative, here and in the next step
         count += q < 0
     return count
 
