@@ -52,8 +52,8 @@ HOT = 20_000
 RANGE, HELD = 1_000_000, 1_000_000
 #: Bytes of text that are searched for anchors at a time.
 PIECE = 1 << 21
-#: Lists of documents are broadcast up to this many rows.
-SMALL_ROWS = 1_000_000
+#: Ids of documents are broadcast up to this many, eight bytes each.
+SMALL_IDS = 4_000_000
 #: A null id is ordered as this one.
 LAST = (1 << 63) - 1
 
@@ -227,10 +227,16 @@ def compared(rows: DataFrame) -> DataFrame:
     return found.where(F.col("kind") != EDGE).union(late.select(F.lit(MARK).alias("kind"), *found.columns[1:]))
 
 
+def _ids(lists: DataFrame) -> DataFrame:
+    """The documents of ``lists``, each once, with a broadcast hint if they are few: what has nothing in the lists is not shuffled then."""
+    ids = written(lists.select(F.col("doc").alias("wanted")).distinct(), "documents")
+    return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+
+
 def _fetched(texts: DataFrame, spans: DataFrame, repeats: bool) -> DataFrame:
     """``w0``, ``doc``, ``tie``, ``lo``, ``a``, ``n`` and the bytes of spans."""
     lists = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "a", "n", "w0")).alias("spans"))
-    lists = broadcast_if_small(written(lists, "open-spans"), SMALL_ROWS)
+    texts = texts.join(_ids(spans), F.col("doc") == F.col("wanted"), "left_semi")
     schema = pa.schema([("w0", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("lo", pa.int32()), ("a", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +363,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     texts, repeats = _keyed(docs, key, text)
     marks = repeated_strings(texts, repeats, hot)
     lists = written(marks.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("found")), "repeated-strings")
-    lists = broadcast_if_small(lists, SMALL_ROWS)
+    ids = _ids(lists)
     removed = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,8 +379,12 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
                 spans = pa.array([[{"begin": b, "end": e} for b, e in own] for own in gone], removed)
                 yield pa.RecordBatch.from_arrays([part.column("rec_id"), pa.array([len(t) for t in data], pa.int64()), spans, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    both = texts.join(lists, ["doc", "tie"], "left").select("rec_id", "text", "found")
-    return both.mapInArrow(work, "doc_id long, n_bytes long, removed array<struct<begin:bigint,end:bigint>>, kept binary")
+    some = texts.join(ids, F.col("doc") == F.col("wanted"), "left_semi").join(lists, ["doc", "tie"], "left").select("rec_id", "text", "found")
+    some = some.mapInArrow(work, "doc_id long, n_bytes long, removed array<struct<begin:bigint,end:bigint>>, kept binary")
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rest = texts.join(ids, F.col("doc") == F.col("wanted"), "left_anti")
+    return some.union(rest.select("rec_id", F.octet_length(whole).cast("long"), none, whole))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
