@@ -613,25 +613,40 @@ def test_quality_drops_junk_and_keeps_clean(spark, sf):
     assert sum(got[i].kept for i in clean) >= 0.99 * len(clean)
 
 
-def exact_fences(rows, tail=quality.TAIL, prior=quality.PRIOR):
-    """Fences by exact quantiles, from (lang, source, {ratio or length: value}) of the documents that pass the base rules."""
+def exact_quantile(values, rank):
+    return sorted(values)[max(0, int(np.ceil(rank * len(values) - 1e-9)) - 1)]
+
+
+def exact_ratios(rows):
+    """Ratios from base counts, and the middle lengths, of dicts of which ``base_failed`` tells those that take no part."""
+    middle = {c: float(max(exact_quantile([r[c] for r in rows if not r["base_failed"]], 0.5), 1)) for c in quality.LENGTHS}
+    ratio = lambda r, name, count, length: r[count] / (r[length] + middle[length] if name in quality.SMOOTHED else max(r[length], 1))
+    return [{name: ratio(r, name, *of) for name, of in quality.RATIOS.items()} for r in rows], middle
+
+
+def exact_fences(rows, middle, tail=quality.TAIL, prior=quality.PRIOR):
+    """Fences by exact quantiles, from (lang, source, {ratio: value}) of the documents that pass the base rules."""
     levels = collections.defaultdict(list)
     for lang, source, values in rows:
         for key in ((lang, source), lang, ()):
             levels[key].append(values)
 
-    def own(key):
-        def q(name, rank):
-            v = sorted(x[name] for x in levels[key])
-            return v[max(0, int(np.ceil(rank * len(v) - 1e-9)) - 1)]
+    def ladder(rungs, unit):
+        fence = None
+        for (p, low), (q, high) in zip(rungs, rungs[1:], strict=False):
+            if fence is not None and high > fence:
+                break
+            fence = high + np.log2((1 - q) / tail) * max((high - low) / np.log2((1 - p) / (1 - q)), unit)
+        return fence
 
+    def own(key):
         out = {}
-        for name, (_, length) in quality.RATIOS.items():
-            one = 1 / max(q(length, 0.05), 1)
-            q1, q2, q3 = q(name, 0.25), q(name, 0.5), q(name, 0.75)
-            out[f"max_{name}"] = q3 + np.log2(0.25 / tail) * max(q3 - q2, one)
+        for name in quality.RATIOS:
+            values, unit = [x[name] for x in levels[key]], quality.unit_of(name, middle)
+            fence = ladder([(r, exact_quantile(values, r)) for r in quality.RANKS], unit)
+            out[f"max_{name}"] = min(fence, quality.MOST_SHARE) if name in quality.SHARES else fence
             if name in quality.LOWER:
-                out[f"min_{name}"] = q1 - np.log2(0.25 / tail) * max(q2 - q1, one)
+                out[f"min_{name}"] = -ladder([(r, -exact_quantile(values, round(1 - r, 4))) for r in quality.RANKS], unit)
         return out
 
     def drawn(key, parent):
@@ -646,26 +661,52 @@ def exact_fences(rows, tail=quality.TAIL, prior=quality.PRIOR):
 def test_quality_verdicts_equal_exact_quantiles(spark, sf):
     """The groups are smaller than a sketch, which then holds all values."""
     got = quality.judged(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 < 2"), ["doc_id"]).collect()
-    measured = [*quality.RATIOS, *quality.LENGTHS]
-    fences = exact_fences([(r.lang, r.source, {m: r[m] for m in measured}) for r in got if not r.base_failed])
-    for r in got:
+    ratios, middle = exact_ratios([r.asDict() for r in got])
+    fences = exact_fences([(r.lang, r.source, x) for r, x in zip(got, ratios, strict=True) if not r.base_failed], middle)
+    for r, x in zip(got, ratios, strict=True):
         want = fences(r.lang, r.source)
+        assert {n: r[n] for n in quality.RATIOS} == pytest.approx(x)
         assert {f: r[f] for f in quality.FENCES} == pytest.approx(want)
         inside = all(r[n] <= want[f"max_{n}"] for n in quality.RATIOS) and all(r[n] >= want[f"min_{n}"] for n in quality.LOWER)
         assert r.kept == (inside and not r.base_failed)
 
 
+def ratio_rows(spark, rows, name):
+    """Documents that pass the base rules, of one length, with (lang, source, value) of the ratio ``name`` and zero for the others."""
+    df = spark.createDataFrame(rows, "lang string, source string, x double")
+    return df.select("lang", "source", F.lit(False).alias("base_failed"), *[(F.col("x") if n == name else F.lit(0.0)).alias(n) for n in quality.RATIOS])
+
+
+def test_a_ratio_moves_its_own_fence_only(spark):
+    """Two groups of equal lengths: one with few zeros, one with many. Fences of shares lie inside their range."""
+    rows = [("en", "few", (i % 300) / 3000) for i in range(3000)] + [("en", "many", (i % 300) / 3000 if i % 20 == 0 else 0.0) for i in range(3000)]
+    for name in quality.RATIOS:
+        got = {r.source: r for r in quality.thresholds(ratio_rows(spark, rows, name), {"n_words": 300.0, "n_lines": 30.0}).collect()}
+        differ = {f for f in quality.FENCES if got["few"][f] != pytest.approx(got["many"][f])}
+        assert differ and {f.split("_", 1)[1] for f in differ} == {name}
+        assert all(0 < got[s][f"max_{n}"] < 1 for s in got for n in quality.SHARES)
+
+
+def test_junk_of_repeated_lines_goes(spark):
+    line = lambda i, k: " ".join(WORDS[(i * 37 + k * 11 + j) % 400] for j in range(9))
+    clean = [(i, "\n".join(line(i, k) + f" {i} {k}" for k in range(8))) for i in range(300)]
+    junk = [(1000 + i, "\n".join([line(i, 0) + " a b c", *[f"{w} {w}x" for w in WORDS[:30]], *["same line"] * 200][: 60 + 100 * (i % 2)])) for i in range(8)]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in clean + junk], "doc_id long, text string, lang string, source string")
+    got = {r.rec.doc_id: r for r in quality.judged(docs, ["doc_id"]).collect()}
+    assert all(got[i].kept for i, _ in clean)
+    assert all(got[i].dup_line_ratio > got[i].max_dup_line_ratio for i, _ in junk if i % 2)
+
+
 def test_quality_fences_follow_language_and_source(spark):
     spread = lambda lang, source, top, n: [(lang, source, top * i / n) for i in range(n)]
     rows = spread("en", "prose", 0.01, 3000) + spread("en", "code", 0.4, 3000) + spread("fr", "prose", 0.01, 20) + [("de", "new", 0.0)]
-    rows += [("en", "prose", 0.5), ("en", "code", 0.5)]
-    df = spark.createDataFrame(rows, "lang string, source string, x double")
-    df = df.select("lang", "source", F.lit(False).alias("base_failed"), F.lit(200).alias("n_words"), F.lit(200).alias("n_lines"), *[F.col("x").alias(n) for n in quality.RATIOS])
-    got = {(r.lang, r.source): r.max_symbol_ratio for r in quality.thresholds(df).collect()}
-    assert got["en", "prose"] < 0.5 < got["en", "code"], "one document, two verdicts"
+    rows += [("en", "prose", 0.42), ("en", "code", 0.42)]
+    df, middle = ratio_rows(spark, rows, "symbol_ratio"), {"n_words": 200.0, "n_lines": 200.0}
+    got = {(r.lang, r.source): r.max_symbol_ratio for r in quality.thresholds(df, middle).collect()}
+    assert got["en", "prose"] < 0.42 < got["en", "code"], "one document, two verdicts"
     assert got["en", "prose"] < got["fr", "prose"], "a small group is drawn to all"
     assert got["de", "new"] == pytest.approx(got["fr", "prose"], rel=0.4)
-    none = quality.thresholds(df.withColumn("base_failed", F.lit(True))).collect()
+    none = quality.thresholds(df.withColumn("base_failed", F.lit(True)), middle).collect()
     assert {r.max_symbol_ratio for r in none} == {None} and len(none) == 4
 
 

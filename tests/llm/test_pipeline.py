@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 from featlake.llm import encoder, language_id, near_dedup, quality
 
-from test_numbered_operators import brute_components, counts, exact_fences, shingle_set
+from test_numbered_operators import brute_components, counts, exact_fences, exact_ratios, shingle_set
 
 
 def test_stages_take_effect_and_keep_columns(spark, sf):
@@ -46,21 +46,19 @@ def test_empty_documents(spark, sf):
 
 def brute_quality(docs):
     """Documents inside the fences, by exact quantiles."""
-    measured = {}
+    measured = []
     for d in docs:
         n_words, chars, symbols, dup, repeat = counts(d.text)
         lines = len([x for x in (d.text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")])
-        n = max(n_words, 1)
-        values = {"symbol_ratio": symbols / n, "dup_line_ratio": dup / max(lines, 1), "repeat_ratio": repeat / n, "mean_word_chars": chars / n, "n_words": n_words, "n_lines": lines}
-        measured[d.doc_id] = (values, n_words < 50 or 100 * repeat > 50 * n_words)
-    fences = exact_fences([(d.lang, d.source, measured[d.doc_id][0]) for d in docs if not measured[d.doc_id][1]])
+        measured.append({"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": lines, "base_failed": n_words < 50 or 100 * repeat > 50 * n_words})
+    ratios, middle = exact_ratios(measured)
+    rows = [(d, x) for d, m, x in zip(docs, measured, ratios, strict=True) if not m["base_failed"]]
+    fences = exact_fences([(d.lang, d.source, x) for d, x in rows], middle)
     kept = []
-    for d in docs:
-        values, failed = measured[d.doc_id]
-        if not failed:
-            own = fences(d.lang, d.source)
-            if all(values[n] <= own[f"max_{n}"] for n in quality.RATIOS) and all(values[n] >= own[f"min_{n}"] for n in quality.LOWER):
-                kept.append(d)
+    for d, values in rows:
+        own = fences(d.lang, d.source)
+        if all(values[n] <= own[f"max_{n}"] for n in quality.RATIOS) and all(values[n] >= own[f"min_{n}"] for n in quality.LOWER):
+            kept.append(d)
     return kept
 
 
