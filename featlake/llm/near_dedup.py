@@ -90,18 +90,29 @@ def _with_agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "centre long, id long, agree boolean").groupBy("centre", "id").agg(F.max("agree").alias("agree"))
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+def _texts_once(docs: DataFrame, key: str, text: str, feats: DataFrame) -> DataFrame:
+    """``need`` (the id) and ``text``; rows that repeat both are one, found among the ids of several rows only."""
+    texts = docs.select(docs[key].cast("long").alias("need"), docs[text].alias("text")).where("need is not null")
+    several = written(feats.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), "ids-of-rows")
+    if several.isEmpty():
+        return texts
+    several = broadcast_if_small(several, SMALL_ROWS)
+    same = F.col("need") == F.col("again")
+    once = texts.join(several, same, "left_semi").groupBy("need", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    return texts.join(several, same, "left_anti").unionByName(once.select("need", "text"))
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``centre``, ``id``, ``linked``, ``n_centre``, ``n`` (sizes of the full sets) and ``diff`` (their difference) of the pairs.
 
     Texts are fetched by id; each part of a centre's members is sorted behind
     one copy of the centre's text, and a task holds one text at a time besides.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     pairs = pairs.select("centre", "id", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"))
     own = pairs.select(F.col("centre").alias("need"), "centre", "part", F.lit(0).alias("member")).distinct()
     need = written(own.union(pairs.select(F.col("id").alias("need"), "centre", "part", F.lit(1).alias("member"))), "need")
     need = broadcast_if_small(need, SMALL_ROWS)
-    texts = docs.select(docs[key].cast("long").alias("need"), docs[text].alias("text"))
     rows = texts.join(need, "need").repartition(shuffle_partitions(spark), "centre", "part").sortWithinPartitions("centre", "part", "member", "need")
     schema = pa.schema([("centre", pa.int64()), ("id", pa.int64()), ("linked", pa.bool_()), ("n_centre", pa.int64()), ("n", pa.int64()), ("diff", pa.list_(pa.int64()))])
 
@@ -192,7 +203,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # A member whose signature does not agree with its centre's matters only to other members.
     lone = pairs.groupBy("centre").agg(F.count("*").alias("members")).where("members = 1").select("centre")
     pairs = pairs.where("agree").union(pairs.where("not agree").join(written(lone, "lone"), "centre", "left_anti")).select("centre", "id")
-    compared = written(_compared(pairs, docs, key, text), "compared")
+    compared = written(_compared(pairs, _texts_once(docs, key, text, feats)), "compared")
     links = compared.where("linked").select(F.col("id").alias("u"), F.col("centre").alias("v"))
     found = written(components(links.union(_of_repeated_ids(feats, reps))), "direct-components")
     between = written(_between_members(compared, found), "member-links")

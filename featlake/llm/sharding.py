@@ -10,8 +10,9 @@ and readers of an older one are not disturbed. A row of the map whose slot has
 moved points at the new copy, so old copies are not read.
 
 Defined cases: null text has no bytes; a row with null key is put into a slot by
-its input partition as well, so such rows are spread, while rows that repeat a
-key and text share a slot; equal rows have positions of their own, in any order
+its input partition as well, so such rows are spread; a slot with far more rows
+and bytes than its share, as of rows that repeat key and text, deals its rows to
+all slots by their number; equal rows have positions of their own, in any order
 among them; a very long text stays whole; extra columns are kept in ``rec``,
 whatever their names; an empty table gives a map with empty slots and no rows.
 """
@@ -29,6 +30,8 @@ from .tables import new_path, shuffle_partitions, written
 N_SLOTS = 8192
 #: What a record takes besides its text.
 OVERHEAD = 16
+#: A slot is heavy from so many times its share of bytes, and of rows, on.
+HEAVY = 8
 
 
 def size_of(text: Column) -> Column:
@@ -147,6 +150,13 @@ def write_shards(docs: DataFrame, key: list[str], text: str, n_shards: int, path
     if not rest.isEmpty():  # written, as both passes over them must see the same partitions
         slotted = slotted.union(written(rest.select(*columns, hashed(F.spark_partition_id())), "rows-without-key"))
     sizes = slot_bytes(slotted)
+    share = [HEAVY * sum(x[i] for x in sizes.values()) / n_slots for i in (0, 1)]
+    heavy = [v for v, (b, n) in sizes.items() if b > share[0] and n > share[1] + HEAVY]  # one in HEAVY of the slots at most
+    if heavy:  # written, as the numbers of rows must be the same in both passes
+        rows = written(slotted.where(F.col("vslot").isin(heavy)).select("rec", "size"), "heavy-slots")
+        rows = rows.select("rec", "size", slot_of([F.monotonically_increasing_id()], n_slots).alias("vslot"))
+        slotted = slotted.where(~F.col("vslot").isin(heavy)).union(rows)
+        sizes = slot_bytes(slotted)
     mapping = first_map(sizes, n_shards, n_slots)
     save_map(spark, path, 1, _map_rows(mapping, dict.fromkeys(mapping, 1), sizes))
     tasks = shuffle_partitions(spark)

@@ -10,7 +10,7 @@ Block: ``part`` (the file's place in the order), ``first`` (tokens of the part
 before the block), ``doc_ids``, ``n_tokens``, ``control``, ``data``.
 
 Defined cases: null or empty text has the end id only; null ids come first;
-rows that repeat an id lie side by side, in the order of their tokens; ids of
+rows that repeat an id lie side by side, by their first tokens; ids of
 equal frequency are ranked by id; a very long text is encoded whole and lies in
 one block; columns besides id and text take no part, whatever their names; an
 empty table gives no blocks.
@@ -124,7 +124,10 @@ def write_blocks(docs: DataFrame, key: str, text: str, out: str, path: str, end:
         if held:
             yield block()
 
-    ordered = tokens.where("counts is null").select("doc_id", "ids").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # Rows of one id are told apart by their first tokens and their number, so that many of them are many ranges.
+    order = ["doc_id", "head", "row"]
+    ordered = tokens.where("counts is null").select("doc_id", "ids", F.substring("ids", 1, 32).alias("head"), F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(work, "part int, first long, doc_ids array<long>, n_tokens array<int>, control binary, data binary").write.option("compression", "none").parquet(f"{out}/blocks")
     forget(tokens)
 

@@ -378,6 +378,25 @@ def test_short_and_long_items_are_found(spark, empty):
     assert decontaminate.keep_clean(empty, item_df).count() == 0
 
 
+def test_a_common_opening_makes_no_candidates(spark, monkeypatch):
+    """1000 items and 300 documents with one opening, items made of templates, and documents that hold some."""
+    opening = body(0, 14)
+    items = [(i, opening + " " + " ".join(f"item{i}x{j}" for j in range(40))) for i in range(1000)]
+    templates = [" ".join(f"tem{t}x{j}" for j in range(60)) for t in range(3)]
+    items += [(2000 + 40 * t + i, f"{templates[t]} last{i} words{i}") for t in range(3) for i in range(40)]
+    docs = [(i, opening + " " + body(20 + i, 60, 3)) for i in range(300)]
+    docs += [(400, "lead " + items[7][1]), (401, " ".join(items[9][1].split()[:50])), (402, templates[0]), (403, templates[1] + " last5 words5"), (404, " ".join(templates[2].split()[:30])), (405, " ".join(templates[2].split()[:53]))]
+    seen = {}
+    monkeypatch.setattr(decontaminate, "written", lambda df, name, keep=decontaminate.written: seen.setdefault(name + str(len(seen)), keep(df, name)))
+    args = (spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(*args).collect()}
+    sets, texts = {i: shingle_set(t) for i, t in items}, {d: shingle_set(t) for d, t in docs}
+    want = {(d, i) for d, s in texts.items() for i, x in sets.items() if len(x & s) >= 0.8 * len(x)}
+    assert got == want and (400, 7) in got and {(402, 2000), (403, 2045)} <= got and not any(d == 404 for d, _ in got)
+    candidates = [df.count() for name, df in seen.items() if name.startswith("candidates")]
+    assert max(candidates) < 1000 and sum(candidates) <= 2 * len(want) + 20
+
+
 def test_decontamination_edges(spark, odd):
     items = spark.createDataFrame([(1, "one two"), (2, body(0, 20))], "item_id long, text string")
     clean = decontaminate.keep_clean(odd, items)
@@ -722,3 +741,42 @@ def test_keep_one_keeps_one_row_of_a_repeated_id(spark):
     rows = [(1, text), (1, text), (1, text.upper()), (1, other), (2, text), (3, None), (3, None), (None, text), (None, text)]
     got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, text.upper()), (1, other), (3, None), (3, None), (None, text), (None, text)], key=str)
+
+
+# Hot keys: a third of all rows and more are equal.
+
+
+def test_equal_rows_do_not_make_a_heavy_shard(spark):
+    rows = [(i, body(i, 3 + i % 5)) for i in range(2000)] + [(7, body(0, 4))] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.write_shards(docs, ["doc_id"], "text", 40, new_path(spark, "test")).collect()
+    check_shards(got, docs, 40)
+    load = collections.Counter()
+    for r in got:
+        load[r.shard] += len((r.rec.text or "").encode()) + 16
+    mean = sum(load.values()) / 40
+    assert max(load.values()) - mean <= max(0.01 * mean, 100)
+
+
+def test_rows_without_id_are_many_parts_of_a_token_file(spark):
+    docs = spark.range(6000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    docs = docs.union(spark.range(3000).select("id", F.concat(F.lit("text "), "id")))
+    out = new_path(spark, "test")
+    token_codec.write_blocks(docs, "doc_id", "text", out, encoder.tokenizer_path("byte_bpe_50k.json"), 2, "led")
+    parts = [r.n for r in spark.read.parquet(f"{out}/blocks").groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert sum(parts) == 9000 and max(parts) <= 2 * 9000 / len(parts)
+    rows = token_codec.read_blocks(spark, out).orderBy("start").collect()
+    check_tokens([(r.doc_id, r.ids) for r in rows], [(r.doc_id, r.text) for r in docs.collect()], "byte_bpe_50k.json", 2)
+    assert [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda i: -1 if i is None else i)
+
+
+def test_repeated_rows_meet_near_copies_once(spark, monkeypatch):
+    text = body(0, 200)
+    near = [(100 + i, text.replace(f"word{3 + 2 * i}", f"other{i}")) for i in range(50)]
+    docs = spark.createDataFrame([(1, text)] * 600 + near + [(100, near[0][1])] * 300, "doc_id long, text string").repartition(4)
+    seen = {}
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, keep=near_dedup.written: seen.setdefault(name + str(len(seen)), keep(df, name)))
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    want = brute_components([(1, text), *near])
+    assert got == {(i, want[i]) for i in want}
+    assert [df.count() for name, df in seen.items() if name.startswith("compared")][0] <= 150  # of 51 classes; 45,000 with all rows
