@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import numbered
+from .numbering import join_null_safe, numbered
 
 
 def first(col: Column, *order: Column) -> Column:
@@ -31,7 +31,7 @@ def num_unique_many(df: DataFrame, keys: list[str], columns: list[str]) -> DataF
     out = None
     for c in columns:
         part = df.select(*keys, F.col(c).cast("string").alias(c)).distinct().groupBy(*keys).agg(F.count(c).alias(f"unique_{c}"))
-        out = part if out is None else out.join(part, keys)
+        out = part if out is None else join_null_safe(out, part, keys)
     return out
 
 
@@ -78,7 +78,7 @@ def feature_pairs(df: DataFrame, keys: list[str], features: list[str]) -> DataFr
 def two_pass(df: DataFrame, keys: list[str], statistics: dict[str, Column], features: dict[str, Column]) -> DataFrame:
     """Statistics over the groups, then features of each row that use them."""
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in statistics.items()])
-    return df.join(stats, keys).select(*df.columns, *[e.alias(n) for n, e in features.items()])
+    return join_null_safe(df, stats, keys).select(*df.columns, *[e.alias(n) for n, e in features.items()])
 
 
 def group_ids(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,6 +25,27 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
     return placed.join(F.broadcast(ranges), "_range").select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
+def numbered_flags(df: DataFrame, order: list, flag: Column, name: str) -> DataFrame:
+    """``name``: how many rows with ``flag`` come before each row in ``order``; of rows that are equal in it, any of those."""
+    sort = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = df.withColumn("_flag", flag.cast("long")).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    placed = written(placed.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    ranges = placed.groupBy("_range").agg(F.sum("_flag").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_flag").over(W.partitionBy("_range").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = placed.withColumn("_inside", inside).join(F.broadcast(ranges.select("_range", before.alias("_before"))), "_range")
+    return rows.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null, as in groups and windows; the keys come once, from the left."""
+    side = right.withColumnsRenamed({k: f"_join_{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_join_{i}"))
+    return left.join(side, same, how).drop(*[f"_join_{i}" for i in range(len(keys))])
+
+
 def at_position(df: DataFrame, order: list[str], share: float) -> DataFrame:
     """The row at floor(share * n) in ``order``, from 0."""
     rows = numbered(df, order, "_position", 0)

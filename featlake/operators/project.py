@@ -51,7 +51,7 @@ def page(df: DataFrame, order: list, skip: int, take: int) -> DataFrame:
     """``take`` rows behind the first ``skip`` in ``order``. A page far behind is found by row numbers, as a sort of all rows before it would be one task's."""
     if skip + take <= NEAR_PAGE:
         return df.orderBy(*order).offset(skip).limit(take)
-    return numbered(df, order, "_place", 0).where(F.col("_place").between(skip, skip + take - 1)).drop("_place")
+    return numbered(df, order, "_place", 0).where(F.col("_place").between(skip, skip + take - 1)).orderBy("_place").drop("_place")
 
 
 def time_range(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Event-order operators: previous rows, host runs, sessions.
 
 A user's events are numbered within days; only one row per user and day crosses
-days, so a user with a long history is spread over tasks.
+days, so a user with a long history is spread over tasks. Events without a user
+are one user's, events without a time are of one day before all others.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import micros, week_start
+from .numbering import join_null_safe
 
 SECOND = 1_000_000
 
@@ -37,7 +39,7 @@ def walked(events: DataFrame) -> DataFrame:
     days = days.select("user", "day", "_before", (earlier + F.col("_starts")).alias("_base"))
     run = (F.sum("_turn").over(order) + F.col("_base")).cast("long")
     prev = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))
-    return rows.join(days, ["user", "day"]).select(*events.columns, prev.alias("prev_host"), run.alias("run"))
+    return join_null_safe(rows, days, ["user", "day"]).select(*events.columns, prev.alias("prev_host"), run.alias("run"))
 
 
 def with_previous(events: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def session_sets(events: DataFrame, pays: Column) -> DataFrame:
     s = sessions(events).withColumn("day", F.to_date(F.timestamp_micros("start")))
     sets = s.groupBy("user", "day").agg(F.sort_array(F.collect_list(F.struct("start", "host", "seconds"))).alias("sessions"))
     paid = events.groupBy("user", "day").agg(F.bool_or(pays).cast("int").alias("paying"))
-    return paid.join(sets, ["user", "day"]).withColumn("week", week_start(F.col("day")))
+    return join_null_safe(paid, sets, ["user", "day"]).withColumn("week", week_start(F.col("day")))
 
 
 def between_sessions(events: DataFrame) -> DataFrame:
@@ -100,4 +102,4 @@ def running_flag(events: DataFrame, flag: Column, name: str, same_day: bool = Fa
         return events.withColumn(name, own)
     days = events.groupBy("user", "day").agg(F.max(flag.cast("int")).alias("_f"))
     days = days.withColumn("_before", F.coalesce(F.max("_f").over(W.partitionBy("user").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_f")
-    return events.join(days, ["user", "day"]).withColumn(name, F.greatest(own, "_before")).drop("_before")
+    return join_null_safe(events, days, ["user", "day"]).withColumn(name, F.greatest(own, "_before")).drop("_before")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..operators import aggregates
 from ..operators import clickstream as K
 from ..operators import paths as T
 from ..operators import project as P
@@ -129,6 +130,35 @@ def running_paying(spark, d):
     return S.running_flag(events(spark, d), F.col("host") == "purchase", "paying").select("event", "paying")
 
 
+#: Events of which some have no user, or no time.
+ODD = """with o as (select event_id as event, case when event_id % 7 > 0 then user_id end as user, case when event_id % 11 > 0 then ts end as ts, event_type as host, value from events)"""
+
+
+def odd_events(spark, d):
+    df = table(spark, d, "events")
+    return df.withColumns({"user_id": F.when(F.col("event_id") % 7 > 0, F.col("user_id")), "ts": F.when(F.col("event_id") % 11 > 0, F.col("ts"))})
+
+
+@query("prev_event_nulls", ODD + "select event, lag(host) over (partition by user order by ts nulls first, event) as prev_host from o")
+def prev_event_nulls(spark, d):
+    """Events without a user are one user's, those without a time come first."""
+    df = odd_events(spark, d)
+    return S.with_previous(S.ordered_events(df, "user_id", "ts", "event_id", "event_type")).select("event", "prev_host")
+
+
+@query("running_flag_nulls", ODD + "select event, max(case when host = 'purchase' then 1 else 0 end) over (partition by user order by ts nulls first, event) as paying from o")
+def running_flag_nulls(spark, d):
+    events = S.ordered_events(odd_events(spark, d), "user_id", "ts", "event_id", "event_type")
+    return S.running_flag(events, F.col("host") == "purchase", "paying").select("event", "paying")
+
+
+@query("two_pass_nulls", ODD + "select event, round(value / nullif(sum(value) over (partition by user), 0), 6) as share, count(*) over (partition by user) as n from o")
+def two_pass_nulls(spark, d):
+    statistics = {"total": F.sum("value"), "n": F.count("*")}
+    df = aggregates.two_pass(odd_events(spark, d), ["user_id"], statistics, {"share": F.round(F.col("value") / F.nullif(F.col("total"), F.lit(0)), 6), "n": F.col("n")})
+    return df.select(F.col("event_id").alias("event"), "share", "n")
+
+
 @query("first_per_host", BASE + "select user, host, event from e qualify row_number() over (partition by user, host order by tus, event) = 1")
 def first_per_host(spark, d):
     return events(spark, d).groupBy("user", "host").agg(F.min_by("event", F.struct("at", "event")).alias("event"))

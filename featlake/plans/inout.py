@@ -112,8 +112,9 @@ def batched_append(spark, d):
 def create_or_append(spark, d):
     path = new_path(spark, "dataset")
     df = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    S.create_or_append(spark, df, path)
-    S.create_or_append(spark, df, path)
+    for _ in range(2):
+        S.create_or_append(spark, df, path)
+        S.create_or_append(spark, df.select("c_acctbal"), path)  # other fields: a dataset beside it
     return spark.read.parquet(path).groupBy("c_custkey").agg(F.count("*").cast("int").alias("copies"))
 
 
@@ -143,12 +144,14 @@ def shard_limit(spark, d):
     return R.read_shards(spark, path, shards=1).select("o_orderkey")
 
 
-@query("file_limit", "select count(*) as files from (values (1), (2)) v(x)")
+@query("file_limit", "select o_custkey // 500 as bucket, count(*) as n from orders where o_custkey // 500 < 2 group by 1")
 def file_limit(spark, d):
-    """Two files of a folder, by name."""
+    """The first two files of a folder by name, which hold the orders of the first thousand customers."""
     path = new_path(spark, "files")
-    orders(spark, d).repartition(max(3, spark.sparkContext.defaultParallelism)).write.parquet(path)
-    return R.read_directory(spark, path, shards=2).select(F.input_file_name().alias("name")).agg(F.count_distinct("name").alias("files"))
+    bucket = F.floor(F.col("o_custkey") / 500)
+    df = orders(spark, d).select(bucket.alias("bucket"), F.least(bucket, F.lit(2)).cast("int").alias("file"))
+    df.repartitionById(3, F.col("file")).select("bucket").write.parquet(path)
+    return R.read_directory(spark, path, shards=2).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query("entry_limit", "select o_orderkey from orders order by o_orderkey limit 100")

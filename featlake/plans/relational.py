@@ -99,19 +99,36 @@ def lookup_first(spark, d):
 @query("theta_first", """select c_custkey, o_orderkey from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_orderdate nulls last, o_orderkey) rn
   from customer left join orders on o_custkey = c_custkey and o_totalprice > c_acctbal * 40) where rn = 1""")
 def theta_first(spark, d):
-    left = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") * 40).alias("bound"), F.col("c_custkey").alias("row"))
+    left = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") * 40).alias("bound"))
     right = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_totalprice")
-    return J.first_above(left, right, ["c_custkey"], "bound", "o_totalprice", "row", ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey")
+    return J.first_above(left, right, ["c_custkey"], "bound", "o_totalprice", ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey")
 
 
 @query("theta_first_any", """select c_custkey, o_orderkey from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_orderdate nulls last, o_orderkey) rn
   from customer left join orders on o_custkey = c_custkey and o_orderstatus <> 'F' and o_totalprice between c_acctbal and c_acctbal * 40) where rn = 1""")
 def theta_first_any(spark, d):
-    """A condition that is no single bound: all rows of a key are tried."""
-    left = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    right = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
-    fits = (F.col("o_orderstatus") != "F") & F.col("o_totalprice").between(F.col("c_acctbal"), F.col("c_acctbal") * 40)
-    return J.first_match(left, right, ["c_custkey"], fits, ["c_custkey"], ["o_orderdate", "o_orderkey"]).select("c_custkey", "o_orderkey")
+    """A condition on the right side alone, and two bounds on one value."""
+    left = table(spark, d, "customer").select("c_custkey", "c_acctbal", (F.col("c_acctbal") * 40).alias("most"))
+    right = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_totalprice")
+    return J.first_between(left, right, ["c_custkey"], "o_totalprice", ["o_orderdate", "o_orderkey"], "c_acctbal", "most").select("c_custkey", "o_orderkey")
+
+
+@query("theta_first_band", """with c as (select c_custkey, c_nationkey, c_acctbal / 500 as b from customer), r as (select s_nationkey, s_suppkey, (s_suppkey * 7 % 23) - 4 as x from supplier)
+select c_custkey, b, s_suppkey, x from (select *, row_number() over (partition by c_custkey order by s_suppkey) rn from c left join r on s_nationkey = c_nationkey and x > b and x <= b + 4) where rn = 1""")
+def theta_first_band(spark, d):
+    """Whole numbers between negative and fractional bounds, open below."""
+    left = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") / 500).alias("b"), (F.col("c_acctbal") / 500 + 4).alias("most"))
+    right = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", (F.col("s_suppkey") * 7 % 23 - 4).alias("x"))
+    return J.first_between(left, right, ["nation"], "x", ["s_suppkey"], "b", "most", low_open=True).select("c_custkey", "b", "s_suppkey", "x")
+
+
+@query("theta_first_no_key", """select p_partkey, o_orderkey from (select p_partkey, o_orderkey, row_number() over (partition by p_partkey order by o_orderdate nulls last, o_orderkey) rn
+  from part left join orders on o_totalprice >= p_retailprice * 100 and o_totalprice < p_retailprice * 101) where rn = 1""")
+def theta_first_no_key(spark, d):
+    """Bounds without a key that both sides share: the first order of about a price, among all orders."""
+    left = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("least"), (F.col("p_retailprice") * 101).alias("most"))
+    right = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return J.first_between(left, right, [], "o_totalprice", ["o_orderdate", "o_orderkey"], "least", "most", high_open=True).select("p_partkey", "o_orderkey")
 
 
 @query("relation_join", "select o_orderkey, count(*) as lines, round(sum(l_extendedprice), 2) as total from orders join lineitem on o_orderkey = l_orderkey group by 1")
@@ -145,7 +162,21 @@ def next_week_label(spark, d):
 @query("time_shift_target", """with a as (select event_id, user_id, epoch_us(ts) + 21600000000 as at from events), v as (select user_id, epoch_us(ts) as at, event_id as vid, value from events)
 select a.event_id, arg_min(value, (v.at, vid)) as label from a left join v on a.user_id = v.user_id and v.at >= a.at group by 1""")
 def time_shift_target(spark, d):
-    return J.shifted_target(table(spark, d, "events"), "user_id", "ts", "value", 6 * 3600, "event_id").select("event_id", "label")
+    return J.shifted_target(table(spark, d, "events"), "user_id", "ts", "value", "event_id", hours=6).select("event_id", "label")
+
+
+@query("month_shift_target", """select a.o_orderkey, arg_min(v.o_totalprice, (v.o_orderdate, v.o_orderkey)) as label from orders a
+left join orders v on a.o_custkey = v.o_custkey and v.o_orderdate >= a.o_orderdate + interval 13 month + interval 2 day group by 1""")
+def month_shift_target(spark, d):
+    """The customer's first price from a year, a month and two days later on, by the calendar."""
+    return J.shifted_target(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "o_orderkey", years=1, months=1, days=2).select("o_orderkey", "label")
+
+
+@query("month_before_target", """select a.o_orderkey, arg_max(v.o_totalprice, (v.o_orderdate, v.o_orderkey)) as label from orders a
+left join orders v on a.o_custkey = v.o_custkey and v.o_orderdate <= a.o_orderdate - interval 1 month group by 1""")
+def month_before_target(spark, d):
+    """The customer's last price until a month before."""
+    return J.shifted_target(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", "o_orderkey", before=True, months=1).select("o_orderkey", "label")
 
 
 @query("anti_delete", "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
@@ -166,6 +197,14 @@ def keyed_update(spark, d):
     return S.keyed_update(df, df.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(0.0)), ["c_custkey"], ["c_acctbal"])
 
 
+@query("keyed_update_last", "select c_custkey, case when c_custkey % 5 = 0 then c_nationkey + 2.0 else c_acctbal end as c_acctbal from customer")
+def keyed_update_last(spark, d):
+    """Each key stands three times in the update; the last one by an order counts."""
+    df = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    new = df.where("c_custkey % 5 = 0").withColumn("step", F.explode(F.array(F.lit(0), F.lit(2), F.lit(1)))).withColumn("c_acctbal", F.col("c_nationkey") + F.col("step").cast("double"))
+    return S.keyed_update(df, new, ["c_custkey"], ["c_acctbal"], order=["step"]).select("c_custkey", "c_acctbal")
+
+
 @query("sync_tables", "select c_custkey, round(c_acctbal * case when c_custkey % 2 = 0 then 2 else 1 end, 2) as c_acctbal from customer")
 def sync_tables(spark, d):
     df = table(spark, d, "customer").select("c_custkey", "c_acctbal")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.texts import clean_name
+from ..operators.numbering import join_null_safe
 
 #: MIME types of each reader; spreadsheet types are read as CSV, an empty type as JSON.
 MIME = {"text/csv": "csv", "application/json": "json", "": "json"}
@@ -164,5 +165,5 @@ def preaggregated(df: DataFrame, where, keys: list[str], total: str, item: list[
     """match, group (count, sum), limit, and then the items of the groups that are left, in order."""
     rows = df.where(where)
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(total).alias("total")).orderBy(*keys).limit(most)
-    items = rows.join(F.broadcast(groups.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*item))).alias("items"))
-    return groups.join(items, keys)
+    items = join_null_safe(rows, groups.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*item))).alias("items"))
+    return join_null_safe(groups, items, keys)

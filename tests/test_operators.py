@@ -131,31 +131,114 @@ def test_a_far_page_equals_a_near_one(spark, monkeypatch):
     df = spark.createDataFrame([(i * 7 % 100, i) for i in range(100)], "x int, i int").repartition(5)
     near = project.page(df, [F.desc("x"), "i"], 40, 10).collect()
     monkeypatch.setattr(project, "NEAR_PAGE", 5)
-    assert sorted(project.page(df, [F.desc("x"), "i"], 40, 10).collect()) == sorted(near) and len(near) == 10
+    assert project.page(df, [F.desc("x"), "i"], 40, 10).collect() == near and len(near) == 10
 
 
-def test_first_above_equals_all_pairs(spark):
+def between(left, right, low, high, low_open, high_open):
+    """Row of the left (with repeats) -> the least (o, r) that fits, by all pairs."""
+    out = []
+    for i, k, a, b in left:
+        fits = [(o, r) for k2, y, o, r in right if None not in (k, y) and k2 == k]
+        fits = [(o, r) for k2, y, o, r in right if None not in (k, y) and k2 == k and (not low or a is not None and (y > a if low_open else y >= a)) and (not high or b is not None and (y < b if high_open else y <= b))]
+        out.append((i, *min(fits, default=(None, None))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("value", "bound"), [("int", "int"), ("bigint", "double"), ("double", "bigint"), ("double", "double"), ("decimal(20,2)", "bigint"), ("string", "string"), ("date", "timestamp")])
+def test_first_between_equals_all_pairs(spark, monkeypatch, value, bound):
     import random
+    from decimal import Decimal
 
+    monkeypatch.setattr(joins, "BLOCK_BITS", 2)  # several levels of blocks
     rng = random.Random(4)
-    left = [(i, rng.choice([1, 1, 1, 2, 3]), rng.choice([None, *range(30)])) for i in range(120)]
-    right = [(rng.choice([1, 1, 1, 2]), rng.choice([None, *range(32)]), rng.randint(0, 9), i) for i in range(150)]
-    got = joins.first_above(spark.createDataFrame(left, "id int, k int, x int"), spark.createDataFrame(right, "k int, y int, o int, r int"), ["k"], "x", "y", "id", ["o", "r"], 5)
-    want = {i: min(((o, r) for k2, y, o, r in right if k2 == k and None not in (x, y) and y > x), default=(None, None)) for i, k, x in left}
-    assert {r.id: (r.o, r.r) for r in got.collect()} == want
+    whole = [None, -(2**53) - 1, -(2**53), -4, -3, 0, 3, 4, 7, 2**53, 2**53 + 1, 2**63 - 1]
+    parts = [None, -3.7, -3.0, -0.5, -0.0, 0.0, 0.5, 3.0, 6.99, float(2**53), 2.0**63, float("inf"), float("-inf")]
+    draw = {
+        "int": lambda: rng.choice([None, *range(-9, 10)]), "bigint": lambda: rng.choice(whole), "double": lambda: rng.choice(parts), "decimal(20,2)": lambda: rng.choice([None, Decimal("-3.70"), Decimal("0.00"), Decimal("3.00"), Decimal("3.01")]),
+        "string": lambda: rng.choice([None, "", "a", "ab", "é", "z"]), "date": lambda: rng.choice([None, *[dt.date(2024, 1, d) for d in range(1, 9)]]), "timestamp": lambda: rng.choice([None, *[dt.datetime(2024, 1, d, h) for d in range(1, 9) for h in (0, 12)]]),
+    }
+    key = lambda: rng.choice([1, 1, 1, 2, None])
+    left = [(i % 50, key(), draw[bound](), draw[bound]()) for i in range(70)]
+    right = [(rng.choice([1, 1, 1, 2, 4, None]), draw[value](), rng.randint(0, 9), i) for i in range(90)]
+    lf, rf = spark.createDataFrame(left, f"id int, k int, a {bound}, b {bound}").repartition(3), spark.createDataFrame(right, f"k int, y {value}, o int, r int").repartition(3)
+    as_time = lambda x: dt.datetime.combine(x, dt.time()) if type(x) is dt.date else x
+    plain = [(k, as_time(y), o, r) for k, y, o, r in right]
+    for low, high, low_open, high_open in (("a", None, True, False), ("a", "b", False, False), ("a", "b", True, True), (None, "b", False, True)):
+        got = joins.first_between(lf, rf, ["k"], "y", ["o", "r"], low, high, low_open, high_open).collect()
+        assert sorted(((r.id, r.o, r.r) for r in got), key=str) == between(left, plain, low, high, low_open, high_open)
+
+
+def test_first_between_needs_comparable_types_and_may_find_nothing(spark):
+    left, right = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([(1, 2, 3)], "k int, y int, o int")
+    with pytest.raises(TypeError, match="string"):
+        joins.first_between(left, right, ["k"], "y", ["o"], "a")
+    left = spark.createDataFrame([(1, 5), (None, 1)], "k int, a int")
+    assert [r.o for r in joins.first_between(left, right, ["k"], "y", ["o"], "a").collect()] == [None, None]
+    assert [r.o for r in joins.first_between(left, right.limit(0), ["k"], "y", ["o"], "a").collect()] == [None, None]
+    assert sorted(str(r.o) for r in joins.first_between(left, right, [], "y", ["o"], None, "a").collect()) == ["3", "None"]
+
+
+def test_first_between_makes_no_pairs(spark, monkeypatch):
+    """One key with 50,000 rows on either side: no stage has more than a few rows for each, and ranges are alike in size."""
+    n, sizes = 50_000, {}
+    keep = joins.written
+    for module in (joins, numbering):
+        monkeypatch.setattr(module, "written", lambda df, name: sizes.setdefault((name, len(sizes)), keep(df, name)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    left = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") % 1000 / 1e6).alias("a"), (F.col("id") % 1000 / 1e6 + 0.01).alias("b"), "id")
+    right = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 7919 % n / (n * 1000.0)).alias("y"), F.col("id").alias("o"))
+    try:
+        got = joins.first_between(left, right, ["k"], "y", ["o"], "a", "b")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.where("o is not null").count() == got.count() == n
+    for (name, _), df in sizes.items():
+        assert df.count() <= (3 * n if name == "placed" or "_flag" in df.columns else n)
+    placed = next(df for df in sizes.values() if "_flag" in df.columns)
+    parts = [r["count"] for r in placed.groupBy("_range").count().collect()]
+    assert len(parts) == 4 and max(parts) < 1.5 * 3 * n / 4
+    row = got.where("id = 77").first()
+    assert row.o == min(i for i in range(n) if 0.000077 <= i * 7919 % n / (n * 1000.0) <= 0.010077)
 
 
 def test_shifted_target_carries_over_days(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, t, 1, 1.0), (1, t + dt.timedelta(days=3), 2, None), (1, t + dt.timedelta(days=3), 3, 5.0), (2, t, 4, 2.0)]
     df = spark.createDataFrame(rows, "u int, ts timestamp, id int, v double")
-    got = {r.id: r.label for r in joins.shifted_target(df, "u", "ts", "v", 3600, "id").collect()}
-    assert got == {1: None, 2: None, 3: None, 4: None}
-    got = {r.id: r.label for r in joins.shifted_target(df.where("id <> 2"), "u", "ts", "v", 3600, "id").collect()}
-    assert got == {1: 5.0, 3: None, 4: None}
-    no_time = spark.createDataFrame([(1, None, 5, 7.0)], df.schema)
-    got = {r.id: r.label for r in joins.shifted_target(df.where("id <> 2").union(no_time), "u", "ts", "v", 3600, "id").collect()}
-    assert got == {1: 5.0, 3: None, 4: None, 5: None}
+    labels = lambda df, **how: {r.id: r.label for r in joins.shifted_target(df, "u", "ts", "v", "id", **how).collect()}
+    assert labels(df, seconds=3600) == {1: None, 2: None, 3: None, 4: None}
+    assert labels(df.where("id <> 2"), hours=1) == {1: 5.0, 3: None, 4: None}
+    no_time = spark.createDataFrame([(1, None, 5, 7.0), (None, t, 6, 8.0)], df.schema)
+    assert labels(df.where("id <> 2").union(no_time), hours=1) == {1: 5.0, 3: None, 4: None, 5: None, 6: None}
+    assert labels(df, before=True, days=3) == {1: None, 2: 1.0, 3: 1.0, 4: None}
+    assert labels(df, before=True) == {1: 1.0, 2: 5.0, 3: 5.0, 4: 2.0}, "of one time the last id"
+
+
+def test_shifts_follow_the_calendar_and_keep_repeated_rows(spark):
+    days = [dt.datetime(2024, 1, 31), dt.datetime(2024, 1, 31), dt.datetime(2024, 2, 28), dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 1), dt.datetime(2025, 2, 28)]
+    rows = [(1, d, i // 2, float(i), "x") for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "u int, ts timestamp, id int, v double, _rec string")
+    after = joins.shifted_target(df, "u", "ts", "v", "id", months=1)
+    assert after.columns == [*df.columns, "label"]
+    assert sorted((r.v, r.label) for r in after.collect()) == [(0.0, 3.0), (1.0, 3.0), (2.0, 5.0), (3.0, 5.0), (4.0, 5.0), (5.0, None)]
+    before = joins.shifted_target(df, "u", "ts", "v", "id", before=True, years=1)
+    assert sorted((r.v, r.label) for r in before.collect())[-1] == (5.0, 2.0)
+
+
+def test_null_keys_stay(spark):
+    """A null user, a null time and a null group: no row is lost."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t, 1, "a"), (1, None, 2, "b"), (None, t, 3, "a"), (None, t + dt.timedelta(days=1), 4, "b"), (1, t + dt.timedelta(days=1), 5, None)]
+    df = spark.createDataFrame(rows, "u int, ts timestamp, e int, h string")
+    events = sessions.ordered_events(df, "u", "ts", "e", "h")
+    assert {r.event: (r.prev_host, r.run) for r in sessions.walked(events).collect()} == {2: (None, 1), 1: ("b", 2), 5: ("a", 3), 3: (None, 1), 4: ("a", 2)}
+    assert sessions.sessions(events).count() == 5
+    assert {r.event: r.f for r in sessions.running_flag(events, F.col("host") == "a", "f").collect()} == {2: 0, 1: 1, 5: 1, 3: 1, 4: 1}
+    assert sessions.session_sets(events, F.col("host") == "a").count() == 5
+    assert {(r.u, r.unique_h, r.unique_e) for r in aggregates.num_unique_many(df, ["u"], ["h", "e"]).collect()} == {(1, 2, 3), (None, 2, 2)}
+    assert {(r.e, r.n) for r in aggregates.two_pass(df, ["u"], {"n": F.count("*")}, {"n": F.col("n")}).collect()} == {(1, 3), (2, 3), (5, 3), (3, 2), (4, 2)}
+    got = readers.preaggregated(df, F.lit(True), ["u", "h"], "e", ["e"], 10).collect()
+    assert {(r.u, r.h, r.n, r.total) for r in got} == {(1, "a", 1, 1), (1, "b", 1, 2), (1, None, 1, 5), (None, "a", 1, 3), (None, "b", 1, 4)}
 
 
 def test_relation_and_unique_key(spark):
@@ -254,10 +337,21 @@ def test_json_and_csv_scans(spark, tmp_path):
         readers.read_any(spark, "x", "image/png")
 
 
-def test_create_or_append_doubles_rows(spark, tmp_path):
-    df = spark.range(10)
-    assert [writers.create_or_append(spark, df, str(tmp_path / "t")) for _ in range(2)] == [False, True]
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 20
+def test_create_or_append_keeps_a_dataset_with_other_fields(spark, tmp_path):
+    path, df, other = str(tmp_path / "t"), spark.range(10), spark.range(3).toDF("x")
+    got = [writers.create_or_append(spark, x, path) for x in (df, other, df, other, other.toDF("y"))]
+    assert got == [(path, False), (f"{path}-2", False), (path, True), (f"{path}-2", True), (f"{path}-3", False)]
+    assert [spark.read.parquet(p).count() for p in (path, f"{path}-2", f"{path}-3")] == [20, 6, 3]
+
+
+def test_repeated_keys_of_an_update(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(2, "B", 1), (2, "C", 2), (None, "N", 1)], "k int, v string, o int")
+    with pytest.raises(ValueError, match="duplicate key"):
+        writers.keyed_update(old, new, ["k"], ["v"])
+    as_set = lambda df: {(r.k, r.v) for r in df.collect()}
+    assert as_set(writers.keyed_update(old, new, ["k"], ["v"], order=["o"])) == {(1, "a"), (2, "C"), (None, "n")}
+    assert as_set(writers.upsert(old, new.where("o = 1").drop("o"), ["k"])) == {(1, "a"), (2, "B"), (None, "N")}
 
 
 def test_feature_set_names(spark):
