@@ -47,6 +47,21 @@ def csv_default(spark, d):
     return R.read_csv(spark, path)
 
 
+@query("csv_records", """select o_orderkey, 'a; "b"' || chr(10) || chr(10) || o_orderpriority || ';' as note, o_totalprice as price, case when o_orderkey % 3 = 0 then o_custkey end as NoName_3,
+  case when o_orderkey % 6 = 0 then o_orderstatus end as NoName_4 from orders""")
+def csv_records(spark, d):
+    """Values with quotes, separators and line ends, decimal commas, and fields beyond the header."""
+    path = new_path(spark, "csv")
+    note = F.concat(F.lit('"a; ""b""\n\n'), "o_orderpriority", F.lit(';"'))
+    more = F.when(F.col("o_orderkey") % 6 == 0, F.concat_ws(";", F.lit(""), "o_custkey", "o_orderstatus")).when(F.col("o_orderkey") % 3 == 0, F.concat_ws(";", F.lit(""), "o_custkey"))
+    line = F.concat(F.concat_ws(";", "o_orderkey", note, F.translate(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), ".", ",")), F.coalesce(more, F.lit("")))
+    rows = orders(spark, d).select(line.alias("value"), F.lit(1).alias("order"), "o_orderkey")
+    head = spark.range(1).select(F.lit("o_orderkey;note;price").alias("value"), F.lit(0).alias("order"), F.lit(0).cast("long").alias("o_orderkey"))
+    # Every file has a header: one file here, in order.
+    head.union(rows).repartitionById(1, F.lit(0)).sortWithinPartitions("order", "o_orderkey").select("value").write.text(path)
+    return R.read_csv(spark, path)
+
+
 @query("inferred_schema", """select * from (values ('o_orderkey', 'bigint', false, null), ('o_totalprice', 'double', false, null), ('o_orderdate', 'timestamp', true, null),
   ('o_orderstatus', 'string', false, 'binary'), ('o_comment', 'string', false, 'id')) v(name, type, is_time, encoding) where (select count(*) from orders) > 0""")
 def inferred_schema(spark, d):
@@ -91,6 +106,18 @@ def concatenated_json(spark, d):
     return R.read_concatenated_json(spark, path, "event_id long, k long")
 
 
+@query("json_nested", """select event_id, user_id, event_type || ' }{ "x" \\' as label, cast(json_extract(props, '$.k') as bigint) as k, [event_id, user_id] as ids from events""")
+def json_nested(spark, d):
+    """Nested objects and arrays one behind another, with braces, quotes and backslashes in strings; objects of a task are one line."""
+    path = new_path(spark, "json")
+    df = table(spark, d, "events").select(
+        "event_id", F.struct("user_id", F.struct(F.concat("event_type", F.lit(' }{ "x" \\')).alias("label"), F.from_json("props", "k long").alias("p")).alias("inner")).alias("o"), F.array("event_id", "user_id").alias("ids")
+    )
+    df.select(F.to_json(F.struct("*")).alias("value")).write.option("lineSep", " ").text(path)
+    out = R.read_concatenated_json(spark, path, "event_id long, o struct<user_id: long, inner: struct<label: string, p: struct<k: long>>>, ids array<long>")
+    return out.select("event_id", "o.user_id", "o.inner.label", "o.inner.p.k", "ids")
+
+
 @query("replaced_output", "select o_orderstatus, count(*) as n from orders group by 1")
 def replaced_output(spark, d):
     path = new_path(spark, "out")

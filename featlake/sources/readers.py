@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.texts import clean_name
 from ..operators.numbering import join_null_safe
+from .records import delimited, json_objects, without_quoted
 
 #: MIME types of each reader; spreadsheet types are read as CSV, an empty type as JSON.
 MIME = {"text/csv": "csv", "application/json": "json", "": "json"}
@@ -20,54 +24,59 @@ CSV_TRIM = "\t\n\r'"
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool = True, schema: T.StructType | str | None = None, sample: float = 1.0, names: list[str] | None = None) -> DataFrame:
-    """Delimited files.
+    """Delimited files, read in splits; a line end inside double quotes belongs to the value.
 
     A file without ``header`` has the ``names`` that are given. Quotes that enclose
-    a value, and single quotes, tabs and line ends around it go. Fields without a name are ``NoName_<place>``,
-    and go if they are empty in all rows. Without ``schema`` a type is inferred
+    a value, and single quotes, tabs and line ends around it go. Fields without a name, also those that a row has
+    beyond the header, are ``NoName_<place>``, and go if they are empty in all rows. Without ``schema`` a type is inferred
     from the rows of ``sample`` (all by default); if it is a smaller share and a
     value of another row does not fit its column's type, the column stays text,
-    so that no value is lost.
+    so that no value is lost. Where the separator is no comma, numbers may have a decimal comma.
     """
-    reader = spark.read.option("sep", sep).option("header", header).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"')
+    records = delimited(spark, path, sep)
+    rows = records.where(~F.col("first")) if header else records
+    options = {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "multiLine": "true", "maxColumns": "1000000"}
     if schema:
-        df = reader.schema(schema).csv(path)
+        df = rows.select(F.from_csv("text", schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " "), options).alias("v")).select("v.*")
         return df.toDF(*[clean_name(c) for c in df.columns])
-    text = reader.csv(path)
-    # Spark names a field without a name ``_c<place>``; a header may hold such a name itself.
-    shown = _headers(spark, path, sep) if header and any(c.startswith("_c") for c in text.columns) else []
-    given = list(names or []) if not header else [h if h != f"_c{i}" or h in shown else "" for i, h in enumerate(text.columns)]
-    given += [""] * (len(text.columns) - len(given))
+    heads = records.where("first").orderBy("file").select("text").limit(1).collect() if header else []
+    given = [x.strip(CSV_TRIM + '" ') for x in next(csv.reader([heads[0]["text"]], delimiter=sep, skipinitialspace=True))] if heads else list(names or [])
+    width = rows.agg(F.max(F.size(F.split(without_quoted(F.col("text"), sep), re.escape(sep))))).first()[0] or 0
+    given += [""] * (width - len(given))
+    if not given:
+        return spark.createDataFrame([], T.StructType([]))
     fields = [clean_name(g) if g else f"NoName_{i}" for i, g in enumerate(given)]
-    text = text.toDF(*fields)
+    text = rows.select(F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(fields))), options).alias("v")).select("v.*").toDF(*fields)
     text = text.select(*[F.btrim(F.col(f"`{c}`"), F.lit(CSV_TRIM)).alias(c) for c in fields])
     filled = lambda c: F.bool_or(F.coalesce(F.length(f"`{c}`"), F.lit(0)) > 0)
-    fits = {(c, kind): F.bool_and(F.when(_value(c).isNotNull(), test(c))) for c in fields for kind, test in KINDS.items()}
+    parse = {kind: (lambda c, kind=kind: _parsed(c, kind, sep)) for kind in KINDS}
+    fits = {(c, kind): F.bool_and(F.when(_value(c).isNotNull(), of(c).isNotNull())) for c in fields for kind, of in parse.items()}
     if sample < 1.0:  # kinds that the sample shows, which every value must fit
         shown = _aggregated(text.sample(sample, seed=1), fits)
         fits = {(c, kind): x for (c, kind), x in fits.items() if shown[c, kind]}
     found = _aggregated(text, {**fits, **{(c, "filled"): filled(c) for c in fields}})
     kinds = {c: next((k for k in KINDS if found.get((c, k))), "string") for c in fields}
     keep = [c for c, g in zip(fields, given, strict=True) if g or found[c, "filled"]]
-    cast = lambda c: F.col(f"`{c}`") if kinds[c] == "string" else F.col(f"`{c}`").try_cast(kinds[c])
+    cast = lambda c: F.col(f"`{c}`") if kinds[c] == "string" else parse[kinds[c]](c)
     return text.select(*[cast(c).alias(c) for c in keep])
 
 
-def _headers(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """The fields of the header line, as written."""
-    line = spark.read.text(path).limit(1).collect()
-    return [x.strip(CSV_TRIM + '" ') for x in line[0][0].split(sep)] if line else []
-
-
 def _value(column: str) -> Column:
     return F.when(F.col(f"`{column}`") != "", F.col(f"`{column}`"))
 
 
-#: Types of a column, the narrowest first, and whether a value fits one; what fits none, or is empty throughout, is text.
-KINDS = {
-    "bigint": lambda c: _value(c).try_cast("bigint").isNotNull(), "double": lambda c: _value(c).try_cast("double").isNotNull(),
-    "timestamp": lambda c: _value(c).rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & _value(c).try_cast("timestamp").isNotNull(),
-}
+#: Types of a column, the narrowest first; what fits none, or is empty throughout, is text.
+KINDS = ("bigint", "double", "timestamp")
+
+
+def _parsed(column: str, kind: str, sep: str) -> Column:
+    """A value as ``kind``, null if it does not fit."""
+    value = _value(column)
+    if kind == "double" and sep != ",":
+        value = F.regexp_replace(value, r"^\s*([+-]?\d+),(\d+)\s*$", "$1.$2")
+    if kind == "timestamp":
+        value = F.when(value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), value)
+    return value.try_cast(kind)
 
 
 def _aggregated(df: DataFrame, parts: dict[tuple, Column]) -> dict[tuple, object]:
@@ -106,10 +115,8 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | s
 
 
 def read_concatenated_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects written one behind another without a separator: a file is split where a flat object ends and the next begins."""
-    text = spark.read.text(path, wholetext=True)
-    parts = text.select(F.explode(F.split("value", r"(?<=\})\s*(?=\{)")).alias("part"))
-    return parts.select(F.from_json(F.trim("part"), schema).alias("v")).select("v.*")
+    """Objects written one behind another, with blanks between them or nothing; read in splits, whatever their nesting."""
+    return json_objects(spark, path).select(F.from_json(F.trim("text"), schema).alias("v")).select("v.*")
 
 
 def parse_payload(df: DataFrame, column: str, schema: str, kind: str = "json", sep: str = ";") -> DataFrame:

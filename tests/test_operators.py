@@ -324,6 +324,75 @@ def test_upsert_update_delete(spark):
     assert as_set(writers.delete_keys(old, new, ["k"])) == {(1, "a")}
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of about 2000 bytes."""
+    conf = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "40"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_csv_records_cross_splits(spark, tmp_path, small_splits):
+    """What a CSV writer wrote comes back, in whatever split a quote or line end lies; two files, one with a value over many splits."""
+    import csv
+    import random
+
+    rng = random.Random(1)
+    bits = ["a", "b;c", "d\ne", '"q"', '""', "\n\n", 'x"y', "1,5", "é", '; "', "\n;", "plain", "", "\r\n"]
+    rows = [(i, "<" + "".join(rng.choice(bits) for _ in range(rng.randrange(6))) + ">", f"{rng.random():.6f}".replace(".", ",")) for i in range(900)]
+    rows[700] = (700, "<" + '"long";\n' * 2000 + ">", "0,5")
+    (tmp_path / "in").mkdir()
+    for name, part in (("a", rows[:400]), ("b", rows[400:])):
+        with open(tmp_path / "in" / f"{name}.csv", "w", newline="") as f:
+            w = csv.writer(f, delimiter=";", lineterminator="\n" if name == "a" else "\r\n")
+            w.writerow(["id", "note", "x"])
+            w.writerows(part)
+    df = readers.read_csv(spark, str(tmp_path / "in"))
+    assert dict(df.dtypes) == {"id": "bigint", "note": "string", "x": "double"}
+    assert {r.id: (r.note, r.x) for r in df.collect()} == {i: (n, float(x.replace(",", "."))) for i, n, x in rows}
+    plain = readers.read_csv(spark, str(tmp_path / "in"), schema="id long, note string, x string")
+    assert {(r.id, r.note, r.x) for r in plain.collect()} == set(rows)
+
+
+def test_csv_keeps_all_fields_and_stray_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a;b\n1;2;3\n\n4;5" pipe;;6\n7;8\n"";"9\n')
+    df = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    assert df.columns == ["a", "b", "NoName_2", "NoName_3"]
+    got = [tuple(r) for r in df.collect()]
+    assert got[:3] == [(1, "2", 3, None), (4, '5" pipe', None, 6), (7, "8", None, None)] and len(got) == 4
+    (tmp_path / "b.csv").write_text("n,m\n1.5,x\n2,y\n")
+    df = readers.read_csv(spark, str(tmp_path / "b.csv"), ",")
+    assert [tuple(r) for r in df.collect()] == [(1.5, "x"), (2.0, "y")]
+    (tmp_path / "empty.csv").write_text("")
+    assert readers.read_csv(spark, str(tmp_path / "empty.csv")).count() == 0
+    (tmp_path / "head.csv").write_text("a;b\n")
+    assert readers.read_csv(spark, str(tmp_path / "head.csv")).columns == ["a", "b"]
+
+
+def test_one_json_file_is_several_tasks(spark, tmp_path, small_splits):
+    import json
+    import random
+
+    from featlake.sources import records
+
+    rng = random.Random(2)
+
+    def thing(depth=0):
+        return {f"k{i}": rng.choice([1, None, "a}b", '{"', '\\"}', "[", [1, {"z": "}"}], thing(depth + 1) if depth < 2 else 3]) for i in range(rng.randrange(1, 4))}
+
+    things = [{"id": i, "o": thing()} for i in range(600)]
+    things[300]["o"] = {"long": '} { \\" ' * 3000}
+    text = "".join(json.dumps(o) + rng.choice(["", "", " ", "\n"]) for o in things)
+    (tmp_path / "a.json").write_text(text)
+    got = {r.id: json.loads(r.o) for r in readers.read_concatenated_json(spark, str(tmp_path / "a.json"), "id long, o string").collect()}
+    assert got == {o["id"]: o["o"] for o in things}
+    tasks = records._pieces(spark, str(tmp_path / "a.json"), "}", {}).groupBy("block").agg(F.sum(F.length("value")).alias("n")).collect()
+    assert len(tasks) > 20 and max(r.n for r in tasks) < 25_000 < len(text)
+
+
 def test_json_and_csv_scans(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"name": "x", "age": 1}{"name": "y", "age": 2}')
     got = readers.read_concatenated_json(spark, str(tmp_path / "a.json"), "name string, age long").collect()
