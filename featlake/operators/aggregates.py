@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -94,12 +95,46 @@ def entity_days(df: DataFrame, user: str, ts: str, items: list[str], flag: Colum
 
 
 def map_reduce(df: DataFrame, keys: dict[str, Column], values: dict[str, Column], reduce: dict[str, Column], limit: int | None = None, order: list | None = None) -> DataFrame:
-    """Keyed groups whose values are collected in order and reduced by expressions over the array ``values``; the limit is on the input."""
+    """Keyed groups whose values are collected in order and reduced by expressions over the array ``values``; the limit is on the input.
+
+    For groups that fit a row, as those of a user's day; ``reduce_in_order``
+    takes groups of any size.
+    """
     rows = df.orderBy(*order).limit(limit) if limit else df
     grouped = rows.groupBy(*[e.alias(n) for n, e in keys.items()]).agg(F.sort_array(F.collect_list(F.struct(*[e.alias(n) for n, e in values.items()]))).alias("values"))
     return grouped.select(*keys, *[e.alias(n) for n, e in reduce.items()])
 
 
+#: Rows of a key that are reduced at a time, and states that are merged at a time.
+CHUNK, FAN = 4096, 64
+
+Reducer = Callable[[Column, Column], Column]
+
+
+def reduce_in_order(df: DataFrame, keys: dict[str, Column], values: dict[str, Column], init: Column, merge: Reducer, combine: Reducer, finish: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Keyed groups of any size, reduced in the order of ``values``.
+
+    ``merge(state, value)`` takes a struct of ``values`` into a state that
+    begins as ``init``; ``combine(earlier, later)`` joins the states of two runs of
+    rows, and must give what merging all their rows gives. Rows are numbered in
+    order of key and values and reduced in chunks; the states of a key's chunks
+    are combined in order, some at a time, until there is one. So no row holds
+    more than a chunk of a key, and a hot key is many chunks.
+    """
+    rows = df.select(*[e.alias(n) for n, e in keys.items()], F.struct(*[e.alias(n) for n, e in values.items()]).alias("_v"))
+    rows = numbered(rows, [*keys, "_v"], "_n", 0)
+    size, part = -(-rows.count() // CHUNK), F.floor(F.col("_n") / CHUNK)
+    chunks = rows.groupBy(*keys, part.alias("_part")).agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+    states = chunks.select(*keys, "_part", F.aggregate("_vs", init, merge).alias("_state"))
+    while True:
+        lists = states.groupBy(*keys, F.floor(F.col("_part") / FAN).alias("_part")).agg(F.sort_array(F.collect_list(F.struct("_part", "_state")))["_state"].alias("_states"))
+        first = F.get("_states", F.lit(0))
+        states = lists.select(*keys, "_part", F.aggregate(F.slice("_states", 2, F.greatest(F.size("_states") - 1, F.lit(0))), first, combine).alias("_state"))
+        size = -(-size // FAN)
+        if size <= 1:
+            return states.select(*keys, *[f(F.col("_state")).alias(n) for n, f in finish.items()])
+
+
 def scores(df: DataFrame, category: str, value: str, score: str) -> DataFrame:
     """Meta scores: sum, true count and average of a score per category and value."""
     out = df.groupBy(category, value).agg(F.sum(score).alias("total"), F.count(score).alias("n"))

@@ -8,6 +8,9 @@ from ..functions import arrays, texts, times
 from ..operators import aggregates as A
 from ..operators import encoders as E
 from ..operators import profiling as P
+from ..operators import states as M
+from ..sources import writers as S
+from ..sources.scratch import new_path
 from .base import query, table
 
 
@@ -162,6 +165,43 @@ def merge_partials(spark, d):
     return out.withColumn("total", F.round("total", 2))
 
 
+@query("mapreduce_ordered", """with r as (select event_type, date_trunc('day', ts) as day, ts, event_id, value, lag(value) over w as before from events window w as (partition by event_type order by ts, event_id))
+select event_type, count(*) as n, arg_min(event_id, (ts, event_id)) as first_event, arg_max(event_id, (ts, event_id)) as last_event, round(max(before - value), 2) as deepest_fall, sum(case when value > before then 1 else 0 end) as rises from r group by 1""")
+def mapreduce_ordered(spark, d):
+    """All events of a type in order of time: number, ends, the deepest fall of the value from one event to the next, and how often it rises."""
+
+    def state(n, first, last, opens, closes, fall, rises):
+        names = ("n", "first", "last", "opens", "closes", "fall", "rises")
+        return F.struct(*[x.alias(name) for name, x in zip(names, (n, first, last, opens, closes, fall, rises), strict=True)])
+
+    def joined(a, b):
+        fall = F.when(a["closes"].isNotNull() & b["opens"].isNotNull(), a["closes"] - b["opens"])
+        rises = F.when(b["opens"] > a["closes"], F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        return state(a["n"] + b["n"], F.coalesce(a["first"], b["first"]), F.coalesce(b["last"], a["last"]), F.when(a["n"] > 0, a["opens"]).otherwise(b["opens"]), b["closes"], F.greatest(a["fall"], fall, b["fall"]), a["rises"] + rises + b["rises"])
+
+    zero, none, empty = F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("double")
+    one = lambda v: state(F.lit(1).cast("long"), v["event_id"], v["event_id"], v["value"], v["value"], empty, zero)
+    values = {"ts": F.col("ts"), "event_id": F.col("event_id"), "value": F.col("value")}
+    finish = {"n": lambda s: s["n"], "first_event": lambda s: s["first"], "last_event": lambda s: s["last"], "deepest_fall": lambda s: F.round(s["fall"], 2), "rises": lambda s: s["rises"]}
+    return A.reduce_in_order(table(spark, d, "events"), {"event_type": F.col("event_type")}, values, state(zero, none, none, empty, empty, empty, zero), lambda a, v: joined(a, one(v)), joined, finish)
+
+
+@query("merge_states", """select event_type, round(sum(value), 2) as total, count(value) as n, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(stddev_samp(value), 6) as std_sample,
+  cast(count(distinct user_id) as integer) as users, list(distinct day(ts) order by day(ts)) as days, arg_max(event_id, (ts, event_id)) as last_event, arg_min(event_id, (ts, event_id)) as first_event from events group by 1""")
+def merge_states(spark, d):
+    """States of three batches, each appended to one table, merged with each other."""
+    df = table(spark, d, "events").withColumns({"day": F.dayofmonth("ts").cast("long"), "at": F.struct("ts", "event_id")})
+    rules = {
+        "total": ("sum", "value"), "n": ("count", "value"), "mean": ("mean", "value"), "std": ("std", "value"), "std_sample": ("std_sample", "value"),
+        "users": ("distinct", "user_id"), "days": ("set", "day"), "last_event": ("last", "at", "event_id"), "first_event": ("first", "at", "event_id"),
+    }
+    path = new_path(spark, "states")
+    for i in range(3):
+        S.append_batches(M.partial_states(df.where(F.col("event_id") % 3 == i), ["event_type"], rules), path)
+    out = M.finished_states(M.merged_states(spark.read.parquet(path), ["event_type"], rules), ["event_type"], rules)
+    return out.withColumns({"total": F.round("total", 2), **{c: F.round(c, 6) for c in ("mean", "std", "std_sample")}})
+
+
 @query("feature_pairs_long", """with g as (select user_id, cast(count(*) as double) as n, min(value) as lo, max(value) as hi from events group by 1)
 select user_id, 'n' as name, n as value from g union all select user_id, 'lo', lo from g union all select user_id, 'hi', hi from g""")
 def feature_pairs_long(spark, d):

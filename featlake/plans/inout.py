@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import keyed
 from ..sources import readers as R
 from ..sources import writers as S
 from ..sources.scratch import new_path
@@ -212,3 +213,17 @@ def reduced_output(spark, d):
     S.replace_output(orders(spark, d).select("o_custkey"), path)
     S.replace_output(orders(spark, d).groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")), path)
     return spark.read.parquet(path)
+
+
+@query("keyed_table", """select c_custkey, c_mktsegment, case when c_custkey % 5 = 0 then -1.0 when c_custkey % 7 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal
+  from customer where c_custkey % 11 <> 0 union all select 10000000 + c_custkey, c_mktsegment, c_acctbal + 1 from customer where c_custkey % 7 = 0""")
+def keyed_table(spark, d):
+    """A table in folders by key: an upsert with new keys, an update, and a deletion; each writes the folders of its keys only."""
+    path = new_path(spark, "keyed")
+    df = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    keyed.write_keyed(df, path, ["c_custkey"], 16)
+    some = df.where("c_custkey % 7 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    keyed.change_keyed(spark, path, some.union(some.withColumn("c_custkey", F.col("c_custkey") + 10_000_000)), "upsert")
+    keyed.change_keyed(spark, path, df.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.lit(-1.0)), "update", ["c_acctbal"])
+    keyed.change_keyed(spark, path, df.where("c_custkey % 11 = 0"), "delete")
+    return keyed.read_keyed(spark, path)

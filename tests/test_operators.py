@@ -423,6 +423,68 @@ def test_repeated_keys_of_an_update(spark):
     assert as_set(writers.upsert(old, new.where("o = 1").drop("o"), ["k"])) == {(1, "a"), (2, "B"), (None, "N")}
 
 
+def test_a_change_writes_the_folders_of_its_keys_only(spark, tmp_path):
+    from featlake.sources import keyed
+
+    path = str(tmp_path / "t")
+    keyed.write_keyed(spark.createDataFrame([(i, f"v{i}") for i in range(200)] + [(None, "none")], "k long, v string"), path, ["k"], 32)
+    files = lambda: {f for f in spark.read.parquet(path).inputFiles()}
+    rows = lambda: {(r.k, r.v) for r in keyed.read_keyed(spark, path).collect()}
+    folder = lambda f: f.rpartition("/")[0]
+    before = files()
+    touched = keyed.change_keyed(spark, path, spark.createDataFrame([(7, "new")], "k long, v string"), "update")
+    after = files()
+    assert len(touched) == 1 and {folder(f) for f in before - after} == {folder(f) for f in after - before} and len({folder(f) for f in after - before}) == 1
+    assert rows() == {(i, "new" if i == 7 else f"v{i}") for i in range(200)} | {(None, "none")}
+    keyed.change_keyed(spark, path, spark.createDataFrame([(8, "up"), (1000, "in"), (None, "n")], "k long, v string"), "upsert")
+    assert rows() == {(i, {7: "new", 8: "up"}.get(i, f"v{i}")) for i in range(200)} | {(1000, "in"), (None, "n")}
+    with pytest.raises(ValueError, match="duplicate key"):
+        keyed.change_keyed(spark, path, spark.createDataFrame([(7, "a"), (7, "b")], "k long, v string"), "update")
+    keyed.change_keyed(spark, path, keyed.read_keyed(spark, path).where("k is not null"), "delete")
+    assert rows() == {(None, "n")} and keyed.read_keyed(spark, path).columns == ["k", "v"]
+    assert keyed.change_keyed(spark, path, spark.createDataFrame([], "k long, v string"), "upsert") == []
+
+
+def test_reduction_in_chunks_equals_a_walk(spark, monkeypatch):
+    """A hot key over many chunks; no group of chunks or states is longer than stated."""
+    monkeypatch.setattr(aggregates, "CHUNK", 7)
+    monkeypatch.setattr(aggregates, "FAN", 3)
+    rows = [("hot" if i % 3 else f"k{i % 5}" if i % 2 else None, i * 37 % 200) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, x int").repartition(5)
+    # The text of all values in order: order matters at every step, and combining is joining.
+    text = lambda a, v: F.concat(a, F.lit(","), v["x"].cast("string"))
+    got = aggregates.reduce_in_order(df, {"k": F.col("k")}, {"x": F.col("x")}, F.lit(""), text, lambda a, b: F.concat(a, b), {"text": lambda s: s})
+    want = {k: "".join(f",{x}" for k2, x in sorted(rows, key=lambda r: r[1]) if k2 == k) for k in {k for k, _ in rows}}
+    assert {r.k: r.text for r in got.collect()} == want
+    assert aggregates.reduce_in_order(df.limit(0), {"k": F.col("k")}, {"x": F.col("x")}, F.lit(""), text, lambda a, b: F.concat(a, b), {"t": lambda s: s}).count() == 0
+
+
+def test_states_merge_in_any_number_and_order(spark):
+    import random
+    import statistics
+
+    from featlake.operators import states
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1e9 + rng.random()]), i % 977, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, x double, u int, t int")
+    rules = {"mean": ("mean", "x"), "std": ("std", "x"), "n": ("count", "x"), "about": ("about_distinct", "u"), "last": ("last", "t", "u"), "set": ("set", "u")}
+    parts = [states.partial_states(df.where(f"t % 9 = {i}"), ["k"], rules) for i in range(9)]
+    all_states = parts[0]
+    for p in reversed(parts[1:]):
+        all_states = all_states.union(p)
+    half = states.merged_states(all_states, ["k"], rules)
+    got = {r.k: r for r in states.finished_states(states.merged_states(half, ["k"], rules), ["k"], rules).collect()}
+    for k in ("a", "b", None):
+        own = [r for r in rows if r[0] == k]
+        x = [r[1] for r in own if r[1] is not None]
+        assert got[k].n == len(x) and got[k].mean == pytest.approx(statistics.mean(x)) and got[k].std == pytest.approx(statistics.pstdev(x), rel=1e-4)
+        assert got[k].last == own[-1][2] and list(got[k].set) == sorted({r[2] for r in own})
+        assert abs(got[k].about / len({r[2] for r in own}) - 1) < 3 * 1.04 / 2 ** (states.SKETCH_BITS / 2)
+    none = states.partial_states(df.where("x is null and k = 'a'"), ["k"], {"m": ("mean", "x"), "s": ("std_sample", "x")})
+    assert states.finished_states(none, ["k"], {"m": ("mean", "x"), "s": ("std_sample", "x")}).first()[1:] == (None, None)
+
+
 def test_feature_set_names(spark):
     fs = aggregates.FeatureSet([F.col("k")]).aggregate("s", F.sum("v")).feature(F.col("s") * 2).feature(F.col("s"), target="y")
     assert fs.build(spark.createDataFrame([(1, 2.0)], "k int, v double")).columns == ["k", "f_0", "y"]
