@@ -6,9 +6,11 @@ a text is cut into windows of two spans, one each span, so that any run of a spa
 lies whole in a window. A template's signature is its k = n - ceil(0.8 n) + 1
 least hashes, each a band of its own. A window that holds 0.8 of the template
 lacks fewer than k of its shingles, so it shares a band with probability 1. A
-window's signature is its hashes up to the greatest one in a signature; windows
-are looked at lazily, by a place in the text and the two windows that hold it.
-Equal bands retrieve (window, template) pairs, and the exact share of the whole
+window's signature is those of its hashes that may be bands: the shortest
+templates, of which each hash is a band whatever its size, and the others are two
+classes, and of each either the set of bands is looked at, if they are at most
+SET_BANDS, or the greatest hash of a band is the bound. Windows are looked at
+lazily, by a place in the text and the two windows that hold it. Equal bands retrieve (window, template) pairs, and the exact share of the whole
 template's shingles in the window decides.
 
 Defined cases: null and blank texts hold no notice; a text under five words is
@@ -21,6 +23,10 @@ give none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +35,8 @@ from .decontaminate import least_shared
 from .tables import broadcast_if_small, let, shingle_hashes, written
 
 LEAST_SHARE, LEAST_SPAN = 0.8, 8
+#: Bands of a class up to which their set is part of the expression.
+SET_BANDS = 2000
 #: Templates and candidates are broadcast up to this many rows of a few numbers.
 TEMPLATE_ROWS, SMALL_ROWS = 1_000_000, 200_000
 
@@ -90,16 +98,31 @@ def _windows(place: Column, span: Column) -> Column:
     return F.when(last > 0, F.array(last - span, last)).otherwise(F.array(last))
 
 
+def may_be_band(table: DataFrame) -> Callable[[Column], Column]:
+    """A condition on hashes that all bands fulfil, from the bands of either class."""
+    tests = []
+    for short in (F.col("span") <= LEAST_SPAN, F.col("span") > LEAST_SPAN):
+        own = table.where("kept").where(short).select("h").distinct()
+        few = [r["h"] for r in own.limit(SET_BANDS + 1).collect()]
+        bound = own.agg(F.max("h")).first()[0] if len(few) > SET_BANDS else None
+        if few:
+            tests.append((lambda x, few=few: x.isin(few)) if bound is None else (lambda x, bound=bound: x <= F.lit(bound)))
+    if not tests:
+        return lambda x: F.lit(False)
+    return lambda x: reduce(or_, [test(x) for test in tests])
+
+
 def scanned(docs: DataFrame, key: str, text: str, templates: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """``doc_id``, ``row`` (hash of id and text), ``license``, ``start`` (first shingle of the window), ``n_template``, ``n_shared`` of every window that holds a template."""
     table = written(template_table(templates, least_share), "license-templates")
-    widest = table.where("kept").agg(F.max("h")).first()[0]
     bands = broadcast_if_small(table.where("kept").select("h", "license", "span"), TEMPLATE_ROWS)
     rows = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[key], docs[text]).alias("row"), docs[text].alias("text"))
 
+    may = may_be_band(table)
+
     def places(hashes: Column) -> Column:
-        """Hashes up to ``widest``, with their places."""
-        return F.filter(F.transform(hashes, lambda x, i: F.struct(i.alias("p"), x.alias("h"))), lambda s: s["h"] <= F.lit(widest).cast("long"))
+        """Hashes that may be bands, with their places."""
+        return F.filter(F.transform(hashes, lambda x, i: F.struct(i.alias("p"), x.alias("h"))), lambda s: may(s["h"]))
 
     signed = rows.select("row", F.inline(let(_hashes(F.col("text")), places)))
     found = signed.join(bands, "h").select("row", "license", F.explode(_windows(F.col("p"), F.col("span"))).alias("start")).distinct()

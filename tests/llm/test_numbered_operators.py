@@ -326,6 +326,22 @@ def test_license_scan_edges(spark, odd, empty):
     assert license_scan.scanned(odd, "doc_id", "text", templates.limit(0)).count() == 0
 
 
+def test_few_hashes_are_looked_up_as_bands(spark, sf, odd, monkeypatch):
+    """All templates' bands are let through, and of a text's hashes hardly any; with many bands, less than a third."""
+    templates = spark.createDataFrame(license_scan.TEMPLATES, "license string, text string")
+    long_ones = templates.where(F.length("text") > 90)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    hashes = docs.select(F.explode(license_scan._hashes(F.col("text"))).alias("h"))
+    for most, table_of, share in ((2000, templates, 0.01), (0, long_ones, 0.3)):
+        monkeypatch.setattr(license_scan, "SET_BANDS", most)
+        table = license_scan.template_table(table_of)
+        may = license_scan.may_be_band(table)
+        assert table.where("kept").where(~may(F.col("h"))).isEmpty()
+        assert hashes.where(may(F.col("h"))).count() <= share * hashes.count()
+        got = {(r.doc_id, r.license) for r in license_scan.scanned(odd, "doc_id", "text", templates).collect()}
+        assert got == {(11, "apache-2.0")}
+
+
 def test_a_long_license_is_found_whole_only(spark):
     """A text that holds a part of a template, however long, does not hold the template; edits up to the least share do."""
     name, text = next(t for t in license_scan.TEMPLATES if t[0] == "bsd-3-clause-text")
