@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The exact forms that dates may have, tried in order after the general parse.
@@ -75,3 +75,57 @@ def with_holidays(df: DataFrame, ts: str, calendar: DataFrame) -> DataFrame:
     flags = both.groupBy("_day").agg(F.bool_or(F.col("_on") == 1).alias("is_holiday"), F.bool_or(F.col("_on") == 0).alias("before_holiday"))
     out = df.join(flags, F.to_date(df[ts]) == F.col("_day"), "left").drop("_day")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_holiday", "before_holiday")})
+
+
+#: Public holidays of one country, as month and day.
+HOLIDAYS = {
+    "new year": (1, 1), "liberation day": (3, 3), "saint george": (5, 6), "culture and letters": (5, 24), "unification": (9, 6),
+    "independence": (9, 22), "enlighteners": (11, 1), "christmas eve": (12, 24), "christmas": (12, 25), "second day of christmas": (12, 26),
+}
+#: Holidays on the first Monday from a day on.
+MONDAYS = {"labour day": (5, 1)}
+
+
+def _whole(x: Column, by: int) -> Column:
+    return F.floor(x / by).cast("int")
+
+
+def western_easter(year: Column) -> Column:
+    """Easter Sunday by the Gregorian calendar's full moon."""
+    golden, century = year % 19, _whole(year, 100)
+    moon = (19 * golden + century - _whole(century, 4) - _whole(century - _whole(century + 8, 25) + 1, 3) + 15) % 30
+    back = (32 + 2 * (century % 4) + 2 * _whole(year % 100, 4) - moon - year % 4) % 7
+    late = _whole(golden + 11 * moon + 22 * back, 451)
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), moon + back - 7 * late)
+
+
+def orthodox_easter(year: Column) -> Column:
+    """Easter Sunday by the Julian calendar's full moon, as a Gregorian date."""
+    moon = (19 * (year % 19) + 15) % 30
+    sunday = (2 * (year % 4) + 4 * (year % 7) - moon + 34) % 7
+    between = _whole(year, 100) - _whole(year, 400) - 2  # days between the calendars
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), moon + sunday + between)
+
+
+def off_weekend(day: Column) -> Column:
+    """Saturdays move to the day before, Sundays to the day after."""
+    return F.date_add(day, F.when(F.dayofweek(day) == 7, -1).when(F.dayofweek(day) == 1, 1).otherwise(0))
+
+
+def holiday_calendar(
+    spark: SparkSession, first_year: int, last_year: int, easter: str | None = "orthodox", fixed: dict[str, tuple[int, int]] | None = None, mondays: dict[str, tuple[int, int]] | None = None, shifted: bool = True
+) -> DataFrame:
+    """``day`` and ``name`` of the holidays of some years, by rule: fixed days, ``orthodox`` or ``western`` Easter, first Mondays. With ``shifted`` none is on a weekend.
+
+    A calendar of the user's own, of whatever days, serves ``with_holidays`` as well.
+    """
+    year = F.col("year").cast("int")
+    move = off_weekend if shifted else (lambda day: day)
+    days = {name: move(F.make_date(year, F.lit(m), F.lit(d))) for name, (m, d) in (HOLIDAYS if fixed is None else fixed).items()}
+    if easter is not None:
+        days["easter"] = move({"orthodox": orthodox_easter, "western": western_easter}[easter](year))
+    for name, (m, d) in (MONDAYS if mondays is None else mondays).items():
+        start = move(F.make_date(year, F.lit(m), F.lit(d)))
+        days[name] = F.date_add(start, (9 - F.dayofweek(start)) % 7)
+    rows = [F.struct(day.alias("day"), F.lit(name).alias("name")) for name, day in days.items()]
+    return spark.range(first_year, last_year + 1).toDF("year").select(F.inline(F.array(*rows)))

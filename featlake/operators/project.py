@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.texts import clean_name
+from ..sources.scratch import written
 from .numbering import numbered, with_neighbours
 
 
@@ -60,16 +64,73 @@ def time_range(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     return df.where((F.col(ts) >= F.lit(start).cast(kind)) & (F.col(ts) < F.lit(end).cast(kind)))
 
 
-def haversine_km(lat: Column, lng: Column, lat0: float, lng0: float) -> Column:
-    a = F.pow(F.sin(F.radians(lat - lat0) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(F.lit(lat0))) * F.pow(F.sin(F.radians(lng - lng0) / 2), 2)
-    return 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
-
-
-def geo_near(df: DataFrame, lat: str, lng: str, lat0: float, lng0: float, take: int, key: str, within_degrees: float | None = None) -> DataFrame:
-    """The nearest rows; a box of ``within_degrees`` is filtered first if given."""
-    if within_degrees is not None:
-        df = df.where(F.col(lat).between(lat0 - within_degrees, lat0 + within_degrees) & F.col(lng).between(lng0 - within_degrees, lng0 + within_degrees))
-    return df.withColumn("km", haversine_km(F.col(lat), F.col(lng), lat0, lng0)).orderBy("km", key).limit(take)
+EARTH_KM = 6371.0
+
+
+def haversine_km(lat: Column, lng: Column, lat0: Column | float, lng0: Column | float) -> Column:
+    lat0, lng0 = (x if isinstance(x, Column) else F.lit(x) for x in (lat0, lng0))
+    a = F.pow(F.sin(F.radians(lat - lat0) / 2), 2) + F.cos(F.radians(lat)) * F.cos(F.radians(lat0)) * F.pow(F.sin(F.radians(lng - lng0) / 2), 2)
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+
+
+def geo_near(df: DataFrame, lat: str, lng: str, lat0: float, lng0: float, take: int, key: str, within_km: float | None = None) -> DataFrame:
+    """The nearest rows, with ``km``; with ``within_km`` those up to this distance, which a belt of latitudes filters first."""
+    if within_km is not None:
+        belt = math.degrees(within_km / EARTH_KM) + 1e-9
+        df = df.where(F.col(lat).between(lat0 - belt, lat0 + belt))
+    df = df.withColumn("km", haversine_km(F.col(lat), F.col(lng), lat0, lng0))
+    return (df if within_km is None else df.where(F.col("km") <= within_km)).orderBy("km", key).limit(take)
+
+
+#: Halvings of the cube around the globe: the finest cells have edges of about 12 m.
+GEO_LEVELS = 20
+
+
+def _cells(level: Column, sides: list[str]) -> list[Column]:
+    """The cell of a point at a level: each side of the cube is cut into 2^level parts."""
+    parts = F.pow(F.lit(2), level).cast("int")
+    return [F.least(F.floor((F.col(c) + 1) / 2 * parts), parts - 1).cast("int") for c in sides]
+
+
+def geo_nearest(points: DataFrame, targets: DataFrame, lat: str, lng: str, k: int, point_key: str, key: str) -> DataFrame:
+    """The ``k`` nearest targets of every point, as ``point_key``, ``key``, ``km`` and ``rank``; of equally near ones the least keys.
+
+    Both sides have columns ``lat`` and ``lng``. Places are points of the unit
+    sphere inside a cube that is halved again and again, so there is no border at a
+    meridian or pole. A point starts in the smallest of its cells that has k
+    targets; all targets that are as near lie in the cells around it of twice the
+    size, which are joined by cell. So points meet the targets of 27 small cells
+    only. Of targets in one place the first k take part. Rows without a place
+    are left out; fewer than k targets are all found.
+    """
+    sides = ["_x", "_y", "_z"]
+
+    def placed(df: DataFrame, *columns: str) -> DataFrame:
+        a, b = F.radians(df[lat]), F.radians(df[lng])
+        xyz = {"_x": F.cos(a) * F.cos(b), "_y": F.cos(a) * F.sin(b), "_z": F.sin(a)}
+        return df.where(df[lat].isNotNull() & df[lng].isNotNull()).select(*[df[c].alias(n) for c, n in zip(columns, ("_key",), strict=True)], df[lat].cast("double").alias("_lat"), df[lng].cast("double").alias("_lng"), *[e.alias(n) for n, e in xyz.items()])
+
+    same = W.partitionBy("_lat", "_lng").orderBy("_key")
+    near = placed(targets, key).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n")
+    near = written(near, "targets")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(GEO_LEVELS)))
+    cell = F.struct(*[c.alias(n) for n, c in zip("abc", _cells(F.col("_level"), sides), strict=True)])
+    full = near.withColumn("_level", levels).groupBy("_level", cell.alias("_cell")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("_level", "_cell")
+    asks = written(placed(points, point_key).withColumn("_q", F.monotonically_increasing_id()), "points")
+    start = asks.select("_q", *sides, levels.alias("_level")).select("_q", "_level", cell.alias("_cell")).join(full, ["_level", "_cell"]).groupBy("_q").agg(F.max("_level").alias("_at"))
+    # One level up from the cell with k targets; without such a cell the whole cube.
+    asks = asks.join(start, "_q", "left").withColumn("_level", F.greatest(F.coalesce("_at", F.lit(0)) - 1, F.lit(0)))
+    asks = written(asks.select("_q", "_key", "_lat", "_lng", "_level", cell.alias("_cell")), "asks")
+    around = asks
+    for n in "abc":
+        around = around.withColumn(f"_{n}", F.explode(F.array(*[F.col("_cell")[n] + i for i in (-1, 0, 1)])))
+        around = around.where((F.col(f"_{n}") >= 0) & (F.col(f"_{n}") < F.pow(F.lit(2), F.col("_level")).cast("int")))
+    around = around.select("_q", F.col("_key").alias("_point"), F.col("_lat").alias("_lat0"), F.col("_lng").alias("_lng0"), "_level", F.struct(*[F.col(f"_{n}").alias(n) for n in "abc"]).alias("_cell"))
+    used = asks.select("_level").distinct()
+    found = near.join(F.broadcast(used)).select("_key", "_lat", "_lng", "_level", cell.alias("_cell")).join(around, ["_level", "_cell"])
+    found = found.withColumn("km", haversine_km(F.col("_lat"), F.col("_lng"), F.col("_lat0"), F.col("_lng0")))
+    rank = F.row_number().over(W.partitionBy("_q").orderBy("km", "_key"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_point").alias(point_key), F.col("_key").alias(key), "km", "rank")
 
 
 def unique_guard(df: DataFrame, key: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, texts, times
 from ..operators import aggregates as A
 from ..operators import encoders as E
+from ..operators import languages as L
 from ..operators import profiling as P
 from ..operators import states as M
 from ..sources import writers as S
@@ -402,6 +403,20 @@ def doc_language(spark, d):
     return P.column_language(table(spark, d, "documents"), "text")
 
 
+@query("text_languages", r"""with t as (select doc_id, lang, doc_id % 3 = 0 as own, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' as t from documents where text is not null),
+c as (select doc_id, lang, own, substr(t, i, 3) as gram, count(*) as n from (select *, unnest(range(1, length(t) - 1)) as i from t where length(t) > 2) where substr(t, i + 1, 1) <> ' ' group by all),
+p as (select lang, gram, row_number() over (partition by lang order by sum(n) desc, gram) - 1 as rank from c where not own and lang is not null group by lang, gram qualify rank < 300),
+d as (select doc_id, gram, row_number() over (partition by doc_id order by n desc, gram) - 1 as rank from c qualify rank < 300),
+s as (select d.doc_id, l.lang, sum(case when p.rank is null then 300 else least(300, abs(p.rank - d.rank)) end) as apart, count(*) as n from d cross join (select distinct lang from p) l left join p on p.gram = d.gram and p.lang = l.lang group by all),
+b as (select doc_id, arg_min(lang, (apart, lang)) as lang, min(apart / (300.0 * n)) as distance from s group by doc_id)
+select documents.doc_id, case when coalesce(distance, 1) <= 0.85 then b.lang else 'unknown' end as language, round(coalesce(distance, 1.0), 6) as distance from documents left join b on b.doc_id = documents.doc_id""")
+def text_languages(spark, d):
+    """Languages of all texts, by profiles learned from two thirds of the labelled ones."""
+    df = table(spark, d, "documents")
+    profiles = L.learn_profiles(df.where("doc_id % 3 <> 0"), "text", "lang")
+    return L.text_language(df.select("doc_id", "text"), "text", profiles).select("doc_id", "language", F.round("distance", 6).alias("distance"))
+
+
 @query("feature_schema", "select column_name as name, case when data_type like '%DOUBLE%' or data_type like '%INT%' then 'float' when data_type like 'TIME%' then 'datetime' else 'str' end as kind, column_name = 'o_orderkey' as is_key, cast(null as varchar) as encoded from (describe select * from orders) t(column_name, data_type, a, b, c, e)")
 def feature_schema(spark, d):
     return P.feature_schema(table(spark, d, "orders"), ["o_orderkey"])

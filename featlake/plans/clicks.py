@@ -199,6 +199,23 @@ def holiday_flags(spark, d):
     return df.select(F.col("event_id").alias("event"), "is_holiday", "before_holiday", times.is_weekend(F.col("ts")).alias("weekend"), times.before_weekend(F.col("ts")).alias("before_weekend"))
 
 
+#: Orthodox Easter of ``y``, by another form of the rule: the Julian date, thirteen days later in these years.
+EASTER = "make_date(y::bigint, ((d + e + 114) // 31)::bigint, ((d + e + 114) % 31 + 1)::bigint) + 13"
+
+
+@query("holiday_rules", f"""with years as (select distinct year(o_orderdate) as y from orders), d as (select y, (19 * (y % 19) + 15) % 30 as d from years), e as (select y, d, (2 * (y % 4) + 4 * (y % 7) - d + 34) % 7 as e from d),
+fixed as (select make_date(y, m, x) as day from years, (values (1, 1), (3, 3), (5, 6), (5, 24), (9, 6), (9, 22), (11, 1), (12, 24), (12, 25), (12, 26)) v(m, x) union all select cast({EASTER} as date) from e),
+off as (select case dayofweek(day) when 6 then day - 1 when 0 then day + 1 else day end as day from fixed),
+labour as (select make_date(y, 5, 1) + cast((8 - isodow(make_date(y, 5, 1))) % 7 as integer) as day from years),
+days as (select cast(day as date) as day from off union select cast(day as date) from labour)
+select o_orderkey, cast(o_orderdate as date) in (select day from days) as is_holiday, cast(o_orderdate as date) + 1 in (select day from days) as before_holiday from orders""")
+def holiday_rules(spark, d):
+    """Orders on holidays, and on days before one, by a calendar that rules make for the years of the orders."""
+    df = table(spark, d, "orders")
+    first, last = df.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    return times.with_holidays(df, "o_orderdate", times.holiday_calendar(spark, first, last)).select("o_orderkey", "is_holiday", "before_holiday")
+
+
 CLASS = BASE + f", c as (select user, case when {HOLIDAY} then 'holiday' when {BEFORE} then 'before_holiday' when dayofweek(ts) = 5 then 'before_weekend' when dayofweek(ts) in (0, 6) then 'weekend' else 'none' end as purchase_class from e where host = 'purchase') "
 
 

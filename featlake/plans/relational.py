@@ -84,6 +84,17 @@ def geo_near(spark, d):
     return P.geo_near(df, "lat", "lng", 42.7, 23.3, 10, "s_suppkey").select("s_suppkey", F.round("km", 4).alias("km"))
 
 
+@query("geo_nearest", """with s as (select s_suppkey, (s_suppkey * 37 % 180) - 90.0 as lat, (s_suppkey * 73 % 360) - 180.0 as lng from supplier),
+c as (select c_custkey, (c_custkey * 41 % 1801) / 10.0 - 90.0 as lat, (c_custkey * 97 % 3601) / 10.0 - 180.0 as lng from customer),
+d as (select c_custkey, s_suppkey, 2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(c.lat)) * power(sin(radians(s.lng - c.lng) / 2), 2)))) as km from c, s)
+select c_custkey, cast(rank as integer) as rank, round(km, 3) as km from (select *, row_number() over (partition by c_custkey order by km, s_suppkey) as rank from d) where rank <= 3""")
+def geo_nearest(spark, d):
+    """The distances of every customer's three nearest suppliers, around the globe."""
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % 180 - 90.0).alias("lat"), (F.col("s_suppkey") * 73 % 360 - 180.0).alias("lng"))
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 41 % 1801 / 10.0 - 90.0).alias("lat"), (F.col("c_custkey") * 97 % 3601 / 10.0 - 180.0).alias("lng"))
+    return P.geo_nearest(c, s, "lat", "lng", 3, "c_custkey", "s_suppkey").select("c_custkey", "rank", F.round("km", 3).alias("km"))
+
+
 @query("enrich_left", "with r as (select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1) select c_custkey, o_orderkey, o_totalprice from customer left join r on o_custkey = c_custkey")
 def enrich_left(spark, d):
     right = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", "o_orderdate")

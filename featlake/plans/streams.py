@@ -81,11 +81,12 @@ def stream_entity_day(spark, d):
 @query("stream_gap_sessions", """with g as (select user_id, ts, event_id, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
 s as (select user_id, ts, sum(new) over (partition by user_id order by ts, event_id) as k from g) select user_id as user, epoch_us(min(ts)) as start_us, count(*) as n from s group by user_id, k""")
 def stream_gap_sessions(spark, d):
-    path = new_path(spark, "sessions")
-    J.to_batches(J.gap_sessions(stream(spark, d), "user_id", "ts", "6 hours", "1 hour"), lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i:08d}"), "complete")
-    last = spark.read.parquet(path)
-    newest = last.agg(F.max("batch").alias("batch"))
-    return last.join(F.broadcast(newest), "batch").select("user", F.unix_micros("session_window.start").alias("start_us"), "n")
+    """Each session is written once, when the watermark has passed its end; a marker far behind the newest event closes the last ones."""
+    out = new_path(spark, "sessions")
+    end = last_ms(spark, d)
+    rows = J.gap_sessions(stream(spark, d, marker=end + 24 * 3_600_000), "user_id", "ts", "6 hours", "1 hour").select("user", F.unix_micros("session_window.start").alias("start_us"), "n")
+    J.ingest(rows.where(F.col("start_us") < end * 1000), out)
+    return spark.read.parquet(out)
 
 
 @query("stream_host_sessions", BASE + "select user, start, host, last, n from s")

@@ -485,6 +485,80 @@ def test_states_merge_in_any_number_and_order(spark):
     assert states.finished_states(none, ["k"], {"m": ("mean", "x"), "s": ("std_sample", "x")}).first()[1:] == (None, None)
 
 
+def test_nearest_targets_equal_all_pairs(spark):
+    """Around poles and the 180th meridian, in clusters and in one place; the joined cells hold few of all pairs."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    place = lambda: rng.choice([(rng.uniform(-90, 90), rng.uniform(-180, 180)), (rng.choice([89.99, -89.99, 90.0]), rng.uniform(-180, 180)), (rng.uniform(-1, 1), rng.choice([179.999, -179.999, 180.0, -180.0])), (42.7 + rng.random() / 100, 23.3 + rng.random() / 100)])
+    targets = [(i, *place()) for i in range(400)] + [(1000 + i, 10.0, 20.0) for i in range(50)] + [(2000, None, 1.0)]
+    points = [(i, *place()) for i in range(150)] + [(500, 10.0, 20.0), (501, 10.0, 20.001), (502, 10.0, None), (500, 10.0, 20.0)]
+
+    def km(a, b):
+        x = math.sin(math.radians(a[0] - b[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(a[1] - b[1]) / 2) ** 2
+        return 2 * project.EARTH_KM * math.asin(math.sqrt(min(1.0, x)))
+
+    tf, pf = spark.createDataFrame(targets, "t int, lat double, lng double"), spark.createDataFrame(points, "p int, lat double, lng double")
+    got = {}
+    for r in project.geo_nearest(pf, tf, "lat", "lng", 4, "p", "t").collect():
+        got.setdefault((r.p, r["rank"]), []).append((r.t, r.km))
+    for p, *at in points:
+        if None not in at:
+            want = sorted((km(b, at), t) for t, *b in targets if None not in b)[:4]
+            for rank, (d, _) in enumerate(want, 1):
+                assert {round(x, 6) for _, x in got[p, rank]} == {round(d, 6)}
+    assert [got[500, r][0][0] for r in (1, 2, 3, 4)] == [1000, 1001, 1002, 1003] and len(got[500, 1]) == 2 and (502, 1) not in got
+    few = project.geo_nearest(pf.where("p < 3"), tf.limit(2), "lat", "lng", 4, "p", "t")
+    assert few.groupBy("p").count().where("count = 2").count() == 3
+    near = project.geo_near(tf, "lat", "lng", 0.0, 179.9995, 5, "t", within_km=500.0).collect()
+    want = sorted((km(b, (0.0, 179.9995)), t) for t, *b in targets if None not in b)
+    assert [r.t for r in near] == [t for d, t in want if d <= 500][:5] and any(r.lng < 0 for r in near)
+
+
+def test_holidays_by_rule(spark):
+    """Easter of both churches against another way to reckon it, and what was published for four years."""
+
+    def easter(y, orthodox):
+        if orthodox:  # full moon by the golden number, then the Sunday after, in the Julian calendar
+            g = y % 19
+            moon = dt.date(y, 3, 21) + dt.timedelta(days=(19 * g + 15) % 30 + (13 if y < 2100 else 14))
+            return moon + dt.timedelta(days=7 - (moon.weekday() + 1) % 7)
+        g, c = y % 19, y // 100
+        h = (c - c // 4 - (8 * c + 13) // 25 + 19 * g + 15) % 30
+        i = h - h // 28 * (1 - 29 // (h + 1) * ((21 - g) // 11))
+        j = (y + y // 4 + i + 2 - c + c // 4) % 7
+        month = 3 + (i - j + 40) // 44
+        return dt.date(y, month, i - j + 28 - 31 * (month // 4))
+
+    for name in ("orthodox", "western"):
+        if name == "orthodox":
+            years = range(1901, 2100)
+        else:
+            years = range(1900, 2101)
+        got = times.holiday_calendar(spark, years[0], years[-1], name, {}, {}, shifted=False).collect()
+        assert sorted(r.day for r in got) == [easter(y, name == "orthodox") for y in years]
+    got = {r.name: r.day for r in times.holiday_calendar(spark, 2017, 2017).collect()}
+    assert len(got) == 12 and got["easter"] == dt.date(2017, 4, 17) and got["saint george"] == dt.date(2017, 5, 5) and got["labour day"] == dt.date(2017, 5, 1) and got["new year"] == dt.date(2017, 1, 2)
+    sundays = [r.day for r in times.holiday_calendar(spark, 2017, 2020, "orthodox", {}, {}, shifted=False).orderBy("day").collect()]
+    assert sundays == [dt.date(2017, 4, 16), dt.date(2018, 4, 8), dt.date(2019, 4, 28), dt.date(2020, 4, 19)]
+    assert {r.day.weekday() for r in times.holiday_calendar(spark, 1990, 2030).collect()} <= set(range(5))
+
+
+def test_languages_of_rows_that_took_no_part(spark, sf):
+    from featlake.operators import languages
+
+    df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    profiles = languages.learn_profiles(df.where("doc_id % 3 <> 0"), "text", "lang")
+    rest = df.where("doc_id % 3 = 0 and lang is not null and text rlike '\\\\p{L}'")
+    got = languages.text_language(rest, "text", profiles).select("lang", "language").collect()
+    assert sum(r.lang == r.language for r in got) >= 0.95 * len(got) > 0
+    odd = [(1, None), (2, ""), (3, "1234 !?"), (4, "привет мир как твои дела сегодня"), (5, "x" * 3_000_000), (6, "zqxj kvwq xzzq jjqk wqvx " * 20)]
+    found = languages.text_language(spark.createDataFrame(odd, "language_id int, text string"), "text", profiles)
+    assert found.columns == ["language_id", "text", "language", "distance"] and {r.language for r in found.collect()} == {"unknown"}
+    assert languages.text_language(rest.limit(3), "text", profiles.limit(0)).select("language").distinct().collect()[0][0] == "unknown"
+
+
 def test_feature_set_names(spark):
     fs = aggregates.FeatureSet([F.col("k")]).aggregate("s", F.sum("v")).feature(F.col("s") * 2).feature(F.col("s"), target="y")
     assert fs.build(spark.createDataFrame([(1, 2.0)], "k int, v double")).columns == ["k", "f_0", "y"]

@@ -29,6 +29,20 @@ def test_registered_host_sessions_equal_all_batch_runs(spark, sf):
     assert got == sorted(tuple(r) for r in sessions.sessions(events(spark, sf)).select("user", "start", "host", "last", "n").collect())
 
 
+def test_gap_sessions_are_written_once(spark, sf, monkeypatch):
+    """Closed sessions leave the state with the batch that closes them, so early batches write some already, and none twice."""
+    from featlake.plans import QUERIES, streams
+
+    seen = []
+    ingest = streams.J.ingest
+    monkeypatch.setattr(streams.J, "ingest", lambda df, path: seen.append(path) or ingest(df, path))
+    got = QUERIES["stream_gap_sessions"](spark, sf)
+    assert got.count() == got.select("user", "start_us").distinct().count() > 0
+    assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+    files = spark.read.parquet(seen[0]).groupBy(F.input_file_name().alias("f")).count().count()
+    assert files > 1
+
+
 def test_slices_are_written_in_parallel_and_keep_rows_without_a_time(spark, sf, tmp_path, monkeypatch):
     from pyspark.sql import Window
 
@@ -44,13 +58,3 @@ def test_slices_are_written_in_parallel_and_keep_rows_without_a_time(spark, sf,
     assert sum(n for n, _, _ in batches) == df.count()
     assert len(batches) == 4 and all(files > 1 for _, files, _ in batches)
     assert all(a[2][1] < b[2][0] for a, b in zip(batches, batches[1:], strict=False))
-
-
-def test_file_limit_writes_by_several_tasks(spark, sf, monkeypatch):
-    from featlake.plans import QUERIES, inout
-
-    seen = []
-    read = inout.R.read_directory
-    monkeypatch.setattr(inout.R, "read_directory", lambda s, path, **k: seen.append(len(s.read.parquet(path).inputFiles())) or read(s, path, **k))
-    QUERIES["file_limit"](spark, sf)
-    assert seen and min(seen) > 2
