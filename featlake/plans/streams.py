@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
 from ..streaming import jobs as J
+from ..streaming import members as M
 from .base import query, table
 from .clicks import BASE
 
@@ -89,12 +90,29 @@ def stream_gap_sessions(spark, d):
     return spark.read.parquet(out)
 
 
+@query("stream_members", """with c as (select user_id, event_type, count(*) as n from events group by 1, 2), r as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
+select user_id, n, total, top, kinds, newest from (select user_id, cast(count(*) as double) as n, round(sum(value), 2) as total, max(value) as top from events group by 1)
+join (select user_id, string_agg(event_type || '=' || n, ',' order by event_type) as kinds from c group by 1) using (user_id)
+join (select user_id, string_agg(cast(event_id as varchar), ',' order by k desc) as newest from r where k <= 3 group by 1) using (user_id)""")
+def stream_members(spark, d):
+    """Every user's number, sum and greatest value, number of events of each type and newest events, carried from batch to batch."""
+    rules = {"n": ("count",), "total": ("sum", "value"), "top": ("max", "value"), "kinds": ("counts", "event_type"), "newest": ("latest", "at", "event_id")}
+    rows = stream(spark, d).select("user_id", "value", "event_type", F.unix_micros("ts").alias("at"), "event_id")
+    path = new_path(spark, "members")
+    with M.state_store(spark):
+        J.to_batches(M.keyed_members(rows, "user_id", rules), lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/{i:08d}"), "update")
+    newest = spark.read.option("recursiveFileLookup", "true").parquet(path).groupBy("user_id").agg(F.max_by(F.struct("n", "total", "top", F.map_entries("kinds").alias("kinds"), "newest"), "batch").alias("s")).select("user_id", "s.*")
+    kinds = F.array_join(F.transform(F.array_sort("kinds"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return newest.select("user_id", "n", F.round("total", 2).alias("total"), "top", kinds.alias("kinds"), F.array_join("newest", ",").alias("newest"))
+
+
 @query("stream_host_sessions", BASE + "select user, start, host, last, n from s")
 def stream_host_sessions(spark, d):
     out = new_path(spark, "host-sessions")
     end = last_ms(spark, d)
     rows = stream(spark, d, marker=end + 2 * 3_600_000)
-    J.ingest(J.host_sessions(rows, "user_id", "ts", "event_id", "event_type", "1 hour", end), out)
+    with M.state_store(spark):
+        J.ingest(M.host_runs(rows, "user_id", "ts", "event_id", "event_type", "1 hour", end), out)
     return spark.read.parquet(out)
 
 

@@ -10,6 +10,5 @@ def test_equals_sql(name, spark, sf, same):
     same(QUERIES[name](spark, sf), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(name, spark, sf):
-    assert QUERIES[name](spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)

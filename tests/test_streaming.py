@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from featlake.plans.streams import stream
 from featlake.sources.scratch import new_path
-from featlake.streaming import jobs
+from featlake.streaming import jobs, members
 
 
 def test_host_sessions_equal_batch_runs_up_to_the_watermark(spark, sf):
@@ -12,7 +12,8 @@ def test_host_sessions_equal_batch_runs_up_to_the_watermark(spark, sf):
     from featlake.plans.clicks import events
 
     out = new_path(spark, "t")
-    jobs.ingest(jobs.host_sessions(stream(spark, sf, 2), "user_id", "ts", "event_id", "event_type", "1 minute"), out)
+    with members.state_store(spark):
+        jobs.ingest(members.host_runs(stream(spark, sf, 2), "user_id", "ts", "event_id", "event_type", "1 minute"), out)
     got = {(r.user, r.start): (r.host, r.last, r.n) for r in spark.read.parquet(out).collect()}
     want = {(r.user, r.start): (r.host, r.last, r.n) for r in sessions.sessions(events(spark, sf)).collect()}
     assert got and set(got.items()) <= set(want.items())
@@ -58,3 +59,41 @@ def test_slices_are_written_in_parallel_and_keep_rows_without_a_time(spark, sf,
     assert sum(n for n, _, _ in batches) == df.count()
     assert len(batches) == 4 and all(files > 1 for _, files, _ in batches)
     assert all(a[2][1] < b[2][0] for a, b in zip(batches, batches[1:], strict=False))
+
+
+def run(df, path, mode):
+    """The rows that a query with this checkpoint gives for what is new."""
+    seen = []
+    with members.state_store(df.sparkSession):
+        jobs.drain(df.writeStream.outputMode(mode).foreachBatch(lambda b, i: seen.extend(b.collect())).option("checkpointLocation", f"{path}/checkpoint"))
+    return seen
+
+
+def test_members_go_on_after_a_restart_in_whatever_order(spark, tmp_path):
+    """Two runs of a query with one checkpoint; the second one gets older rows, null values and a null key."""
+    schema = "k long, v double, kind string, at long, id long"
+    rules = {"n": ("count",), "total": ("sum", "v"), "low": ("min", "v"), "kinds": ("counts", "kind"), "newest": ("latest", "at", "id")}
+    rows = [(1, 5.0, "a", 50, 5), (1, None, "b", 40, 4), (2, None, None, 10, 1), (None, 7.0, "a", 1, 9), (1, 2.0, "a", 30, 3), (1, 9.0, None, 60, 6), (2, 1.0, "c", 5, 0), (1, 1.0, "a", None, 7)]
+    got = {}
+    for again, part in enumerate((rows[:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        df = members.keyed_members(jobs.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), "k", rules, keep=2)
+        got = {r.k: (r.n, r.total, r.low, r.kinds, list(r.newest)) for r in run(df, tmp_path, "update")}
+        if not again:
+            assert got.keys() == {1, 2, None} and got[2] == (1.0, None, None, {}, [1])
+        else:
+            assert got == {1: (5.0, 17.0, 1.0, {"a": 3, "b": 1}, [5, 6]), 2: (2.0, 1.0, 1.0, {"c": 1}, [0, 1])}, "only keys that changed"
+
+
+def test_host_runs_wait_for_late_events_over_a_restart(spark, tmp_path):
+    """Events of a run come late, in another run of the query; repeats of an event count."""
+    schema = "u long, t long, e long, h string"
+    read = lambda: jobs.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema).withColumn("ts", F.timestamp_seconds("t"))
+    first = [(1, 1000, 1, "a"), (1, 1300, 4, "b"), (1, 1300, 4, "b"), (2, 1100, 2, "x"), (1, None, 9, "z")]
+    second = [(1, 1200, 3, "a"), (2, 1150, 5, "x"), (1, 1300, None, "a"), (None, 1400, 6, None)]
+    seen = []
+    for part in (first, second, [(3, 100_000, 7, "end")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        seen += run(members.host_runs(read(), "u", "ts", "e", "h", "10 minutes", end=99_000_000), tmp_path, "append")
+    s = 1_000_000
+    assert sorted(map(tuple, seen), key=str) == sorted([(1, 1000 * s, "a", 1300 * s, 3), (1, 1300 * s, "b", 1300 * s, 2), (2, 1100 * s, "x", 1150 * s, 2), (None, 1400 * s, "", 1400 * s, 1)], key=str)
