@@ -22,7 +22,7 @@ out. Pairs across two components that share rare shingles are all compared.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; a text of fewer than five words is one shingle; rows that repeat an id
-count as one document with several texts; a row with null id takes its class's
+count as one document with several texts, of which each is compared for itself; a row with null id takes its class's
 component and has none if no row with an id is in the class; very long texts
 are one set like others; columns besides id and text take no part, whatever
 their names; an empty table gives none.
@@ -57,7 +57,7 @@ SMALL_ROWS = 200_000
 
 
 def features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``fp`` (128 bits of the shingle set) and ``sig`` of every row; the last two are null without shingles."""
+    """``doc_id``, ``th`` (a hash of the text), ``n_shingles``, ``fp`` (128 bits of the shingle set) and ``sig`` of every row; the last two are null without shingles."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mh = MinHash(BANDS * ROWS)
@@ -67,75 +67,78 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sigs = iter(mh.signatures([s for s in sets if len(s)]))
                 fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 sig = [next(sigs).tobytes() if len(s) else None for s in sets]
-                cols = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "fp", "sig"])
+                cols = [part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "fp", "sig"])
 
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_shingles long, fp binary, sig binary")
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
+    return rows.mapInArrow(work, "doc_id long, th long, n_shingles long, fp binary, sig binary")
+
+
+#: A pair: the centre's id and text, and the member's; a class is known by the id and text of one of its rows.
+PAIR = ["centre", "centre_th", "id", "th"]
 
 
 def _with_agreement(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (centre, id) and whether their signatures agree in at least AGREE minima."""
+    """The pairs and whether their signatures agree in at least AGREE minima."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
             agree = pa.array((a == b).sum(axis=1) >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("id"), agree], names=["centre", "id", "agree"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in PAIR], agree], names=[*PAIR, "agree"])
 
-    a = reps.select(F.col("id").alias("centre"), F.col("sig").alias("sig_a"))
-    b = reps.select("id", F.col("sig").alias("sig_b"))
-    both = pairs.join(a, "centre").join(b, "id").select("centre", "id", "sig_a", "sig_b")
-    # A repeated id has several signatures; one that agrees is enough.
-    return both.mapInArrow(work, "centre long, id long, agree boolean").groupBy("centre", "id").agg(F.max("agree").alias("agree"))
+    a = reps.select(F.col("id").alias("centre"), F.col("th").alias("centre_th"), F.col("sig").alias("sig_a"))
+    b = reps.select("id", "th", F.col("sig").alias("sig_b"))
+    both = pairs.join(a, ["centre", "centre_th"]).join(b, ["id", "th"]).select(*PAIR, "sig_a", "sig_b")
+    return both.mapInArrow(work, "centre long, centre_th long, id long, th long, agree boolean")
 
 
 def _texts_once(docs: DataFrame, key: str, text: str, feats: DataFrame) -> DataFrame:
-    """``need`` (the id) and ``text``; rows that repeat both are one, found among the ids of several rows only."""
-    texts = docs.select(docs[key].cast("long").alias("need"), docs[text].alias("text")).where("need is not null")
+    """``need`` (the id), ``th`` and ``text``; rows that repeat id and text are one, found among the ids of several rows only."""
+    texts = docs.select(docs[key].cast("long").alias("need"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).where("need is not null")
     several = written(feats.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), "ids-of-rows")
     if several.isEmpty():
         return texts
     several = broadcast_if_small(several, SMALL_ROWS)
     same = F.col("need") == F.col("again")
-    once = texts.join(several, same, "left_semi").groupBy("need", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
-    return texts.join(several, same, "left_anti").unionByName(once.select("need", "text"))
+    once = texts.join(several, same, "left_semi").groupBy("need", "th").agg(F.min("text").alias("text"))
+    return texts.join(several, same, "left_anti").unionByName(once)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``centre``, ``id``, ``linked``, ``n_centre``, ``n`` (sizes of the full sets) and ``diff`` (their difference) of the pairs.
+    """``centre`` (a hash of the centre's class), ``centre_id``, ``id``, ``linked``, ``n_centre``, ``n`` (sizes of the full sets) and ``diff`` (their difference) of the pairs.
 
-    Texts are fetched by id; each part of a centre's members is sorted behind
-    one copy of the centre's text, and a task holds one text at a time besides.
+    Texts are fetched by id and hash, one for a class; each part of a centre's
+    members is sorted behind one copy of the centre's text, and a task holds one
+    text at a time besides.
     """
     spark = texts.sparkSession
-    pairs = pairs.select("centre", "id", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"))
-    own = pairs.select(F.col("centre").alias("need"), "centre", "part", F.lit(0).alias("member")).distinct()
-    need = written(own.union(pairs.select(F.col("id").alias("need"), "centre", "part", F.lit(1).alias("member"))), "need")
+    group = F.xxhash64("centre", "centre_th")
+    pairs = pairs.select(*PAIR, group.alias("group"), F.pmod(F.xxhash64("id", "th"), F.lit(PARTS)).cast("int").alias("part"))
+    own = pairs.select(F.col("centre").alias("need"), F.col("centre_th").alias("th"), "group", "centre", "part", F.lit(0).alias("member")).distinct()
+    need = written(own.union(pairs.select(F.col("id").alias("need"), "th", "group", "centre", "part", F.lit(1).alias("member"))), "need")
     need = broadcast_if_small(need, SMALL_ROWS)
-    rows = texts.join(need, "need").repartition(shuffle_partitions(spark), "centre", "part").sortWithinPartitions("centre", "part", "member", "need")
-    schema = pa.schema([("centre", pa.int64()), ("id", pa.int64()), ("linked", pa.bool_()), ("n_centre", pa.int64()), ("n", pa.int64()), ("diff", pa.list_(pa.int64()))])
+    rows = texts.join(need, ["need", "th"]).repartition(shuffle_partitions(spark), "group", "part").sortWithinPartitions("group", "part", "member", "need")
+    schema = pa.schema([("centre", pa.int64()), ("centre_id", pa.int64()), ("id", pa.int64()), ("linked", pa.bool_()), ("n_centre", pa.int64()), ("n", pa.int64()), ("diff", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
+        at, c = None, np.zeros(0, np.uint64)
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for centre, part, member, need_id, text_ in zip(*[batch.column(c).to_pylist() for c in ("centre", "part", "member", "need", "text")], strict=True):
+            for group_, centre, part, member, need_id, text_ in zip(*[batch.column(x).to_pylist() for x in ("group", "centre", "part", "member", "need", "text")], strict=True):
                 s = shingles(text_)
-                if (centre, part) != at:
-                    at, own = (centre, part), []
                 if not member:
-                    own.append(s)
+                    at, c = (group_, part), s
                     continue
-                for c in own:
-                    diff = np.setxor1d(s, c, assume_unique=True)
-                    linked = 100 * (len(s) + len(c) - len(diff)) >= LINK * (len(s) + len(c) + len(diff)) > 0
-                    for column, x in zip(out, (centre, need_id, linked, len(c), len(s), diff.view(np.int64)), strict=True):
-                        column.append(x)
+                assert (group_, part) == at, "a centre's text comes before its members"
+                diff = np.setxor1d(s, c, assume_unique=True)
+                linked = 100 * (len(s) + len(c) - len(diff)) >= LINK * (len(s) + len(c) + len(diff)) > 0
+                for column, x in zip(out, (group_, centre, need_id, linked, len(c), len(s), diff.view(np.int64)), strict=True):
+                    column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    ddl = "centre long, id long, linked boolean, n_centre long, n long, diff array<long>"
-    return rows.select("centre", "part", "member", "need", "text").mapInArrow(work, ddl)
+    ddl = "centre long, centre_id long, id long, linked boolean, n_centre long, n long, diff array<long>"
+    return rows.select("group", "centre", "part", "member", "need", "text").mapInArrow(work, ddl)
 
 
 def _between_members(compared: DataFrame, direct: DataFrame) -> DataFrame:
@@ -193,18 +196,21 @@ def _of_repeated_ids(feats: DataFrame, reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (doc_id = component_id) of every row."""
     feats = written(features(docs, key, text), "features")
-    classes = feats.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.min("sig").alias("sig"))
-    reps = written(classes.where("id is not null"), "classes")
-    bands = reps.select("id", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"), "sig")
-    bands = bands.select(F.xxhash64("b", F.expr(f"substring(sig, b * {4 * ROWS} + 1, {4 * ROWS})")).alias("bucket"), "id")
-    shared = written(bands.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("hi")).where("centre <> hi").select("bucket", "centre"), "buckets")
-    pairs = written(bands.join(shared, "bucket").where("id <> centre").select("centre", "id").distinct(), "pairs")
+    own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), "th")))
+    classes = feats.where("fp is not null").groupBy("fp").agg(own.alias("own"), F.count("*").alias("n"), F.min("sig").alias("sig"))
+    reps = written(classes.where("own is not null").select("fp", "own.*", "n", "sig"), "classes")
+    bands = reps.select(F.struct("id", "th").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"), "sig")
+    bands = bands.select(F.xxhash64("b", F.expr(f"substring(sig, b * {4 * ROWS} + 1, {4 * ROWS})")).alias("bucket"), "own")
+    shared = bands.groupBy("bucket").agg(F.min("own").alias("centre"), F.max("own").alias("hi")).where("centre <> hi").select("bucket", "centre")
+    # Texts of one id are one document as it is.
+    pairs = bands.join(written(shared, "buckets"), "bucket").where("own.id <> centre.id")
+    pairs = written(pairs.select(F.col("centre.id").alias("centre"), F.col("centre.th").alias("centre_th"), "own.id", "own.th").distinct(), "pairs")
     pairs = written(_with_agreement(pairs, reps), "agreement")
     # A member whose signature does not agree with its centre's matters only to other members.
-    lone = pairs.groupBy("centre").agg(F.count("*").alias("members")).where("members = 1").select("centre")
-    pairs = pairs.where("agree").union(pairs.where("not agree").join(written(lone, "lone"), "centre", "left_anti")).select("centre", "id")
+    lone = pairs.groupBy("centre", "centre_th").agg(F.count("*").alias("members")).where("members = 1").select("centre", "centre_th")
+    pairs = pairs.where("agree").union(pairs.where("not agree").join(written(lone, "lone"), ["centre", "centre_th"], "left_anti").select(*PAIR, "agree")).select(*PAIR)
     compared = written(_compared(pairs, _texts_once(docs, key, text, feats)), "compared")
-    links = compared.where("linked").select(F.col("id").alias("u"), F.col("centre").alias("v"))
+    links = compared.where("linked").select(F.col("id").alias("u"), F.col("centre_id").alias("v"))
     found = written(components(links.union(_of_repeated_ids(feats, reps))), "direct-components")
     between = written(_between_members(compared, found), "member-links")
     if not between.isEmpty():

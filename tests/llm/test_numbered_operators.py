@@ -796,3 +796,16 @@ def test_repeated_rows_meet_near_copies_once(spark, monkeypatch):
     want = brute_components([(1, text), *near])
     assert got == {(i, want[i]) for i in want}
     assert [df.count() for name, df in seen.items() if name.startswith("compared")][0] <= 150  # of 51 classes; 45,000 with all rows
+
+
+def test_texts_of_one_id_are_compared_for_themselves(spark, monkeypatch):
+    """A third of all rows have one id and texts of their own: each near copy meets the text that it is like."""
+    mine = [(1, body(i * 13, 60, 1 + i % 7) + f" own{i}") for i in range(60)]
+    near = [(100 + i, mine[i][1].replace("own", "other")) for i in range(0, 60, 2)]
+    rest = [(500 + i, body(i * 5, 40, 11) + f" rest{i} words{i}") for i in range(60)]
+    docs = spark.createDataFrame(mine + near + rest, "doc_id long, text string").repartition(4)
+    seen = {}
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, keep=near_dedup.written: seen.setdefault(name + str(len(seen)), keep(df, name)))
+    want = brute_components(mine + near + rest)
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()} == set(want.items())
+    assert [df.count() for name, df in seen.items() if name.startswith("compared")][0] < 60 * len(near) / 6  # each near copy with all 60 texts would be 1800
