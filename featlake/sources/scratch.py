@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that this process has given out.
+_given: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Only a local session, as in tests, gets one of its own: executors elsewhere would not see it."""
@@ -20,7 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/featlake/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/featlake/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """What functions of this library put into the shared folder inside is deleted at the end; write results elsewhere before."""
+    first = len(_given)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _given[first:]:
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _given[first:]
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made frames: edge cases and laws of the operators."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -294,6 +295,19 @@ def test_csv_names_empty_columns_and_rare_values(spark, tmp_path):
     assert df.columns == ["id", "name", "NoName_2"] and df.count() == 2
 
 
+def test_intermediate_tables_are_cleared(spark):
+    from featlake.sources import scratch
+
+    df = spark.range(10)
+    outside = scratch.written(df, "outside")
+    with scratch.cleared(spark):
+        inside = numbering.numbered(df, ["id"], "n")
+        files = inside.inputFiles()
+        assert inside.count() == 10 and files
+    assert outside.count() == 10
+    assert not any(Path(f.removeprefix("file:").replace("///", "/")).exists() for f in files)
+
+
 def test_scratch_folder_must_be_shared(spark):
     from featlake.sources import scratch
 
