@@ -72,12 +72,13 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _starts(splits: pd.DataFrame) -> pd.DataFrame:
-    """The state in which each split of a file begins."""
+    """The state in which each split of a file begins, and whether a record is open at its end."""
     inside, depth, out = False, 0, []
     for r in splits.sort_values("block").itertuples():
-        out.append((r.file, r.block, inside, depth))
+        at = (r.file, r.block, inside, depth)
         inside, depth = (r.inside1, depth + r.depth1) if inside else (r.inside0, depth + r.depth0)
-    return pd.DataFrame(out, columns=["file", "block", "inside", "depth"])
+        out.append((*at, bool(inside or depth > 0)))
+    return pd.DataFrame(out, columns=["file", "block", "inside", "depth", "open"])
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], joiner: str, ending: str) -> Iterator[pa.RecordBatch]:
@@ -118,12 +119,14 @@ def _assembled(batches: Iterator[pa.RecordBatch], joiner: str, ending: str) -> I
 
 
 def _records(spark: SparkSession, path: str, mark: str, state: dict[str, Column], joiner: str, ending: str) -> DataFrame:
-    """``file``, ``first`` (whether it is the first of its file) and ``text`` of all records, written once."""
+    """``file``, ``first`` (whether it is the first of its file) and ``text`` of all records, written once where some cross splits."""
     pieces = _pieces(spark, path, mark, state)
     splits = pieces.drop("value").mapInArrow(_composed, _SPLITS)
-    starts = written(splits.groupBy("file").applyInPandas(_starts, "file long, block long, inside boolean, depth long"), "splits")
-    begun = pieces.join(F.broadcast(starts), ["file", "block"])  # a row per split
+    starts = written(splits.groupBy("file").applyInPandas(_starts, "file long, block long, inside boolean, depth long, open boolean"), "splits")
+    begun = pieces.join(F.broadcast(starts.drop("open")), ["file", "block"])  # a row per split
     parts = begun.mapInArrow(lambda batches: _assembled(batches, joiner, ending), "file long, block long, part int, first boolean, text string")
+    if starts.where("open").isEmpty():  # no record crosses a split
+        return parts.select("file", "first", "text")
     parts = written(parts, "records")
     crossing = parts.where(F.col("part") != WHOLE)
     order = W.partitionBy("file").orderBy("block", "part")
