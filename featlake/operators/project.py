@@ -92,16 +92,21 @@ def _cells(level: Column, sides: list[str]) -> list[Column]:
     return [F.least(F.floor((F.col(c) + 1) / 2 * parts), parts - 1).cast("int") for c in sides]
 
 
+#: Targets up to which their cells are held by every task.
+GEO_HELD = 10_000
+
+
 def geo_nearest(points: DataFrame, targets: DataFrame, lat: str, lng: str, k: int, point_key: str, key: str) -> DataFrame:
     """The ``k`` nearest targets of every point, as ``point_key``, ``key``, ``km`` and ``rank``; of equally near ones the least keys.
 
     Both sides have columns ``lat`` and ``lng``. Places are points of the unit
     sphere inside a cube that is halved again and again, so there is no border at a
     meridian or pole. A point starts in the smallest of its cells that has k
-    targets; all targets that are as near lie in the cells around it of twice the
-    size, which are joined by cell. So points meet the targets of 27 small cells
-    only. Of targets in one place the first k take part. Rows without a place
-    are left out; fewer than k targets are all found.
+    targets; the farthest of k targets there bounds the distance, and all targets
+    within it lie in the 27 cells around the point whose edges are no shorter. What
+    lies around a cell is put together once for all its points, so neither points
+    nor pairs are sent for each of the 27. Of targets in one place the first k take
+    part. Rows without a place are left out; fewer than k targets are all found.
     """
     sides = ["_x", "_y", "_z"]
 
@@ -110,25 +115,38 @@ def geo_nearest(points: DataFrame, targets: DataFrame, lat: str, lng: str, k: in
         xyz = {"_x": F.cos(a) * F.cos(b), "_y": F.cos(a) * F.sin(b), "_z": F.sin(a)}
         return df.where(df[lat].isNotNull() & df[lng].isNotNull()).select(*[df[c].alias(n) for c, n in zip(columns, ("_key",), strict=True)], df[lat].cast("double").alias("_lat"), df[lng].cast("double").alias("_lng"), *[e.alias(n) for n, e in xyz.items()])
 
+    def chord2(place: Column) -> Column:
+        return sum((F.pow(F.col(c) - place[c], 2) for c in sides), F.lit(0.0))
+
     same = W.partitionBy("_lat", "_lng").orderBy("_key")
     near = placed(targets, key).withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n")
     near = written(near, "targets")
     levels = F.explode(F.sequence(F.lit(0), F.lit(GEO_LEVELS)))
     cell = F.struct(*[c.alias(n) for n, c in zip("abc", _cells(F.col("_level"), sides), strict=True)])
-    full = near.withColumn("_level", levels).groupBy("_level", cell.alias("_cell")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("_level", "_cell")
+    # Cells with k targets, and the places of k of them.
+    some = F.row_number().over(W.partitionBy("_level", "_cell").orderBy("_key"))
+    full = near.withColumn("_level", levels).select("_level", cell.alias("_cell"), "_key", F.struct(*sides).alias("_place")).withColumn("_n", some).where(F.col("_n") <= k)
+    full = full.groupBy("_level", "_cell").agg(F.collect_list("_place").alias("_some")).where(F.size("_some") == k)
+    full = F.broadcast(full) if near.count() <= GEO_HELD else full.hint("merge")
     asks = written(placed(points, point_key).withColumn("_q", F.monotonically_increasing_id()), "points")
-    start = asks.select("_q", *sides, levels.alias("_level")).select("_q", "_level", cell.alias("_cell")).join(full, ["_level", "_cell"]).groupBy("_q").agg(F.max("_level").alias("_at"))
-    # One level up from the cell with k targets; without such a cell the whole cube.
-    asks = asks.join(start, "_q", "left").withColumn("_level", F.greatest(F.coalesce("_at", F.lit(0)) - 1, F.lit(0)))
-    asks = written(asks.select("_q", "_key", "_lat", "_lng", "_level", cell.alias("_cell")), "asks")
-    around = asks
+    start = asks.select("_q", *sides, levels.alias("_level")).select("_q", *sides, "_level", cell.alias("_cell")).join(full, ["_level", "_cell"])
+    start = start.groupBy("_q").agg(F.max_by(F.array_max(F.transform("_some", chord2)), "_level").alias("_bound"))
+    # A little more than the bound, for rounded places; without such a cell all targets of the whole cube.
+    bound = F.coalesce(F.sqrt("_bound") * (1 + 1e-9) + 1e-12, F.lit(4.0))
+    level = F.greatest(F.lit(0), F.least(F.lit(GEO_LEVELS), F.floor(1 - F.log2("_bound")).cast("int")))
+    asks = asks.join(start.hint("merge"), "_q", "left").withColumn("_bound", bound).withColumn("_level", level)
+    asks = written(asks.select("_q", "_key", "_lat", "_lng", *sides, "_bound", "_level", cell.alias("_cell")), "asks")
+    around = asks.select("_level", "_cell").distinct()
     for n in "abc":
         around = around.withColumn(f"_{n}", F.explode(F.array(*[F.col("_cell")[n] + i for i in (-1, 0, 1)])))
         around = around.where((F.col(f"_{n}") >= 0) & (F.col(f"_{n}") < F.pow(F.lit(2), F.col("_level")).cast("int")))
-    around = around.select("_q", F.col("_key").alias("_point"), F.col("_lat").alias("_lat0"), F.col("_lng").alias("_lng0"), "_level", F.struct(*[F.col(f"_{n}").alias(n) for n in "abc"]).alias("_cell"))
+    around = around.select("_level", F.col("_cell").alias("_center"), F.struct(*[F.col(f"_{n}").alias(n) for n in "abc"]).alias("_cell"))
     used = asks.select("_level").distinct()
-    found = near.join(F.broadcast(used)).select("_key", "_lat", "_lng", "_level", cell.alias("_cell")).join(around, ["_level", "_cell"])
-    found = found.withColumn("km", haversine_km(F.col("_lat"), F.col("_lng"), F.col("_lat0"), F.col("_lng0")))
+    beside = near.join(F.broadcast(used)).select("_key", "_lat", "_lng", *sides, "_level", cell.alias("_cell")).join(around.hint("merge"), ["_level", "_cell"])
+    beside = beside.select("_level", F.col("_center").alias("_cell"), F.struct("_key", "_lat", "_lng", *sides).alias("_t"))
+    # Sizes known before these joins are those of files, before anything is multiplied: no side may be broadcast by them.
+    found = asks.join(beside.hint("merge"), ["_level", "_cell"]).where(chord2(F.col("_t")) <= F.col("_bound") * F.col("_bound"))
+    found = found.select("_q", F.col("_key").alias("_point"), F.col("_t._key").alias("_key"), haversine_km(F.col("_t._lat"), F.col("_t._lng"), F.col("_lat"), F.col("_lng")).alias("km"))
     rank = F.row_number().over(W.partitionBy("_q").orderBy("km", "_key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_point").alias(point_key), F.col("_key").alias(key), "km", "rank")
 

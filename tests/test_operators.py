@@ -530,6 +530,15 @@ def test_nearest_targets_equal_all_pairs(spark):
     assert [r.t for r in near] == [t for d, t in want if d <= 500][:5] and any(r.lng < 0 for r in near)
 
 
+def test_nearest_targets_are_not_broadcast_by_the_size_of_a_file(spark):
+    """Points and what lies around their cells are multiplied behind the scan, so the size of the file says nothing of theirs."""
+    points = spark.range(3000).select(F.col("id").alias("p"), (F.col("id") * 41 % 1801 / 10.0 - 90).alias("lat"), (F.col("id") * 97 % 3601 / 10.0 - 180).alias("lng"))
+    targets = spark.range(900).select(F.col("id").alias("t"), (F.col("id") * 37 % 180 - 90.0).alias("lat"), (F.col("id") * 73 % 360 - 180.0).alias("lng"))
+    df = project.geo_nearest(points, targets, "lat", "lng", 3, "p", "t")
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 9000
+
+
 def test_holidays_by_rule(spark):
     """Easter of both churches against another way to reckon it, and what was published for four years."""
 
