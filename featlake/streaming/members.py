@@ -1,9 +1,11 @@
-"""Keyed states of several members, and runs of hosts, kept by Spark as values, maps and lists.
-
-The states lie in Spark's state store, a record for each member, map entry and
-list element, so a key's state is not one row that is read and written whole.
-They are checkpointed with the query: a query that is started again goes on where
-its last batch ended.
+"""Keyed states of several members, and runs of hosts, kept by Spark as values and lists.
+
+Keys are put together in buckets by their hash, and what a bucket's keys hold is
+read, merged and written as columns: a call of the state store and a merge cost
+much more than a row of them, so work grows with rows and not with keys and calls.
+A bucket's state lies in Spark's state store, a record for each member and for each
+batch of waiting events. It is checkpointed with the query: a query that is started
+again, with the same number of buckets, goes on where its last batch ended.
 """
 
 from __future__ import annotations
@@ -12,10 +14,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Buckets of keys, which a query's checkpoint fixes.
+BUCKETS = 512
+_NULL = -1  # the bucket of the null key
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,51 +38,76 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, own)
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.when(F.col(key).isNull(), _NULL).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+
+
+def _packed(df: pd.DataFrame) -> tuple[bytes]:
+    table = pa.Table.from_pandas(df, preserve_index=False).replace_schema_metadata(None)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(record: tuple) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(record[0])).read_all().to_pandas()
+
+
 class _Members(StatefulProcessor):
-    """Rules: ``sum``, ``min``, ``max`` of numbers, ``count`` of rows, ``counts`` of values (a map), ``latest`` (the newest values, a list)."""
+    """Rules: ``sum``, ``min``, ``max`` of numbers, ``count`` of rows, ``counts`` of values, ``latest`` (the newest values)."""
 
     def __init__(self, key: str, rules: dict[str, tuple], keep: int, ttl_ms: int | None) -> None:
         self.key, self.rules, self.keep, self.ttl = key, rules, keep, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.single = {n: handle.getValueState(n, "v double", self.ttl) for n, (rule, *_) in self.rules.items() if rule in ("sum", "min", "max", "count")}
-        self.maps = {n: handle.getMapState(n, "k string", "v long", self.ttl) for n, (rule, *_) in self.rules.items() if rule == "counts"}
-        self.lists = {n: handle.getListState(n, "at long, v long", self.ttl) for n, (rule, *_) in self.rules.items() if rule == "latest"}
+        self.states = {n: handle.getValueState(n, "rows binary", self.ttl) for n in self.rules}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))  # the key's rows of one batch
-        out: dict = {self.key: key[0]}
-        for name, (rule, *columns) in self.rules.items():
-            column = batch[columns[-1]] if columns else None
-            if name in self.single:
-                old = self.single[name].get()[0] if self.single[name].exists() else None
-                new = float(len(batch)) if rule == "count" else column.sum(min_count=1) if rule == "sum" else getattr(column, rule)()
-                if new == new:  # not all of them null
-                    old = new if old is None else old + new if rule in ("sum", "count") else {"min": min, "max": max}[rule](old, new)
-                if old is not None:
-                    self.single[name].update((float(old),))
-                out[name] = old
-            elif name in self.maps:
-                state = self.maps[name]
-                for value, n in column.dropna().value_counts().items():
-                    before = state.getValue((value,))[0] if state.containsKey((value,)) else 0
-                    state.updateValue((value,), (before + int(n),))
-                out[name] = {k[0]: v[0] for k, v in state.iterator()}
+        batch = pd.concat(list(rows), ignore_index=True)  # the bucket's rows of one batch
+        if key[0] == _NULL:
+            batch["key"] = 0
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        changed = pd.Index(batch["key"].unique())
+        out = {self.key: [None] * len(changed) if key[0] == _NULL else changed}
+        for name, (rule, *_) in self.rules.items():
+            state = self.states[name]
+            old = _unpacked(state.get()) if state.exists() else None
+            if old is not None and self.ttl:  # records that have not changed for so long are forgotten, as their bucket may have
+                old = old[old["seen"] > now - self.ttl]
+            if rule == "latest":
+                new = batch.loc[batch[f"{name}_ok"], ["key", f"{name}_at", name]].set_axis(["key", "at", "v"], axis=1).assign(seen=now)
+                both = (new if old is None else pd.concat([old, new])).sort_values(["key", "at", "v"]).groupby("key", sort=False).tail(self.keep)
+                both = both.assign(seen=both["seen"].mask(both["key"].isin(changed), now))
+                found = both[both["key"].isin(changed)].groupby("key", sort=False)["v"].agg(list).to_dict()
+                out[name] = [found.get(k, []) for k in changed]
             else:
-                state = self.lists[name]
-                known = [tuple(x) for x in state.get()] if state.exists() else []
-                known += [(int(at), int(v)) for at, v in zip(batch[columns[0]], column, strict=True) if at == at and v == v]
-                known = sorted(known)[-self.keep :]
-                if known:
-                    state.put(known)
-                out[name] = [v for _, v in known]
-        yield pd.DataFrame([out])
+                by = ["key", name] if rule == "counts" else ["key"]
+                if rule in ("count", "counts"):
+                    new = batch.dropna(subset=by).groupby(by, sort=False).size().astype("int64" if rule == "counts" else "float64")
+                else:
+                    values = batch.groupby(by, sort=False)[name]
+                    new = (values.sum(min_count=1) if rule == "sum" else values.agg(rule)).dropna()
+                new = new.rename("v").reset_index().set_axis([*(["key", "k"][: len(by)]), "v"], axis=1).assign(seen=now)
+                by = ["key", "k"][: len(by)]
+                both = new if old is None else pd.concat([old, new]).groupby(by, sort=False).agg({"v": rule if rule in ("min", "max") else "sum", "seen": "max"}).reset_index()
+                if rule == "counts":
+                    found = {}
+                    for k, value, n in both[both["key"].isin(changed)][["key", "k", "v"]].itertuples(index=False):
+                        found.setdefault(k, {})[value] = n
+                    out[name] = [found.get(k, {}) for k in changed]
+                else:
+                    values = both.set_index("key")["v"].reindex(changed).astype(object)
+                    out[name] = values.where(values.notna(), None).to_numpy()
+            if len(both):
+                state.update(_packed(both))
+        yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-def keyed_members(df: DataFrame, key: str, rules: dict[str, tuple], keep: int = 3, ttl_ms: int | None = None) -> DataFrame:
+def keyed_members(df: DataFrame, key: str, rules: dict[str, tuple], keep: int = 3, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The members of every key that changed in a batch, merged with what came before; the newest row of a key is its state.
 
     ``rules``: name -> (rule, column, ...); ``latest`` takes a time in
@@ -86,78 +118,81 @@ def keyed_members(df: DataFrame, key: str, rules: dict[str, tuple], keep: int =
     kinds = {"counts": "map<string,bigint>", "latest": "array<bigint>"}
     schema = f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {kinds.get(rule, 'double')}" for n, (rule, *_) in rules.items())
     time = "processingTime" if ttl_ms else "none"
-    return df.groupBy(key).transformWithStateInPandas(_Members(key, rules, keep, ttl_ms), schema, "Update", time)
+    # Whole numbers without nulls, so that pandas does not make them fractions.
+    columns = {"bucket": _bucket(key, buckets), "key": F.col(key)}
+    for name, (rule, *of) in rules.items():
+        if rule == "latest":
+            ok = F.col(of[0]).isNotNull() & F.col(of[1]).isNotNull()
+            columns |= {f"{name}_ok": ok, f"{name}_at": F.when(ok, F.col(of[0])).otherwise(0).cast("long"), name: F.when(ok, F.col(of[1])).otherwise(0).cast("long")}
+        elif rule != "count":
+            columns[name] = F.col(of[0]).cast("string" if rule == "counts" else "double")
+    rows = df.select(*[e.alias(n) for n, e in columns.items()])
+    return rows.groupBy("bucket").transformWithStateInPandas(_Members(key, rules, keep, ttl_ms), schema, "Update", time)
 
 
 class _HostRuns(StatefulProcessor):
-    """Events wait in a map by time and number until the watermark has passed them; one timer a key stands at the earliest of them."""
+    """Events wait in a list, a record for each batch, until the watermark has passed them; one timer a bucket stands at the earliest of them."""
 
     def __init__(self, end: int | None) -> None:
         self.end = end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, event long, host string", "n long")
-        self.open = handle.getValueState("open", "host string, start long, last long, n long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.open = handle.getValueState("open", "rows binary")
         self.timer = handle.getValueState("timer", "ms long")
 
     def _stand(self, ms: int) -> None:
         if self.timer.exists():
             old = self.timer.get()[0]
-            if old == ms:
+            if old <= ms:
                 return
             self.handle.deleteTimer(old)
         self.handle.registerTimer(ms)
         self.timer.update((ms,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for b in rows:
-            for at, event, host in zip(b["at"].tolist(), b["event"].tolist(), b["host"].tolist(), strict=True):
-                place = (at, event, host)
-                again = self.waiting.getValue(place)[0] if self.waiting.containsKey(place) else 0
-                self.waiting.updateValue(place, (again + 1,))
-                first = at if first is None else min(first, at)
-        if first is not None:
-            ms = first // 1000 + 1
-            if not self.timer.exists() or ms < self.timer.get()[0] or self.timer.get()[0] == self.end:
-                self._stand(ms)
+        batch = pd.concat([b[["user", "at", "event", "host"]] for b in rows], ignore_index=True)
+        if len(batch):
+            self.waiting.appendValue(_packed(batch))
+            self._stand(int(batch["at"].min()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        entries = [(*k, v[0]) for k, v in self.waiting.iterator()]
-        ready = sorted(x for x in entries if x[0] <= mark * 1000)
-        host, start, last, n = self.open.get() if self.open.exists() else (None, 0, 0, 0)
-        rows = []
-        for at, event, h, times in ready:
-            if h != host:
-                if n:
-                    rows.append((key[0], start, host, last, n))
-                host, start, n = h, at, 0
-            last, n = at, n + times
-            self.waiting.removeKey((at, event, h))
-        left = [x[0] for x in entries if x[0] > mark * 1000]
-        if left:
-            self._stand(min(left) // 1000 + 1)
-        elif ready and (self.end is None or self.end > mark):
-            self._stand(mark + 1 if self.end is None else self.end)
-        else:  # the user's events have ended
-            if n:
-                rows.append((key[0], start, host, last, n))
-            n = 0
-        if n:
-            self.open.update((host, start, last, n))
+        chunks = [_unpacked(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        events = pd.concat(chunks, ignore_index=True) if chunks else pd.DataFrame({"user": [], "at": [], "event": [], "host": []}).astype({"user": "int64", "at": "int64", "event": "int64"})
+        late = events["at"] > mark * 1000
+        ready, left = events[~late].sort_values(["user", "at", "event", "host"]), events[late]
+        rows = pd.DataFrame({"user": ready["user"], "start": ready["at"], "host": ready["host"], "last": ready["at"], "n": 1, "mark": mark})
+        if self.open.exists():  # a user's open run comes before what is ready
+            rows = pd.concat([_unpacked(self.open.get()), rows]).sort_values("user", kind="stable")
+        run = ((rows["user"] != rows["user"].shift()) | (rows["host"] != rows["host"].shift())).cumsum()
+        runs = rows.groupby(run, sort=False).agg({"user": "first", "start": "first", "host": "first", "last": "last", "n": "sum", "mark": "max"})
+        # A user's last run stays open, unless all that the user has was taken at an earlier watermark, or by the end.
+        more = runs["user"].duplicated(keep="last")
+        ended = (runs["mark"] < mark if self.end is None else pd.Series(self.end <= mark, index=runs.index)) & ~runs["user"].isin(left["user"])
+        stays = runs[~more & ~ended]
+        if len(left):
+            self.waiting.put([_packed(left)])
+            self._stand(int(left["at"].min()) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if len(stays):
+            self.open.update(_packed(stays))
+            if not stays["user"].isin(left["user"]).all():
+                self._stand(mark + 1 if self.end is None else self.end)
         else:
             self.open.clear()
-        yield pd.DataFrame(rows, columns=["user", "start", "host", "last", "n"])
+        out = runs.loc[more | ended, ["user", "start", "host", "last", "n"]]
+        yield out.assign(user=pd.Series([None] * len(out), index=out.index, dtype=object)) if key[0] == _NULL else out
 
     def close(self) -> None:
         pass
 
 
-def host_runs(df: DataFrame, user: str, ts: str, event: str, host: str, late: str, end: int | None = None) -> DataFrame:
+def host_runs(df: DataFrame, user: str, ts: str, event: str, host: str, late: str, end: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Runs of equal hosts per user, as (user, start, host, last, n) in microseconds.
 
     Events are taken in order of time once the watermark has passed them,
@@ -170,5 +205,5 @@ def host_runs(df: DataFrame, user: str, ts: str, event: str, host: str, late: st
     # Conditions on the time stay behind the watermark, so that a row that is in no run still moves it.
     rows = df.withWatermark(ts, late).where(F.col(ts).isNotNull() if end is None else F.col(ts) < F.timestamp_millis(F.lit(end)))
     number, name = F.coalesce(F.col(event), F.lit(-(1 << 63))), F.coalesce(F.col(host), F.lit(""))
-    rows = rows.select(F.col(user).alias("user"), F.col(ts), F.unix_micros(ts).alias("at"), number.alias("event"), name.alias("host"))
-    return rows.groupBy("user").transformWithStateInPandas(_HostRuns(end), "user long, start long, host string, last long, n long", "Append", "eventTime")
+    rows = rows.select(_bucket(user, buckets).alias("bucket"), F.coalesce(F.col(user).cast("long"), F.lit(0)).alias("user"), F.col(ts), F.unix_micros(ts).alias("at"), number.alias("event"), name.alias("host"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_HostRuns(end), "user long, start long, host string, last long, n long", "Append", "eventTime")

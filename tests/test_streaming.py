@@ -97,3 +97,16 @@ def test_host_runs_wait_for_late_events_over_a_restart(spark, tmp_path):
         seen += run(members.host_runs(read(), "u", "ts", "e", "h", "10 minutes", end=99_000_000), tmp_path, "append")
     s = 1_000_000
     assert sorted(map(tuple, seen), key=str) == sorted([(1, 1000 * s, "a", 1300 * s, 3), (1, 1300 * s, "b", 1300 * s, 2), (2, 1100 * s, "x", 1150 * s, 2), (None, 1400 * s, "", 1400 * s, 1)], key=str)
+
+
+def test_state_records_do_not_grow_with_keys(spark, tmp_path):
+    """Runs of 3000 users: a record for each bucket and batch in the store, none for each user or event."""
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("u"), F.timestamp_seconds(F.col("id") % 100 + 1000).alias("ts"), F.col("id").alias("e"), F.lit("h").alias("h"))
+    df.repartition(2).write.parquet(f"{tmp_path}/in")
+    rows = members.host_runs(jobs.file_stream(spark, f"{tmp_path}/in", df.schema, 1), "u", "ts", "e", "h", "10 minutes", end=99_000_000)
+    with members.state_store(spark):
+        q = rows.writeStream.outputMode("append").format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+    kept = q.lastProgress.stateOperators[0].numRowsTotal
+    assert 0 < kept <= 8 * 512 < 4 * n
