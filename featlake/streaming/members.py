@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Buckets of keys, which a query's checkpoint fixes.
@@ -119,7 +120,8 @@ def keyed_members(df: DataFrame, key: str, rules: dict[str, tuple], keep: int =
     schema = f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {kinds.get(rule, 'double')}" for n, (rule, *_) in rules.items())
     time = "processingTime" if ttl_ms else "none"
     # Whole numbers without nulls, so that pandas does not make them fractions.
-    columns = {"bucket": _bucket(key, buckets), "key": F.col(key)}
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    columns = {"bucket": _bucket(key, buckets), "key": F.coalesce(F.col(key), F.lit(0).cast(df.schema[key].dataType)) if whole else F.col(key)}
     for name, (rule, *of) in rules.items():
         if rule == "latest":
             ok = F.col(of[0]).isNotNull() & F.col(of[1]).isNotNull()

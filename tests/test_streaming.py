@@ -110,3 +110,18 @@ def test_state_records_do_not_grow_with_keys(spark, tmp_path):
         q.awaitTermination()
     kept = q.lastProgress.stateOperators[0].numRowsTotal
     assert 0 < kept <= 8 * 512 < 4 * n
+
+
+def test_members_of_many_keys_are_few_records(spark, tmp_path):
+    """Records of buckets, not of keys and members; keys beyond 2^53 stay whole beside a null key."""
+    n, far = 3000, 1 << 60
+    df = spark.range(n).select(F.when(F.col("id") > 0, F.col("id") + far).alias("k"), F.col("id").cast("double").alias("v"), F.lit("a").alias("kind"), F.col("id").alias("at"), (F.col("id") + far).alias("e"))
+    df.repartition(2).write.parquet(f"{tmp_path}/in")
+    rows = members.keyed_members(jobs.file_stream(spark, f"{tmp_path}/in", df.schema, 1), "k", {"n": ("count",), "total": ("sum", "v"), "kinds": ("counts", "kind"), "newest": ("latest", "at", "e")})
+    seen = []
+    with members.state_store(spark):
+        q = rows.writeStream.outputMode("update").foreachBatch(lambda b, i: seen.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r.k: (r.n, r.total, r.kinds, r.newest) for r in seen}
+    assert got == {i + far if i else None: (1.0, float(i), {"a": 1}, [i + far]) for i in range(n)}
+    assert 0 < q.lastProgress.stateOperators[0].numRowsTotal <= 4 * 513 < n
