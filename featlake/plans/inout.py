@@ -48,6 +48,10 @@ def csv_default(spark, d):
     return R.read_csv(spark, path)
 
 
+#: Records of a file, about.
+CSV_ROWS = 500_000
+
+
 @query("csv_records", """select o_orderkey, 'a; "b"' || chr(10) || chr(10) || o_orderpriority || ';' as note, o_totalprice as price, case when o_orderkey % 3 = 0 then o_custkey end as NoName_3,
   case when o_orderkey % 6 = 0 then o_orderstatus end as NoName_4 from orders""")
 def csv_records(spark, d):
@@ -56,10 +60,12 @@ def csv_records(spark, d):
     note = F.concat(F.lit('"a; ""b""\n\n'), "o_orderpriority", F.lit(';"'))
     more = F.when(F.col("o_orderkey") % 6 == 0, F.concat_ws(";", F.lit(""), "o_custkey", "o_orderstatus")).when(F.col("o_orderkey") % 3 == 0, F.concat_ws(";", F.lit(""), "o_custkey"))
     line = F.concat(F.concat_ws(";", "o_orderkey", note, F.translate(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), ".", ",")), F.coalesce(more, F.lit("")))
-    rows = orders(spark, d).select(line.alias("value"), F.lit(1).alias("order"), "o_orderkey")
-    head = spark.range(1).select(F.lit("o_orderkey;note;price").alias("value"), F.lit(0).alias("order"), F.lit(0).cast("long").alias("o_orderkey"))
-    # Every file has a header: one file here, in order.
-    head.union(rows).repartitionById(1, F.lit(0)).sortWithinPartitions("order", "o_orderkey").select("value").write.text(path)
+    files = table(spark, d, "orders").count() // CSV_ROWS + 1
+    file = F.pmod(F.xxhash64("o_orderkey"), F.lit(files)).cast("int")
+    rows = orders(spark, d).select(line.alias("value"), F.lit(1).alias("order"), "o_orderkey", file.alias("file"))
+    head = spark.range(files).select(F.lit("o_orderkey;note;price").alias("value"), F.lit(0).alias("order"), F.lit(0).cast("long").alias("o_orderkey"), F.col("id").cast("int").alias("file"))
+    # Every file has a header, and its rows in order.
+    head.union(rows).repartitionById(files, F.col("file")).sortWithinPartitions("order", "o_orderkey").select("value").write.text(path)
     return R.read_csv(spark, path)
 
 

@@ -539,6 +539,20 @@ def test_nearest_targets_are_not_broadcast_by_the_size_of_a_file(spark):
     assert df.count() == 9000
 
 
+def test_csv_records_are_sorted_by_file(spark, sf, monkeypatch):
+    """No task sorts all rows: the files grow in number, each with a header."""
+    from featlake.plans import QUERIES, inout
+
+    paths = []
+    read = inout.R.read_csv
+    monkeypatch.setattr(inout.R, "read_csv", lambda s, path: paths.append(path) or read(s, path))
+    monkeypatch.setattr(inout, "CSV_ROWS", 400, raising=False)
+    df = QUERIES["csv_records"](spark, sf)
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert df.count() == n and df.columns == ["o_orderkey", "note", "price", "NoName_3", "NoName_4"]
+    assert len(spark.read.text(paths[0]).inputFiles()) == n // 400 + 1
+
+
 def test_holidays_by_rule(spark):
     """Easter of both churches against another way to reckon it, and what was published for four years."""
 
