@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.texts import clean_name
 from ..operators.numbering import join_null_safe
 from .records import delimited, json_objects, without_quoted
+from .scratch import written
 
 #: MIME types of each reader; spreadsheet types are read as CSV, an empty type as JSON.
 MIME = {"text/csv": "csv", "application/json": "json", "": "json"}
@@ -19,6 +20,9 @@ MIME = {"text/csv": "csv", "application/json": "json", "": "json"}
 MIME_MORE = {"application/x-ndjson": "jsonl", "application/vnd.apache.parquet": "parquet"}
 
 
+#: Rows that show which types a column can't have.
+FIRST_ROWS = 1000
+
 #: Marks around a value that do not belong to it; double quotes are taken off by the parser.
 CSV_TRIM = "\t\n\r'"
 
@@ -39,18 +43,24 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool = True
     if schema:
         df = rows.select(F.from_csv("text", schema if isinstance(schema, str) else schema.simpleString()[7:-1].replace(":", " "), options).alias("v")).select("v.*")
         return df.toDF(*[clean_name(c) for c in df.columns])
-    heads = records.where("first").orderBy("file").select("text").limit(1).collect() if header else []
-    given = [x.strip(CSV_TRIM + '" ') for x in next(csv.reader([heads[0]["text"]], delimiter=sep, skipinitialspace=True))] if heads else list(names or [])
-    width = rows.agg(F.max(F.size(F.split(without_quoted(F.col("text"), sep), re.escape(sep))))).first()[0] or 0
+    quoted = F.when(F.col("text").contains('"'), without_quoted(F.col("text"), sep)).otherwise(F.col("text"))
+    seen = F.lit(True) if not header else ~F.col("first")
+    shape = records.agg(F.max(F.when(seen, F.size(F.split(quoted, re.escape(sep))))).alias("width"), F.min_by(F.when(F.col("first"), F.col("text")), F.when(F.col("first"), F.col("file"))).alias("head")).first()
+    heads, width = [shape["head"]] if header and shape["head"] is not None else [], shape["width"] or 0
+    given = [x.strip(CSV_TRIM + '" ') for x in next(csv.reader([heads[0]], delimiter=sep, skipinitialspace=True))] if heads else list(names or [])
     given += [""] * (width - len(given))
     if not given:
         return spark.createDataFrame([], T.StructType([]))
     fields = [clean_name(g) if g else f"NoName_{i}" for i, g in enumerate(given)]
     text = rows.select(F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(fields))), options).alias("v")).select("v.*").toDF(*fields)
-    text = text.select(*[F.btrim(F.col(f"`{c}`"), F.lit(CSV_TRIM)).alias(c) for c in fields])
+    # Fields are cut once: kinds, and what reads the result, take the columns they need.
+    text = written(text.select(*[F.btrim(F.col(f"`{c}`"), F.lit(CSV_TRIM)).alias(c) for c in fields]), "fields")
     filled = lambda c: F.bool_or(F.coalesce(F.length(f"`{c}`"), F.lit(0)) > 0)
     parse = {kind: (lambda c, kind=kind: _parsed(c, kind, sep)) for kind in KINDS}
     fits = {(c, kind): F.bool_and(F.when(_value(c).isNotNull(), of(c).isNotNull())) for c in fields for kind, of in parse.items()}
+    # A kind that does not fit a first row fits no column; all rows are read for the others only.
+    begin = _aggregated(text.limit(FIRST_ROWS), fits)
+    fits = {of: x for of, x in fits.items() if begin[of] is not False}
     if sample < 1.0:  # kinds that the sample shows, which every value must fit
         shown = _aggregated(text.sample(sample, seed=1), fits)
         fits = {(c, kind): x for (c, kind), x in fits.items() if shown[c, kind]}

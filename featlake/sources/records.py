@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
+#: Pieces that end a record each, from which on they are taken together.
+_TOGETHER = 64
+
 #: Parts of records: a whole one, its end, its begin, a part without either.
 WHOLE, END, BEGIN, MIDDLE = range(4)
 _SPLITS = "file long, block long, inside0 boolean, depth0 long, inside1 boolean, depth1 long"
@@ -90,6 +93,12 @@ def _assembled(batches: Iterator[pa.RecordBatch], joiner: str, ending: str) -> I
         if held:
             out.append((*at, BEGIN if part == WHOLE else MIDDLE, fresh, joiner.join(held)))
 
+    def block_of(texts: pa.Array, first: bool) -> pa.RecordBatch:
+        n = len(texts)
+        firsts = np.arange(n) == (0 if first else -1)
+        columns = [np.full(n, at[0]), np.full(n, at[1]), np.full(n, WHOLE, "int32"), firsts]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), texts.cast(pa.string())], ["file", "block", "part", "first", "text"])
+
     def batch_of() -> pa.RecordBatch:
         kinds = [("file", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("first", pa.bool_()), ("text", pa.string())]
         made = pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate(kinds)})
@@ -104,9 +113,25 @@ def _assembled(batches: Iterator[pa.RecordBatch], joiner: str, ending: str) -> I
                 inside, depth = piece.column("inside")[0].as_py(), piece.column("depth")[0].as_py()
                 part, fresh = END if inside or depth else WHOLE, key[1] == 0
             in0, d0, in1, d1 = _columns(piece, _STATE)
-            for i, text in enumerate(piece.column("value").to_pylist()):
-                if not held and part == WHOLE and not text.strip():
+            changing = np.flatnonzero(in0 | ~in1 | (d0 != 0) | (d1 != 0))
+            values, texts, done = piece.column("value"), piece.column("value").to_pylist(), 0
+            for i, text in enumerate(texts):
+                if i < done:
                     continue
+                if not held and part == WHOLE:
+                    if not ending:  # pieces that change nothing are records as they are
+                        until = int(changing[place]) if (place := np.searchsorted(changing, i)) < len(changing) else len(texts)
+                        if until - i >= _TOGETHER:
+                            filled = [bool(x.strip()) for x in texts[i:until]]
+                            block = values.slice(i, until - i)
+                            block = block if all(filled) else block.filter(pa.array(filled))
+                            if len(block):
+                                yield block_of(block, fresh)
+                                fresh = False
+                            done = until
+                            continue
+                    if not text.strip():
+                        continue
                 depth += int(d1[i] if inside else d0[i])
                 inside = bool(in1[i] if inside else in0[i])
                 held.append(text + ending)

@@ -553,6 +553,17 @@ def test_csv_records_are_sorted_by_file(spark, sf, monkeypatch):
     assert len(spark.read.text(paths[0]).inputFiles()) == n // 400 + 1
 
 
+def test_inferred_csv_is_cut_once(spark, tmp_path):
+    """What reads the result scans the columns that it needs, not the text again; blank lines between many records go."""
+    from featlake.sources import readers
+
+    lines = ["a;b", *(f"{i};x{i}" + ("\n " if i % 90 == 0 else "") for i in range(400)), '7;"p\nq"', *(f"{i};y" for i in range(400))]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    df = readers.read_csv(spark, f"{tmp_path}/in.csv")
+    assert df.dtypes == [("a", "bigint"), ("b", "string")] and all(f.endswith(".parquet") for f in df.inputFiles())
+    assert sorted(map(tuple, df.collect())) == sorted([*((i, f"x{i}") for i in range(400)), (7, "p\nq"), *((i, "y") for i in range(400))])
+
+
 def test_holidays_by_rule(spark):
     """Easter of both churches against another way to reckon it, and what was published for four years."""
 
